@@ -39,6 +39,7 @@ def _alaw_table() -> np.ndarray:
 
 
 MULAW_TABLE, ALAW_TABLE = _mulaw_table(), _alaw_table()
+ALAW_LEVELS = np.abs(ALAW_TABLE.astype(np.int32))
 # Fixed values of the IMA ADPCM format.
 INDEX_STEPS = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 STEP_SIZES = np.array([
@@ -46,6 +47,15 @@ STEP_SIZES = np.array([
 ], np.int32)
 
 
+def _adpcm_tables() -> tuple[np.ndarray, np.ndarray]:
+    step, code = STEP_SIZES[:, None], np.arange(16)[None, :]
+    size = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
+    return np.where(code & 8, -size, size).astype(np.int32).reshape(-1), np.clip(np.arange(len(STEP_SIZES))[:, None] + INDEX_STEPS[code], 0, 88).astype(np.int32).reshape(-1)
+
+
+DIFFERENCES, NEXT_INDEX = _adpcm_tables()
+
+
 def adpcm_blocks(blocks: np.ndarray) -> np.ndarray:
     """IMA ADPCM, one channel: blocks of bytes (n, size) to samples (n, 1 + 2 (size - 4)). All blocks advance together, sample by sample."""
     n, size = blocks.shape
@@ -55,11 +65,11 @@ def adpcm_blocks(blocks: np.ndarray) -> np.ndarray:
     out[0] = level
     columns = np.ascontiguousarray(blocks[:, 4:].T)
     for k in range(1, len(out)):
-        code = (columns[(k - 1) // 2] >> (4 * ((k - 1) % 2)) & 15).astype(np.int32)
-        step = STEP_SIZES[index]
-        delta = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
-        level = np.clip(np.where(code & 8, level - delta, level + delta), -32768, 32767)
-        index = np.clip(index + INDEX_STEPS[code], 0, 88)
+        # Both tables by (index, code): the signed difference, and the next index.
+        at = index << 4 | (columns[(k - 1) // 2] >> (4 * ((k - 1) % 2)) & 15)
+        level += DIFFERENCES.take(at)
+        np.clip(level, -32768, 32767, out=level)
+        index = NEXT_INDEX.take(at)
         out[k] = level
     return out.T
 
@@ -135,6 +145,11 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation in integers, so that results do not hang on the machine's rounding."""
     if rate == to or not len(samples):
         return samples
+    if to % rate == 0:  # whole steps between samples
+        times = to // rate
+        x = samples.astype(np.int32)
+        gap = np.append(x[1:], x[-1]) - x
+        return (x[:, None] + gap[:, None] * np.arange(times, dtype=np.int32) // times).astype(np.int16).reshape(-1)
     place = np.arange(len(samples) * to // rate, dtype=np.int64) * rate
     low, part = place // to, place % to
     high = np.minimum(low + 1, len(samples) - 1)
@@ -144,10 +159,11 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
 
 def features(samples: np.ndarray) -> str:
     """Samples, root mean square, peak, changes of sign and checksum of the PCM."""
-    x = samples.astype(np.int64)
-    n = max(len(x), 1)
-    rms = int(np.sqrt(float((x * x).sum()) / n))
-    return f"n={len(x)};rms={rms};peak={int(np.abs(x).max(initial=0))};zero={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))};crc={zlib.crc32(samples.astype('<i2').tobytes()):08x}"
+    x = samples.astype(np.int32)
+    rms = int(np.sqrt(float((x * x).sum(dtype=np.int64)) / max(len(x), 1)))
+    below = samples < 0
+    peak = max(int(samples.max(initial=0)), -int(samples.min(initial=0)))
+    return f"n={len(x)};rms={rms};peak={peak};zero={int(np.count_nonzero(below[1:] != below[:-1]))};crc={zlib.crc32(samples.astype('<i2').tobytes()):08x}"
 
 
 def payload(text: bytes) -> bytes:
@@ -180,17 +196,24 @@ def digests(media: DataFrame, to: int = 16000) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> dict:
         out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for f in part.column("media").to_pylist():
-            kind, rate, _, data = read_wave(f)
-            pcm, _ = expand(f)
-            other = ALAW_TABLE[np.frombuffer(data, np.uint8)].astype(np.int64)
-            blocks = adpcm_blocks(np.frombuffer(data, np.uint8).reshape(-1, UNIT // 2)).astype(np.int64)
-            out["payload_bytes"].append(len(data))
-            out["payload_sha256"].append(hashlib.sha256(data).hexdigest())
-            out["tail_crc32"].append(zlib.crc32(data[-16:]))
+        files = part.column("media").to_pylist()
+        data = [read_wave(f)[3] for f in files]
+        # ADPCM of all files of the slice at once; sizes are multiples of the block, so no block has bytes of two files.
+        blocks = adpcm_blocks(np.frombuffer(b"".join(data), np.uint8).reshape(-1, UNIT // 2))
+        level = np.zeros(len(blocks), np.int64)
+        for k in range(blocks.shape[1]):
+            level += np.abs(blocks[:, k].astype(np.int32))
+        starts = np.cumsum([0, *(len(x) * 2 // UNIT for x in data[:-1])])
+        adpcm = np.add.reduceat(level, starts) if files else level
+        for f, own, sound in zip(files, data, adpcm.tolist()):
+            pcm, rate = expand(f)
+            other = ALAW_LEVELS.take(np.frombuffer(own, np.uint8))
+            out["payload_bytes"].append(len(own))
+            out["payload_sha256"].append(hashlib.sha256(own).hexdigest())
+            out["tail_crc32"].append(zlib.crc32(own[-16:]))
             out["media_bytes"].append(len(f))
             out["media_sha256"].append(hashlib.sha256(f).hexdigest())
-            out["feature"].append(f"{features(resample(pcm, rate, to))};alaw={int(np.abs(other).sum())};adpcm={int(np.abs(blocks).sum())}")
+            out["feature"].append(f"{features(resample(pcm, rate, to))};alaw={int(other.sum(dtype=np.int64))};adpcm={sound}")
         return {"doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), **out}
 
     return map_batches(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "media")
