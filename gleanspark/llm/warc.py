@@ -169,7 +169,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     shared = narrow.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"), F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1 and kept is not null").select(F.col("digest").alias("d"), "kept")
     revisits = narrow.join(shared, F.col("digest") == F.col("d")).filter(~F.col("page_id").eqNullSafe(F.col("kept"))).select(F.col("page_id").alias("p"), "d", "kept").distinct()
     typed = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    total = narrow.agg(F.sum("size")).first()[0] or 0
+    total, n = narrow.agg(F.sum("size"), F.count("*")).first()
+    per_archive = max(1, archive_bytes * n // max(total or 0, 1))  # records, so that archives come to about archive_bytes
 
     def run(part: pa.RecordBatch) -> dict:
         made = []
@@ -178,8 +179,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
         return {"value": made}
 
     archives = map_batches(typed.select("page_id", "url", "html", "kept", "d"), run, "value string", "html")
-    spread = F.pmod(F.xxhash64("value"), F.lit(max(1, math.ceil(total / archive_bytes)))).cast("int")
-    archives.repartition(max(1, math.ceil(total / archive_bytes)), spread).write.option("compression", "gzip").text(path)
+    archives.write.options(compression="gzip", maxRecordsPerFile=str(per_archive)).text(path)
 
 
 def _page(urn: str | None) -> int | None:
