@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 
 from ._common import mix64, n_words
 
-BUCKET, FAN = 4096, 64
+BUCKET, FAN = 1024, 64
 EPS = 1e-12
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """source, source_size, target: shares by weight (in turn over the sources by code point, null last), held to cap times each
+    """source, source_size, n_rows, target: shares by weight (in turn over the sources by code point, null last), held to cap times each
     source's size; the excess goes to the others by weight until none is above. One row for each source, windowed together."""
     everything = Window.partitionBy()
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    held = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
+    held = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
     # By cap for each unit of weight, those that are held to their cap come first; the level is what a unit of weight gets after them.
     by = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
     held = held.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     held = held.withColumn("free", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything))
     level = F.col("free").getField("level")
-    return held.select("source", "source_size", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap")).alias("target"))
+    return held.select("source", "source_size", "n_rows", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap")).alias("target"))
 
 
 def settle(words: np.ndarray, p: np.ndarray, key: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
@@ -71,8 +71,9 @@ def settle(words: np.ndarray, p: np.ndarray, key: np.ndarray, seed: int) -> tupl
     return p, at
 
 
-def _level(level: int, seed: int, last: bool):
+def _level(level: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        last = pdf["buckets"].iloc[0] == 1
         pdf = pdf.sort_values(["words", "key", "id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         p, at = settle(pdf["words"].to_numpy(float), pdf["p"].to_numpy(float), pdf["key"].to_numpy(np.int64), seed + level)
         if at >= 0 and last:
@@ -93,21 +94,21 @@ def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: floa
     joined = units.join(per_source, units["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     ready = joined.withColumn("ratio", ratio).withColumn("base", F.floor("ratio").cast("int")).withColumn("p", F.col("ratio") - F.col("base")).withColumn("words", (F.col("size") * F.col("n")).cast("double")).drop("ratio")
-    # Buckets for level 0: as many as the largest source needs, so that a source with a third of all rows is dealt out as well.
-    most = units.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    # Each source has as many buckets as its rows need, so that one with a third of all rows is dealt out as well.
+    ready = ready.withColumn("buckets", F.greatest(F.ceil(F.col("n_rows") / BUCKET), F.lit(1)).cast("int")).drop("n_rows")
+    most = per_source.agg(F.max("n_rows")).first()[0] or 0
     buckets = max(1, math.ceil(most / BUCKET))
-    level, state, settled = 0, ready.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)).cast("int")), []
+    level, state, settled = 0, ready.withColumn("bucket", F.pmod(F.col("key"), F.col("buckets")).cast("int")), []
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema) + ", open boolean"
     while True:
-        last = buckets == 1
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema if f.name != "open") + ", open boolean"
-        done = state.drop("open").groupBy("source", "bucket").applyInPandas(_level(level, seed, last), schema)
-        if last:
+        done = state.groupBy("source", "bucket").applyInPandas(_level(level, seed), schema)
+        if buckets == 1:
             settled.append(done)
             break
         done = done.persist()
         settled.append(done.filter(~F.col("open")))
         buckets, level = math.ceil(buckets / FAN), level + 1
-        state = done.filter("open").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("int"))
+        state = done.filter("open").drop("open").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("int")).withColumn("buckets", F.ceil(F.col("buckets") / FAN).cast("int"))
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)
