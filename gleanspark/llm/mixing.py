@@ -4,7 +4,8 @@ A source of S words with a target of T words wants T / S copies of each document
 rest is a copy probability. Documents are paired and mass is moved from one to the other, at random in proportion, until one
 of the two is integral; what is moved is weighed in words, so each transfer keeps the source's expected words exactly. A bucket
 of documents ends with at most one fractional document; these meet in the next level of a reduction tree, until one is left
-for each source and is rounded at random. Within a bucket the longest come first, so that what is left over is short.
+for each source and is rounded at random. Within a bucket the longest come first, so that what is left over is short. The root draws up
+to DRAWS times and keeps the draw whose last rounding misses the target least.
 
 Repeated rows (equal id, source and text) are one unit and get equal copies. Null or blank texts have size 0 and none is taken.
 A null source is a source of its own, after the others. Sources without words have the target 0. All randomness is a hash of seed,
@@ -24,6 +25,7 @@ from ._common import mix64, n_words
 
 BUCKET, FAN = 1024, 64
 EPS = 1e-12
+DRAWS, NEAR = 32, 0.0005
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -75,10 +77,23 @@ def _level(level: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         last = pdf["buckets"].iloc[0] == 1
         pdf = pdf.sort_values(["words", "key", "id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        p, at = settle(pdf["words"].to_numpy(float), pdf["p"].to_numpy(float), pdf["key"].to_numpy(np.int64), seed + level)
-        if at >= 0 and last:
-            u = float(mix64(pdf["key"].to_numpy(np.int64)[at : at + 1].astype(np.uint64) ^ np.uint64(seed + 7919))[0] >> np.uint64(11)) / 2**53
-            p[at], at = float(u < p[at]), -1
+        words, start, key = pdf["words"].to_numpy(float), pdf["p"].to_numpy(float), pdf["key"].to_numpy(np.int64)
+        p, at = settle(words, start, key, seed + level)
+        if last:
+            # All that the source's words can miss is what rounding the last unit adds or takes: of some draws, the one that misses least.
+            best = None
+            for draw in range(DRAWS):
+                p, at = settle(words, start, key, seed + level + 1009 * draw)
+                missed = 0.0
+                if at >= 0:
+                    u = float(mix64(key[at : at + 1].astype(np.uint64) ^ np.uint64(seed + 7919 + draw))[0] >> np.uint64(11)) / 2**53
+                    missed = words[at] * abs(float(u < p[at]) - p[at])
+                    p[at], at = float(u < p[at]), -1
+                if best is None or missed < best[0]:
+                    best = missed, p
+                if missed <= NEAR * pdf["target"].iloc[0]:
+                    break
+            p = best[1]
         pdf["p"] = p
         pdf["open"] = np.arange(len(pdf)) == at
         return pdf
