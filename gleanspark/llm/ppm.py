@@ -166,13 +166,43 @@ def _resolve(order: int, pairs: np.ndarray):
     return run
 
 
+class Lookup:
+    """Values by key in open addressing, for arrays of keys that are all in it."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        bits = max(4, int(4 * len(key)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        at = self._slot(key)
+        while len(key):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = key[free]  # of several for one slot the last stays
+            placed = self.keys[at] == key
+            self.values[at[placed]] = value[placed]
+            key, value, at = key[~placed], value[~placed], (at[~placed] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        at = self._slot(key)
+        out = self.values[at]
+        rest = np.nonzero(self.keys[at] != key)[0]
+        at, key = at[rest], key[rest]
+        while len(rest):
+            at = (at + 1) & self.mask
+            found = self.keys[at] == key
+            out[rest[found]] = self.values[at[found]]
+            rest, at, key = rest[~found], at[~found], key[~found]
+        return out
+
+
 def _score(order: int, tokens: int, distinct: int):
     base = math.log10(tokens + distinct + 1)
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
         kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
-        by = np.argsort(key[kind == GRAM_KIND])
-        gram_keys, gram_values = key[kind == GRAM_KIND][by], value[kind == GRAM_KIND][by]
+        trie = Lookup(key[kind == GRAM_KIND], value[kind == GRAM_KIND])
         by = np.argsort(key[kind == WORD_KIND])
         word_keys, word_values = key[kind == WORD_KIND][by], value[kind == WORD_KIND][by]
         end = word_values[np.searchsorted(word_keys, END_KEY)]
@@ -186,7 +216,7 @@ def _score(order: int, tokens: int, distinct: int):
             rows["n_tokens"].append(len(words) + 1)
             rows["n_known"].append(int(np.count_nonzero(got > 0)) + int(end > 0))
             rows["base_score"].append(float(got.sum() + end) - (len(words) + 1) * base)
-            rows["score"].append(float(gram_values[np.searchsorted(gram_keys, grams(words, order))].sum()))
+            rows["score"].append(float(trie[grams(words, order)].sum()))
         n = docs.num_rows
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(rows["n_tokens"], pa.int64()), "n_known": pa.array(rows["n_known"], pa.int64()), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(rows["base_score"], pa.float64()), "score": pa.array(rows["score"], pa.float64())})
 
