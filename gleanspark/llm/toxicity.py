@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, training, kept: int = 20_000, sample
     """training: a condition on docs' doc_id. Counts cover all labelled training rows; the regression at most `sample` of them."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").distinct()
     texts = docs.filter(training).select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", "text").alias("rank"))
-    joined = texts.join(known, F.col("id") == F.col("label_id")).select("rank", "toxic", "text")
+    # Texts meet labels by shuffling both, whatever the labels' size, and no text is sorted.
+    joined = texts.join(known.hint("shuffle_hash"), F.col("id") == F.col("label_id")).select("rank", "toxic", "text")
 
     def run(part: pa.RecordBatch) -> dict:
         words = [bare(x) for x in text_bytes(part.column("text"))]
