@@ -1,4 +1,4 @@
-"""Language-model scoring by prediction by partial matching (PPM): byte contexts, escapes by method C, symbol exclusion.
+"""Language-model scoring by prediction by partial matching (PPM): byte contexts, escapes by method D, symbol exclusion.
 
 Texts are lower-cased (A to Z) and read as their words joined by single spaces, then one end symbol. Training documents give counts
 of every context of `order` symbols and what followed; each suffix of a context is a node of the trie, whose counts are the
@@ -50,6 +50,12 @@ def grams(words: list[bytes], order: int) -> np.ndarray:
     return key
 
 
+def _texts(table: pa.Table, rows: int = 128):
+    """The texts of a group, a few at a time."""
+    for batch in table.select(["text"]).to_batches(max_chunksize=rows):
+        yield from batch.column(0).cast(pa.binary()).to_pylist()
+
+
 def _mask(order: int) -> int:
     return (1 << BITS * (order + 1)) - 1
 
@@ -68,9 +74,16 @@ def _count(order: int, piece: int = 1 << 21):
                     u, n = np.unique(np.concatenate(parts), return_counts=True)
                     found.append((u, np.zeros_like(n) if out else n))
                     parts.clear()
+            if sum(len(u) for u, _ in found) > piece:
+                merge()
+
+        def merge():
+            u, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([n for _, n in found]), len(u)).astype(np.int64)
+            found[:] = [(u, n)]
 
         ends = 0
-        for text, out in zip(table.column("text").cast(pa.binary()).to_pylist(), table.column("held_out").to_pylist()):
+        for text, out in zip(_texts(table), table.column("held_out").to_pylist()):
             split = (text or b"").lower().split()
             (words if out else trained).update(split)
             ends += not out
@@ -88,9 +101,9 @@ def _count(order: int, piece: int = 1 << 21):
         counts.append(np.fromiter((trained[w] for w in names), np.int64, len(names)))
         split_at = 1 + len(names)
         if found:
-            u, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            keys.append(u)
-            counts.append(np.bincount(inverse, np.concatenate([n for _, n in found]), len(u)).astype(np.int64))
+            merge()
+            keys.append(found[0][0])
+            counts.append(found[0][1])
         key, n = np.concatenate(keys), np.concatenate(counts)
         kind = np.full(len(key), GRAM_KIND, np.int8)
         kind[:split_at] = WORD_KIND
@@ -137,9 +150,9 @@ def trie_log10(key: np.ndarray, n: np.ndarray, order: int, pairs: np.ndarray) ->
             met = t > 0
         t_open, q_open = t - out_total, q - out_distinct
         hit = open_ & met & (c > 0)
-        logp[hit] += np.log10(c[hit] / (t_open[hit] + q_open[hit]))
+        logp[hit] += np.log10((c[hit] - 0.5) / t_open[hit])
         escape = open_ & met & (c <= 0) & (q_open > 0)
-        logp[escape] += np.log10(q_open[escape] / (t_open[escape] + q_open[escape]))
+        logp[escape] += np.log10(q_open[escape] / (2 * t_open[escape]))
         open_ &= ~hit
         if k > 0:  # what the next shorter context loses to the symbols seen here
             if k > 1:
@@ -170,7 +183,7 @@ class Lookup:
     """Values by key in open addressing, for arrays of keys that are all in it."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        bits = max(4, int(4 * len(key)).bit_length())
+        bits = max(4, int(2 * len(key)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
         at = self._slot(key)
@@ -208,7 +221,7 @@ def _score(order: int, tokens: int, distinct: int):
         end = word_values[np.searchsorted(word_keys, END_KEY)]
         cache: dict[bytes, float] = {}
         rows = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for text in docs.column("text").cast(pa.binary()).to_pylist():
+        for text in _texts(docs):
             words = (text or b"").lower().split()
             new = list({w for w in words if w not in cache})
             cache.update(zip(new, word_values[np.searchsorted(word_keys, np.fromiter(map(word_key, new), np.int64, len(new)))].tolist()))
@@ -223,7 +236,7 @@ def _score(order: int, tokens: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, held_out, order: int = 4, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
     """held_out: a condition on docs; the other rows train. Returns the columns of OUT: scores are log10 probabilities, base_score that of
     the tokens by counts plus one."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64("doc_id", "text").alias("hash"))
@@ -231,7 +244,7 @@ def score(docs: DataFrame, held_out, order: int = 4, block_bytes: int = 24 << 20
     blocks = max(1, math.ceil(total / block_bytes))
     blocked = sized.withColumn("block", F.pmod("hash", F.lit(blocks)).cast("int")).drop("hash")
     counts = written(blocked.groupBy("block").applyInArrow(_count(order), "block int, kind byte, key long, n long"), "ppm", compression="zstd")
-    summed = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    summed = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-sums", compression="zstd")
     words = summed.filter(F.col("kind") == WORD_KIND)
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     trie = summed.filter(F.col("kind") == GRAM_KIND)
