@@ -76,7 +76,7 @@ def select(feature: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: i
     return feature[by][strong[by]][:kept]
 
 
-def train(rows: list[tuple[list[int], list[int] | None, int]], features: np.ndarray, rounds: int = 800, rate: float = 1.0, decay: float = 1e-5, fairness: float = 1.0) -> ToxicityModel:
+def train(rows: list[tuple[list[int], list[int] | None, int]], features: np.ndarray, rounds: int = 800, rate: float = 0.3, decay: float = 1e-5, fairness: float = 1.0) -> ToxicityModel:
     """rows: (features, features after the swap or None, label). Adagrad over all of them."""
     place = {int(f): k for k, f in enumerate(features)}
     d = len(place)
@@ -101,7 +101,7 @@ def train(rows: list[tuple[list[int], list[int] | None, int]], features: np.ndar
         g = np.bincount(col, e[row], minlength=d) / n + decay * w
         gb = e.sum() / n
         if pairs:
-            za, zb = np.bincount(acol, w[acol], minlength=len(pairs)) + bias, np.bincount(bcol, w[bcol], minlength=len(pairs)) + bias
+            za, zb = np.bincount(arow, w[acol], minlength=len(pairs)) + bias, np.bincount(brow, w[bcol], minlength=len(pairs)) + bias
             sa, sb = 1 / (1 + np.exp(-np.clip(za, -30, 30))), 1 / (1 + np.exp(-np.clip(zb, -30, 30)))
             gap = 2 * fairness * (sa - sb) / m
             g += np.bincount(acol, (gap * sa * (1 - sa))[arow], minlength=d) - np.bincount(bcol, (gap * sb * (1 - sb))[brow], minlength=d)
