@@ -40,8 +40,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
     before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
     held = held.withColumn("total", F.sum("source_size").over(everything))
     held = held.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    held = held.withColumn("free", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything))
-    level = F.col("free").getField("level")
+    held = held.withColumn("free", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), (-F.col("level")).alias("less")))).over(everything))
+    level = -F.col("free").getField("less")
     return held.select("source", "source_size", "n_rows", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap")).alias("target"))
 
 
@@ -127,7 +127,7 @@ def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: floa
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)
-    return out.select("id", "source", "key", "n", "size", "source_size", "target", (F.col("base") + F.when(F.col("size") > 0, F.round("p")).otherwise(0)).cast("int").alias("copies"))
+    return out.select("id", "source", "key", "n", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base") + F.round("p")).otherwise(0).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 20) -> DataFrame:
