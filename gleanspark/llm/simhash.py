@@ -210,14 +210,19 @@ def _pigeonhole(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "key long, node binary")
 
 
-def _classes(prints: DataFrame, radius: int) -> DataFrame:
-    """node, root (its component), component (the smallest id there, null if all are null)."""
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """node, first (its smallest id), root (the node that names its component)."""
     nodes = prints.groupBy("node").agg(F.min("id").alias("first"))
     keyed = prints.select(F.explode("keys").alias("key"), "node").distinct() if radius > 2 else _pigeonhole(nodes.select("node"))
     roots = components(links(keyed, radius)).withColumnRenamed("node", "child")
-    rooted = nodes.join(roots, F.col("node") == F.col("child"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    return nodes.join(roots, F.col("node") == F.col("child"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+
+
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """node, component (the smallest id of it, null if all are null)."""
+    rooted = _rooted(prints, radius)
     named = rooted.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "name")
-    return rooted.join(named, F.col("root") == F.col("name")).select("node", "root", "component")
+    return rooted.join(named, F.col("root") == F.col("name")).select("node", "component")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -231,7 +236,7 @@ def one_of_each(docs: DataFrame, width: int = 5, words: int = 2, radius: int = 2
     """The rows of docs, one of each group of near copies: that with the smallest id. Fingerprints of 64 bits times `words` over
     `width`-word shingles; 26 of 128 bits is where a Jaccard similarity of 0.8 lies but for its spread (expected: 19)."""
     prints = fingerprints(docs, width, words, bands)
-    named = _classes(prints, radius).withColumnRenamed("node", "class")
+    named = _rooted(prints, radius).select(F.col("node").alias("class"), "root")
     grouped = prints.join(named, F.col("node") == F.col("class")).groupBy("root").agg(F.min(F.struct("id", "k1", "k2")).alias("kept"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "k1", "k2"))).alias("best"))
     chosen = grouped.select(F.coalesce("best", "kept").alias("kept")).select(F.col("kept.k1").alias("__k1"), F.col("kept.k2").alias("__k2"))
     same = (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2"))
