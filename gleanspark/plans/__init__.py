@@ -1 +1 @@
-"""plans."""
+"""Plans: the registered queries."""

@@ -1 +1 @@
-"""sources."""
+"""Sources and sinks."""
