@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokens
 
@@ -23,25 +30,71 @@ def postings(chunks: DataFrame, token: Column | None = None) -> DataFrame:
     return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, scope: DataFrame | None = None) -> DataFrame:
-    """Okapi BM25 over postings; queries(query_id, text). Terms in over half of the chunks get a quarter of the mean idf. Only
-    positive scores. scope(query_id, chunk_id): what a query may find; it is applied before ranking."""
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, block: int = 256) -> DataFrame:
+    """Okapi BM25; queries(query_id, text). Terms in over half of the chunks get a quarter of the mean idf. Only positive scores.
+    scope(query_id, chunk_id): what a query may find, applied before ranking; such queries are scored over postings. Without it queries go
+    in blocks of at most `block`, each scored against all chunks where these are read, and only each batch's best are shuffled."""
     index = postings(chunks)
     sizes = chunks.select(F.size(tokens(F.col("text"))).alias("dl"))
     total = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
+    df = chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    if scope is None:
+        return _bm25_blocks(chunks, asked, raw, k, block)
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    met = asked.join(idf, "term").join(index, "term")
-    if scope is not None:
-        met = met.join(scope, ["query_id", "chunk_id"], "left_semi")
+    met = asked.join(idf, "term").join(index, "term").join(scope, ["query_id", "chunk_id"], "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return top_k(scored, k)
 
 
+def _bm25_blocks(chunks: DataFrame, asked: DataFrame, raw: DataFrame, k: int, block: int) -> DataFrame:
+    ids = asked.select("query_id").distinct()
+    blocks = max(1, -(-ids.count() // block))
+    id_type = asked.schema["query_id"].dataType
+    by_term = raw.persist()  # vocabulary counts: read for the mean and by each block
+    mean = by_term.agg(F.avg("raw"), F.first("avgdl")).first()
+    out = None
+    for n in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).join(by_term.select("term", "raw"), "term").collect()
+        names = sorted({r["query_id"] for r in rows})
+        place = {q: i for i, q in enumerate(names)}
+        terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+        weights = np.zeros((len(terms), max(len(names), 1)))
+        for r in rows:
+            weights[terms[r["term"]], place[r["query_id"]]] = r["qtf"] * (EPSILON * mean[0] if r["raw"] < 0 else r["raw"]) * (K1 + 1)
+        best = chunks.select("chunk_id", "text").mapInPandas(_scorer(names, terms, weights, mean[1] or 1.0, k), StructType([StructField("query_id", id_type), chunks.schema["chunk_id"], StructField("score", DoubleType())]))
+        out = best if out is None else out.unionByName(best)
+    return top_k(out.withColumn("score", F.round("score", 6)).filter("score > 0"), k)
+
+
+def _scorer(names: list, terms: dict[str, int], weights: np.ndarray, avgdl: float, k: int, rows: int = 512):
+    word = re.compile(r"[^ \t\n\x0b\f\r]{2,}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows]
+                matrix = np.zeros((len(part), len(terms)))
+                for i, text in enumerate(part["text"]):
+                    words = word.findall(text or "")
+                    norm = K1 * (1 - B + B * len(words) / avgdl)
+                    for t, tf in Counter(words).items():
+                        if (j := terms.get(t)) is not None:
+                            matrix[i, j] = tf / (tf + norm)
+                scores = matrix @ weights
+                # Each query's k best of these rows, and what rounding may make equal to them.
+                least = np.partition(scores, -k, axis=0)[-k] if len(part) > k else np.zeros(scores.shape[1])
+                i, q = np.nonzero((scores >= least - 1e-6) & (scores > 0))
+                ids = part["chunk_id"].to_numpy()
+                if len(i):
+                    yield pd.DataFrame({"query_id": [names[x] for x in q], "chunk_id": ids[i], "score": scores[i, q]})
+
+    return run
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact nearest by squared L2 distance; vectors(chunk_id, v), queries(query_id, q): a stated set of queries, met with every vector."""
     gap = F.aggregate(F.zip_with(F.col("v").cast("array<double>"), F.col("q").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import retrieval as R
+from ..sources.tables import spread
 from ..streaming import events as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.windows(table(spark, sf_dir, "documents"), 2500)
+    return D.windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 2500)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

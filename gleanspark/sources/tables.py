@@ -28,6 +28,12 @@ def read_metadata(spark: SparkSession, path: str, encoding: str = "utf-8") -> Da
     return df.withColumn("doc_id", make_doc_id(F.col("notice_no"), seq, F.col("file_name")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where its files have fewer splits; large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def upgraded(old: DataFrame, new_columns: list[str]) -> DataFrame:
     """Old rows under a header that has grown at its end."""
     return old.select(*old.columns, *[F.lit("").alias(c) for c in new_columns if c not in old.columns])
