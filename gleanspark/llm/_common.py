@@ -48,6 +48,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Smaller batches between executors and their Python workers for this session: whole texts are long, and both ends hold a batch."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Cells as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -67,6 +75,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text") -> DataFrame:
     """Maps slices of bounded size to columns {name: values}; schema gives Spark's types."""
+    bounded(df.sparkSession)
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, chunks, mix64, shingles, text_bytes
+from ._common import arrow_schema, bounded, chunks, mix64, shingles, text_bytes
 
 WIDTH, THRESHOLD = 5, 0.8
 OUT = "doc_id long, item_id long, n_item long, n_shared long, containment double"
@@ -103,6 +103,7 @@ def build(items: list[tuple[int | None, bytes]], width: int = WIDTH, threshold:
 
 def indexes(bench: DataFrame, width: int, threshold: float, block_bytes: int):
     """An index for each block of items; a block is what the driver and a task hold at once."""
+    bounded(bench.sparkSession)
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, chunks, text_bytes
+from ._common import arrow_schema, bounded, chunks, text_bytes
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "shouting", "capitals", "separators", "vocabulary", "lines", "top word", "word pairs", "letters", "stutter")
@@ -186,6 +186,7 @@ class QualityModel:
 
 def fit(docs: DataFrame, sample: int = 20_000) -> QualityModel:
     """Votes of all rows make the label model; the scorer sees at most `sample` rows, taken by hash."""
+    bounded(docs.sparkSession)
     texts = docs.select("text")
 
     def count(batches):
