@@ -131,7 +131,9 @@ def bit_sliced(bits: np.ndarray, ends: np.ndarray, radius: int, tiles: int = 512
                             break
             if len(a):
                 tile, query, item = np.nonzero(np.unpackbits(np.ascontiguousarray(~over).view(np.uint8).reshape(len(a), 64, 8), axis=2, bitorder="little"))
-                labels = union(n, a[tile] * 64 + query, (a[tile] + distance) * 64 + item, labels)
+                i, j = a[tile] * 64 + query, (a[tile] + distance) * 64 + item
+                own = j < ends[i]  # neighbours of another block would be links too, but found by chance
+                labels = union(n, i[own], j[own], labels)
     return labels
 
 
