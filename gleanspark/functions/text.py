@@ -123,7 +123,7 @@ def preview(text: Column, query: Column, width: int = 220) -> Column:
 
 def no_info(answer: Column) -> Column:
     """Whether an answer says that the documents do not tell. The phrasings are fixed values."""
-    return answer.rlike("찾을 수 없|확인할 수 없|나와 있지 않|명시되어 있지 않")
+    return answer.rlike(r"확인되지\s*않|찾을\s*수\s*없|명시되어\s*있지\s*않|정보가\s*없")
 
 
 def cite_marks(text: Column) -> Column:
@@ -133,3 +133,70 @@ def cite_marks(text: Column) -> Column:
 def numbers(text: Column) -> Column:
     """Distinct numbers of two characters or more, commas removed."""
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\d[\d,]*"), 0), lambda x: F.regexp_replace(x, ",", "")), lambda x: F.length(x) > 1))
+
+
+def cite_rate(answer: Column) -> Column:
+    """Share of lines of over 15 characters that carry a citation; 0 without such lines."""
+    long = F.filter(F.split(answer, "\n", -1), lambda x: F.length(F.trim(x)) > 15)
+    return F.when(F.size(long) > 0, F.size(F.filter(long, lambda x: x.rlike(r"\[\d+\]"))) / F.size(long)).otherwise(0.0)
+
+
+def number_match(answer: Column, keywords: Column) -> Column:
+    """Share of the keywords' numbers that the answer has, commas aside; without numbers whether any keyword is in it."""
+    found = lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"[\d,]+"), 0), lambda n: F.regexp_replace(n, ",", ""))
+    gold = F.array_distinct(found(F.array_join(keywords, "\n")))
+    return F.when(F.size(gold) > 0, F.size(F.array_intersect(gold, found(answer))) / F.size(gold)).otherwise(contains_any(answer, keywords).cast("double"))
+
+
+#: Units of amounts in won. Fixed values.
+UNITS = {"원": 1, "천원": 1_000, "백만원": 1_000_000, "억원": 100_000_000}
+AMOUNT = r"(\d[\d,]{2,})\s*(원|천원|백만원|억원)"
+
+
+def amounts(text: Column) -> Column:
+    """Distinct amounts of the text in won, ascending."""
+    scale = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    number, unit = F.regexp_extract_all(text, F.lit(AMOUNT), 1), F.regexp_extract_all(text, F.lit(AMOUNT), 2)
+    return F.array_sort(F.array_distinct(F.zip_with(number, unit, lambda n, u: F.regexp_replace(n, ",", "").cast("long") * F.element_at(scale, u))))
+
+
+def amount_verdict(text: Column, stated: Column) -> Column:
+    """How a text's amounts meet the stated one: no stated, bad stated, none, match or mismatch."""
+    value, found = F.floor(stated.try_cast("double")), amounts(text)
+    return F.when(stated.isNull() | (F.trim(stated) == ""), "no stated").when(value.isNull(), "bad stated").when(F.size(found) == 0, "none").when(F.array_contains(found, value), "match").otherwise("mismatch")
+
+
+#: Words that make a question one of requirements or of scoring. Fixed values.
+ABOUT_REQUIREMENTS = r"[A-Z]{2,4}-\d{2,4}|요구사항|기능|규격|명칭|기능명|SFR|과업|내역|항목"
+ABOUT_SCORES = r"배점|점수|정성|정량|평가|몇\s*점|비율|가산점|가점|한도|기준|%"
+
+
+def question_type(question: Column, answer: Column) -> Column:
+    return F.when(question.rlike(ABOUT_REQUIREMENTS), "요구사항").when(question.rlike(ABOUT_SCORES) | F.concat_ws(" ", question, answer).rlike(r"\d+점|\d+%"), "배점").otherwise("의역")
+
+
+def file_key(name: Column) -> Column:
+    """A file's name without its extension hwp, hwpx or pdf, whatever the case, and without white space around it."""
+    return F.trim(F.regexp_replace(F.trim(name), r"(?i)\.(hwpx?|pdf)$", ""))
+
+
+#: Levels of headings, the first that fits. Fixed values.
+HEADINGS = (
+    (1, r"^\s*([ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+)\s*[.．]\s*(.{1,40})$"),
+    (1, r"^\s*(제\s*\d+\s*[장절])\s*[.．]?\s*(.{0,40})$"),
+    (2, r"^\s*(\d{1,2})\s*[.．]\s*(.{1,40})$"),
+    (3, r"^\s*([□■◇◆])\s*(.{1,50})$"),
+)
+
+
+def heading_level(line: Column, patterns=HEADINGS) -> Column:
+    """Level of a heading line, null for others."""
+    return F.coalesce(*[F.when(F.trim(line).rlike(p), level) for level, p in patterns])
+
+
+def header_counts(text: Column, classes: dict[str, str]) -> Column:
+    """Map of class to the number of lines whose first fitting class it is."""
+    kind = lambda x: F.coalesce(*[F.when(x.rlike(p), name) for name, p in classes.items()], F.lit(""))
+    kinds = F.transform(F.split(text, "\n", -1), kind)
+    count = lambda name: F.size(F.filter(kinds, lambda x: x == F.lit(name)))
+    return F.map_from_arrays(F.array(*map(F.lit, classes)), F.array(*map(count, classes)))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import models
 from gleanspark.functions import text as X
-from gleanspark.operators import chunking, documents, retrieval
-from gleanspark.plans import catalog
-from gleanspark.sources import files, tables
+from gleanspark.operators import chunking, documents, markup, mining, retrieval
+from gleanspark.plans import catalog, evaluation  # noqa: F401
+from gleanspark.sources import files, listings, tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,7 +35,7 @@ def rows(df: pd.DataFrame) -> list[str]:
     return sorted(map(repr, df.itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.SQL))
 def test_query_against_sql(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(catalog.SQL[name]).df())
 
@@ -162,3 +162,58 @@ def test_models(spark):
     df = spark.createDataFrame([("Abc def",), (None,)], "t string")
     got = df.select(models.embed(F.col("t")).alias("v"), models.ask(F.concat(F.lit("질문:\n"), "t")).alias("a")).collect()
     assert abs(sum(x * x for x in got[0].v) - 1) < 1e-5 and sum(got[1].v) == 0 and got[0].a == "Abc def"
+
+
+def test_listing_items(spark):
+    row = {"bidNtceNo": "20241001798", "bidNtceOrd": "000", "bidNtceNm": "포털 구축", "presmptPrce": "5000", "ntceInsttNm": "조달청", "rgstDt": "2024", "file_name": "a.HWP", "ntceSpecFileNm1": "공고문.hwp", "ntceSpecDocUrl1": "u 1", "ntceSpecFileNm3": "과업내용서.pdf", "ntceSpecDocUrl3": "u3"}
+    names = ["bidNtceNo", "bidNtceOrd", "bidNtceNm", "asignBdgtAmt", "presmptPrce", "dminsttNm", "ntceInsttNm", "bidNtceDt", "rgstDt", "bidBeginDt", "bidClseDt", "ntceKindNm", "befBidBbancNo", "sucsfbidMthdNm", "cntrctCnclsMthdNm", "file_name"] + [f"ntceSpec{k}{n}" for n in range(1, 11) for k in ("FileNm", "DocUrl")]
+    items = spark.createDataFrame([tuple(row.get(n) for n in names), tuple([None] * len(names))], ", ".join(f"{n} string" for n in names))
+    got = listings.metadata_rows(items).collect()[0]
+    assert (got.doc_id, got.budget, got.budget_kind, got.agency, got.published_at, got.file_type) == ("20241001798-0", "5000", "추정가격", "조달청", "2024", "hwp")
+    picked = items.select(listings.attachment().alias("a"), listings.wanted().alias("w"), listings.superseded().alias("s")).collect()
+    assert (picked[0].a.url, picked[0].w, picked[0].s, picked[1].a, picked[1].w) == ("u3", True, None, None, False)
+    known = spark.createDataFrame([], "doc_id string")
+    assert [r.doc_id for r in listings.arrivals(items, known).collect()] == ["20241001798-0"]
+
+
+def test_paged_scan(spark):
+    fetch = lambda page: {"n": page} if page == 3 else [{"n": page}, {"n": -page}]
+    assert sorted((r.page, r.item) for r in listings.paged(spark, fetch, 5, 2).collect()) == [(1, '{"n": -1}'), (1, '{"n": 1}'), (2, '{"n": -2}'), (2, '{"n": 2}'), (3, '{"n": 3}')]
+
+
+def test_table_markup():
+    table = "앞\n| 구분 | 기간 |\n|---|---|\n| 가 | 3<br>월 |\n|  | 4\\|5 |\n뒤<br>끝\n[행 1] 시각: 15:00 [행 2] 이름: 값"
+    assert markup.without_table_markup(table) == "앞\n구분 가 기간 3 월\n기간 4|5\n뒤\n끝\n시각 15:00 이름 값"
+    assert markup.without_table_markup("") == "" and markup.without_table_markup("| 하나 | 둘 |") == "하나 둘"
+
+
+def test_contents_table():
+    entries = [f"{i}. 항목 {i}" for i in range(1, 10)]
+    text = "\n".join(["목 차", *entries, "1. 항목 1", "본문입니다."])
+    assert markup.without_toc(text) == "1. 항목 1\n본문입니다."
+    assert markup.without_toc("\n".join(entries[:5])) == "\n".join(entries[:5]) and markup.without_toc("") == ""
+
+
+def test_labelled_values():
+    got = markup.labelled_values("○ 사업기간\n\n□ 계약방법: 협상에\n의한 계약\n4. 다음\n※ 끝 사업기간 : 12개월")
+    assert got["사업기간"] == "12개월" and got["계약방식"] == "협상에 의한 계약" and got["보안특약"] is None
+
+
+def test_semantic_split_and_diversity(spark):
+    assert markup.split_by_meaning("", models.hashed_trigrams) == []
+    axis = {"a": [1.0, 0.0], "b": [0.0, 1.0]}
+    assert markup.split_by_meaning("a. a. b. b.", lambda s: [axis[x[0]] for x in s]) == ["a. a.", "b. b."]
+    rows = [(1, 1, [1.0, 0.0], [1.0, 0.2]), (1, 2, [1.0, 0.001], [1.0, 0.2]), (1, 3, [0.3, 1.0], [1.0, 0.2])]
+    got = markup.diverse(spark.createDataFrame(rows, "query_id int, chunk_id int, v array<double>, q array<double>"), 2)
+    assert [r.chunk_id for r in got.orderBy("rank").collect()] == [2, 3]
+
+
+def test_resolution_reasons(spark):
+    names = spark.createDataFrame([("사업 계획서 최종.hwp",), ("사업 계획",), ("사업 제안",), ("없는 이름",)], "name string")
+    known = spark.createDataFrame([("사업 계획서 최종", 1), ("사업 제안 가", 2), ("사업 제안 나", 3)], "key string, doc_id long")
+    assert {r.name: (r.doc_id, r.reason) for r in mining.resolved(names, known).collect()} == {"사업 계획서 최종.hwp": (1, "exact"), "사업 계획": (1, "prefix"), "사업 제안": (None, "ambiguous"), "없는 이름": (None, "none")}
+
+
+def test_refusals_and_types(spark):
+    assert one(spark, X.no_info(F.col("v")).cast("string"), v="정보가 없습니다") == "true"
+    assert [one(spark, X.question_type(F.col("v"), F.lit("3점")), v=v) for v in ("SFR-001 은?", "언제?")] == ["요구사항", "배점"]
