@@ -64,7 +64,7 @@ hd AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTI
 
 @register(f"WITH {C} SELECT chunk_id, doc_id, \"order\", text FROM c")
 def c07_chunk_documents(spark, sf_dir):
-    return chunks(spark, sf_dir)
+    return chunks(spark, sf_dir).withColumn("order", F.col("order").cast("long"))
 
 
 @register(f"WITH {C} SELECT chunk_id, text FROM c WHERE \"order\" < 2")
