@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import chunking, markup, mining
 from ..operators import retrieval as R
 from ..sources import listings
+from ..sources.tables import spread
 from .catalog import BM25, C, chunks, questions, register, table
 
 SYNONYMS = {"ort": ["the", "model"], "data": ["data", "table"], "zeit": ["time", "year"]}
@@ -216,7 +217,7 @@ def c05_c07_table_chunks(spark, sf_dir):
 
 @register()
 def c03_semantic_chunks(spark, sf_dir):
-    return chunking.chunked(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda t: markup.split_by_meaning(t, models.hashed_trigrams))
+    return chunking.chunked(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), lambda t: markup.split_by_meaning(t, models.hashed_trigrams))
 
 
 @register()
@@ -226,4 +227,4 @@ def t09_t11_clean_documents(spark, sf_dir):
 
 @register()
 def t17_labelled_values(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", markup.mapped(F.col("text"), markup.labelled_values, "map<string,string>").alias("fields"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", markup.mapped(F.col("text"), markup.labelled_values, "map<string,string>").alias("fields"))
