@@ -7,7 +7,10 @@ a word; planes that differ are added by carry-save counters that overflow when a
 have overflowed are abandoned. A block of more than BLOCK nodes is dealt as pairs of parts to many tasks. What leaves a
 block is a spanning forest of its links; components join them.
 
-Null and blank texts have fingerprint zero and are linked like any other. Null ids take part but name no component.
+`one_of_each` (the pipeline's) differs: its nodes are the sets of distinct shingles, its fingerprints are made from them, and the blocks
+only find candidates, whose sets are then brought to the blocks and compared; only links of enough exact Jaccard similarity leave a block.
+
+Null and blank texts have fingerprint zero, or the empty set, and are linked like any other. Null ids take part but name no component.
 Repeated rows are copies. Extra columns are ignored by `near_duplicates` and kept by `one_of_each`. No rows give no rows.
 """
 
@@ -25,6 +28,8 @@ from ._common import arrow_schema, map_batches, mix64, shingles, text_bytes, wri
 from .components import components
 
 BLOCK = 16_384
+BLOCK_BYTES = 64 << 20
+NAME = 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -87,9 +92,10 @@ def union(n: int, i: np.ndarray, j: np.ndarray, labels: np.ndarray | None = None
             labels = up
 
 
-def bit_sliced(bits: np.ndarray, ends: np.ndarray, radius: int, tiles: int = 512) -> np.ndarray:
+def bit_sliced(bits: np.ndarray, ends: np.ndarray, radius: int, tiles: int = 512, confirm=None) -> np.ndarray:
     """Labels of components of rows of `bits` (n, planes) that differ in at most `radius` places; only pairs up to ends[i], the end
-    of i's block, need be compared. Words of 64 items against 64 queries, at growing distance between the words."""
+    of i's block, need be compared. Words of 64 items against 64 queries, at growing distance between the words.
+    confirm(i, j, labels): those of the pairs that are links."""
     n, n_planes = bits.shape
     width = -(-n // 64)
     full = np.zeros((width * 64, n_planes), np.uint8)
@@ -133,22 +139,73 @@ def bit_sliced(bits: np.ndarray, ends: np.ndarray, radius: int, tiles: int = 512
                 tile, query, item = np.nonzero(np.unpackbits(np.ascontiguousarray(~over).view(np.uint8).reshape(len(a), 64, 8), axis=2, bitorder="little"))
                 i, j = a[tile] * 64 + query, (a[tile] + distance) * 64 + item
                 own = j < ends[i]  # neighbours of another block would be links too, but found by chance
-                labels = union(n, i[own], j[own], labels)
+                i, j = i[own], j[own]
+                if confirm:
+                    i, j = confirm(i, j, labels)
+                labels = union(n, i, j, labels)
     return labels
 
 
-def _compare(radius: int, most: int = 1 << 15):
-    def solve(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have at least that Jaccard similarity; empty sets are equal."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(a):
+        return not len(b)
+    if len(a) < threshold * len(b) - 1e-9:
+        return False
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return shared >= threshold * (len(a) + len(b) - shared) - 1e-9
+
+
+def _confirm(sets: list[np.ndarray], threshold: float):
+    """For bit_sliced: links by exact similarity. Pairs that links have joined already are not compared."""
+
+    def confirm(i: np.ndarray, j: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = labels[i], labels[j]
+        on = a != b
+        up, kept = {}, []
+
+        def find(x: int) -> int:
+            root = x
+            while root in up:
+                root = up[root]
+            while x != root:
+                up[x], x = root, up[x]
+            return root
+
+        for x, y, p, q in zip(a[on].tolist(), b[on].tolist(), i[on].tolist(), j[on].tolist()):
+            x, y = find(x), find(y)
+            if x != y and similar(sets[p], sets[q], threshold):
+                up[max(x, y)] = min(x, y)
+                kept.append((p, q))
+        found = np.array(kept, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    return confirm
+
+
+def _compare(radius: int, threshold: float | None = None, candidates: bool = False, most: int = 1 << 15, most_bytes: int = 128 << 20):
+    """Blocks to spanning forests of their links. With `threshold`, node (a name of NAME bytes, then the fingerprint) comes with its set
+    and links are confirmed by exact similarity; with `candidates`, what leaves a block is its rows that have a link."""
+
+    def solve(key: np.ndarray, node: np.ndarray, place: list, sets: list) -> pa.RecordBatch:
         """key: numbers of blocks in order; node: (n, bytes)."""
         size = np.bincount(key - key[0])
         size = size[size > 0]
         ends = np.repeat(np.cumsum(size), size)
-        labels = bit_sliced(np.unpackbits(node, axis=1), ends, radius)
+        named = candidates or threshold is not None
+        confirm = _confirm([np.frombuffer(x, np.uint64) for x in sets], threshold) if threshold is not None else None
+        labels = bit_sliced(np.unpackbits(node[:, NAME if named else 0 :], axis=1), ends, radius, confirm=confirm)
         child = np.nonzero(labels != np.arange(len(labels)))[0]
-        return pa.RecordBatch.from_pydict({"a": pa.array([node[i].tobytes() for i in child], pa.binary()), "b": pa.array([node[i].tobytes() for i in labels[child]], pa.binary())})
+        if candidates:
+            rows = np.union1d(child, labels[child])
+            where = [pa.array(np.concatenate([x[k] for x in place])[rows]) for k in range(3)]
+            return pa.RecordBatch.from_arrays([*where, pa.array([node[i, :NAME].tobytes() for i in rows], pa.binary())], names=["key", "low", "high", "name"])
+        name = (lambda i: node[i, :NAME].tobytes()) if named else lambda i: node[i].tobytes()
+        return pa.RecordBatch.from_pydict({"a": pa.array([name(i) for i in child], pa.binary()), "b": pa.array([name(i) for i in labels[child]], pa.binary())})
 
     def run(batches):
-        keys, nodes, held, number, previous = [], [], 0, 0, None
+        keys, nodes, places, sets, held, number, size, previous = [], [], [], [], 0, 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -162,27 +219,44 @@ def _compare(radius: int, most: int = 1 << 15):
             number = int(ids[-1])
             keys.append(ids)
             nodes.append(np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            places.append(cols if candidates else None)
+            if threshold is not None:
+                sets += batch.column("set").to_pylist()
+                size += batch.column("set").nbytes
             held += batch.num_rows
-            if held >= most:
+            if held >= most or size >= most_bytes:
                 key, node = np.concatenate(keys), np.concatenate(nodes)
                 cut = int(np.searchsorted(key, key[-1]))
+                place = [[np.concatenate([x[k] for x in places]) for k in range(3)]] if candidates else []
                 if cut:
-                    yield solve(key[:cut], node[:cut])
-                keys, nodes, held = [key[cut:]], [node[cut:]], len(key) - cut
+                    yield solve(key[:cut], node[:cut], [[x[:cut] for x in p] for p in place], sets[:cut])
+                keys, nodes, places, sets, held = [key[cut:]], [node[cut:]], [[x[cut:] for x in p] for p in place], sets[cut:], len(key) - cut
+                size = sum(map(len, sets))
         if held:
-            yield solve(np.concatenate(keys), np.concatenate(nodes))
+            yield solve(np.concatenate(keys), np.concatenate(nodes), places, sets)
 
     return run
 
 
-def links(keyed: DataFrame, radius: int) -> DataFrame:
-    """keyed(key, node), distinct, to a spanning forest (a, b) of the links within each block."""
-    hot = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("parts > 1").withColumnRenamed("key", "hot")
+def _dealt(keyed: DataFrame, weight=None) -> DataFrame:
+    """keyed(key, node and others) in blocks (key, low, high). A block of more than BLOCK nodes, or of more than BLOCK_BYTES of `weight`, is dealt as pairs of parts."""
+    parts = F.ceil(F.count("*") / BLOCK)
+    if weight is not None:
+        parts = F.greatest(parts, F.ceil(F.sum(weight) / BLOCK_BYTES))
+    hot = keyed.groupBy("key").agg(parts.cast("int").alias("parts")).filter("parts > 1").withColumnRenamed("key", "hot")
     parted = keyed.join(hot, F.col("key") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = parted.select("key", "node", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node")
-    return dealt.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high", "node").mapInArrow(_compare(radius), "a binary, b binary")
+    dealt = parted.select(*keyed.columns, part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *[c for c in keyed.columns if c != "key"])
+
+
+def links(keyed: DataFrame, radius: int) -> DataFrame:
+    """keyed(key, node), distinct, to a spanning forest (a, b) of the links within each block."""
+    return _blocks(_dealt(keyed.select("key", "node"))).mapInArrow(_compare(radius), "a binary, b binary")
+
+
+def _blocks(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high", "node")
 
 
 def fingerprints(docs: DataFrame, width: int, words: int = 1, bands: int = 0) -> DataFrame:
@@ -234,13 +308,67 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(named, F.col("node") == F.col("class")).select(F.col("id").alias("doc_id"), F.lower(F.hex("node")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 96, bands: int = 8) -> DataFrame:
-    """The rows of docs, one of each group of near copies: that with the smallest id. Fingerprints of 64 bits times `words` over
-    `width`-word shingles. At a Jaccard similarity of 0.8, 78 of 512 bits differ with a spread of 8, so 96 finds 0.99 of such pairs;
-    at 0.6, 118 differ with a spread of 9.5, so it takes 0.01 of those."""
-    prints = fingerprints(docs, width, words, bands)
-    named = _rooted(prints, radius).select(F.col("node").alias("class"), "root")
-    grouped = prints.join(named, F.col("node") == F.col("class")).groupBy("root").agg(F.min(F.struct("id", "k1", "k2")).alias("kept"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "k1", "k2"))).alias("best"))
+def distinct_hashes(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_name(h: np.ndarray) -> bytes:
+    """Names a set of hashes, sorted and distinct: equal for equal sets alone (128 bits)."""
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def set_fingerprints(docs: DataFrame, width: int, words: int, bands: int) -> DataFrame:
+    """k1 and k2 (hashes of id and text), id, name (of the set of shingles), node (name and fingerprint of the set), n (its size), keys (of the bands)."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        names, nodes, sizes, keys = [], [], [], []
+        for x in text_bytes(part.column("text")):
+            h = distinct_hashes(x, width)
+            names.append(set_name(h))
+            nodes.append(names[-1] + _fingerprint(h, words))
+            sizes.append(len(h))
+            keys.append(minhash_keys(h, bands))
+        return {"id": part.column("id"), "k1": part.column("k1"), "k2": part.column("k2"), "name": names, "node": nodes, "n": sizes, "keys": keys}
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"), "text")
+    return written(map_batches(rows, run, "id long, k1 long, k2 long, name binary, node binary, n long, keys array<bigint>"), "set-fingerprints")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """name, set (sorted hashes as bytes) of one document for each name of wanted(name, k1, k2)."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        sets = [distinct_hashes(x, width) for x in text_bytes(part.column("text"))]
+        return {"name": [set_name(h) for h in sets], "set": [h.tobytes() for h in sets]}
+
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64("text", "doc_id").alias("__k2"), "text")
+    same = (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
+    one = rows.join(wanted.select("k1", "k2"), same, "left_semi").dropDuplicates(["__k1", "__k2"])
+    return written(map_batches(one.select("text"), run, "name binary, set binary"), "sets")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, width: int, radius: int, threshold: float) -> DataFrame:
+    """(a, b): names of sets of at least that Jaccard similarity, a spanning forest for each block. Bands and bit planes find the candidates."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    blocks = _blocks(_dealt(keyed, F.col("n") * 8).select("key", "low", "high", "node"))
+    near = written(blocks.mapInArrow(_compare(radius, candidates=True), "key long, low int, high int, name binary"), "candidates")
+    wanted = near.select("name").distinct().join(nodes, "name").select("name", "node", F.col("kept.k1").alias("k1"), F.col("kept.k2").alias("k2"))
+    sets = _sets(docs, wanted, width)
+    found = near.join(nodes.select("name", "node"), "name").join(sets, "name").select("key", "low", "high", "node", "set")
+    return _blocks(found).mapInArrow(_compare(radius, threshold), "a binary, b binary")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 96, bands: int = 8, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs, one of each group of near copies: that with the smallest id. Near copies are links of a Jaccard similarity of
+    `threshold` or more between the distinct `width`-word shingles, by their 64-bit hashes; equal sets are one node. Candidates share one of
+    `bands` pairs of minima and have fingerprints (64 bits times `words`, over the distinct shingles) within `radius` bits."""
+    prints = set_fingerprints(docs, width, words, bands)
+    row = F.struct("id", "k1", "k2")
+    least = [F.min(row).alias("kept"), F.min(F.when(F.col("id").isNotNull(), row)).alias("best")]
+    nodes = written(prints.groupBy("name").agg(*[F.first(c).alias(c) for c in ("node", "n", "keys")], *least), "nodes")
+    roots = components(similar_links(docs, nodes, width, radius, threshold)).withColumnRenamed("node", "child")
+    rooted = nodes.join(roots, F.col("name") == F.col("child"), "left").withColumn("root", F.coalesce("root", "name"))
+    grouped = rooted.groupBy("root").agg(F.min("kept").alias("kept"), F.min("best").alias("best"))
     chosen = grouped.select(F.coalesce("best", "kept").alias("kept")).select(F.col("kept.k1").alias("__k1"), F.col("kept.k2").alias("__k2"))
     same = (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2"))
     joined = docs.withColumns({"__d1": F.xxhash64("doc_id", "text"), "__d2": F.xxhash64("text", "doc_id")}).join(chosen, same)

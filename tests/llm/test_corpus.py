@@ -359,6 +359,45 @@ def test_near_copies_at_five_words(spark):
     assert set(range(40)) <= kept and len(kept & set(copies)) <= 1
 
 
+def plain_one_of_each(rows):
+    """Ids that stay: the smallest of each component of Jaccard 0.8 or more between sets of five-word shingles."""
+    ids = sorted(i for i, _, _ in rows)
+    sets = {i: set(decontamination.shingles(t.lower().encode().split(), 5)) for i, t, _ in rows}
+    pairs = [(a, b) for a in range(len(ids)) for b in range(a) if len(sets[ids[a]] & sets[ids[b]]) >= 0.8 * len(sets[ids[a]] | sets[ids[b]]) - 1e-9]
+    labels = simhash.union(len(ids), *np.array(pairs, np.int64).reshape(-1, 2).T)
+    return {ids[k] for k in labels}
+
+
+def test_near_copies_ignore_repeats(spark):
+    """Equal sets of shingles whatever repeats in them; different sets whatever they share often."""
+    r = np.random.default_rng(21)
+    words = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    rows = []
+    for k in range(20):
+        w, passage = words(180), words(20)
+        rows.append((k, " ".join(w + passage), "a"))
+        rows.append((100 + k, " ".join(w + passage * 10), "a"))
+    often, shared = words(14), words(90)
+    rows += [(200 + k, " ".join(words(60) + shared + often * 10), "a") for k in range(12)]
+    kept = {x.doc_id for x in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert kept == plain_one_of_each(rows) == set(range(20)) | set(range(200, 212))
+
+
+def test_near_copies_in_large_blocks(spark, monkeypatch):
+    """One large group of near copies, with blocks dealt in parts, against all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    r = np.random.default_rng(22)
+    w = [f"w{x}" for x in range(200)]
+    rows = []
+    for k in range(150):
+        v = list(w)
+        for at in r.integers(0, 200, r.integers(1, 8)):
+            v[at] = f"c{r.integers(0, 10**6)}"
+        rows.append((k, " ".join(v), "a"))
+    kept = {x.doc_id for x in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert 1 < len(plain_one_of_each(rows)) < 150 and kept == plain_one_of_each(rows)
+
+
 # op7
 
 
