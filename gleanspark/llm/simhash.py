@@ -358,7 +358,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, width: int, radius: int, th
     return _blocks(found).mapInArrow(_compare(radius, threshold), "a binary, b binary")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 96, bands: int = 8, threshold: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 144, bands: int = 12, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, one of each group of near copies: that with the smallest id. Near copies are links of a Jaccard similarity of
     `threshold` or more between the distinct `width`-word shingles, by their 64-bit hashes; equal sets are one node. Candidates share one of
     `bands` pairs of minima and have fingerprints (64 bits times `words`, over the distinct shingles) within `radius` bits."""

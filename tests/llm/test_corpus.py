@@ -398,6 +398,38 @@ def test_near_copies_in_large_blocks(spark, monkeypatch):
     assert 1 < len(plain_one_of_each(rows)) < 150 and kept == plain_one_of_each(rows)
 
 
+def test_near_copies_at_exactly_the_threshold(spark):
+    """Short and middling texts on both sides of 0.8, against all pairs."""
+    r = np.random.default_rng(23)
+    words = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    rows = []
+    for k in range(60):
+        eight, middle, cut = words(9), words(44), words(12)
+        changed = middle[:22] + ["changed"] + middle[23:]
+        pairs = [(eight[:8], eight), (eight[:8][::-1], eight[:8][::-1][:7] + ["last"]), (middle, changed), (cut, cut[:11] + ["last"]), (words(3), words(3))]
+        for n, (a, b) in enumerate(pairs):
+            rows += [(1000 * n + 2 * k, " ".join(a), "a"), (1000 * n + 2 * k + 1, " ".join(b), "a")]
+    kept = {x.doc_id for x in simhash.one_of_each(docs(spark, rows)).collect()}
+    want = plain_one_of_each(rows)
+    assert kept == want and sum(i < 1000 for i in want) == 60 and sum(i >= 1000 for i in want) == 480
+
+
+def test_the_radius_loses_nothing():
+    """Chance that a bit differs, for sets of `c` common, `x` and `y` own hashes at 0.8 or more: 512 bits stay within the default radius by five spreads."""
+    from inspect import signature
+    from math import comb, sqrt
+
+    least = lambda c, x, n: [sum(comb(x, e) for e in range(x + 1) if 2 * (k + e) > n) / 2**x for k in range(c + 1)]
+    radius = signature(simhash.one_of_each).parameters["radius"].default
+    bands = signature(simhash.one_of_each).parameters["bands"].default
+    for c in range(1, 80):
+        for x in range(c // 4 + 1):
+            for y in range(x, c // 4 + 1 - x):
+                p = sum(comb(c, k) / 2**c * (a * (1 - b) + b * (1 - a)) for k, (a, b) in enumerate(zip(least(c, x, c + x), least(c, y, c + y))))
+                assert 512 * p + 5 * sqrt(512 * p * (1 - p)) <= radius
+    assert (1 - 0.8**2) ** bands < 1e-5
+
+
 # op7
 
 
