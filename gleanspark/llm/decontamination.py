@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 An item's shingles are its distinct runs of five words, A to Z lower-cased; fewer words are one shingle of their own. A document
-contains an item if it has at least `threshold` of its shingles. Items are partitioned by size (powers of two); a partition keeps
+contains an item if it has at least `threshold` of its shingles. With `short`, an item of fewer than five words is held against the
+document's runs of as many words, so it is found inside longer documents; without, as in the SQL, only in documents that equal it. Items are partitioned by size (powers of two); a partition keeps
 for each item its smallest shingle hashes, as many as a containing document cannot all miss: for q shingles of which r must occur,
 q - r + 1. So a document that contains an item shares at least one of them (a band of one minimum each, with certainty instead of a chance),
 however long the document is. Candidates are verified by the shingles themselves.
@@ -47,7 +48,8 @@ def hashes(words: list[bytes], width: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """sizes: the least q of each partition; minima and owners: of each partition, sorted by hash; sets: of each item."""
+    """sizes: the least q of each partition; minima and owners: of each partition, sorted by hash; sets: of each item;
+    short: by number of words, the items that are held against runs of as many words."""
 
     width: int
     threshold: float
@@ -57,6 +59,7 @@ class Index:
     minima: list[np.ndarray]
     owners: list[np.ndarray]
     first: np.ndarray
+    short: dict[int, dict[bytes, list[int]]]
 
     def candidates(self, h: np.ndarray) -> set[int]:
         h = h[self.first[(h >> np.uint64(44)).astype(np.int64)]]
@@ -71,23 +74,27 @@ class Index:
         """(item, its shingles, how many the text has) of the items that it contains."""
         words = text.lower().split()
         found = self.candidates(hashes(words, self.width))
+        within = [(i, 1, 1) for n, runs in self.short.items() for run in runs.keys() & set(shingles(words, n)) for i in runs[run]]
         if not found:
-            return []
+            return sorted(within)
         own = set(shingles(words, self.width))
         got = [(i, len(self.sets[i]), len(self.sets[i] & own)) for i in sorted(found)]
-        return [x for x in got if x[2] >= needed(x[1], self.threshold)]
+        return sorted(within + [x for x in got if x[2] >= needed(x[1], self.threshold)])
 
 
-def build(items: list[tuple[int | None, bytes]], width: int = WIDTH, threshold: float = THRESHOLD) -> Index:
-    ids, sets, parts = [], [], {}
+def build(items: list[tuple[int | None, bytes]], width: int = WIDTH, threshold: float = THRESHOLD, short: bool = False) -> Index:
+    ids, sets, parts, runs = [], [], {}, {}
     for i, text in items:
         words = text.lower().split()
         own = shingles(words, width)
         if not own:
             continue
-        h = np.unique(hashes(words, width))
-        q = len(set(own))
-        parts.setdefault(q.bit_length(), []).append((len(ids), h[: q - needed(q, threshold) + 1]))
+        if short and len(words) < width:
+            runs.setdefault(len(words), {}).setdefault(own[0], []).append(len(ids))
+        else:
+            h = np.unique(hashes(words, width))
+            q = len(set(own))
+            parts.setdefault(q.bit_length(), []).append((len(ids), h[: q - needed(q, threshold) + 1]))
         ids.append(i)
         sets.append(frozenset(own))
     minima, owners, first = [], [], np.zeros(1 << 20, bool)
@@ -98,10 +105,10 @@ def build(items: list[tuple[int | None, bytes]], width: int = WIDTH, threshold:
         minima.append(h[by])
         owners.append(of[by])
         first[(h >> np.uint64(44)).astype(np.int64)] = True
-    return Index(width, threshold, ids, sets, [1 << (s - 1) for s in sorted(parts)], minima, owners, first)
+    return Index(width, threshold, ids, sets, [1 << (s - 1) for s in sorted(parts)], minima, owners, first, runs)
 
 
-def indexes(bench: DataFrame, width: int, threshold: float, block_bytes: int):
+def indexes(bench: DataFrame, width: int, threshold: float, block_bytes: int, short: bool = False):
     """An index for each block of items; a block is what the driver and a task hold at once."""
     bounded(bench.sparkSession)
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash")).filter("text is not null").distinct()
@@ -109,15 +116,15 @@ def indexes(bench: DataFrame, width: int, threshold: float, block_bytes: int):
     blocks = max(1, math.ceil(total / block_bytes))
     for b in range(blocks):
         rows = items.filter(F.pmod("hash", F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield build([(r["item_id"], bytes(r["text"])) for r in rows], width, threshold)
+        yield build([(r["item_id"], bytes(r["text"])) for r in rows], width, threshold, short)
 
 
-def contained(docs: DataFrame, bench: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = 16 << 20) -> DataFrame:
+def contained(docs: DataFrame, bench: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = 16 << 20, short: bool = False) -> DataFrame:
     """A row for each document and item that it contains: doc_id, item_id, n_item, n_shared, containment."""
     arrow = arrow_schema(docs.sparkSession, OUT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in indexes(bench, width, threshold, block_bytes):
+    for index in indexes(bench, width, threshold, block_bytes, short):
         def run(batches, index=index):
             for batch in batches:
                 for part in chunks(batch, "text"):
@@ -129,9 +136,9 @@ def contained(docs: DataFrame, bench: DataFrame, width: int = WIDTH, threshold:
     return out
 
 
-def uncontaminated(docs: DataFrame, bench: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = 16 << 20) -> DataFrame:
+def uncontaminated(docs: DataFrame, bench: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = 16 << 20, short: bool = False) -> DataFrame:
     """The rows of docs that contain no item, whole."""
-    for index in indexes(bench, width, threshold, block_bytes):
+    for index in indexes(bench, width, threshold, block_bytes, short):
         def run(batches, index=index):
             for batch in batches:
                 for part in chunks(batch, "text"):

@@ -592,6 +592,17 @@ def test_containment_odd(odd, none, spark):
     assert decontamination.uncontaminated(odd, bench).schema == odd.schema
 
 
+def test_short_items_inside_long_documents(spark, tmp_path):
+    """Items of one to four words, through the query and the pipeline's stage; a run of other words or a part of a word is none."""
+    bench = spark.createDataFrame([(1, "Alpha"), (2, "beta gamma"), (3, "one two three"), (4, "one two three four"), (5, "a b c d e"), (6, "gone")], "item_id long, text string")
+    rows = [(1, "some words before alpha and some after it", "a"), (2, "x y z BETA\n gamma x y z", "a"), (3, "x one two three x one two", "a"), (4, "x x one two three four", "a"), (5, "x a b c d e x", "a"), (6, "alphabet beta x gamma one two x three", "a"), (7, "alpha", "a"), (8, "", "a")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = entry.queries()["op10_decontamination"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got) == [(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 1, 1), (4, 3, 1, 1), (4, 4, 1, 1), (5, 5, 1, 1), (7, 1, 1, 1)]
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination_stage(spark, docs(spark, rows), str(tmp_path)).collect()) == [6, 8]
+
+
 # the pipeline
 
 
