@@ -102,7 +102,7 @@ def parse(html: str) -> list[Node]:
             flush()
         for name, _ in stack[at:]:
             hidden -= is_hidden(name)
-            links -= name == "a"
+            links -= name.lstrip("!") == "a"
         del stack[at:]
 
     pos, n = 0, len(html)
@@ -193,7 +193,7 @@ def parse(html: str) -> list[Node]:
                     break
         told = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
         kinds = tuple(sorted({KIND[w] for w in WORDS.findall(told) if w in KIND})) if told.strip() else ()
-        off = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        off = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
         owner = stack[-1][1]
         if name not in INLINE or any(k != "good" for k in kinds):
             flush()
