@@ -38,13 +38,17 @@ def fire_rate(queries: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
 
 def resolved(names: DataFrame, known: DataFrame, least: int = 4) -> DataFrame:
     """name, doc_id, reason of names(name) against known(key, doc_id): exact, prefix (the only document whose key begins with it), ambiguous or none.
-    Prefixes meet in equal heads of `least` characters, so nothing is compared with everything; names shorter than that are resolved exactly or not at all."""
+    Prefixes meet in equal heads of `least` characters, so nothing is compared with everything; shorter ones meet the heads of their own length, one row for each."""
     stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
     asked = names.select("name", stem.alias("stem")).distinct()
     exact = asked.select("name", F.explode(F.array_distinct(F.array("name", "stem"))).alias("key")).join(known, "key").groupBy("name").agg(F.min_by("doc_id", F.when(F.col("key") == F.col("name"), 0).otherwise(1)).alias("exact"))
     heads = known.select("key", F.col("doc_id").alias("found"), F.substring("key", 1, least).alias("head"))
     meet = asked.filter(F.length("stem") >= least).withColumn("head", F.substring("stem", 1, least)).join(heads, "head").filter(F.startswith("key", "stem"))
     prefix = meet.groupBy("name").agg(F.min("found").alias("least"), F.max("found").alias("most"))
+    if least > 1:
+        sizes = known.select("key", F.col("doc_id").alias("found"), F.explode(F.sequence(F.lit(1), F.lit(least - 1))).alias("size")).filter(F.length("key") >= F.col("size"))
+        short = sizes.groupBy(F.expr("substring(key, 1, size)").alias("head")).agg(F.min("found").alias("least"), F.max("found").alias("most"))
+        prefix = prefix.unionByName(asked.join(short, F.col("stem") == F.col("head")).select("name", "least", "most"))
     out = asked.join(exact, "name", "left").join(prefix, "name", "left")
     one = F.col("least") == F.col("most")
     return out.select(

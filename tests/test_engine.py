@@ -217,3 +217,10 @@ def test_resolution_reasons(spark):
 def test_refusals_and_types(spark):
     assert one(spark, X.no_info(F.col("v")).cast("string"), v="정보가 없습니다") == "true"
     assert [one(spark, X.question_type(F.col("v"), F.lit("3점")), v=v) for v in ("SFR-001 은?", "언제?")] == ["요구사항", "배점"]
+
+
+def test_resolution_of_short_names(spark):
+    known = spark.createDataFrame([("사업 계획서 최종", 1), ("사업 제안서 1", 2), ("교육", 4), ("ab", 5)], "key string, doc_id int")
+    names = spark.createDataFrame([("교.hwp",), ("사",), ("사업 .pdf",), ("ab",), ("abc",), ("x",)], "name string")
+    got = {r.name: (r.doc_id, r.reason) for r in mining.resolved(names, known).collect()}
+    assert got == {"교.hwp": (4, "prefix"), "사": (None, "ambiguous"), "사업 .pdf": (None, "ambiguous"), "ab": (5, "exact"), "abc": (None, "none"), "x": (None, "none")}
