@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, one of this machine if the master is local (tests), else an error:
+    on a cluster executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "gleanspark-shared")
     return found.rstrip("/")
 
@@ -34,18 +37,54 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of any executor."""
+    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of any executor. It goes when the driver ends, or by `dropped`."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    until_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by `written`, once nothing will read them again."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch)
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a path deleted when the driver's JVM ends."""
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table through Hadoop's file system, whichever that is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Deletes a path through Hadoop's file system, whichever that is."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+#: So many of the most frequent keys of a join are broadcast; no other key then has more than a HOT-th of all rows.
+HOT = 2048
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined to table, which has one row for each key and in column n how many rows have it. The HOT most frequent keys meet their rows where
+    these are, by broadcast, whatever the sizes; the others by a shuffle, so no task gets all rows of a hot key."""
+    hot = table.orderBy(F.col(n).desc(), *keys).limit(HOT)
+    rest = F.broadcast(hot.select(*keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(rest, keys, "left_anti").join(table.join(rest, keys, "left_anti"), keys))
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one of ours; `row.*` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
 def bounded(spark: SparkSession) -> None:
