@@ -1,27 +1,31 @@
 """Quality classifier: heuristic labellers, accuracies by expectation-maximisation, a hashed linear scorer.
 
 1. Ten overlapping labellers vote good, bad or nothing on every document (symbols, capitals, separators, repetition ...).
-2. The votes of all documents are counted by pattern, at most 3^10 of them; EM over those counts estimates each labeller's
+2. The votes of all distinct texts are counted by pattern, at most 3^10 of them; EM over those counts estimates each labeller's
    accuracy in either class and from them the posterior of each pattern.
 3. The posteriors are the soft labels of a logistic scorer over hashed features (word shapes, pairs of shapes, bucketed
-   statistics). It is fitted on at most `sample` documents, those with the smallest hash; everything else covers all rows.
+   statistics). It is fitted on at most `sample` distinct texts, those with the smallest hash; everything else covers all of them.
+
+A text counts once however many documents have it, so copies move neither the votes nor the fit. One pass over the texts makes votes and features.
 
 Score: probability that a document is good. A null, empty or blank text has score 0 and is rejected. Repeated rows get equal
-scores; extra columns are ignored. An empty table gives an empty result.
+scores; a very long text is read whole. Extra columns, whatever their names, are ignored by `score` and kept by `keep`. An empty table gives an empty
+result, and its model scores 0.5.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, bounded, chunks, text_bytes
+from ._common import arrow_schema, bounded, chunks, dropped, text_bytes, written
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "shouting", "capitals", "separators", "vocabulary", "lines", "top word", "word pairs", "letters", "stutter")
@@ -88,9 +92,9 @@ def votes(values: list[float | None]) -> list[int]:
     return out
 
 
-def pattern(text: bytes) -> int:
+def pattern(values: list[float | None]) -> int:
     k = 0
-    for v in votes(statistics(text).values):
+    for v in votes(values):
         k = 3 * k + v
     return k
 
@@ -116,8 +120,9 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(bad - good, -60, 60)))
 
 
-def expectation_maximisation(matrix: np.ndarray, counts: np.ndarray, rounds: int = 100, least: float = 0.52, most: float = 0.999) -> LabelModel:
-    """From vote patterns and how many documents have each. Starts at: any vote for bad makes bad likelier."""
+def expectation_maximisation(matrix: np.ndarray, counts: np.ndarray, rounds: int = 100, least: float = 0.52, floor: float = 0.05, most: float = 0.999) -> LabelModel:
+    """From vote patterns and how many documents have each. Starts at: any vote for bad makes bad likelier. least and floor: bounds below of a labeller's
+    accuracy on good and on bad documents."""
     says_bad, says_good = (matrix == BAD).astype(float), (matrix == GOOD).astype(float)
     q = np.clip(0.9 - 0.4 * says_bad.sum(1), 0.05, 0.95)
     model = LabelModel(0.5, np.full((2, matrix.shape[1]), 0.7))
@@ -125,7 +130,7 @@ def expectation_maximisation(matrix: np.ndarray, counts: np.ndarray, rounds: int
         good, bad = counts * q, counts * (1 - q)
         right = np.stack([bad @ says_bad, good @ says_good])
         cast = np.stack([bad @ (says_bad + says_good), good @ (says_bad + says_good)])
-        accuracy = np.clip((right + 1) / (cast + 2), [[0.05], [least]], most)
+        accuracy = np.clip((right + 1) / (cast + 2), [[floor], [least]], most)
         model = LabelModel(float(np.clip(good.sum() / max(counts.sum(), 1), 0.02, 0.98)), accuracy)
         new = model.posterior(matrix)
         done = np.abs(new - q).max(initial=0) < 1e-7
@@ -172,6 +177,13 @@ class QualityModel:
     labels: LabelModel
     weights: np.ndarray
     documents: int
+    known: dict[int, float] = field(default_factory=dict)
+
+    def posterior(self, k: int) -> float:
+        """Of a pattern of votes; each is computed once."""
+        if k not in self.known:
+            self.known[k] = float(self.labels.posterior(unpack(np.array([k])))[0])
+        return self.known[k]
 
     def score(self, text: bytes) -> tuple[float, float]:
         """(posterior of the label model, score)."""
@@ -180,53 +192,44 @@ class QualityModel:
             return 0.0, 0.0
         index, value = features(s)
         z = float(np.dot(self.weights[index], value))
-        p = float(self.labels.posterior(np.array([votes(s.values)]))[0])
-        return p, float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self.posterior(pattern(s.values)), 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
 def fit(docs: DataFrame, sample: int = 20_000) -> QualityModel:
-    """Votes of all rows make the label model; the scorer sees at most `sample` rows, taken by hash."""
+    """Votes of all distinct texts make the label model; the scorer sees at most `sample` of them, those of smallest hash."""
     bounded(docs.sparkSession)
-    texts = docs.select("text")
-
-    def count(batches):
-        found: Counter = Counter()
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                found.update(pattern(x) for x in text_bytes(part.column("text")) if x.strip())
-        yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
-
-    counted = texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    matrix, counts = unpack(np.array([r[0] for r in counted], np.int64)), np.array([r[1] for r in counted], float)
-    labels = expectation_maximisation(matrix, counts)
-    n = int(counts.sum())
-    rank = F.xxhash64("text")
-    share = min(1.0, 1.3 * sample / max(n, 1))
-    drawn = texts.withColumn("rank", rank).filter(F.col("rank") < int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
-    arrow = arrow_schema(docs.sparkSession, "rank long, pattern long, index array<int>, value array<float>")
+    h1, h2 = F.xxhash64("text"), F.xxhash64("text", F.lit(1))
+    texts = docs.filter(F.col("text").isNotNull()).select("text", h1.alias("h1"), h2.alias("h2"))
+    about = texts.agg(F.approx_count_distinct("h1", 0.01)).first()[0]  # how many rows to make features of, nothing else
+    share = min(1.0, 1.3 * sample / max(about, 1))
+    below = 2**63 - 1 if share == 1 else int(-(2**63) + share * (2**64 - 1))
+    arrow = arrow_schema(docs.sparkSession, schema := "h1 long, h2 long, pattern int, index array<int>, value array<float>")
 
     def prepare(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 made = []
-                for x, r in zip(text_bytes(part.column("text")), part.column("rank").to_pylist()):
+                for x, p, q in zip(text_bytes(part.column("text")), part.column("h1").to_pylist(), part.column("h2").to_pylist()):
                     s = statistics(x)
                     if s.n:
-                        k = 0
-                        for v in votes(s.values):
-                            k = 3 * k + v
-                        made.append((r, k, *features(s)))
-                cols = list(zip(*made)) if made else [(), (), (), ()]
+                        made.append((p, q, pattern(s.values), *(features(s) if p <= below else (None, None))))
+                cols = list(zip(*made)) if made else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(i).type) for i, c in enumerate(cols)], schema=arrow)
 
-    rows = drawn.mapInArrow(prepare, "rank long, pattern long, index array<int>, value array<float>").orderBy("rank", "pattern").limit(sample).toArrow()
-    if not rows.num_rows:
-        return QualityModel(labels, np.zeros(DIM), n)
-    column = rows.column("index").combine_chunks()
-    lengths = np.diff(column.offsets.to_numpy())
-    target = labels.posterior(unpack(rows.column("pattern").to_numpy()))
-    w = fit_linear(column.flatten().to_numpy().astype(np.int64), rows.column("value").combine_chunks().flatten().to_numpy().astype(float), np.repeat(np.arange(rows.num_rows), lengths), target)
-    return QualityModel(labels, w, n)
+    each = texts.mapInArrow(prepare, schema).groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("pattern", "index", "value")])
+    made = written(each, "votes")
+    counted = made.groupBy("pattern").count().collect()  # 3^10 rows at most
+    matrix, counts = unpack(np.array([r[0] for r in counted], np.int64)), np.array([r[1] for r in counted], float)
+    labels = expectation_maximisation(matrix, counts, least=0.99, floor=0.3)  # the labellers' limits are such that good texts seldom pass them
+    rows = made.filter("index is not null").orderBy("h1", "h2").limit(sample).select("pattern", "index", "value").toArrow()
+    dropped(made)
+    weights = np.zeros(DIM)
+    if rows.num_rows:
+        column = rows.column("index").combine_chunks()
+        target = labels.posterior(unpack(rows.column("pattern").to_numpy()))
+        entries = np.repeat(np.arange(rows.num_rows), np.diff(column.offsets.to_numpy()))
+        weights = fit_linear(column.flatten().to_numpy().astype(np.int64), rows.column("value").combine_chunks().flatten().to_numpy().astype(float), entries, target)
+    return QualityModel(labels, weights, int(counts.sum()))
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
