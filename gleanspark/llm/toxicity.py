@@ -1,12 +1,15 @@
 """Toxicity: a linear classifier regularised by counterfactuals.
 
-1. Hashed features of a text: its words, their beginnings of four to six letters, and the words' pairs with the kind of word before them
-   left out; presence alone, so length does not matter. All labelled training rows are counted by feature and label.
-2. The `kept` features that tell the labels apart best, by a score of their counts, are the model's inputs.
+1. Hashed features of a text: its words and their beginnings of four to six letters; presence alone, so length does not matter. All labelled
+   training rows are counted by feature and label.
+2. All features whose shares differ between the labels beyond chance are the model's inputs, however many they are (DIM at most).
 3. Logistic regression on at most `sample` training rows, taken by hash. For texts that name a group, each identity term is swapped for
    another group's and the squared change of the score is added to the loss, so that naming a group by itself moves no score.
 
-Null and blank texts get the score of the intercept. Null ids train. Repeated rows count as often as they occur; extra columns are ignored.
+Texts meet labels once. Up to BROADCAST labels are sent to the texts where these are read, more meet them by a shuffle of both; the rows are the same.
+
+Null and blank texts get the score of the intercept. Rows of null id have no label. Repeated rows count as often as they occur and are fitted once; a very
+long text is read whole. Extra columns, whatever their names, are ignored. An empty table gives an empty result.
 Without training rows, or with one label alone, every score is the smoothed share of toxic rows.
 """
 
@@ -20,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, map_batches, text_bytes
+from ._common import arrow_schema, bounded, chunks, dropped, map_batches, text_bytes, written
 
 DIM = 1 << 20
+BROADCAST = 1 << 21
 PUNCTUATION = b".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 #: Terms for groups of people, by language; any of a row can stand for any other of it.
 IDENTITY = tuple(tuple(x.encode() for x in row.split()) for row in (
@@ -65,15 +69,14 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def select(feature: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, kept: int) -> np.ndarray:
-    """The `kept` features of highest signed z-score of their shares among either label; those of no evidence never count."""
+def select(feature: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Features whose shares among either label differ by over 3.5 standard errors, corrected for the counts' steps of one, and by a ratio of two at least:
+    a feature as common in the other label is noise however significant."""
     p, q = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)
     pooled = (toxic + clean + 1) / (n_toxic + n_clean + 2)
-    z = np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / max(n_toxic, 1) + 1 / max(n_clean, 1)))
-    # A feature as common in the other label is noise however significant; keep ratios of two at least.
-    strong = (z > 3.5) & (np.maximum(p / q, q / p) > 2)
-    by = np.lexsort((feature, -z))
-    return feature[by][strong[by]][:kept]
+    steps = 1 / max(n_toxic, 1) + 1 / max(n_clean, 1)
+    z = (np.abs(p - q) - steps / 2) / np.sqrt(pooled * (1 - pooled) * steps)
+    return np.sort(feature[(z > 3.5) & (np.maximum(p / q, q / p) > 2)])
 
 
 def train(rows: list[tuple[list[int], list[int] | None, int]], features: np.ndarray, rounds: int = 800, rate: float = 0.3, decay: float = 1e-5, fairness: float = 1.0) -> ToxicityModel:
@@ -115,52 +118,67 @@ def train(rows: list[tuple[list[int], list[int] | None, int]], features: np.ndar
     return ToxicityModel(bias, {int(f): float(w[k]) for f, k in place.items() if w[k]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, training, kept: int = 20_000, sample: int = 30_000) -> ToxicityModel:
-    """training: a condition on docs' doc_id. Counts cover all labelled training rows; the regression at most `sample` of them."""
+def _labelled(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
+    """id, text, rank (hash of both), toxic of the training rows that have a label."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").distinct()
     texts = docs.filter(training).select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", "text").alias("rank"))
-    # Texts meet labels by shuffling both, whatever the labels' size, and no text is sorted.
-    joined = texts.join(known.hint("shuffle_hash"), F.col("id") == F.col("label_id")).select("rank", "toxic", "text")
-
-    def run(part: pa.RecordBatch) -> dict:
-        words = [bare(x) for x in text_bytes(part.column("text"))]
-        other = [swapped(w) for w in words]
-        return {"rank": part.column("rank"), "toxic": part.column("toxic"), "own": [sorted(slots(w)) for w in words], "other": [None if w is None else sorted(slots(w)) for w in other]}
+    # Beyond the bound by shuffling both; a hash of the labels then spares the sort of whole texts.
+    side = F.broadcast(known) if known.count() <= BROADCAST else known.hint("shuffle_hash")
+    return texts.join(side, F.col("id") == F.col("label_id")).select("id", "rank", "toxic", "text")
 
-    schema = "rank long, toxic int, own array<int>, other array<int>"
 
-    def count(batches):
+def fit(docs: DataFrame, labels: DataFrame, training, sample: int = 30_000) -> ToxicityModel:
+    """training: a condition on docs' doc_id. Counts cover all labelled training rows; the regression at most `sample` of them."""
+    bounded(docs.sparkSession)
+    joined = _labelled(docs, labels, training)
+    n = joined.count()
+    share = min(1.0, 1.3 * sample / max(n, 1))
+    below = 2**63 - 1 if share == 1 else int(-(2**63) + share * (2**64 - 1))
+    arrow = arrow_schema(docs.sparkSession, schema := "feature int, clean long, toxic long, rank long, label int, own array<int>, other array<int>")
+
+    def run(batches):
+        """Counts of a task's features (-1: of its rows), and the features of the rows that may be in the sample."""
         both = np.zeros((2, DIM), np.int64)
         rows = [0, 0]
         for batch in batches:
             for part in chunks(batch, "text"):
-                for x, t in zip(text_bytes(part.column("text")), part.column("toxic").to_pylist()):
-                    both[t, np.fromiter(slots(bare(x)), np.int64)] += 1
+                drawn = []
+                for x, t, r in zip(text_bytes(part.column("text")), part.column("toxic").to_pylist(), part.column("rank").to_pylist()):
+                    words = bare(x)
+                    own = slots(words)
+                    both[t, np.fromiter(own, np.int64, len(own))] += 1
                     rows[t] += 1
+                    if r <= below:
+                        other = swapped(words)
+                        drawn.append((None, None, None, r, t, sorted(own), None if other is None else sorted(slots(other))))
+                if drawn:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*drawn), arrow)], schema=arrow)
         on = np.nonzero(both.any(axis=0))[0]
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(np.append(on, -1).astype(np.int32)), "clean": pa.array(np.append(both[0, on], rows[0])), "toxic": pa.array(np.append(both[1, on], rows[1]))})
+        counts = [np.append(on, -1), np.append(both[0, on], rows[0]), np.append(both[1, on], rows[1])]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(counts, arrow)), *(pa.nulls(len(on) + 1, f.type) for f in list(arrow)[3:])], schema=arrow)
 
-    counts = joined.mapInArrow(count, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = counts.filter("toxic + clean >= 3 or feature = -1").toArrow()  # DIM rows at most
+    made = written(joined.select("rank", "toxic", "text").mapInArrow(run, schema), "toxicity", compression="zstd")
+    table = made.filter("feature is not null").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # DIM rows at most
     feature, clean, toxic = (table.column(c).to_numpy() for c in ("feature", "clean", "toxic"))
     total = feature == -1
     n_clean, n_toxic = (int(x[total].sum()) for x in (clean, toxic))
     prior = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
     if not n_clean or not n_toxic:
+        dropped(made)
         return ToxicityModel(float(np.log(prior / (1 - prior))))
-    features = select(feature[~total], toxic[~total], clean[~total], n_toxic, n_clean, kept)
-    chosen = frozenset(features.tolist())
+    features = select(feature[~total], toxic[~total], clean[~total], n_toxic, n_clean)
 
-    def prepare(part: pa.RecordBatch) -> dict:
-        made = run(part)
-        for k in ("own", "other"):
-            made[k] = [None if r is None else [x for x in r if x in chosen] for r in made[k]]
-        return made
+    def only(batches):
+        """Of the sample's features, those that the model takes."""
+        for batch in batches:
+            kept = {c: [None if r is None else [x for x in r if x in chosen] for r in batch.column(c).to_pylist()] for c in ("own", "other")}
+            yield pa.RecordBatch.from_pydict({"rank": batch.column("rank"), "label": batch.column("label")} | {c: pa.array(v, pa.list_(pa.int32())) for c, v in kept.items()})
 
-    share = min(1.0, 1.3 * sample / (n_toxic + n_clean))
-    drawn = joined.filter(F.col("rank") < int(-(2**63) + share * (2**64 - 1))) if share < 1 else joined
-    rows = map_batches(drawn, prepare, schema).orderBy("rank", "toxic").limit(sample).toArrow().to_pylist()
-    return train([(r["own"], r["other"], r["toxic"]) for r in rows], features)
+    chosen = frozenset(features.tolist())
+    drawn = made.filter("rank is not null").dropDuplicates(["rank", "label"]).select("rank", "label", "own", "other").mapInArrow(only, "rank long, label int, own array<int>, other array<int>")
+    rows = drawn.orderBy("rank", "label").limit(sample).toArrow().to_pylist()
+    dropped(made)
+    return train([(r["own"], r["other"], r["label"]) for r in rows], features)
 
 
 def score(docs: DataFrame, model: ToxicityModel, held_out, threshold: float = 0.3) -> DataFrame:
