@@ -2,10 +2,12 @@
 
 Lines end at "\\n". A window is three consecutive lines of which at least one isn't blank. Of equal windows anywhere, the first by id and
 position stays; the lines that any later one covers go, and what is covered by overlapping windows merges. Every removed line so has
-an equal one that stays. Texts of fewer than three lines have no window and stay whole.
+an equal one that stays. Texts of fewer than three lines have no window and stay whole; they are not shuffled.
 
 Null texts stay null; null ids come after the others. Repeated rows (equal id and text) are one document and get the same result.
-Windows are told apart by 128 bits of hash. Extra columns are ignored by `line_windows_removed` and kept by `without_repeats`.
+Windows are told apart by 128 bits of hash. A very long text is one row with arrays of its lines and flags. The occurrences of the most frequent
+windows are not brought together: their first place is broadcast (`spread_join`). Extra columns, whatever their names, are ignored by
+`line_windows_removed` and kept by `without_repeats`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,58 +15,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OWN = ("__k1", "__k2", "__id", "__lines", "__flags", "__kept")
+from ._common import spread_join, whole
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64("text", "doc_id"), "__id": F.col("doc_id"), "__lines": F.split("text", "\n", -1)})
+    """row (the columns of docs), id, text, lines, k1 and k2 (hashes of id and text)."""
+    return docs.select(whole(docs), F.col("doc_id").alias("id"), "text", F.split("text", "\n", -1).alias("lines"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
 
 
 def _windows(docs: DataFrame) -> DataFrame:
     """One row for each window: its hash and its place."""
-    keyed = _keyed(docs.select("doc_id", "text")).filter(F.size("__lines") >= 3).select(
-        "__k1", "__k2", "__id", F.col("__lines").alias("x"), F.slice("__lines", 2, F.size("__lines")).alias("y"), F.slice("__lines", 3, F.size("__lines")).alias("z")
+    keyed = _keyed(docs.select("doc_id", "text")).filter(F.size("lines") >= 3).select(
+        "k1", "k2", "id", F.col("lines").alias("x"), F.slice("lines", 2, F.size("lines")).alias("y"), F.slice("lines", 3, F.size("lines")).alias("z")
     )
-    each = keyed.select("__k1", "__k2", "__id", F.posexplode(F.arrays_zip("x", "y", "z")).alias("pos", "w")).filter(F.col("w.z").isNotNull())
+    each = keyed.select("k1", "k2", "id", F.posexplode(F.arrays_zip("x", "y", "z")).alias("pos", "w")).filter(F.col("w.z").isNotNull())
     each = each.filter(F.col("w.x").rlike(r"\S") | F.col("w.y").rlike(r"\S") | F.col("w.z").rlike(r"\S"))
-    place = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("pos").alias("pos"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "pos")
     return each.select(F.xxhash64("w.x", "w.y", "w.z").alias("h1"), F.xxhash64("w.z", "w.x", "w.y", F.lit(1)).alias("h2"), place.alias("place"))
 
 
 def _flags(docs: DataFrame) -> DataFrame:
-    """For each document that loses lines: an array that is true where a later window begins."""
+    """f1, f2 (hashes of id and text) of each document that loses lines, and flags: an array that is true where a later window begins."""
     windows = _windows(docs)
-    repeated = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("other")).filter("first <> other").select("h1", "h2", "first")
-    later = windows.join(repeated, ["h1", "h2"]).filter("place <> first")
+    first, other = F.min("place").alias("first"), F.max("place").alias("other")
+    repeated = windows.groupBy("h1", "h2").agg(first, other, F.count("*").alias("n")).filter("first <> other").drop("other")
+    later = spread_join(windows, repeated, ["h1", "h2"], "n").filter("place <> first")
     starts = later.groupBy(F.col("place.k1").alias("f1"), F.col("place.k2").alias("f2")).agg(F.sort_array(F.collect_set("place.pos")).alias("starts"))
     gaps = F.transform("starts", lambda p, i: F.concat(F.array_repeat(F.lit(False), (p - F.coalesce(F.get("starts", i - 1), F.lit(-1)) - 1).cast("int")), F.array(F.lit(True))))
-    return starts.select("f1", "f2", F.flatten(gaps).alias("__flags"))
+    return starts.select("f1", "f2", F.flatten(gaps).alias("flags"))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    flags = _flags(docs)
+    """row, id, text, lines, and kept: the lines that stay, null where all do."""
     keyed = _keyed(docs)
-    joined = keyed.join(flags, (F.col("__k1") == F.col("f1")) & (F.col("__k2") == F.col("f2")), "left").drop("f1", "f2")
-    covered = lambda i: F.coalesce(F.get("__flags", i), F.lit(False)) | F.coalesce(F.get("__flags", i - 1), F.lit(False)) | F.coalesce(F.get("__flags", i - 2), F.lit(False))
-    return joined.withColumn("__kept", F.when(F.col("__flags").isNotNull(), F.filter("__lines", lambda x, i: ~covered(i))))
+    few = (F.size("lines") < 3) | F.col("text").isNull()
+    joined = keyed.filter(~few).join(_flags(docs), (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
+    covered = lambda i: F.coalesce(F.get("flags", i), F.lit(False)) | F.coalesce(F.get("flags", i - 1), F.lit(False)) | F.coalesce(F.get("flags", i - 2), F.lit(False))
+    kept = F.when(F.col("flags").isNotNull(), F.filter("lines", lambda x, i: ~covered(i)))
+    out = ("row", "id", "text", "lines")
+    return joined.select(*out, kept.alias("kept")).unionByName(keyed.filter(few).select(*out, F.lit(None).cast("array<string>").alias("kept")))
 
 
 def line_windows_removed(docs: DataFrame) -> DataFrame:
     """doc_id, text without the removed lines, n_lines (of the whole text) and n_removed."""
     cut = _cut(docs.select("doc_id", "text"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines"))
-    return cut.select("doc_id", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")).alias("text"), n.cast("int").alias("n_lines"), F.when(F.col("__kept").isNull(), 0).otherwise(n - F.size("__kept")).cast("int").alias("n_removed"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    return cut.select(F.col("id").alias("doc_id"), text.alias("text"), n.cast("int").alias("n_lines"), F.when(F.col("kept").isNull(), 0).otherwise(n - F.size("kept")).cast("int").alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the later windows' lines removed from text, and n_chars counted anew; a row of which no line is left goes."""
-    cut = _cut(docs).filter(F.col("__kept").isNull() | (F.size("__kept") > 0))
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    cut = _cut(docs).filter(F.col("kept").isNull() | (F.size("kept") > 0))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(kind)
-    return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+        was = F.col("row").getField("n_chars")
+        changed["n_chars"] = F.when(F.col("kept").isNull(), was).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = r"""
