@@ -3,7 +3,8 @@
 The container is RIFF/WAVE (format 7 mu-law, 6 A-law, 0x11 IMA ADPCM, 1 PCM). `expand` reads any of them to 16-bit PCM, `resample` interpolates
 linearly between rates. Payloads of bytes are stored as 8-bit samples, one byte each, so reading back is lossless.
 
-Nulls are empty texts; an empty text is a payload of 192 spaces. A broken container raises ValueError. Equal bytes give equal forms.
+Nulls are empty texts; an empty text is a payload of 192 spaces, a very long one is stored whole. A broken container raises ValueError. Equal bytes give
+equal forms, so repeated rows give repeated rows. Extra columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, text_bytes, written
+from ._common import dropped, map_batches, text_bytes, written
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 UNIT = 192
@@ -181,21 +183,29 @@ def store(docs: DataFrame, rate: int = 8000) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
+def pcm_of(file: bytes, to: int) -> np.ndarray:
+    """Any stored form as 16-bit samples at one rate."""
+    return resample(*expand(file), to).astype("<i2")
+
+
 def decode(media: DataFrame, to: int = 16000) -> DataFrame:
-    """doc_id, rate, pcm: any stored form as 16-bit PCM at one rate."""
+    """doc_id, rate, pcm: any stored form as 16-bit PCM at one rate. A null form gives null."""
 
     def run(part: pa.RecordBatch) -> dict:
         files = part.column("media").to_pylist()
-        return {"doc_id": part.column("doc_id"), "rate": [to] * len(files), "pcm": [None if f is None else resample(*expand(f), to).astype("<i2").tobytes() for f in files]}
+        return {"doc_id": part.column("doc_id"), "rate": [to] * len(files), "pcm": [None if f is None else pcm_of(f, to).tobytes() for f in files]}
 
     return map_batches(media, run, "doc_id long, rate int, pcm binary", "media")
 
 
-def digests(media: DataFrame, to: int = 16000) -> DataFrame:
-    """What a stored table holds, read back. The same samples are also expanded as A-law and as ADPCM blocks, for the feature."""
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def sound(media: DataFrame, to: int = 16000) -> DataFrame:
+    """What a stored table of `store` holds, read back: DIGESTS, alaw and adpcm (sums of levels of the same bytes read as A-law and as ADPCM blocks), and
+    its PCM at one rate."""
 
     def run(part: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         files = part.column("media").to_pylist()
         data = [read_wave(f)[3] for f in files]
         # ADPCM of all files of the slice at once; sizes are multiples of the block, so no block has bytes of two files.
@@ -204,21 +214,37 @@ def digests(media: DataFrame, to: int = 16000) -> DataFrame:
         for k in range(blocks.shape[1]):
             level += np.abs(blocks[:, k].astype(np.int32))
         starts = np.cumsum([0, *(len(x) * 2 // UNIT for x in data[:-1])])
-        adpcm = np.add.reduceat(level, starts) if files else level
-        for f, own, sound in zip(files, data, adpcm.tolist()):
-            pcm, rate = expand(f)
-            other = ALAW_LEVELS.take(np.frombuffer(own, np.uint8))
-            out["payload_bytes"].append(len(own))
-            out["payload_sha256"].append(hashlib.sha256(own).hexdigest())
-            out["tail_crc32"].append(zlib.crc32(own[-16:]))
-            out["media_bytes"].append(len(f))
-            out["media_sha256"].append(hashlib.sha256(f).hexdigest())
-            out["feature"].append(f"{features(resample(pcm, rate, to))};alaw={int(other.sum(dtype=np.int64))};adpcm={sound}")
-        return {"doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), **out}
-
-    return map_batches(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "media")
-
-
-def round_trip(docs: DataFrame, rate: int = 8000, to: int = 16000) -> DataFrame:
-    """Stores the texts as a media table in the shared folder and reads it back."""
-    return digests(written(store(docs, rate), "media", compression="zstd"), to)
+        return {
+            "doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), "payload_bytes": [len(x) for x in data], "payload_sha256": [hashlib.sha256(x).hexdigest() for x in data], "tail_crc32": [zlib.crc32(x[-16:]) for x in data],
+            "media_bytes": [len(f) for f in files], "media_sha256": [hashlib.sha256(f).hexdigest() for f in files], "alaw": [int(ALAW_LEVELS.take(np.frombuffer(x, np.uint8)).sum(dtype=np.int64)) for x in data],
+            "adpcm": (np.add.reduceat(level, starts) if files else level).tolist(), "pcm": [pcm_of(f, to).tobytes() for f in files],
+        }
+
+    return map_batches(media, run, DIGESTS + ", alaw long, adpcm long, pcm binary", "media")
+
+
+def digests(sounds: DataFrame) -> DataFrame:
+    """DIGESTS and feature: of the PCM that a stored table of `sound` holds."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        names = [c.split()[0] for c in DIGESTS.split(", ")]
+        rows = zip(part.column("pcm").to_pylist(), part.column("alaw").to_pylist(), part.column("adpcm").to_pylist())
+        return {c: part.column(c) for c in names} | {"feature": [f"{features(np.frombuffer(x, '<i2'))};alaw={a};adpcm={b}" for x, a, b in rows]}
+
+    return map_batches(sounds, run, DIGESTS + ", feature string", "pcm")
+
+
+#: zstd at a higher level and over larger pages: PCM at twice the rate is four bytes for each of the payload.
+DENSE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20), "parquet.block.size": str(32 << 20)}
+
+
+def round_trip(docs: DataFrame, rate: int = 8000, to: int = 16000, parts: int = 2) -> DataFrame:
+    """Stores the texts as a media table in the shared folder, reads it back, stores its PCM and reads that back. A part of the rows (by hash of id and
+    text) goes after the other, and its media table is dropped once the PCM is stored."""
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    out = []
+    for k in range(parts):
+        media = written(store(docs.filter(share == k), rate), "media", compression="zstd")
+        out.append(written(sound(media, to), "pcm", **DENSE))
+        dropped(media)
+    return digests(reduce(DataFrame.unionByName, out))
