@@ -5,17 +5,21 @@ contains an item if it has at least `threshold` of its shingles. With `short`, a
 document's runs of as many words, so it is found inside longer documents; without, as in the SQL, only in documents that equal it. Items are partitioned by size (powers of two); a partition keeps
 for each item its smallest shingle hashes, as many as a containing document cannot all miss: for q shingles of which r must occur,
 q - r + 1. So a document that contains an item shares at least one of them (a band of one minimum each, with certainty instead of a chance),
-however long the document is. Candidates are verified by the shingles themselves.
+however long the document is. A document meets the partitions of items that it has shingles enough for, and no others. Candidates are verified by the
+shingles themselves.
 
-Items are taken in blocks of about `block_bytes` of text, chosen by hash, each sent to every task; documents are not shuffled.
+Items are taken in blocks of about `block_bytes` of text, chosen by hash, one after the other: a block is sent to every task, what it finds is a table
+before the next one is fetched, so driver and tasks hold one block whatever the benchmark's size. Documents are read once for each block and not shuffled.
 Null and blank items have no shingle and match nothing; null and blank documents contain nothing. Equal (item_id, text) rows are one
-item; repeated documents give repeated rows. Extra columns are ignored by `contained` and kept by `uncontaminated`.
+item; repeated documents give repeated rows. A very long document is read whole. Extra columns, whatever their names, are ignored by `contained` and kept
+by `uncontaminated`. Without documents or items nothing is found and all documents stay.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, bounded, chunks, mix64, shingles, text_bytes
+from ._common import arrow_schema, bounded, chunks, dropped, mix64, shingles, text_bytes, written
 
 WIDTH, THRESHOLD = 5, 0.8
 OUT = "doc_id long, item_id long, n_item long, n_shared long, containment double"
@@ -48,23 +52,26 @@ def hashes(words: list[bytes], width: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """sizes: the least q of each partition; minima and owners: of each partition, sorted by hash; sets: of each item;
-    short: by number of words, the items that are held against runs of as many words."""
+    """least: how many shingles a document needs to contain the smallest item of each partition, ascending; minima and owners: of each partition, sorted
+    by hash; sets: of each item; short: by number of words, the items that are held against runs of as many words."""
 
     width: int
     threshold: float
     ids: list[int | None]
     sets: list[frozenset]
-    sizes: list[int]
+    least: list[int]
     minima: list[np.ndarray]
     owners: list[np.ndarray]
     first: np.ndarray
     short: dict[int, dict[bytes, list[int]]]
 
     def candidates(self, h: np.ndarray) -> set[int]:
+        n = len(h)  # the document's shingles, with repeats
         h = h[self.first[(h >> np.uint64(44)).astype(np.int64)]]
         found: set[int] = set()
-        for minima, owners in zip(self.minima, self.owners):
+        for least, minima, owners in zip(self.least, self.minima, self.owners):
+            if least > n or not len(h):
+                break
             low, high = np.searchsorted(minima, h), np.searchsorted(minima, h, side="right")
             for a, b in zip(low[high > low].tolist(), high[high > low].tolist()):
                 found.update(owners[a:b].tolist())
@@ -94,57 +101,64 @@ def build(items: list[tuple[int | None, bytes]], width: int = WIDTH, threshold:
         else:
             h = np.unique(hashes(words, width))
             q = len(set(own))
-            parts.setdefault(q.bit_length(), []).append((len(ids), h[: q - needed(q, threshold) + 1]))
+            parts.setdefault(q.bit_length(), []).append((q, len(ids), h[: q - needed(q, threshold) + 1]))
         ids.append(i)
         sets.append(frozenset(own))
     minima, owners, first = [], [], np.zeros(1 << 20, bool)
     for size in sorted(parts):
-        h = np.concatenate([x for _, x in parts[size]])
-        of = np.concatenate([np.full(len(x), i) for i, x in parts[size]])
+        h = np.concatenate([x for _, _, x in parts[size]])
+        of = np.concatenate([np.full(len(x), i) for _, i, x in parts[size]])
         by = np.argsort(h, kind="stable")
         minima.append(h[by])
         owners.append(of[by])
         first[(h >> np.uint64(44)).astype(np.int64)] = True
-    return Index(width, threshold, ids, sets, [1 << (s - 1) for s in sorted(parts)], minima, owners, first, runs)
+    least = [needed(min(q for q, _, _ in parts[size]), threshold) for size in sorted(parts)]
+    return Index(width, threshold, ids, sets, least, minima, owners, first, runs)
 
 
 def indexes(bench: DataFrame, width: int, threshold: float, block_bytes: int, short: bool = False):
-    """An index for each block of items; a block is what the driver and a task hold at once."""
+    """(whether it is the only one, index) of each block of items; a block is what the driver and a task hold at once."""
     bounded(bench.sparkSession)
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     for b in range(blocks):
         rows = items.filter(F.pmod("hash", F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield build([(r["item_id"], bytes(r["text"])) for r in rows], width, threshold, short)
+        yield blocks == 1, build([(r["item_id"], bytes(r["text"])) for r in rows], width, threshold, short)
 
 
 def contained(docs: DataFrame, bench: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = 16 << 20, short: bool = False) -> DataFrame:
     """A row for each document and item that it contains: doc_id, item_id, n_item, n_shared, containment."""
     arrow = arrow_schema(docs.sparkSession, OUT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for index in indexes(bench, width, threshold, block_bytes, short):
+    found = []
+    for only, index in indexes(bench, width, threshold, block_bytes, short):
         def run(batches, index=index):
             for batch in batches:
                 for part in chunks(batch, "text"):
                     rows = [(d, index.ids[i], q, n, n / q) for d, x in zip(part.column("doc_id").to_pylist(), text_bytes(part.column("text"))) for i, q, n in index.search(x)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(arrow), arrow)], schema=arrow)
 
-        found = texts.mapInArrow(run, OUT)
-        out = found if out is None else out.unionByName(found)
-    return out
+        own = texts.mapInArrow(run, OUT)
+        found.append(own if only else written(own, "contained"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def uncontaminated(docs: DataFrame, bench: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = 16 << 20, short: bool = False) -> DataFrame:
     """The rows of docs that contain no item, whole."""
-    for index in indexes(bench, width, threshold, block_bytes, short):
+    before = None
+    for only, index in indexes(bench, width, threshold, block_bytes, short):
         def run(batches, index=index):
             for batch in batches:
                 for part in chunks(batch, "text"):
                     yield part.filter(pa.array([not index.search(x) for x in text_bytes(part.column("text"))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not only:
+            docs = written(docs, "uncontaminated")
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs
 
 
