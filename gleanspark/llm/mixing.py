@@ -4,12 +4,13 @@ A source of S words with a target of T words wants T / S copies of each document
 rest is a copy probability. Documents are paired and mass is moved from one to the other, at random in proportion, until one
 of the two is integral; what is moved is weighed in words, so each transfer keeps the source's expected words exactly. A bucket
 of documents ends with at most one fractional document; these meet in the next level of a reduction tree, until one is left
-for each source and is rounded at random. Within a bucket the longest come first, so that what is left over is short. The root draws up
-to DRAWS times and keeps the draw whose last rounding misses the target least.
+for each source and is rounded by its own chance, so every document's chance is what it started with. Within a bucket the longest come first: what is
+left over is about as long as all shorter ones together, and by that much at most a source's words miss its target.
 
 Repeated rows (equal id, source and text) are one unit and get equal copies. Null or blank texts have size 0 and none is taken.
 A null source is a source of its own, after the others. Sources without words have the target 0. All randomness is a hash of seed,
-id and text, so reruns agree. Extra columns are ignored by `decisions` and kept by `mix`. An empty table gives an empty result.
+id and text, so reruns agree. A very long text counts as many words as it has. Extra columns are ignored by `decisions` and kept by `mix`,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mix64, n_words
+from ._common import mix64, n_words, whole, written
 
 BUCKET, FAN = 1024, 64
 EPS = 1e-12
-DRAWS, NEAR = 32, 0.0005
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -79,21 +79,9 @@ def _level(level: int, seed: int):
         pdf = pdf.sort_values(["words", "key", "id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         words, start, key = pdf["words"].to_numpy(float), pdf["p"].to_numpy(float), pdf["key"].to_numpy(np.int64)
         p, at = settle(words, start, key, seed + level)
-        if last:
-            # All that the source's words can miss is what rounding the last unit adds or takes: of some draws, the one that misses least.
-            best = None
-            for draw in range(DRAWS):
-                p, at = settle(words, start, key, seed + level + 1009 * draw)
-                missed = 0.0
-                if at >= 0:
-                    u = float(mix64(key[at : at + 1].astype(np.uint64) ^ np.uint64(seed + 7919 + draw))[0] >> np.uint64(11)) / 2**53
-                    missed = words[at] * abs(float(u < p[at]) - p[at])
-                    p[at], at = float(u < p[at]), -1
-                if best is None or missed < best[0]:
-                    best = missed, p
-                if missed <= NEAR * pdf["target"].iloc[0]:
-                    break
-            p = best[1]
+        if last and at >= 0:  # the root: the last unit is in by its own chance
+            u = float(mix64(key[at : at + 1].astype(np.uint64) ^ np.uint64(seed + 7919))[0] >> np.uint64(11)) / 2**53
+            p[at], at = float(u < p[at]), -1
         pdf["p"] = p
         pdf["open"] = np.arange(len(pdf)) == at
         return pdf
@@ -104,12 +92,12 @@ def _level(level: int, seed: int):
 def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 20) -> DataFrame:
     """One row for each distinct document: id, source, key (hash of id and text), n (equal rows), size, source_size, target, copies."""
     sized = docs.select(F.col("doc_id").cast("long").alias("id"), "source", F.xxhash64("doc_id", "text").alias("key"), n_words(F.col("text")).alias("size"))
-    units = sized.groupBy("id", "source", "key", "size").agg(F.count("*").alias("n"))
-    per_source = targets(sized, weights, cap)
+    units = written(sized.groupBy("id", "source", "key", "size").agg(F.count("*").alias("n")), "mix-units")  # words are counted once
+    per_source = targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), weights, cap)
     joined = units.join(per_source, units["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     ready = joined.withColumn("ratio", ratio).withColumn("base", F.floor("ratio").cast("int")).withColumn("p", F.col("ratio") - F.col("base")).withColumn("words", (F.col("size") * F.col("n")).cast("double")).drop("ratio")
-    # Each source has as many buckets as its rows need, so that one with a third of all rows is dealt out as well.
+    # Each source has as many buckets as its documents need, so that one with a third of all rows is dealt out as well.
     ready = ready.withColumn("buckets", F.greatest(F.ceil(F.col("n_rows") / BUCKET), F.lit(1)).cast("int")).drop("n_rows")
     most = per_source.agg(F.max("n_rows")).first()[0] or 0
     buckets = max(1, math.ceil(most / BUCKET))
@@ -120,7 +108,7 @@ def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: floa
         if buckets == 1:
             settled.append(done)
             break
-        done = done.persist()
+        done = written(done, "mix")
         settled.append(done.filter(~F.col("open")))
         buckets, level = math.ceil(buckets / FAN), level + 1
         state = done.filter("open").drop("open").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("int")).withColumn("buckets", F.ceil(F.col("buckets") / FAN).cast("int"))
@@ -131,8 +119,10 @@ def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: floa
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 20) -> DataFrame:
-    """The documents the mix takes, with all their columns, and mix_copies: how often each is repeated. (One row for each document.)"""
-    chosen = decisions(docs, weights, cap, seed).filter("copies > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), F.col("copies").alias("mix_copies"), F.col("target").alias("mix_target"))
-    keyed = docs.withColumn("__hash", F.xxhash64("doc_id", "text"))
-    same = F.col("__hash").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    return keyed.join(chosen, same).drop("__hash", "__id", "__source", "__key")
+    """The documents the mix takes, with all their columns, and how often each is repeated: mix_copies, and its source's mix_target. (One row for each
+    document.) Columns of these names that docs has are replaced."""
+    chosen = decisions(docs, weights, cap, seed).filter("copies > 0").select("id", "source", "key", "copies", "target")
+    rows = docs.select(whole(docs), F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("i"), F.col("source").alias("s"))
+    same = (F.col("k") == F.col("key")) & F.col("i").eqNullSafe(F.col("id")) & F.col("s").eqNullSafe(F.col("source"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("mix_copies", "mix_target")]
+    return rows.join(chosen, same).select(*kept, F.col("copies").alias("mix_copies"), F.col("target").alias("mix_target"))
