@@ -5,11 +5,14 @@ revisit it (a record without payload that refers to it). Records go through Spar
 that Spark writes to, gzipped, and are committed as one; no record is cut.
 
 Reading: archives are read as binary files and parsed by their lengths; a response's digest and size are computed from the payload read.
-Each archive is a run of captures, sorted by URL key and timestamp. Runs are written, dealt by ranges of (URL key, timestamp, page), and a
-k-way loser tree merges the runs that meet in a range, so the capture history is in global order.
+Each archive is a run of captures, sorted by URL key and timestamp. Runs are written, dealt by ranges of (URL key, timestamp, page), and in each range
+merged externally: what comes in order goes to a file of the task's own, at most FAN of them are open at once, each read a few rows at a time, and a
+k-way loser tree merges them, first into longer runs, at last into the capture history in global order. A task so holds FAN * ROWS captures, whatever its
+range has. (The files are the task's scratch, as Spark's own spills are: a task that is lost starts again.)
 
 A null html is an empty payload; a null url is kept as null, after the others; null ids are kept. Equal (page_id, html) rows are all responses or all
-revisits. Payloads of fewer than `least_bytes` are responses, however equal. Extra columns are ignored; no pages give no archive.
+revisits. Payloads of fewer than `least_bytes` are responses, however equal. A very long page is one record. Extra columns, whatever their names, are ignored;
+no pages give no archive and no captures.
 """
 
 from __future__ import annotations
@@ -18,15 +21,16 @@ import base64
 import hashlib
 import math
 import re
+import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, remove, scratch, written
+from ._common import arrow_schema, bounded, map_batches, remove, scratch, spread_join, until_exit, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,22 +123,21 @@ def _inflated(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
 
 
 class LoserTree:
-    """Merges k sorted sequences: inner nodes hold the loser of their match, so each output plays log2 k matches."""
+    """Merges k sorted sequences, of which it holds the heads alone: inner nodes hold the loser of their match, so each output plays log2 k matches."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs = [r for r in runs if r]
-        self.at = [0] * len(self.runs)
-        self.losers = [-1] * max(len(self.runs), 1)
-        self.winner = self._play(1) if self.runs else -1
+    def __init__(self, runs: Iterable[Iterable[tuple]]):
+        self.rest = [iter(r) for r in runs]
+        self.heads = [next(r, None) for r in self.rest]
+        self.losers = [-1] * max(len(self.rest), 1)
+        self.winner = self._play(1) if self.rest else -1
 
     def _less(self, a: int, b: int) -> bool:
         """Whether run a's head comes before run b's; an exhausted run loses, equal heads go by the run's number."""
-        x = self.runs[a][self.at[a]] if self.at[a] < len(self.runs[a]) else None
-        y = self.runs[b][self.at[b]] if self.at[b] < len(self.runs[b]) else None
+        x, y = self.heads[a], self.heads[b]
         return y is None or x is not None and (x, a) < (y, b)
 
     def _play(self, node: int) -> int:
-        k = len(self.runs)
+        k = len(self.rest)
         if node >= k:
             return node - k
         a, b = self._play(2 * node), self._play(2 * node + 1)
@@ -143,11 +146,11 @@ class LoserTree:
         return won
 
     def __iter__(self) -> Iterator[tuple]:
-        k = len(self.runs)
-        while self.winner >= 0 and self.at[self.winner] < len(self.runs[self.winner]):
+        k = len(self.rest)
+        while self.winner >= 0 and self.heads[self.winner] is not None:
             w = self.winner
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
+            yield self.heads[w]
+            self.heads[w] = next(self.rest[w], None)
             node = (w + k) // 2
             while node >= 1:
                 if self._less(self.losers[node], w):
@@ -156,6 +159,88 @@ class LoserTree:
             self.winner = w
 
 
+FAN, ROWS = 64, 256
+
+
+class Run:
+    """A sorted run in a file of this task's: rows go in once, and come out in their order, ROWS at a time."""
+
+    def __init__(self, schema: pa.Schema):
+        self.file, self.schema, self.rows = tempfile.TemporaryFile(), schema, []
+        self.writer = pa.ipc.new_stream(self.file, schema)
+
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+        if len(self.rows) == ROWS:
+            self.writer.write_batch(pa.RecordBatch.from_pylist(self.rows, self.schema))
+            self.rows = []
+
+    def closed(self) -> Run:
+        if self.rows:
+            self.writer.write_batch(pa.RecordBatch.from_pylist(self.rows, self.schema))
+            self.rows = []
+        self.writer.close()
+        return self
+
+    def __iter__(self) -> Iterator[tuple]:
+        self.file.seek(0)
+        for batch in pa.ipc.open_stream(self.file):
+            for row in batch.to_pylist():
+                yield _Keyed((_order(row), row))
+        self.file.close()
+
+
+class _Keyed(tuple):
+    """(key, row), compared by the key alone."""
+
+    def __lt__(self, other) -> bool:
+        return self[0] < other[0]
+
+    def __eq__(self, other) -> bool:
+        return self[0] == other[0]
+
+    __hash__ = None
+
+
+def merged(rows: Iterable[dict], schema: pa.Schema, fan: int = FAN) -> Iterator[dict]:
+    """Rows that come as runs in order, one after the other, in global order. tiers: closed runs by how often they were merged."""
+    tiers: list[list[Run]] = [[]]
+    run, last = None, None
+
+    def close(run: Run, tier: int = 0) -> None:
+        while True:
+            if tier == len(tiers):
+                tiers.append([])
+            tiers[tier].append(run.closed())
+            if len(tiers[tier]) < fan:
+                return
+            run, full = Run(schema), tiers[tier]
+            tiers[tier] = []
+            for _, row in LoserTree(full):
+                run.add(row)
+            tier += 1
+
+    for row in rows:
+        key = _order(row)
+        if run is None or key < last:
+            if run is not None:
+                close(run)
+            run = Run(schema)
+        run.add(row)
+        last = key
+    if run is not None:
+        close(run)
+    while sum(map(len, tiers)) > fan:  # the shortest first
+        shortest = [r for tier in tiers for r in tier][:fan]
+        tiers = [[r for tier in tiers for r in tier][fan:]]
+        longer = Run(schema)
+        for _, row in LoserTree(shortest):
+            longer.add(row)
+        tiers.append([longer.closed()])
+    for _, row in LoserTree([r for tier in tiers for r in tier]):
+        yield row
+
+
 def _order(row: dict) -> tuple:
     return (row["url_key"] is None, row["url_key"] or "", row["timestamp"], row["page_id"] is None, row["page_id"] or 0, row["archive"], row["place"])
 
@@ -166,8 +251,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("digest", F.sha1(payload)).withColumn("size", F.length(payload).cast("long"))
     narrow = rows.select("page_id", "digest", "size")
     # Of payloads that several pages have, the page that keeps it. Only rows of those pages meet it, without their html.
-    shared = narrow.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"), F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1 and kept is not null").select(F.col("digest").alias("d"), "kept")
-    revisits = narrow.join(shared, F.col("digest") == F.col("d")).filter(~F.col("page_id").eqNullSafe(F.col("kept"))).select(F.col("page_id").alias("p"), "d", "kept").distinct()
+    shared = narrow.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"), F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1 and kept is not null").select("digest", "kept", "n")
+    revisits = spread_join(narrow, shared, ["digest"], "n").filter(~F.col("page_id").eqNullSafe(F.col("kept"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "kept").distinct()
     typed = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     total, n = narrow.agg(F.sum("size"), F.count("*")).first()
     per_archive = max(1, archive_bytes * n // max(total or 0, 1))  # records, so that archives come to about archive_bytes
@@ -216,23 +301,14 @@ def read_runs(spark, path: str) -> DataFrame:
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The captures in global order: ranges of keys follow each other, and within one a loser tree merges the runs that fall into it."""
+    bounded(runs.sparkSession)
+    schema = arrow_schema(runs.sparkSession, CAPTURE)
 
     def merge(batches):
-        merged: list[list[tuple]] = []
-        last = None
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            for row in batch.to_pylist():
-                key = _order(row)
-                if last is None or key < last:
-                    merged.append([])
-                merged[-1].append((key, row))
-                last = key
         out = []
-        for _, row in LoserTree(merged):
+        for row in merged((row for batch in batches for row in batch.to_pylist()), schema):
             out.append(row)
-            if len(out) == 8192:
+            if len(out) == 1024:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
         if out:
@@ -247,6 +323,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(pages, path, least_bytes)
+    until_exit(spark, path)
     runs = written(read_runs(spark, path), "captures")
     remove(spark, path)
     return merge_runs(runs)
