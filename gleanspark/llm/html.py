@@ -1,19 +1,24 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Elements and blocks of text are the nodes; each is content or not. A node has a log-linear potential of its tag, the words of its class,
-id and role, its text's length, links and punctuation; a parent and a child have a potential of their two states by the child's kind.
+Elements and blocks of text are the nodes; each is content or not. A node has a log-linear potential of its tag, the kinds that the tokens of its class,
+id and role tell, its text's length, links and punctuation; a parent and a child have a potential of their two states by the child's kind. A
+token tells a kind as a whole: states (has-comments) and taxonomies (category-ads) tell nothing, and where an element that is told off also has a good
+name, holds a main heading or is most of an article, the kind is only doubted, which has weights of its own.
 Sum-product messages pass upward and then downward, which is exact on a tree, and give each block's marginal of being content. The
 weights are fitted by gradient ascent on the exact likelihood of labelled pages; `labelled_pages` makes such pages from a seed, with articles,
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments in varied layouts.
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments in varied layouts, with misleading names on articles and neutral ones
+on the rest.
 
 A null html is empty and gives an empty text, as do pages without content. Broken markup is read as browsers do: unclosed
-comments and raw text run to the end, a tag that never ends is dropped. Repeated rows give repeated rows; extra columns are ignored.
+comments and raw text run to the end, a tag that never ends is dropped, elements that are not known are inline. Reading takes time in proportion to the
+page, however long or deep. Repeated rows give repeated rows; extra columns, whatever their names, are ignored. No pages give no rows.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
@@ -28,8 +33,8 @@ from ._common import map_batches
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head script style noscript template title textarea xmp iframe noembed noframes select option optgroup datalist button svg math canvas object audio video map input".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+DROPPED = frozenset("head script style noscript template title textarea xmp iframe noembed noframes select option optgroup datalist button input annotation annotation-xml desc metadata".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav noscript ol option optgroup p plaintext pre search section select summary table tbody td template textarea tfoot th thead tr ul".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th", "tbody"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPES = frozenset("table ul ol dl body article section div main aside nav".split())
@@ -38,6 +43,7 @@ TAG = re.compile(r"""<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+STOPS = re.compile(r"[.!?](?: |$)")
 
 #: Words of class, id and role, by what they tell.
 LEXICON = {
@@ -46,7 +52,7 @@ LEXICON = {
     "foot": "footer foot copyright legal colophon bottom imprint",
     "side": "sidebar aside rail widget complementary related recommended trending popular tags",
     "notice": "cookie cookies consent notice gdpr alert popup modal overlay warning disclaimer privacy paywall",
-    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner dfp adsense outbrain taboola",
+    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted dfp adsense outbrain taboola",
     "form": "form search login signup subscribe subscription newsletter register contact",
     "comment": "comment comments reply replies discussion disqus respond feedback reviews",
     "share": "share sharing social byline author meta follow",
@@ -54,6 +60,8 @@ LEXICON = {
 }
 KIND = {w: k for k, ws in LEXICON.items() for w in ws.split()}
 KIND["contentinfo"], KIND["dialog"] = "foot", "notice"
+#: Tokens that begin so name a state or a taxonomy of the whole page, not what an element is.
+STATES = re.compile(r"(?:has|have|no|not|non|with|without|is|in|can|hide|hidden|show|enable|disable|category|cat|tag|term|postid|page-id|type|status|format|theme|layout|template|lang|t)[-_]")
 CONTAINERS = frozenset("article aside body center div footer form header main nav section table".split())
 GROUPS = {t: g for g, ts in {"heading": "h1 h2 h3 h4 h5 h6", "item": "li dd dt", "list": "ul ol dl menu", "cell": "td th", "grid": "table tr tbody thead tfoot", "quote": "blockquote pre figure figcaption"}.items() for t in ts.split()}
 
@@ -63,10 +71,14 @@ class Node:
     parent: int
     tag: str
     kinds: tuple[str, ...] = ()
+    doubted: bool = False
     text: str = ""
     linked: int = 0
     size: int = 0
     links: int = 0
+    headed: bool = False
+    inside: bool = False
+    off: bool = False
     features: list[str] = field(default_factory=list)
 
 
@@ -74,6 +86,16 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
+def kinds_of(told: str) -> tuple[str, ...]:
+    """Kinds of the tokens of class, id and role: of a token's words one that is told off outweighs a good one."""
+    found: set[str] = set()
+    for token in told.split():
+        if not STATES.match(token):
+            kinds = {KIND[w] for w in WORDS.findall(token) if w in KIND}
+            found |= kinds - {"good"} or kinds
+    return tuple(sorted(found))
+
+
 def parse(html: str) -> list[Node]:
     """Nodes, parents before children: elements (but inline ones that tell nothing) and #block leaves, in the order of the page."""
     nodes = [Node(-1, "#root")]
@@ -95,14 +117,17 @@ def parse(html: str) -> list[Node]:
     def is_hidden(name: str) -> bool:
         return name in DROPPED or name.startswith("!")
 
+    opened: Counter = Counter()  # open elements by name, so that nothing is looked for that is not there
+
     def close(at: int) -> None:
         """Closes the open elements from place `at` on."""
         nonlocal hidden, links
-        if any(name.lstrip("!") not in INLINE or own for name, own in ((n, k != stack[i - 1][1]) for i, (n, k) in enumerate(stack) if i >= at)):
+        if any(stack[i][0].lstrip("!") in BLOCK or stack[i][1] != stack[i - 1][1] for i in range(at, len(stack))):
             flush()
         for name, _ in stack[at:]:
             hidden -= is_hidden(name)
             links -= name.lstrip("!") == "a"
+            opened[name.lstrip("!")] -= 1
         del stack[at:]
 
     pos, n = 0, len(html)
@@ -135,11 +160,11 @@ def parse(html: str) -> list[Node]:
                 name = m[0].lower()
                 if name == "br" and not hidden:
                     pieces.append(" ")
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                     if stack[k][0].lstrip("!") == name:
                         close(k)
                         break
-                    if name in INLINE and stack[k][0] not in INLINE or name == "p" and stack[k][0] in SCOPES or name in ("li", "td", "th", "tr") and stack[k][0] == ("ul", "table")[name != "li"]:
+                    if name not in BLOCK and stack[k][0].lstrip("!") in BLOCK or name == "p" and stack[k][0] in SCOPES or name in ("li", "td", "th", "tr") and stack[k][0] == ("ul", "table")[name != "li"]:
                         break
             pos = end + 1
             continue
@@ -165,53 +190,63 @@ def parse(html: str) -> list[Node]:
             else:
                 end = html.find(">", stop.end())
                 pos = n if end < 0 else end + 1
-            if name not in INLINE and not hidden and name not in ("script", "style"):
+            if name in BLOCK and not hidden:
                 flush()
             continue
         if name in VOID:
-            if name in ("br", "wbr", "img") or name in INLINE:
-                if name == "br" and not hidden:
-                    pieces.append(" ")
+            if name == "br" and not hidden:
+                pieces.append(" ")
             elif name == "hr":
                 flush()
             continue
         found = _attributes(rest)
         if name in ("html", "body"):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened["head"] else ():
                 if stack[k][0] == "head":
                     close(k)
-            if any(x == name for x, _ in stack):
+            if opened[name]:
                 continue
         if name in ENDS_P or name in SIBLINGS:
             ends = ("p",) if name in ENDS_P else SIBLINGS[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                 if stack[k][0].lstrip("!") in ends:
                     close(k)
                     if name not in ("tr", "thead", "tbody", "tfoot"):
                         break
-                elif stack[k][0] in SCOPES and not (name in ENDS_P and stack[k][0] in INLINE):
+                elif stack[k][0] in SCOPES:
                     break
         told = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
-        kinds = tuple(sorted({KIND[w] for w in WORDS.findall(told) if w in KIND})) if told.strip() else ()
+        kinds = kinds_of(told)
         off = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
         owner = stack[-1][1]
-        if name not in INLINE or any(k != "good" for k in kinds):
+        if name in BLOCK or any(k != "good" for k in kinds):
             flush()
             nodes.append(Node(owner, name, kinds))
             owner = len(nodes) - 1
-        if rest.rstrip().endswith("/") and name not in INLINE and name in ("svg", "math"):
+        if rest.rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
         label = f"!{name}" if off and name not in DROPPED else name
         stack.append((label, owner))
+        opened[name] += 1
         hidden += is_hidden(label)
         links += name == "a"
     flush()
     for k in range(len(nodes) - 1, 0, -1):
-        x = nodes[k]
+        x, up = nodes[k], nodes[nodes[k].parent]
         if x.tag == "#block":
             x.size, x.links = len(x.text), x.linked
-        nodes[x.parent].size += x.size
-        nodes[x.parent].links += x.links
+        up.size += x.size
+        up.links += x.links
+        up.headed |= x.headed or x.tag == "h1" and x.size > 0
+    for x in nodes[1:]:
+        up = nodes[x.parent]
+        x.inside = up.inside or up.tag in ("article", "main")
+        x.off = up.off
+        if any(k != "good" for k in x.kinds):
+            x.doubted = "good" in x.kinds or x.headed or x.inside and x.size >= 0.7 * up.size and "comment" not in x.kinds
+            x.off |= not x.doubted
+        elif x.tag in ("nav", "aside", "footer", "form"):
+            x.off |= not x.headed
     return nodes
 
 
@@ -222,19 +257,21 @@ def _bucket(x: float, limits: tuple[float, ...]) -> int:
 def describe(nodes: list[Node]) -> None:
     """Fills each node's features."""
     whole = max(nodes[0].size, 1)
-    for k, x in enumerate(nodes):
+    for x in nodes:
         group = GROUPS.get(x.tag, x.tag)
         density = x.links / x.size if x.size else 0.0
-        f = ["bias", f"tag {group}", f"links {_bucket(density, (0.2, 0.5, 0.8))}"]
-        f += [f"kind {c}" for c in x.kinds]
+        dense, share = _bucket(density, (0.2, 0.5, 0.8)), _bucket(x.size / whole, (0.2, 0.6))
+        f = ["bias", f"tag {group}", f"links {dense} {'in' if x.inside else 'out'}"]
+        if x.off:
+            f.append("off")
+        f += [f"doubted {c} {share}" if x.doubted and c != "good" else f"kind {c}" for c in x.kinds]
         if x.tag == "#block":
             up = nodes[x.parent]
-            f += [f"in {GROUPS.get(up.tag, up.tag)}", f"length {_bucket(x.size, (25, 80, 200))}", f"stops {min(len(re.findall(r'[.!?](?: |$)', x.text)), 2)}"]
-            if "©" in x.text[:200]:
+            f += [f"in {GROUPS.get(up.tag, up.tag)}", f"length {_bucket(x.size, (25, 80, 200))}", f"stops {min(len(STOPS.findall(x.text)), 2)}"]
+            if "©" in x.text:
                 f.append("copyright")
-        else:
-            if x.tag in CONTAINERS:
-                f += [f"share {_bucket(x.size / whole, (0.2, 0.6))}"]
+        elif x.tag in CONTAINERS:
+            f += [f"share {share}", f"headed {share}" if x.headed else "no heading"]
         x.features = f
 
 
@@ -243,7 +280,7 @@ def _edge(child: Node) -> str:
     if child.tag == "#block":
         return "block"
     if any(k != "good" for k in child.kinds):
-        return "told off"
+        return "doubted" if child.doubted else "told off"
     if child.tag in ("nav", "header", "footer", "aside", "form"):
         return child.tag
     return "good" if child.kinds or child.tag in ("article", "main") else "plain"
@@ -340,8 +377,13 @@ def extract(html: str, model: TreeModel, threshold: float = 0.5) -> str:
     return "\n\n".join(x.text for x, p in zip(nodes, out) if x.tag == "#block" and p >= threshold)
 
 
-def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[str, set[str]]]:
-    """Pages made from a seed, with the texts of their content blocks."""
+#: Names that stand on articles all the same.
+MISLEADING = "has-comments social author-bio contact category-ads with-sidebar share reviews banner promo form widget news-alert legal related popular search-result post-meta".split()
+
+
+def labelled_pages(n: int = 240, seed: int = 5, noise_share: float = 0.0) -> list[tuple[str, set[str]]]:
+    """Pages made from a seed, with the texts of their content blocks. noise_share: of elements whose names mislead or tell nothing, and of linked
+    content and headings in unusual places."""
     r = random.Random(seed)
     syllables = "ba ce di fo gu la me ni po ru sa te vi xo zu".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
@@ -350,26 +392,44 @@ def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[str, set[str]]]:
     sentence = lambda a=3, b=14: style((lambda x: x + ".", lambda x: x + ".", lambda x: x + "!", lambda x: x, lambda x: x.replace(" ", " | "), lambda x: x.upper().replace(" ", "!! "), lambda x: x.replace(" ", "*** ")))(words(a, b).capitalize())
     para = lambda: " ".join(sentence() for _ in range(r.choice((1, 1, 2, 3, 5, 8))))
 
+    def named(*names: str) -> str:
+        """One of the names, or, now and then, one that tells nothing."""
+        return word() if r.random() < 0.4 * noise_share else r.choice(names)
+
     def menu() -> str:
         items = "".join(f'<li><a href="/{word()}">{words(1, 2)}</a></li>' for _ in range(r.randint(2, 8)))
-        return r.choice((f"<nav><ul>{items}</ul></nav>", f'<ul class="menu">{items}</ul>', f'<div id="nav"><ul>{items}</ul></div>', f'<div class="breadcrumb"><a href="/">{word()}</a> &gt; <a href="/x">{words(1, 2)}</a></div>'))
+        return r.choice((f"<nav><ul>{items}</ul></nav>", f'<ul class="{named("menu", "nav-links")}">{items}</ul>', f'<div id="{named("nav", "main-menu")}"><ul>{items}</ul></div>', f'<div class="breadcrumb"><a href="/">{word()}</a> &gt; <a href="/x">{words(1, 2)}</a></div>'))
 
     def head() -> str:
+        if r.random() < 0.4 * noise_share:
+            return f'<div class="site-header"><h1><a href="/">{words(1, 3)}</a></h1>{menu()}</div>'
         return r.choice((f'<header><a href="/">{words(1, 2)}</a><p>{sentence()}</p></header>', f'<div id="header"><div class="logo">{word()}</div>{sentence()}</div>', f"<header><h1>{words(1, 3)}</h1>{menu()}</header>", ""))
 
     def foot() -> str:
-        return r.choice((f"<footer>&copy; {word()}.com &middot; {para()}</footer>", f'<div class="footer"><p>{sentence()}</p><p>&copy; 2024 {word()}</p></div>', f"<footer><ul><li><a href='/a'>{word()}</a></li></ul><p>{para()}</p></footer>"))
+        return r.choice((f"<footer>&copy; {word()}.com &middot; {para()}</footer>", f'<div class="{named("footer", "site-footer")}"><p>{sentence()}</p><p>&copy; 2024 {word()}</p></div>', f"<footer><ul><li><a href='/a'>{word()}</a></li></ul><p>{para()}</p></footer>"))
 
     def side() -> str:
-        return r.choice((f"<aside><h3>{words(1, 3)}</h3><p>{para()}</p></aside>", f'<div class="sidebar"><h2>{words(1, 3)}</h2><ul><li><a href="/q">{words(2, 6)}</a></li><li>{sentence()}</li></ul></div>', f'<div id="related"><p><a href="/r">{sentence()}</a></p></div>'))
+        return r.choice((f"<aside><h3>{words(1, 3)}</h3><p>{para()}</p></aside>", f'<div class="sidebar"><h2>{words(1, 3)}</h2><ul><li><a href="/q">{words(2, 6)}</a></li><li>{sentence()}</li></ul></div>', f'<div id="related"><p><a href="/r">{sentence()}</a></p></div>', f'<div class="related-posts"><ul><li><a href="/r">{words(2, 6)}</a></li><li><a href="/s">{words(2, 6)}</a></li></ul></div>'))
 
     def noise() -> str:
-        return r.choice((f'<div class="ad">{para()}</div>', f'<div class="advert"><p>{para()}</p></div>', f'<section class="sponsored-box">{sentence()}</section>', f'<div class="cookie-notice"><p>{para()}</p><button>{word()}</button></div>', f'<div role="alert">{sentence()}</div>', f'<div id="newsletter"><p>{sentence()}</p><form><input name="e"><button>{word()}</button></form></div>', f'<form action="/s"><label>{words(1, 3)}</label><input><p>{sentence()}</p></form>'))
+        return r.choice((f'<div class="ad">{para()}</div>', f'<div class="ad">{" ".join(para() for _ in range(r.randint(1, 6)))}</div>', f'<div class="advert"><p>{para()}</p></div>', f'<section class="sponsored-box">{sentence()}</section>', f'<div class="cookie-notice"><p>{para()}</p><button>{word()}</button></div>', f'<div role="alert">{sentence()}</div>', f'<div id="newsletter"><p>{sentence()}</p><form><input name="e"><button>{word()}</button></form></div>', f'<form action="/s"><label>{words(1, 3)}</label><input><p>{sentence()}</p></form>', f'<div class="share-buttons"><a href="/f">{word()}</a> <a href="/t">{word()}</a></div>', f'<div class="author-bio"><p>{para()}</p></div>'))
 
     def comments() -> str:
-        each = "".join(f'<div class="comment"><b>{word()}</b><p>{para()}</p></div>' for _ in range(r.randint(1, 4)))
+        each = "".join(f'<div class="comment"><b>{word()}</b><p>{para()}</p></div>' for _ in range(r.choice((1, 2, 4, 12))))
         return r.choice((f'<section id="comments"><h3>{words(1, 2)}</h3>{each}</section>', f'<div class="comments">{each}<form><textarea>{word()}</textarea></form></div>', f"<ol class='comment-list'><li>{sentence()}</li><li>{para()}</li></ol>"))
 
+    def wrap(inner: str) -> str:
+        """The article's element, with misleading names at times: beside a good name, or around most of an article."""
+        extra = f" {r.choice(MISLEADING)}" if r.random() < noise_share else ""
+        if r.random() < 0.3 * noise_share:
+            inner = f'<div class="{r.choice(MISLEADING)}">{inner}</div>'
+            return r.choice(("<article>{}</article>", "<main>{}</main>")).format(inner)
+        good = r.choice("content post entry story article-body blog-post post-content main-content".split())
+        return r.choice((
+            "<article>{}</article>", "<article>{}</article>", f'<article class="{good}{extra}">{{}}</article>', "<main>{}</main>", f'<main id="main" class="{good}{extra}">{{}}</main>', f'<div class="{good}{extra}">{{}}</div>', f'<div class="{good}{extra}">{{}}</div>',
+            f'<div id="main"><div class="{good}{extra}">{{}}</div></div>', "<main><article>{}</article></main>", f'<section class="{good}{extra}">{{}}</section>', "<div>{}</div>", "{}",
+        )).format(inner)
+
     pages = []
     for _ in range(n):
         good: set[str] = set()
@@ -380,6 +440,9 @@ def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[str, set[str]]]:
 
         body = [f"<h1>{keep(words(2, 8))}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice((1, 2, 3, 6, 10, 25, 60))):
+            if r.random() < 0.3 * noise_share:
+                body.append(r.choice((lambda: f'<ul><li><a href="/z">{keep(words(1, 6))}</a></li><li>{keep(sentence())}</li></ul>', lambda: f'<p><a href="/w">{keep(words(2, 8))}</a></p>'))())
+                continue
             body.append(r.choice((
                 lambda: f"<p>{keep(para())}</p>", lambda: f"<p>{keep(para())}</p>", lambda: f"<p>{keep(para())}", lambda: f"<p><b>{keep(para())}<br></b></p>", lambda: f"<p>{keep(sentence(1, 3))}</p>",
                 lambda: f"<h2>{keep(words(1, 6))}</h2>", lambda: f"<ul><li>{keep(sentence())}</li><li>{keep(words(1, 6))}</li></ul>", lambda: f"<blockquote>{keep(para())}</blockquote>",
@@ -388,15 +451,14 @@ def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[str, set[str]]]:
         if r.random() < 0.25:
             body.insert(r.randint(1, len(body)), r.choice((noise, side))())
         inner = "".join(body) + (comments() if r.random() < 0.2 else "")
-        wrap = r.choice(("<article>{}</article>",) * 3 + ("<main>{}</main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', "<main><article>{}</article></main>", '<section class="entry">{}</section>', "<div>{}</div>", "{}"))
-        parts = [head(), menu() if r.random() < 0.8 else "", noise() if r.random() < 0.6 else "", wrap.format(inner), comments() if r.random() < 0.25 else "", side() if r.random() < 0.4 else "", noise() if r.random() < 0.2 else "", foot() if r.random() < 0.9 else ""]
+        parts = [head(), menu() if r.random() < 0.8 else "", noise() if r.random() < 0.6 else "", wrap(inner), comments() if r.random() < 0.25 else "", side() if r.random() < 0.4 else "", noise() if r.random() < 0.2 else "", foot() if r.random() < 0.9 else ""]
         pages.append((f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var a='<p>';</script></head><body>{''.join(parts)}</body></html>", good))
     return pages
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 120, seed: int = 5) -> TreeModel:
-    return fit(labelled_pages(n, seed))
+def trained(n: int = 240, seed: int = 5) -> TreeModel:
+    return fit(labelled_pages(n // 2, seed) + labelled_pages(n - n // 2, seed + 1, 0.4))
 
 
 def main_text(pages: DataFrame, model: TreeModel | None = None, threshold: float = 0.5) -> DataFrame:
