@@ -9,19 +9,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 DIM = 256
 
 
-def hashed_trigrams(texts: list[str], dim: int = DIM) -> list[np.ndarray]:
+def hashed_trigrams(texts: list[str], dim: int = DIM, dtype: type = np.float32) -> list[np.ndarray]:
     """Lower-cased character trigrams, each at the slot of its MD5's first four bytes; unit length."""
     out = []
+    slots: dict[str, int] = {}
     for t in texts:
-        v = np.zeros(dim, np.float32)
+        v = np.zeros(dim, dtype)
         t = (t or "").lower()
         for i in range(max(len(t) - 2, 0)):
-            v[int.from_bytes(hashlib.md5(t[i : i + 3].encode()).digest()[:4], "little") % dim] += 1
+            gram = t[i : i + 3]
+            if gram not in slots:
+                slots[gram] = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "little") % dim
+            v[slots[gram]] += 1
         n = float(np.linalg.norm(v))
         out.append(v / n if n else v)
     return out
@@ -35,6 +39,16 @@ def embed(text: Column, model: Callable[[list[str]], list[np.ndarray]] = hashed_
     return run(text)
 
 
+def embed_exactly(text: Column) -> Column:
+    """The stand-in in double precision, where ranks must not hang on rounding."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([v.tolist() for v in hashed_trigrams(texts.tolist(), dtype=np.float64)])
+
+    return run(text)
+
+
 def ask(prompt: Column, model: Callable[[list[str]], list[str]] | None = None) -> Column:
     """Answers of a language model; the stand-in repeats the prompt's last line."""
     answer = model or (lambda prompts: [(p or "").strip().rpartition("\n")[2] for p in prompts])

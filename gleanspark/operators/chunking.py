@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .markup import FAILED_TABLE, LABEL_COLON, ROW_TAG, RULE_ROW, TABLE_ROW
+
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
@@ -84,3 +88,74 @@ def split_with_tables(text: str, size: int = 1500, overlap: int = 250) -> list[s
                 held.append(line)
             out.append("\n".join([*head, *held]))
     return out
+
+
+def _bars(line: str) -> list[str]:
+    inner = re.sub(r"^\|", "", line.strip())
+    inner = re.sub(r"(?<!\\)\|$", "", inner)
+    return [re.sub(r"\\([|-])", r"\1", c).replace("<br>", " ").strip() for c in re.split(r"(?<!\\)\|", inner)]
+
+
+def plain(text: str) -> str:
+    """`markup.without_table_markup` of one text, where a splitter must measure pieces as it goes."""
+    out: list[str] = []
+    for table, group in groupby(re.sub(FAILED_TABLE, "", text).split("\n"), lambda x: bool(re.match(TABLE_ROW, x))):
+        if not table:
+            out += [re.sub(r"[ \t]{2,}", " ", re.sub(LABEL_COLON, "", re.sub(ROW_TAG, "", x))).strip() if re.search(ROW_TAG, x) else x.replace("<br>", "\n") for x in group]
+            continue
+        rows = [c for c in map(_bars, (x for x in group if not re.match(RULE_ROW, x))) if any(c)]
+        if len(rows) == 1:
+            out.append(" ".join(filter(None, rows[0])))
+        for row in rows[1:]:
+            out.append(" ".join(" ".join(filter(None, (dict(enumerate(rows[0])).get(i), v))) for i, v in enumerate(row) if v))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^[ \t]*$", "", "\n".join(out))).strip()
+
+
+def _parts(text: str, size: int) -> list[tuple[str, bool]]:
+    """(piece, whether it is of a table): tables whole, or by rows beyond three sizes with their two header lines repeated; the rest in pieces of `size`."""
+    out: list[tuple[str, bool]] = []
+    for table, group in groupby(text.split("\n"), lambda x: bool(re.match(TABLE_ROW, x) or re.search(ROW_TAG, x))):
+        lines = list(group)
+        whole = "\n".join(lines)
+        if not table:
+            out += [(p, False) for p in _pieces(whole, size, SEPARATORS)]
+        elif len(plain(whole)) <= 3 * size:
+            out.append((whole, True))
+        else:
+            head = [] if re.search(ROW_TAG, lines[0]) else lines[:2]
+            held: list[str] = []
+            for line in lines[len(head) :]:
+                if held and len(plain("\n".join([*head, *held, line]))) > size:
+                    out.append(("\n".join([*head, *held]), True))
+                    held = []
+                held.append(line)
+            out.append(("\n".join([*head, *held]) if held else whole, True))
+    return out
+
+
+def chunk_pairs(text: str, size: int = 1500, overlap: int = 250) -> list[tuple[str, str]]:
+    """(search text, generation text): pieces are joined while the search text, without markup, has at most `size` characters. Each but the first begins with the end
+    of the piece before it, unless that is of a table."""
+    groups: list[list[tuple[str, bool]]] = []
+    for part in _parts(text or "", size):
+        if groups and len(plain("\n".join(p for p, _ in [*groups[-1], part]))) <= size:
+            groups[-1].append(part)
+        else:
+            groups.append([part])
+    out = []
+    for n, group in enumerate(groups):
+        last, table = groups[n - 1][-1] if n and overlap > 0 else ("", True)
+        whole = "\n".join(p for p, _ in group)
+        out.append(last[-overlap:] + "\n" + whole if not table and last else whole)
+    return [(plain(x), x) for x in out]
+
+
+def chunked_pairs(docs: DataFrame, size: int = 1500, overlap: int = 250) -> DataFrame:
+    """chunk_id, doc_id, order, total, text, gen from docs(doc_id, text)."""
+
+    @F.pandas_udf("array<struct<text:string,gen:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"text": a, "gen": b} for a, b in chunk_pairs(t, size, overlap)])
+
+    rows = docs.select("doc_id", cut("text").alias("made")).select("doc_id", F.size("made").alias("total"), F.posexplode("made").alias("order", "x"))
+    return rows.select(F.format_string("%s::%04d", F.col("doc_id").cast("string"), "order").alias("chunk_id"), "doc_id", "order", "total", "x.text", "x.gen")

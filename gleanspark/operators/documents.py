@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +114,27 @@ def quota(df: DataFrame, kind: str, key: str, quotas: dict[str, int], seed: int
     allowed = F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(kind))
     order = Window.partitionBy(kind).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")))
     return df.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= F.coalesce(allowed, F.lit(0))).drop("__n")
+
+
+def processed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with gen (cleaned), text (without table markup), fields (labelled values) and warnings of what the clean-up removed."""
+    from ..functions import cleaning
+    from . import markup
+
+    got = cleaning.cleaned(F.col("text"))
+    notes = [F.when(got[c] > 0, F.concat(F.lit(f"{c} "), got[c].cast("string"))) for c in ("page_lines", "boilerplate_lines", "tags", "placeholders", "empty_parens", "controls", "foreign_runs")]
+    rows = docs.withColumns({"warnings": F.filter(F.array(*notes), lambda x: x.isNotNull()), "gen": got["text"]})
+    return rows.withColumns({"text": markup.without_table_markup(F.col("gen")), "fields": markup.labelled_values(F.col("gen"))})
+
+
+def incremental(files: DataFrame, before: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What was made before of the files that are still there, and what `process` makes of new and changed ones. Both carry path and modified; before also what
+    process adds."""
+    known = before.join(files.select("path", "modified"), ["path", "modified"], "left_semi")
+    fresh = process(files.join(before.select("path", "modified"), ["path", "modified"], "left_anti"))
+    return known.unionByName(fresh, allowMissingColumns=True)
+
+
+def cached_rows(made: DataFrame, merged: list[str]) -> DataFrame:
+    """Documents that were made before, by file, without the columns that metadata add, so that these are not merged twice."""
+    return made.drop(*[c for c in merged if c in made.columns])

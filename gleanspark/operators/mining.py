@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .retrieval import holding
 
 
 def mined_keywords(chunks: DataFrame, synonyms: dict[str, list[str]], token: Column, top: int = 5, least: int = 20, low: float = 0.002, high: float = 0.25, seed_max: float = 0.25, slice_max: float = 0.35) -> DataFrame:
@@ -59,21 +60,24 @@ def resolved(names: DataFrame, known: DataFrame, least: int = 4) -> DataFrame:
 
 def owners(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, owners, verdict of pairs(item_id, question, keyword) over docs(doc_id, text): empty, duplicate, not in corpus, ambiguous (several
-    documents) or kept. An evaluation set is small beside the corpus: documents are
-    read once and meet its keywords by substring, without a shuffle where Spark finds the keywords small enough to broadcast."""
+    documents) or kept. Keywords meet the documents that have their rarest word (`holding`)."""
     asked = pairs.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy("item_id")))
-    needles = asked.filter(F.length(F.trim("keyword")) > 0).select("item_id", "keyword")
-    found = docs.join(needles, F.expr("contains(text, keyword)")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("owners"))
+    needles = asked.filter(F.length(F.trim("keyword")) > 0).select(F.col("item_id").alias("query_id"), F.col("keyword").alias("text"))
+    met = holding(docs.select(F.col("doc_id").alias("chunk_id"), "text"), needles)
+    found = met.groupBy(F.col("query_id").alias("item_id")).agg(F.countDistinct("chunk_id").alias("owners"))
     out = asked.join(found, "item_id", "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
     blank = F.coalesce(F.length(F.trim("keyword")), F.lit(0)) == 0
     return out.select("item_id", "owners", F.when(blank, "empty").when(F.col("n") > 1, "duplicate").when(F.col("owners") == 0, "not in corpus").when(F.col("owners") > 1, "ambiguous").otherwise("kept").alias("verdict"))
 
 
 def survival(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """kind, asked, survived: of pairs(kind, doc_id, keyword) whose keyword is in a piece(doc_id, text) of their own document."""
-    asked = pairs.filter(F.length("keyword") > 0).select("kind", "doc_id", "keyword")
-    hit = asked.join(pieces.select("doc_id", "text"), "doc_id", "left").groupBy("kind", "doc_id", "keyword").agg(F.coalesce(F.max(F.contains("text", "keyword").cast("int")), F.lit(0)).alias("hit"))
-    return hit.groupBy("kind").agg(F.count("*").alias("asked"), F.sum("hit").cast("long").alias("survived"))
+    """kind, asked, survived: of pairs(kind, doc_id, keyword) whose keyword is, white space aside, in the pieces(doc_id, order, text) of their own document, joined in
+    order. Blank keywords are not asked."""
+    asked = pairs.filter(F.length(T.squeeze(F.col("keyword"))) > 0).select("kind", "doc_id", "keyword")
+    wanted = pieces.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    bodies = wanted.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "text"))), lambda x: x["text"]), "").alias("body"))
+    hit = F.contains(T.squeeze(F.coalesce("body", F.lit(""))), T.squeeze(F.col("keyword")))
+    return asked.join(bodies, "doc_id", "left").groupBy("kind").agg(F.count("*").alias("asked"), F.count_if(hit).alias("survived"))
 
 
 def line_keep_rate(plain: DataFrame, other: DataFrame, least: int = 10) -> DataFrame:

@@ -186,3 +186,17 @@ def metrics(ranks: DataFrame, *by: str, k: int = 5, mrr_k: int = 10) -> DataFram
     """Hit rate at k, mean reciprocal rank at mrr_k, share of first places, questions. Every question counts."""
     at = F.col("rank")
     return ranks.groupBy(*by).agg(F.round(F.avg(F.when(at <= k, 1.0).otherwise(0.0)), 3).alias("hit_rate"), F.round(F.avg(F.when(at <= mrr_k, 1 / at).otherwise(0.0)), 3).alias("mrr"), F.round(F.avg(F.when(at == 1, 1.0).otherwise(0.0)), 3).alias("top1"), F.count("*").alias("questions"))
+
+
+def holding(chunks: DataFrame, needles: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks(chunk_id, text) that contain a needle(query_id, text) literally. They meet by the needle's rarest whole word,
+    one that white space or the needle's border does not cut, so no needle is held against every chunk; needles without one meet all by substring."""
+    inner = lambda t: F.slice(F.split(t, r"\s+"), 2, F.greatest(F.size(F.split(t, r"\s+")) - 2, F.lit(0)))
+    words = needles.select("query_id", F.explode(F.array_distinct(F.filter(inner(F.col("text")), lambda w: w != ""))).alias("term"))
+    index = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("term")).join(words.select("term").distinct(), "term", "left_semi")
+    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = words.join(frequency, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    met = index.join(rarest, "term").join(needles.select("query_id", F.col("text").alias("needle")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    bare = needles.join(words, "query_id", "left_anti").filter(F.length("text") > 0).select("query_id", F.col("text").alias("needle"))
+    rest = chunks.join(bare, F.expr("contains(text, needle)"))
+    return met.filter(F.expr("contains(text, needle)")).select("query_id", "chunk_id").unionByName(rest.select("query_id", "chunk_id"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as T
-from ..operators import chunking, markup, mining
+from ..operators import chunking, documents, markup, mining
 from ..operators import retrieval as R
+from ..operators.search import body
 from ..sources import listings
 from ..sources.tables import spread
 from .catalog import BM25, C, chunks, questions, register, table
@@ -130,18 +131,20 @@ def j06_j12_owners(spark, sf_dir):
     return mining.owners(table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 20).alias("question"), F.col("text").alias("keyword")), table(spark, sf_dir, "documents"))
 
 
-@register(f"""WITH {C}, a AS (SELECT DISTINCT lang AS kind, doc_id, trim(right(text, 12)) AS keyword FROM documents WHERE length(trim(right(text, 12))) > 0)
-SELECT kind, count(*) AS asked, CAST(sum(hit) AS BIGINT) AS survived FROM (SELECT kind, a.doc_id, keyword, coalesce(max(CASE WHEN contains(c.text, keyword) THEN 1 ELSE 0 END), 0) AS hit FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND "order" < 2 GROUP BY ALL) GROUP BY kind""")
+@register(f"""WITH {C}, a AS (SELECT lang AS kind, doc_id, regexp_replace(right(text, 12), '\\s+', '', 'g') AS keyword FROM documents), p AS (SELECT doc_id, regexp_replace(string_agg(text, '' ORDER BY "order"), '\\s+', '', 'g') AS body FROM c WHERE NOT (doc_id % 4 = 0 AND "order" = 0) GROUP BY doc_id)
+SELECT kind, count(*) AS asked, count(*) FILTER (WHERE contains(coalesce(body, ''), keyword)) AS survived FROM a LEFT JOIN p ON a.doc_id = p.doc_id WHERE length(keyword) > 0 GROUP BY kind""")
 def j07_survival(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), "doc_id", F.trim(F.expr("right(text, 12)")).alias("keyword"))
-    return mining.survival(pairs, chunks(spark, sf_dir).filter(F.col("order") < 2))
+    """Ends of all documents in all their chunks, of which a splitter lost the first of every fourth document."""
+    pairs = table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), "doc_id", F.expr("right(text, 12)").alias("keyword"))
+    return mining.survival(pairs, chunks(spark, sf_dir).filter(~((F.col("doc_id") % 4 == 0) & (F.col("order") == 0))))
 
 
-@register("""WITH a AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), b AS (SELECT DISTINCT doc_id, trim(unnest(string_split(left(text, 1200), chr(10)))) AS line FROM documents)
+@register("""WITH a AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), b AS (SELECT DISTINCT doc_id, trim(unnest(string_split(replace(text, ' the ', ' a '), chr(10)))) AS line FROM documents)
 SELECT a.doc_id, count(*) AS lines, count(b.line) AS kept, round(count(b.line) / CAST(count(*) AS DOUBLE), 6) AS rate FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.line = b.line WHERE length(a.line) >= 10 GROUP BY a.doc_id""")
 def a24_line_keep_rate(spark, sf_dir):
+    """Whole texts against another extraction that changes a word."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mining.line_keep_rate(d, d.withColumn("text", F.substring("text", 1, 1200)))
+    return mining.line_keep_rate(d, d.withColumn("text", F.replace("text", F.lit(" the "), F.lit(" a "))))
 
 
 @register(f"""WITH {BM25}, g AS (SELECT b.item_id AS query_id, c.chunk_id FROM benchmark b JOIN c ON contains(c.text, b.text)),
@@ -151,21 +154,24 @@ SELECT CASE WHEN shown THEN 'hit' WHEN NOT has THEN 'no gold in corpus' WHEN ran
 def a16_failures(spark, sf_dir):
     c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
     hits = R.bm25(c, q, 10)
-    gold = q.withColumnRenamed("text", "needle").join(c, F.expr("contains(text, needle)")).select("query_id", "chunk_id")
-    return mining.failures(gold, hits, R.fit_context(hits.join(c.select("chunk_id", "text"), "chunk_id")), q)
+    return mining.failures(R.holding(c, q), hits, R.fit_context(hits.join(c.select("chunk_id", "text"), "chunk_id")), q)
 
 
-@register("""SELECT lang AS kind, count(*) AS n, round(avg(length(left(text, 300))), 3) AS mean_a, round(avg(length(right(text, 900))), 3) AS mean_b, count(*) FILTER (WHERE a) AS hits_a, count(*) FILTER (WHERE b) AS hits_b, count(*) FILTER (WHERE a AND NOT b) AS lost, count(*) FILTER (WHERE NOT a AND b) AS gained
-FROM (SELECT *, contains(left(text, 300), 'en ') AS a, contains(right(text, 900), 'en ') AS b FROM documents) GROUP BY lang""")
+@register("""SELECT lang AS kind, count(*) AS n, round(avg(length(text)), 3) AS mean_a, round(avg(length(replace(text, 'en ', ''))), 3) AS mean_b, count(*) FILTER (WHERE a) AS hits_a, count(*) FILTER (WHERE b) AS hits_b, count(*) FILTER (WHERE a AND NOT b) AS lost, count(*) FILTER (WHERE NOT a AND b) AS gained
+FROM (SELECT *, contains(text, 'een ') AS a, contains(CASE WHEN doc_id % 3 = 0 THEN text || 'een ' ELSE replace(text, 'en ', '') END, 'een ') AS b, CASE WHEN doc_id % 3 = 0 THEN text || 'een ' ELSE replace(text, 'en ', '') END AS tb FROM documents) GROUP BY lang""".replace("length(replace(text, 'en ', ''))", "length(tb)"))
 def a14_paired(spark, sf_dir):
+    """Whole texts against those that lost a word, or gained one."""
     d = table(spark, sf_dir, "documents")
-    side = lambda e: d.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("kind"), F.expr(e).alias("context"))
-    return mining.paired(side("left(text, 300)"), side("right(text, 900)"), F.lit("en "))
+    side = lambda e: d.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("kind"), e.alias("context"))
+    other = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("een "))).otherwise(F.replace("text", F.lit("en "), F.lit("")))
+    return mining.paired(side(F.col("text")), side(other), F.lit("een "))
 
 
-@register("""SELECT source AS extractor, count(*) AS docs, min(length(text)) AS shortest, max(length(text)) AS longest, round(avg(length(text)), 3) AS mean_chars, count(*) FILTER (WHERE length(text) < 1000) AS weak, round(avg(least(length(text) / CAST(length(left(text, 2000) || lang) AS DOUBLE), 1.0)), 4) AS ratio FROM documents GROUP BY source""")
+@register("""SELECT source AS extractor, count(*) AS docs, min(length(text)) AS shortest, max(length(text)) AS longest, round(avg(length(text)), 3) AS mean_chars, count(*) FILTER (WHERE length(text) < 1000) AS weak, round(avg(least(length(text) / CAST(length(CASE WHEN doc_id % 2 = 0 THEN text || text ELSE lang END) AS DOUBLE), 1.0)), 4) AS ratio FROM documents GROUP BY source""")
 def a32_extraction_report(spark, sf_dir):
-    return mining.extraction_report(table(spark, sf_dir, "documents").select(F.col("source").alias("extractor"), "text", F.concat(F.substring("text", 1, 2000), "lang").alias("stated")))
+    """Lengths of whole texts against what is stated of them."""
+    stated = F.when(F.col("doc_id") % 2 == 0, F.concat("text", "text")).otherwise(F.col("lang"))
+    return mining.extraction_report(table(spark, sf_dir, "documents").select(F.col("source").alias("extractor"), "text", stated.alias("stated")))
 
 
 @register(r"""SELECT doc_id, CAST(len(list_filter(l, lambda x: regexp_matches(x, '^\d+[.)]'))) AS INTEGER) AS numbered, CAST(len(list_filter(l, lambda x: NOT regexp_matches(x, '^\d+[.)]') AND regexp_matches(x, '^[-*]'))) AS INTEGER) AS bulleted FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
@@ -222,9 +228,28 @@ def c03_semantic_chunks(spark, sf_dir):
 
 @register()
 def t09_t11_clean_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", markup.mapped(F.col("text"), lambda t: markup.without_table_markup(markup.without_toc(t))).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", markup.without_table_markup(markup.without_toc(F.col("text"))).alias("text"))
 
 
 @register()
 def t17_labelled_values(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", markup.mapped(F.col("text"), markup.labelled_values, "map<string,string>").alias("fields"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", markup.labelled_values(F.col("text")).alias("fields"))
+
+
+@register()
+def c05_chunk_pairs(spark, sf_dir):
+    """Search and generation texts; greedy, so small cases and the recursion's parts test it."""
+    return chunking.chunked_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register(f"WITH {C} SELECT chunk_id, CASE WHEN \"order\" % 2 = 0 THEN text || '!' ELSE text END AS body FROM c")
+def p04_generation_body(spark, sf_dir):
+    """Chunks with and without a generation text."""
+    return chunks(spark, sf_dir).withColumn("gen", F.when(F.col("order") % 2 == 0, F.concat("text", F.lit("!"))).otherwise("")).select("chunk_id", body(True).alias("body"))
+
+
+@register("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'period' END AS period FROM documents""")
+def c09_processed_documents(spark, sf_dir):
+    """Extracted texts cleaned, stripped of markup, with their fields: whether the label's value was found."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.regexp_replace("text", "[□■○◦※]", ""), F.when(F.col("doc_id") % 2 == 0, F.lit("\n□ 사업기간 : period\n")).otherwise("")).alias("text"))
+    return documents.processed(docs).select("doc_id", F.col("fields")["사업기간"].alias("period"))

@@ -103,6 +103,7 @@ def paragraph_text(payload: bytes) -> str:
 
 def extract(files: DataFrame) -> DataFrame:
     """files(path, content) to EXTRACTED; a file that can't be read has its error, the others go on."""
+    from .hwp import first_that_reads
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,12 +114,15 @@ def extract(files: DataFrame) -> DataFrame:
                     if kind == "hwpx":
                         text, tables = hwpx(bytes(content))
                         rows.append((path, "hwpx", text, tables, None))
+                    elif kind == "hwp":
+                        name, text, counts, failed = first_that_reads(bytes(content))
+                        rows.append((path, name, text, counts.get("tables", 0), "; ".join(failed) or None))
                     elif kind in ("txt", "md", "csv"):
                         rows.append((path, "text", bytes(content).decode("utf-8", "replace"), 0, None))
                     else:
                         rows.append((path, "unsupported", "", 0, f"no extractor of .{kind}"))
                 except Exception as e:  # one broken file must not end the scan
-                    rows.append((path, "failed", "", 0, f"{type(e).__name__}: {e}"[:200]))
+                    rows.append((path, "failed", "", 0, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in EXTRACTED.split(", ")])
 
     return files.mapInPandas(run, EXTRACTED)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import os
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, make_doc_id, scrub_nan
@@ -28,6 +33,23 @@ def read_metadata(spark: SparkSession, path: str, encoding: str = "utf-8") -> Da
     return df.withColumn("doc_id", make_doc_id(F.col("notice_no"), seq, F.col("file_name")))
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder below the one that driver and executors share, spark.checkpoint.dir. Unset, one of this machine if the master is local, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "gleanspark-shared")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Has a path deleted when the driver's JVM ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, where its files have fewer splits; large inputs stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -73,21 +95,45 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def merge_metadata(files: DataFrame, metadata: DataFrame, least: int = 15) -> DataFrame:
-    """files(file_name, ...) with their metadata by normalised name, or else by the longest common beginning of at least `least` characters; match says how.
-    Candidates for the second meet by their first `least` characters, so there is no cross join; each metadata row serves one file at most."""
+def assigned(files: DataFrame, free: DataFrame, least: int = 15) -> DataFrame:
+    """key, name of files(key) and free(name): in the order of their keys, each file takes the name with the longest common beginning of at least `least` characters
+    that none before it took, the first in order of several. Only names with equal heads of `least` characters can meet, so each head is settled by itself."""
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        left, names = sorted(rows["key"].dropna()), sorted(rows["name"].dropna())
+        out = []
+        for key in left:
+            best = max(names, key=lambda n: (len(os.path.commonprefix([key, n])), [-ord(c) for c in n]), default=None)
+            if best is not None:
+                out.append((key, best))
+                names.remove(best)
+        return pd.DataFrame(out, columns=["key", "name"])
+
+    head = lambda c: F.substring(c, 1, least).alias("head")
+    null = F.lit(None).cast("string")
+    both = files.filter(F.length("key") >= least).select(head("key"), "key", null.alias("name")).unionByName(free.filter(F.length("name") >= least).select(head("name"), null.alias("key"), "name"))
+    return both.groupBy("head").applyInPandas(settle, "key string, name string")
+
+
+def merge_metadata(files: DataFrame, metadata: DataFrame, least: int = 15, matched: float | None = None) -> DataFrame:
+    """files(file_name, ...) with their metadata by normalised name, or else by the longest common beginning (`assigned`); match says how, null where there is
+    none. Columns that both have come from the metadata as name_metadata. matched: raises ValueError where a smaller share of the files has metadata."""
     name = lambda c: F.regexp_replace(F.trim(c), r"(?i)\.(hwp|pdf)$", "")
     left = files.withColumn("__key", name(F.col("file_name")))
-    right = metadata.withColumn("__name", name(F.col("file_name"))).withColumnRenamed("file_name", "metadata_file")
+    own = {c: f"{c}_metadata" for c in metadata.columns if c in files.columns and c != "file_name"}
+    right = metadata.withColumn("__name", name(F.col("file_name"))).withColumnRenamed("file_name", "metadata_file").withColumnsRenamed(own)
     exact = left.join(right, F.col("__key") == F.col("__name")).withColumn("match", F.lit("exact"))
     rest = left.join(exact.select("__key"), "__key", "left_anti")
     free = right.join(exact.select("__name"), "__name", "left_anti")
-    common = F.aggregate(F.sequence(F.lit(1), F.least(F.length("__key"), F.length("__name"))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substr("__key", i, F.lit(1)) == F.substr("__name", i, F.lit(1))), i).otherwise(n))
-    near = rest.join(free, F.substring("__key", 1, least) == F.substring("__name", 1, least)).withColumn("__common", common).filter(F.col("__common") >= least)
-    best = near.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.col("__common").desc(), "__name"))).filter("__n = 1")
-    best = best.withColumn("__n", F.row_number().over(Window.partitionBy("__name").orderBy(F.col("__common").desc(), "__key"))).filter("__n = 1").drop("__n", "__common").withColumn("match", F.lit("fuzzy"))
-    none = rest.join(best.select("__key"), "__key", "left_anti")
-    return exact.unionByName(best).unionByName(none, allowMissingColumns=True).drop("__key", "__name")
+    pairs = assigned(rest.select(F.col("__key").alias("key")).distinct(), free.select(F.col("__name").alias("name")).distinct(), least)
+    near = rest.join(pairs, F.col("__key") == F.col("key")).drop("key").join(free, F.col("name") == F.col("__name")).drop("name").withColumn("match", F.lit("fuzzy"))
+    none = rest.join(near.select("__key"), "__key", "left_anti")
+    out = exact.unionByName(near).unionByName(none, allowMissingColumns=True).drop("__key", "__name")
+    if matched is not None:
+        share = out.agg(F.count("match") / F.greatest(F.count("*"), F.lit(1))).first()[0]
+        if share < matched:
+            raise ValueError(f"{share:.0%} of the files have metadata, under {matched:.0%}")
+    return out
 
 
 def new_version(spark: SparkSession, df: DataFrame, folder: str) -> str:

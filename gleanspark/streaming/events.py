@@ -5,17 +5,14 @@ Both run what is there (availableNow) to a table and its checkpoint in the folde
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch, until_exit
+
 
 def _folder(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "gleanspark-shared")
-    return f"{base.rstrip('/')}/stream-{what}-{uuid.uuid4().hex}"
+    return scratch(spark, f"stream-{what}")
 
 
 def arrivals(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +27,7 @@ def drained(df: DataFrame, what: str, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     out = _folder(spark, what)
     df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/table").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/table")
+    return spark.read.schema(df.schema).parquet(f"{until_exit(spark, out)}/table")
 
 
 def tumbling(spark: SparkSession, path: str, length: str = "1 hour") -> DataFrame:
@@ -42,10 +39,54 @@ def tumbling(spark: SparkSession, path: str, length: str = "1 hour") -> DataFram
         by.agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{out}/table/batch={number}")
 
     arrivals(spark, path).writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/table").groupBy("event_type", "start").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    return spark.read.parquet(f"{until_exit(spark, out)}/table").groupBy("event_type", "start").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
 def first_arrivals(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """Keys at their first arrival: state holds each key once, so polls that overlap add nothing."""
     keys = keys or ("user_id", "event_type")
     return drained(arrivals(spark, path).select(*keys).dropDuplicates(list(keys)), "arrivals")
+
+
+def timed(spark: SparkSession, path: str, late: str) -> DataFrame:
+    """Arriving events with a watermark; their times are read in the session's zone, since watermarks need instants."""
+    return arrivals(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def sliding(spark: SparkSession, path: str, length: str = "6 hours", step: str = "1 hour", late: str = "2 days") -> DataFrame:
+    """Counts by type and overlapping windows, an extension beyond polling: windows are told once the watermark has passed them, and what comes later than `late`
+    after the newest event is dropped; draining ends all windows that it can."""
+    counts = timed(spark, path, late).groupBy("event_type", F.window("ts", length, step)).agg(F.count("*").alias("n"))
+    return drained(counts.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "sliding")
+
+
+def sessions(spark: SparkSession, path: str, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
+    """Sessions of each user, an extension: events at most `gap` apart; told once the watermark has passed their end."""
+    counts = timed(spark, path, late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+    ends = [F.col(f"session_window.{c}").cast("timestamp_ntz").alias(c) for c in ("start", "end")]
+    return drained(counts.select("user_id", *ends, "n"), "sessions")
+
+
+def polled(spark: SparkSession, path: str, *keys: str, late: str = "2 days") -> DataFrame:
+    """Rows of overlapping polls, each key once within `late` of its first arrival: state is dropped when the watermark has passed it, so it stays bounded."""
+    keys = keys or ("event_id",)
+    return drained(timed(spark, path, late).dropDuplicatesWithinWatermark(list(keys)), "polls")
+
+
+def upserted(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """The latest row of each key, by micro-batch: a batch's latest rows and those of the version before whose keys it does not have make the next
+    version. Each version is a table of its own, and the checkpoint's batch number names it, so a batch that is run again writes the same one."""
+    out = _folder(spark, "upserts")
+    state = {"last": None}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        if state["last"] is not None:
+            before = batch.sparkSession.read.parquet(f"{out}/v{state['last']}")
+            both = before.unionByName(newest)
+            newest = both.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        newest.write.mode("overwrite").parquet(f"{out}/v{number}")
+        state["last"] = number
+
+    arrivals(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{until_exit(spark, out)}/v{state['last']}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanspark.functions import models
 from gleanspark.functions import text as X
 from gleanspark.operators import chunking, documents, markup, mining, retrieval
-from gleanspark.plans import catalog, evaluation  # noqa: F401
+from gleanspark.plans import catalog, cleanup, evaluation, reports, search, stores  # noqa: F401
 from gleanspark.sources import files, listings, tables
 
 SF = "/root/testdata/sf0.001"
@@ -181,21 +181,24 @@ def test_paged_scan(spark):
     assert sorted((r.page, r.item) for r in listings.paged(spark, fetch, 5, 2).collect()) == [(1, '{"n": -1}'), (1, '{"n": 1}'), (2, '{"n": -2}'), (2, '{"n": 2}'), (3, '{"n": 3}')]
 
 
-def test_table_markup():
+def test_table_markup(spark):
+    plain = lambda t: one(spark, markup.without_table_markup(F.col("v")), v=t)
     table = "앞\n| 구분 | 기간 |\n|---|---|\n| 가 | 3<br>월 |\n|  | 4\\|5 |\n뒤<br>끝\n[행 1] 시각: 15:00 [행 2] 이름: 값"
-    assert markup.without_table_markup(table) == "앞\n구분 가 기간 3 월\n기간 4|5\n뒤\n끝\n시각 15:00 이름 값"
-    assert markup.without_table_markup("") == "" and markup.without_table_markup("| 하나 | 둘 |") == "하나 둘"
+    assert plain(table) == "앞\n구분 가 기간 3 월\n기간 4|5\n뒤\n끝\n시각 15:00 이름 값"
+    assert plain("") == "" and plain("| 하나 | 둘 |") == "하나 둘"
+    assert plain("| a | b |\n|---|---|\n| | |\n\n| c |\n| d |") == "a b\n\nc d"
 
 
-def test_contents_table():
+def test_contents_table(spark):
+    cut = lambda t: one(spark, markup.without_toc(F.col("v")), v=t)
     entries = [f"{i}. 항목 {i}" for i in range(1, 10)]
     text = "\n".join(["목 차", *entries, "1. 항목 1", "본문입니다."])
-    assert markup.without_toc(text) == "1. 항목 1\n본문입니다."
-    assert markup.without_toc("\n".join(entries[:5])) == "\n".join(entries[:5]) and markup.without_toc("") == ""
+    assert cut(text) == "1. 항목 1\n본문입니다."
+    assert cut("\n".join(entries[:5])) == "\n".join(entries[:5]) and cut("") == ""
 
 
-def test_labelled_values():
-    got = markup.labelled_values("○ 사업기간\n\n□ 계약방법: 협상에\n의한 계약\n4. 다음\n※ 끝 사업기간 : 12개월")
+def test_labelled_values(spark):
+    got = one(spark, markup.labelled_values(F.col("v")), v="○ 사업기간\n\n□ 계약방법: 협상에\n의한 계약\n4. 다음\n※ 끝 사업기간 : 12개월")
     assert got["사업기간"] == "12개월" and got["계약방식"] == "협상에 의한 계약" and got["보안특약"] is None
 
 
