@@ -1,17 +1,17 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 Fingerprints: the majority of each bit over the XXH64 of all word shingles, repeats included. Equal fingerprints are one node.
-Nodes meet in blocks. `pigeonhole`: four parts of the fingerprint, of which two must be equal within radius 2, so no link is lost;
-`minhash`: pairs of minima of the shingles' hashes, for wider radii. In a block the fingerprints are stored as bit planes, 64 to
+Nodes meet in blocks: of four parts of the fingerprint two must be equal within radius 2, so no link is lost. In a block the fingerprints are stored as bit planes, 64 to
 a word; planes that differ are added by carry-save counters that overflow when a pair exceeds the radius, and words all of whose pairs
 have overflowed are abandoned. A block of more than BLOCK nodes is dealt as pairs of parts to many tasks. What leaves a
 block is a spanning forest of its links; components join them.
 
-`one_of_each` (the pipeline's) differs: its nodes are the sets of distinct shingles, its fingerprints are made from them, and the blocks
-only find candidates, whose sets are then brought to the blocks and compared; only links of enough exact Jaccard similarity leave a block.
+`one_of_each` (the pipeline's) differs: its nodes are the sets of distinct shingles, its fingerprints are made from them, its blocks are pairs of minima
+of the shingles' hashes, and they only find candidates, whose sets are then brought to the blocks and compared; only links of enough exact Jaccard similarity leave a block.
 
 Null and blank texts have fingerprint zero, or the empty set, and are linked like any other. Null ids take part but name no component.
-Repeated rows are copies. Extra columns are ignored by `near_duplicates` and kept by `one_of_each`. No rows give no rows.
+Repeated rows are copies. A very long text is read whole; its shingles' hashes are held by one task. Extra columns, whatever their names, are ignored
+by `near_duplicates` and kept by `one_of_each`. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, map_batches, mix64, shingles, text_bytes, written
+from ._common import arrow_schema, dropped, map_batches, mix64, shingles, spread_join, text_bytes, whole, written
 from .components import components
 
 BLOCK = 16_384
@@ -259,19 +259,13 @@ def _blocks(dealt: DataFrame) -> DataFrame:
     return dealt.repartition(F.col("key"), F.col("low"), F.col("high")).sortWithinPartitions("key", "low", "high", "node")
 
 
-def fingerprints(docs: DataFrame, width: int, words: int = 1, bands: int = 0) -> DataFrame:
-    """id, k1 and k2 (hashes of id and text), node (the fingerprint), keys (of the bands)."""
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """id, node (the fingerprint)."""
 
     def run(part: pa.RecordBatch) -> dict:
-        nodes, keys = [], []
-        for x in text_bytes(part.column("text")):
-            h = shingle_hashes(x, width)
-            nodes.append(_fingerprint(h, words))
-            keys.append(minhash_keys(h, bands) if bands else [])
-        return {"id": part.column("id"), "k1": part.column("k1"), "k2": part.column("k2"), "node": nodes, "keys": keys}
+        return {"id": part.column("id"), "node": [fingerprint(x, width) for x in text_bytes(part.column("text"))]}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"), "text")
-    return written(map_batches(rows, run, "id long, k1 long, k2 long, node binary, keys array<bigint>"), "fingerprints")
+    return written(map_batches(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), run, "id long, node binary"), "fingerprints")
 
 
 def _pigeonhole(nodes: DataFrame) -> DataFrame:
@@ -286,26 +280,25 @@ def _pigeonhole(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "key long, node binary")
 
 
-def _rooted(prints: DataFrame, radius: int) -> DataFrame:
-    """node, first (its smallest id), root (the node that names its component)."""
-    nodes = prints.groupBy("node").agg(F.min("id").alias("first"))
-    keyed = prints.select(F.explode("keys").alias("key"), "node").distinct() if radius > 2 else _pigeonhole(nodes.select("node"))
-    roots = components(links(keyed, radius)).withColumnRenamed("node", "child")
-    return nodes.join(roots, F.col("node") == F.col("child"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-
-
 def _classes(prints: DataFrame, radius: int) -> DataFrame:
-    """node, component (the smallest id of it, null if all are null)."""
-    rooted = _rooted(prints, radius)
-    named = rooted.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "name")
-    return rooted.join(named, F.col("root") == F.col("name")).select("node", "component")
+    """node, n (rows that have it), component (the smallest id of its component, null if all are null)."""
+    nodes = prints.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    found = components(links(_pigeonhole(nodes.select("node")), radius))
+    roots = found.withColumnRenamed("node", "child")
+    rooted = written(nodes.join(roots, F.col("node") == F.col("child"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
+    out = written(spread_join(rooted, named, ["root"], "size").select("node", "n", "component"), "classes")
+    dropped(found, rooted)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id: 64 bits, linked at `radius` (0 to 2) differing bits or fewer."""
+    """doc_id, fingerprint (hex), component_id: 64 bits, linked at `radius` (0 to 2) differing bits or fewer; a wider radius is refused, since
+    four parts of a fingerprint find all links up to 2 alone."""
+    if not 0 <= radius <= 2:
+        raise ValueError("radius is 0 to 2")
     prints = fingerprints(docs, width)
-    named = _classes(prints, radius).withColumnRenamed("node", "class")
-    return prints.join(named, F.col("node") == F.col("class")).select(F.col("id").alias("doc_id"), F.lower(F.hex("node")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return spread_join(prints, _classes(prints, radius), ["node"], "n").select(F.col("id").alias("doc_id"), F.lower(F.hex("node")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def distinct_hashes(text: bytes, width: int) -> np.ndarray:
@@ -341,21 +334,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         sets = [distinct_hashes(x, width) for x in text_bytes(part.column("text"))]
         return {"name": [set_name(h) for h in sets], "set": [h.tobytes() for h in sets]}
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64("text", "doc_id").alias("__k2"), "text")
-    same = (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
-    one = rows.join(wanted.select("k1", "k2"), same, "left_semi").dropDuplicates(["__k1", "__k2"])
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"), "text")
+    one = rows.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return written(map_batches(one.select("text"), run, "name binary, set binary"), "sets")
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, width: int, radius: int, threshold: float) -> DataFrame:
-    """(a, b): names of sets of at least that Jaccard similarity, a spanning forest for each block. Bands and bit planes find the candidates."""
+    """node, root: components of the links between sets of at least that Jaccard similarity. Bands and bit planes find the candidates; what is linked in a
+    block leaves it as a spanning forest."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "n")
     blocks = _blocks(_dealt(keyed, F.col("n") * 8).select("key", "low", "high", "node"))
     near = written(blocks.mapInArrow(_compare(radius, candidates=True), "key long, low int, high int, name binary"), "candidates")
     wanted = near.select("name").distinct().join(nodes, "name").select("name", "node", F.col("kept.k1").alias("k1"), F.col("kept.k2").alias("k2"))
     sets = _sets(docs, wanted, width)
     found = near.join(nodes.select("name", "node"), "name").join(sets, "name").select("key", "low", "high", "node", "set")
-    return _blocks(found).mapInArrow(_compare(radius, threshold), "a binary, b binary")
+    out = components(_blocks(found).mapInArrow(_compare(radius, threshold), "a binary, b binary"))
+    dropped(near, sets)
+    return out
 
 
 def one_of_each(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 144, bands: int = 12, threshold: float = 0.8) -> DataFrame:
@@ -366,11 +361,13 @@ def one_of_each(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 1
     row = F.struct("id", "k1", "k2")
     least = [F.min(row).alias("kept"), F.min(F.when(F.col("id").isNotNull(), row)).alias("best")]
     nodes = written(prints.groupBy("name").agg(*[F.first(c).alias(c) for c in ("node", "n", "keys")], *least), "nodes")
-    roots = components(similar_links(docs, nodes, width, radius, threshold)).withColumnRenamed("node", "child")
+    links = similar_links(docs, nodes, width, radius, threshold)
+    roots = links.withColumnRenamed("node", "child")
     rooted = nodes.join(roots, F.col("name") == F.col("child"), "left").withColumn("root", F.coalesce("root", "name"))
     grouped = rooted.groupBy("root").agg(F.min("kept").alias("kept"), F.min("best").alias("best"))
-    chosen = grouped.select(F.coalesce("best", "kept").alias("kept")).select(F.col("kept.k1").alias("__k1"), F.col("kept.k2").alias("__k2"))
-    same = (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2"))
-    joined = docs.withColumns({"__d1": F.xxhash64("doc_id", "text"), "__d2": F.xxhash64("text", "doc_id")}).join(chosen, same)
-    first = F.row_number().over(Window.partitionBy("__d1", "__d2").orderBy(F.lit(0)))
-    return joined.withColumn("__n", first).filter("__n = 1").select(*[f"`{c}`" for c in docs.columns])
+    chosen = written(grouped.select(F.coalesce("best", "kept").alias("kept")).select(F.col("kept.k1").alias("k1"), F.col("kept.k2").alias("k2")), "chosen")
+    dropped(prints, nodes, links)
+    rows = docs.select(whole(docs), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
+    # Of rows that are equal in id and text one stays; the join has sorted by what the window needs.
+    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    return rows.join(chosen, ["k1", "k2"]).withColumn("n", first).filter("n = 1").select("row.*")

@@ -209,6 +209,8 @@ def test_wider_radii_are_refused(spark):
 def test_hubs_of_links(spark, monkeypatch):
     """Stars whose hubs are among the most frequent nodes, and some that are not."""
     monkeypatch.setattr(_common, "HOT", 3)
+    monkeypatch.setattr("gleanspark.llm.components.LEAST", 4)
+    monkeypatch.setattr("gleanspark.llm.components.SKEW", 0)
     links = [(k, 10_000 + 50 * k + j) for k in range(8) for j in range(5 + 5 * k)] + [(10_000, 10_050)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {b: (0 if a < 2 else a) for a, b in links if a < 8} | {1: 0}
