@@ -1,11 +1,23 @@
-"""A training corpus from raw documents: five stages, each a Parquet table that the next one reads."""
+"""A training corpus from raw documents: five stages, each a Parquet table that the next one reads.
+
+Every stage takes documents with any columns and returns them with the same columns (the last adds mix_copies and mix_target), whatever their names:
+
+* quality: null, empty and blank texts go; equal texts fare alike, however many there are.
+* line dedup: null and empty texts and those of fewer than three lines stay as they are; a document of which no line is left goes; null ids come last.
+* near-dedup: null, empty and blank texts are copies of each other, of which one stays; of repeated rows one stays; documents with an id before those without.
+* decontamination: null and empty texts contain nothing and stay; null and blank items are in nothing.
+* mixing: documents without words are not taken; a null source is one of its own; repeated rows are taken equally often.
+
+Ties are settled by ids and hashes, so reruns agree. Very long texts are read whole. An empty table gives an empty table with the same columns. A stage's table is
+deleted when the next is written, the last when the driver ends.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanspark.llm import decontamination, lines, mixing, quality, simhash
-from gleanspark.llm._common import scratch, table
+from gleanspark.llm._common import dropped, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = scratch(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if last is not None:
+            dropped(last)
+        last = docs
     return docs
