@@ -207,3 +207,20 @@ def stamp(pairs: DataFrame, signature: str, kept: int, dropped: int) -> str:
 def is_current(stamped: str | None, signature: str) -> bool:
     """Whether a set need not be made anew: one without a stamp is not managed and stays."""
     return stamped is None or json.loads(stamped).get("chunks") == signature
+
+
+def normalized(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Rows of a foreign set in our fields: kind from type or question_type, keywords or else the evidence, answerable false where the kind is 없음, and doc_id found by
+    file name where it is none of the corpus(doc_id, file_name). match: matched, converted or unknown; null without a doc_id."""
+    from ..functions.text import file_key
+
+    column = lambda *names: F.coalesce(*[F.col(n) for n in names if n in rows.columns], F.lit(None).cast("string"))
+    kind = column("type", "question_type")
+    evidence = F.when(column("evidence_text") != "", F.array(column("evidence_text")))
+    keywords = F.coalesce(F.col("keywords"), evidence) if "keywords" in rows.columns else evidence
+    answerable = F.coalesce(F.col("answerable"), kind != "없음", F.lit(True)) if "answerable" in rows.columns else F.coalesce(kind != "없음", F.lit(True))
+    known = corpus.select(F.col("doc_id").alias("own")).distinct()
+    by_name = corpus.filter(F.col("file_name") != "").groupBy(file_key(F.col("file_name")).alias("key")).agg(F.min("doc_id").alias("named"))
+    met = rows.join(known, F.col("doc_id") == F.col("own"), "left").join(by_name, file_key(F.col("doc_id")) == F.col("key"), "left")
+    state = F.when(F.coalesce("doc_id", F.lit("")) == "", None).when(F.col("own").isNotNull(), "matched").when(F.col("named").isNotNull(), "converted").otherwise("unknown")
+    return met.select("question", F.coalesce("own", "named", "doc_id").alias("doc_id"), kind.alias("kind"), keywords.alias("keywords"), answerable.alias("answerable"), state.alias("match"))

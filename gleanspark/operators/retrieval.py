@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokens
+from ..sources.tables import saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -23,68 +23,91 @@ def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, token: Column | None = None) -> DataFrame:
-    """chunk_id, term, tf, dl: the index. Write it once and bucket it by term where it is used often."""
-    words = chunks.select("chunk_id", (tokens(F.col("text")) if token is None else token).alias("words"))
-    each = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+Tokenizer = Callable[[Column], Column]
+BETWEEN = "\x01"  # no token holds it
+
+
+class Bm25Index:
+    """What a corpus of chunks(chunk_id, text) is searched by: words (chunk_id, words), raw (term, raw: its idf, negative in over half of the chunks), how many chunks,
+    their mean length and the mean of all idf. Texts are cut into words once; both tables lie in the shared folder until the driver ends. Build it once
+    for many searches. token: column of texts to column of arrays of words."""
+
+    def __init__(self, chunks: DataFrame, token: Tokenizer = tokens):
+        self.token = token
+        self.words = saved(chunks.select("chunk_id", token(F.col("text")).alias("words")), "bm25-words")
+        self.n, mean = self.words.agg(F.count("*"), F.avg(F.size("words"))).first()
+        self.avgdl = mean or 1.0
+        df = self.words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        self.raw = saved(df.select("term", (F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "bm25-idf")
+        self.mean_idf = self.raw.agg(F.avg("raw")).first()[0] or 0.0
+
+    def idf(self) -> Column:
+        return F.when(F.col("raw") < 0, EPSILON * self.mean_idf).otherwise(F.col("raw"))
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """query_id, term, qtf, idf of the words that the corpus has."""
+        each = queries.select("query_id", F.explode(self.token(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        return each.join(self.raw, "term").select("query_id", "term", "qtf", self.idf().alias("idf"))
+
+
+def postings(index: Bm25Index) -> DataFrame:
+    """chunk_id, term, tf, dl."""
+    each = index.words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, block: int = 256) -> DataFrame:
+def bm25(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, block: int = 256, token: Tokenizer = tokens) -> DataFrame:
     """Okapi BM25; queries(query_id, text). Terms in over half of the chunks get a quarter of the mean idf. Only positive scores.
     scope(query_id, chunk_id): what a query may find, applied before ranking; such queries are scored over postings. Without it queries go
-    in blocks of at most `block`, each scored against all chunks where these are read, and only each batch's best are shuffled."""
-    index = postings(chunks)
-    sizes = chunks.select(F.size(tokens(F.col("text"))).alias("dl"))
-    total = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    in blocks of at most `block`, each scored against all chunks where their words are read, and only each batch's best are shuffled."""
+    index = chunks if isinstance(chunks, Bm25Index) else Bm25Index(chunks, token)
+    asked = index.asked(queries)
     if scope is None:
-        return _bm25_blocks(chunks, asked, raw, k, block)
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    met = asked.join(idf, "term").join(index, "term").join(scope, ["query_id", "chunk_id"], "left_semi")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return _bm25_blocks(index, asked, k, block)
+    met = asked.join(postings(index), "term").join(scope, ["query_id", "chunk_id"], "left_semi")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl))
     scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return top_k(scored, k)
 
 
-def _bm25_blocks(chunks: DataFrame, asked: DataFrame, raw: DataFrame, k: int, block: int) -> DataFrame:
-    ids = asked.select("query_id").distinct()
-    blocks = max(1, -(-ids.count() // block))
+def _bm25_blocks(index: Bm25Index, asked: DataFrame, k: int, block: int) -> DataFrame:
+    asked = saved(asked, "bm25-asked")
+    blocks = max(1, -(-asked.select("query_id").distinct().count() // block))
     id_type = asked.schema["query_id"].dataType
-    by_term = raw.persist()  # vocabulary counts: read for the mean and by each block
-    mean = by_term.agg(F.avg("raw"), F.first("avgdl")).first()
+    words = index.words.select("chunk_id", F.size("words").alias("dl"), F.array_join("words", BETWEEN).alias("words"))
     out = None
     for n in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).join(by_term.select("term", "raw"), "term").collect()
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()  # words of `block` questions
         names = sorted({r["query_id"] for r in rows})
         place = {q: i for i, q in enumerate(names)}
         terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
         weights = np.zeros((len(terms), max(len(names), 1)))
         for r in rows:
-            weights[terms[r["term"]], place[r["query_id"]]] = r["qtf"] * (EPSILON * mean[0] if r["raw"] < 0 else r["raw"]) * (K1 + 1)
-        best = chunks.select("chunk_id", "text").mapInPandas(_scorer(names, terms, weights, mean[1] or 1.0, k), StructType([StructField("query_id", id_type), chunks.schema["chunk_id"], StructField("score", DoubleType())]))
+            weights[terms[r["term"]], place[r["query_id"]]] = r["qtf"] * r["idf"] * (K1 + 1)
+        best = words.mapInPandas(_scorer(names, terms, weights, index.avgdl, k), StructType([StructField("query_id", id_type), words.schema["chunk_id"], StructField("score", DoubleType())]))
         out = best if out is None else out.unionByName(best)
     return top_k(out.withColumn("score", F.round("score", 6)).filter("score > 0"), k)
 
 
 def _scorer(names: list, terms: dict[str, int], weights: np.ndarray, avgdl: float, k: int, rows: int = 512):
-    word = re.compile(r"[^ \t\n\x0b\f\r]{2,}")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.iloc[at : at + rows]
-                matrix = np.zeros((len(part), len(terms)))
-                for i, text in enumerate(part["text"]):
-                    words = word.findall(text or "")
-                    norm = K1 * (1 - B + B * len(words) / avgdl)
-                    for t, tf in Counter(words).items():
-                        if (j := terms.get(t)) is not None:
-                            matrix[i, j] = tf / (tf + norm)
-                scores = matrix @ weights
+                i, j, value = [], [], []
+                for row, (dl, text) in enumerate(zip(part["dl"], part["words"])):
+                    norm = K1 * (1 - B + B * dl / avgdl)
+                    for t, tf in Counter(text.split(BETWEEN)).items():
+                        if (found := terms.get(t)) is not None:
+                            i.append(row)
+                            j.append(found)
+                            value.append(tf / (tf + norm))
+                if not i:
+                    continue
+                present, column = np.unique(j, return_inverse=True)  # the matrix has the terms of these rows alone
+                matrix = np.zeros((len(part), len(present)))
+                matrix[i, column] = value
+                scores = matrix @ weights[present]
                 # Each query's k best of these rows, and what rounding may make equal to them.
                 least = np.partition(scores, -k, axis=0)[-k] if len(part) > k else np.zeros(scores.shape[1])
                 i, q = np.nonzero((scores >= least - 1e-6) & (scores > 0))

@@ -88,9 +88,10 @@ def run_search(search: Searcher, variants: DataFrame, k: int) -> DataFrame:
 # Searchers
 
 
-def bm25(chunks: DataFrame, scope: DataFrame | None = None) -> Searcher:
-    """scope(query_id, chunk_id): what a question may find."""
-    return lambda queries, k: R.bm25(chunks, queries, k, _scoped(scope, queries))
+def bm25(chunks: DataFrame | R.Bm25Index, scope: DataFrame | None = None, token: R.Tokenizer = R.tokens) -> Searcher:
+    """scope(query_id, chunk_id): what a question may find. The index is built once for all searches."""
+    index = chunks if isinstance(chunks, R.Bm25Index) else R.Bm25Index(chunks, token)
+    return lambda queries, k: R.bm25(index, queries, k, _scoped(scope, queries))
 
 
 def _scoped(scope: DataFrame | None, queries: DataFrame) -> DataFrame | None:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..operators import documents as D
-from ..sources import store, tables
+from ..operators import evalsets
+from ..sources import listings, store, tables
 from ..streaming import events as E
 from .catalog import C, chunks, register, table
 
@@ -159,3 +160,43 @@ def s_overlapping_polls(spark, sf_dir):
 def s_latest_by_key(spark, sf_dir):
     """The latest row of each key, by micro-batches."""
     return E.upserted(spark, f"{sf_dir}/events.parquet", "user_id", "event_id").select("user_id", "event_id")
+
+
+@register("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'N' || CAST(o_orderkey AS VARCHAR) || '-0' WHEN o_orderkey % 4 = 1 THEN 'N' || CAST(o_orderkey AS VARCHAR) || '-0' ELSE 'x' || CAST(o_orderkey AS VARCHAR) END AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN '없음' ELSE '의역' END AS kind, o_orderkey % 3 <> 0 AS answerable, CASE WHEN o_orderkey % 4 = 0 THEN 'matched' WHEN o_orderkey % 4 = 1 THEN 'converted' ELSE 'unknown' END AS match FROM orders")
+def j10_e09_normalized_set(spark, sf_dir):
+    """A foreign set with its own field names, ids, file names and names of nothing."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    number = F.concat(F.lit("N"), k.cast("string"))
+    corpus = o.filter(k % 4 < 2).select(F.concat(number, F.lit("-0")).alias("doc_id"), F.concat(F.lit("file "), k.cast("string"), F.lit(".hwp")).alias("file_name"))
+    name = F.when(k % 4 == 0, F.concat(number, F.lit("-0"))).when(k % 4 == 1, F.concat(F.lit("file "), k.cast("string"), F.lit(".PDF"))).otherwise(F.concat(F.lit("x"), k.cast("string")))
+    rows = o.select(k.cast("string").alias("question"), name.alias("doc_id"), F.when(k % 3 == 0, "없음").otherwise("의역").alias("question_type"), F.lit("evidence").alias("evidence_text"))
+    return evalsets.normalized(rows, corpus).select(F.col("question").cast("long").alias("k"), "doc_id", "kind", "answerable", "match")
+
+
+@register("SELECT 'N' || CAST(p_partkey AS VARCHAR) || '-' || CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '0' END AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 'a' || CAST(p_partkey AS VARCHAR) || '.hwp' ELSE p_brand || '.hwp' END AS name FROM part WHERE p_partkey % 5 <> 0")
+def p09_stored_files(spark, sf_dir):
+    """Names to hand out; those that lead out of the folder are left out."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    stored = F.concat(F.when(k % 5 == 0, "../").otherwise(""), F.lit("a"), k.cast("string"), F.lit(".hwp"))
+    rows = p.select(F.concat(F.lit("N"), k.cast("string")).alias("notice_no"), F.when(k % 2 == 0, "1.0").alias("notice_seq"), stored.alias("file_name"), F.when(k % 3 != 0, F.concat(F.lit("/:"), "p_brand", F.lit("?"))).alias("title"))
+    return listings.stored_files(rows).select("doc_id", "name")
+
+
+@register("SELECT 'N' || CAST(o_orderkey AS VARCHAR) || '-' || CAST(o_orderkey % 3 AS VARCHAR) AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS budget, CAST(length(o_orderpriority) AS INTEGER) AS chars FROM orders")
+def p10_k12_document_records(spark, sf_dir):
+    """Nested records with metadata; NaN is nothing."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rows = o.select(F.concat(F.lit("N"), k.cast("string")).alias("notice_no"), (k % 3).cast("string").alias("notice_seq"), F.when(k % 2 == 0, F.col("o_totalprice")).otherwise(float("nan")).alias("budget"), F.lit("f").alias("file_name"), F.col("o_orderpriority").alias("text"), F.lit("hwp").alias("extractor"), F.lit(None).cast("array<string>").alias("warnings"))
+    return tables.document_records(rows).select("meta.doc_id", "meta.budget", "chars")
+
+
+@register("SELECT text AS question, CASE WHEN item_id % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM benchmark")
+def s32_tagged_rows(spark, sf_dir):
+    """Rows of two folders of lines, each tagged with its file; the parts' names stand for the files'."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    path = tables.until_exit(spark, tables.scratch(spark, "tagged"))
+    for n, name in enumerate("ab"):
+        tables.write_lines(b.filter(F.col("item_id") % 2 == n).select("question", F.lit(name).alias("own")), f"{path}/{name}")
+    tables.until_exit(spark, path)
+    rows = tables.read_rows(spark, "question string, own string", f"{path}/a", f"{path}/b")
+    return rows.filter(F.col("source").startswith("part-")).select("question", F.col("own").alias("source"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -103,3 +104,71 @@ def sampled(items: DataFrame) -> DataFrame:
     attached = live & attachment().isNotNull()
     one = lambda c, name: F.count(F.when(c, 1)).alias(name)
     return items.agg(F.count("*").alias("items"), one(live, "live"), one(attached, "attached"), one(attached & looks_like_it(), "it"), one(attached & negotiated(), "negotiated"), one(attached & looks_like_it() & negotiated(), "both"))
+
+
+class ServiceError(RuntimeError):
+    """An answer of the service that is not JSON or does not say that all went well."""
+
+
+def page_of(answer: str) -> tuple[list[dict], int]:
+    """(items, how many there are in all) of one answer: a lone item comes as an object, none as nothing. Result codes 0 and 00 are good."""
+    try:
+        response = json.loads(answer)["response"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise ServiceError(f"not an answer of the service: {answer[:400]}") from e
+    head = response.get("header") or {}
+    if head.get("resultCode") not in ("0", "00"):
+        raise ServiceError(f"{head.get('resultCode')}: {head.get('resultMsg')}")
+    body = response.get("body") or {}
+    items = body.get("items") or []
+    return [items] if isinstance(items, dict) else items, int(body.get("totalCount") or 0)
+
+
+def crawled(spark: SparkSession, ask: Callable[[int], str], known: DataFrame, columns: list[str], rows: int = 100, limit: int | None = None, take_all: bool = False) -> DataFrame:
+    """New items of a period: the first page tells how many there are, the executors ask for all pages, and what is known, not wanted (unless take_all), cancelled or
+    without an attachment is left out. ask: page to the service's answer. limit: of new items, in the order of their ids."""
+    _, total = page_of(ask(1))
+    pages = paged(spark, lambda page: page_of(ask(page))[0], total, rows)
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    items = pages.select(F.from_json("item", schema).alias("x")).select("x.*")
+    if take_all:
+        fresh = items.withColumns({"doc_id": doc_id(), "attachment": attachment()}).filter(~cancelled() & F.col("attachment").isNotNull())
+        out = fresh.join(known.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    else:
+        out = arrivals(items, known)
+    return out if limit is None else out.orderBy("doc_id").limit(limit)
+
+
+def downloaded(items: DataFrame, fetch: Callable[[str], bytes], folder: str) -> DataFrame:
+    """doc_id, path, bytes, error of items(doc_id, attachment): each file is fetched by an executor into `folder`, which all of them share, under a name of its own and
+    renamed when it is whole, so a broken transfer leaves no file. A failed one is told in its row."""
+    from pathlib import Path
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, url, name in zip(batch["doc_id"], batch["url"], batch["name"]):
+                path = Path(folder) / f"{key}{Path(name).suffix.lower()}"
+                part = path.with_name(f"{path.name}.{uuid.uuid4().hex}.part")
+                try:
+                    part.write_bytes(fetch(url))
+                    part.replace(path)
+                    out.append((key, str(path), path.stat().st_size, None))
+                except Exception as e:  # the next ones go on
+                    part.unlink(missing_ok=True)
+                    out.append((key, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["doc_id", "path", "bytes", "error"]).astype({"bytes": "Int64"})
+
+    return items.select("doc_id", F.col("attachment.url").alias("url"), F.col("attachment.name").alias("name")).mapInPandas(run, "doc_id string, path string, bytes long, error string")
+
+
+def stored_files(metadata: DataFrame) -> DataFrame:
+    """doc_id, stored, name of metadata(notice_no, notice_seq, file_name, title): the file as it is kept, and a name to hand out, made of the title without what no file
+    name may have. Names that lead out of their folder are left out."""
+    order = F.coalesce(F.col("notice_seq").try_cast("double").cast("int"), F.lit(0)).cast("string")
+    number = F.regexp_replace(F.trim("notice_no"), r"\.0$", "")
+    stored = F.trim("file_name")
+    stem, suffix = F.regexp_extract(stored, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(stored, r"(\.[^.]*)$", 1)
+    safe = F.trim(F.translate(F.coalesce("title", F.lit("")), '/\\:*?"<>|', ""))
+    rows = metadata.filter((number != "") & (stored != "") & ~stored.rlike(r"(^|[/\\])\.\.([/\\]|$)|^[/\\]"))
+    return rows.select(F.concat_ws("-", number, order).alias("doc_id"), stored.alias("stored"), F.concat(F.when(safe != "", safe).otherwise(stem), suffix).alias("name"))

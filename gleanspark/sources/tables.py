@@ -50,6 +50,13 @@ def until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, until the driver ends: made once, read often, and no lost executor loses it."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, where its files have fewer splits; large inputs stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -91,6 +98,23 @@ def read_evalset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("question string, keywords array<string>, doc_id string, type string, answerable boolean, note string, checked_by string").json(path, multiLine=path.endswith(".json"))
 
 
+def read_rows(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """Rows of several files, arrays (.json) or lines, each tagged with the name of the file that it came from."""
+    parts = [spark.read.schema(schema).json(p, multiLine=p.endswith(".json")).withColumn("source", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)) for p in paths]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def document_records(df: DataFrame) -> DataFrame:
+    """meta (doc_id and the metadata columns that are there), text, chars, extractor, warnings of rows of the extraction with its metadata; NaN becomes null."""
+    names = [c for c in (*FIELDS.values(), "budget_kind") if c in df.columns and c != "file_name"]
+    scrubbed = [scrub_nan(F.col(c)).alias(c) if dict(df.dtypes)[c] in ("double", "float") else F.col(c) for c in dict.fromkeys(names)]
+    meta = F.struct(F.concat_ws("-", F.col("notice_no"), F.col("notice_seq").try_cast("double").cast("int").cast("string")).alias("doc_id"), *scrubbed, "file_name")
+    return df.select(meta.alias("meta"), F.coalesce("text", F.lit("")).alias("text"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), "extractor", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import cleaning, models
 from gleanspark.operators import answers, chunking, documents, evalsets, filters, markup, mining, reports, retrieval, search
-from gleanspark.sources import files, hwp, store, tables
+from gleanspark.sources import files, hwp, listings, store, tables
 from gleanspark.streaming import events
 
 
@@ -365,3 +365,54 @@ def test_models_agree(spark):
     df = spark.createDataFrame([("Abc def",)], "t string")
     a, b = df.select(models.embed(F.col("t")).alias("a"), models.embed_exactly(F.col("t")).alias("b")).first()
     assert max(abs(x - y) for x, y in zip(a, b)) < 1e-6
+
+
+# The listing service
+
+
+def answer(items, total, code="00"):
+    import json
+
+    return json.dumps({"response": {"header": {"resultCode": code, "resultMsg": "m"}, "body": {"items": items, "totalCount": total}}})
+
+
+def test_answers_of_the_service():
+    assert listings.page_of(answer({"a": 1}, "3")) == ([{"a": 1}], 3) and listings.page_of(answer(None, None)) == ([], 0)
+    for bad in (answer([], 0, "30"), "<xml/>", "{}", "[]"):
+        with pytest.raises(listings.ServiceError):
+            listings.page_of(bad)
+
+
+def test_crawl_and_download(spark, tmp_path):
+    columns = ["bidNtceNo", "bidNtceOrd", "bidNtceNm", "sucsfbidMthdNm", "ntceKindNm"] + [f"ntceSpec{k}{n}" for n in range(1, 11) for k in ("FileNm", "DocUrl")]
+    item = lambda n, **more: {"bidNtceNo": f"N{n}", "bidNtceOrd": "000", "bidNtceNm": "포털 구축", "ntceSpecFileNm1": "a.HWP", "ntceSpecDocUrl1": f"http://x/{n}"} | more
+    items = [item(1), item(2), item(3, bidNtceNm="청소"), item(4, ntceKindNm="취소공고"), item(5), item(2)]
+    told = {page: answer(items[(page - 1) * 2 : page * 2], len(items)) for page in (1, 2, 3)}
+    ask = lambda page: told[page]
+    known = spark.createDataFrame([("N5-0",)], "doc_id string")
+    got = listings.crawled(spark, ask, known, columns, rows=2)
+    assert sorted(r.doc_id for r in got.collect()) == ["N1-0", "N2-0"]
+    assert sorted(r.doc_id for r in listings.crawled(spark, ask, known, columns, rows=2, take_all=True).collect()) == ["N1-0", "N2-0", "N3-0"]
+    assert [r.doc_id for r in listings.crawled(spark, ask, known, columns, rows=2, limit=1).collect()] == ["N1-0"]
+
+    def fetch(url):
+        if url.endswith("2"):
+            raise OSError("gone")
+        return b"file of " + url.encode()
+
+    rows = {r.doc_id: (r.bytes, r.error) for r in listings.downloaded(got, fetch, str(tmp_path)).collect()}
+    assert rows == {"N1-0": (18, None), "N2-0": (None, "OSError: gone")} and sorted(p.name for p in tmp_path.iterdir()) == ["N1-0.hwp"]
+
+
+def test_bm25_takes_any_tokenizer(spark):
+    chunks = spark.createDataFrame([("a", "Red-Apple"), ("b", "green apple pie"), ("c", "blue"), ("d", None), ("e", "")], "chunk_id string, text string")
+    q = spark.createDataFrame([(1, "APPLE red"), (2, "none")], "query_id int, text string")
+    letters = lambda t: F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), "[^a-z]+"), lambda w: w != "")
+    index = retrieval.Bm25Index(chunks, letters)
+    got = [(r.query_id, r.chunk_id) for r in retrieval.bm25(index, q).orderBy("rank").collect()]
+    assert got == [(1, "a"), (1, "b")] and index.n == 5
+    scope = spark.createDataFrame([(1, "b")], "query_id int, chunk_id string")
+    assert [r.chunk_id for r in retrieval.bm25(index, q, scope=scope).collect()] == ["b"]
+    whole = {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25(index, q, block=1).collect()}
+    assert whole == {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25(index, q).collect()}
+    assert retrieval.bm25(chunks.limit(0), q).count() == 0
