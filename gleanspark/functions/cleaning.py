@@ -101,25 +101,27 @@ def foreign_runs(text: Column) -> Column:
     return F.regexp_count(F.regexp_replace(text, rf"\([{FOREIGN}]+\)", "()"), F.lit(f"[{FOREIGN}]+"))
 
 
-def cleaned(text: Column, angles: bool = False, bullets: bool = False, boilerplate: tuple[str, ...] = BOILERPLATE) -> dict[str, Column]:
-    """text: page lines, boilerplate lines, tags, placeholders, empty parentheses, control characters and foreign runs removed, long gaps closed; and how
-    often each was: page_lines, boilerplate_lines, tags, placeholders, empty_parens, controls, foreign_runs, angles, bullets."""
-    lines = F.transform(F.split(text, LINE_END, -1), lambda x: F.struct(x.alias("line"), F.regexp_replace(strip(x), r"(?U)\s+", " ").alias("flat")))
-    is_page = lambda x: x["flat"].rlike(PAGE_LINE)
+NOTES = ("page_lines", "boilerplate_lines", "tags", "placeholders", "empty_parens", "controls", "foreign_runs", "angles", "bullets")
+
+
+def cleaned(docs: DataFrame, angles: bool = False, bullets: bool = False, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
+    """docs(text, ...) with page lines, boilerplate lines, tags, placeholders, empty parentheses, control characters and foreign runs removed and long gaps closed, and how
+    often each was (NOTES). Every step is a projection of its own, so that no step is computed again for the counts of the next."""
+    lines = F.transform(F.split("text", LINE_END, -1), lambda x: F.struct(x.alias("line"), F.regexp_replace(strip(x), r"(?U)\s+", " ").alias("flat")))
     known = F.array(*map(F.lit, boilerplate)) if boilerplate else F.array().cast("array<string>")
-    is_known = lambda x: ~is_page(x) & F.array_contains(known, x["flat"])
-    counts = {"page_lines": F.size(F.filter(lines, is_page)), "boilerplate_lines": F.size(F.filter(lines, is_known))}
-    out = F.array_join(F.transform(F.filter(lines, lambda x: ~is_page(x) & ~is_known(x)), lambda x: x["line"]), "\n")
+    kind = lambda x: F.when(x["flat"].rlike(PAGE_LINE), 1).when(F.array_contains(known, x["flat"]), 2).otherwise(0)
+    rows = docs.withColumn("_lines", F.transform(lines, lambda x: F.struct(x["line"].alias("line"), kind(x).alias("kind"))))
+    of = lambda k: F.size(F.filter("_lines", lambda x: x["kind"] == k))
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    kept = F.array_join(F.transform(F.filter("_lines", lambda x: x["kind"] == 0), lambda x: x["line"]), "\n")
+    out = rows.select(*own, kept.alias("text"), of(1).alias("page_lines"), of(2).alias("boilerplate_lines"))
+    count = lambda p: F.regexp_count("text", F.lit(p))
     for name, pattern in (("tags", TAG_RESIDUE), ("placeholders", PLACEHOLDER), ("empty_parens", EMPTY_PAREN), ("controls", CONTROL)):
-        counts[name] = F.regexp_count(out, F.lit(pattern))
-        out = F.regexp_replace(out, pattern, "")
-    counts["foreign_runs"] = foreign_runs(out)
-    out = without_foreign_runs(out)
+        out = out.withColumns({name: count(pattern), "text": F.regexp_replace("text", pattern, "")})
+    out = out.withColumns({"foreign_runs": foreign_runs(F.col("text")), "text": without_foreign_runs(F.col("text"))})
     for name, pattern, on in (("angles", "[<>]", angles), ("bullets", "•", bullets)):
-        counts[name] = F.regexp_count(out, F.lit(pattern)) if on else F.lit(0)
-        out = F.regexp_replace(out, pattern, "") if on else out
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]{5,}", " "), r"\n{4,}", "\n\n")
-    return {"text": strip(out), **counts}
+        out = out.withColumns({name: count(pattern), "text": F.regexp_replace("text", pattern, "")}) if on else out.withColumn(name, F.lit(0))
+    return out.withColumn("text", strip(F.regexp_replace(F.regexp_replace("text", r"[ \t]{5,}", " "), r"\n{4,}", "\n\n"))).select(*docs.columns, *NOTES)
 
 
 def boilerplate_lines(with_headers: bool = False) -> tuple[str, ...]:

@@ -121,9 +121,9 @@ def processed(docs: DataFrame) -> DataFrame:
     from ..functions import cleaning
     from . import markup
 
-    got = cleaning.cleaned(F.col("text"))
-    notes = [F.when(got[c] > 0, F.concat(F.lit(f"{c} "), got[c].cast("string"))) for c in ("page_lines", "boilerplate_lines", "tags", "placeholders", "empty_parens", "controls", "foreign_runs")]
-    rows = docs.withColumns({"warnings": F.filter(F.array(*notes), lambda x: x.isNotNull()), "gen": got["text"]})
+    rows = cleaning.cleaned(docs)
+    notes = [F.when(F.col(c) > 0, F.concat(F.lit(f"{c} "), F.col(c).cast("string"))) for c in cleaning.NOTES]
+    rows = rows.withColumns({"warnings": F.filter(F.array(*notes), lambda x: x.isNotNull()), "gen": F.col("text")}).drop(*cleaning.NOTES)
     return rows.withColumns({"text": markup.without_table_markup(F.col("gen")), "fields": markup.labelled_values(F.col("gen"))})
 
 

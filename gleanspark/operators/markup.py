@@ -79,14 +79,16 @@ def is_entry(line: Column) -> Column:
     return F.length(x).between(3, 60) & ~x.rlike("[:：]") & ~x.rlike(TOC_NOT_ENDS) & x.rlike(TOC_NUMBER)
 
 
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) where x is made once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def toc_span(text: Column, least: int = 8, head: int = 8000, stray: int = 2) -> Column:
     """(first, last) line of the table of contents, which begins in the first `head` characters and ends where an entry comes again or more than
     `stray` other lines follow; null under `least` entries. The state is held over those characters alone."""
     upto = F.regexp_count(F.substring(text, 1, head), F.lit("\n")) + 1  # lines that begin in the head
-    lines = F.transform(F.slice(F.split(text, "\n", -1), 1, upto), lambda x, i: F.struct(x.alias("line"), i.alias("at"), is_entry(x).alias("entry"), F.regexp_replace(x, r"(?U)\s+", "").alias("key")))
-    title = F.get(F.filter(lines, lambda r: r["line"].rlike(TOC_TITLE)), 0)["at"]
-    begin = F.coalesce(title + 1, F.get(F.filter(lines, lambda r: r["entry"]), 0)["at"])
-    filled = F.filter(lines, lambda r: (r["at"] >= begin) & (strip(r["line"]) != ""))
+    rows = F.transform(F.slice(F.split(text, "\n", -1), 1, upto), lambda x, i: F.struct(x.alias("line"), i.alias("at"), is_entry(x).alias("entry"), F.regexp_replace(x, r"(?U)\s+", "").alias("key")))
     empty = F.struct(F.array().cast("array<string>").alias("known"), F.lit(-1).alias("last"), F.lit(0).alias("missed"), F.lit(False).alias("done"))
 
     def step(s: Column, r: Column) -> Column:
@@ -96,14 +98,23 @@ def toc_span(text: Column, least: int = 8, head: int = 8000, stray: int = 2) ->
         took = ~stop & r["entry"]
         return F.struct(F.when(took, F.concat(s["known"], F.array(r["key"]))).otherwise(s["known"]).alias("known"), F.when(took, r["at"]).otherwise(s["last"]).alias("last"), missed.alias("missed"), stop.alias("done"))
 
-    end = F.aggregate(filled, empty, step)
-    return F.when(begin.isNotNull() & (F.size(end["known"]) >= least), F.struct(F.coalesce(title, begin).alias("first"), end["last"].alias("last")))
+    def span(lines: Column) -> Column:
+        title = F.get(F.filter(lines, lambda r: r["line"].rlike(TOC_TITLE)), 0)["at"]
+        first = F.get(F.filter(lines, lambda r: r["entry"]), 0)["at"]
+
+        def scan(begun: Column) -> Column:
+            begin = F.coalesce(begun["title"] + 1, begun["first"])
+            end = F.aggregate(F.filter(lines, lambda r: (r["at"] >= begin) & (r["key"] != "")), empty, step)
+            return _with(end, lambda e: F.when(F.size(e["known"]) >= least, F.struct(F.coalesce(begun["title"], begin).alias("first"), e["last"].alias("last"))))
+
+        return _with(F.struct(title.alias("title"), first.alias("first")), lambda b: F.when(F.coalesce(b["title"], b["first"]).isNotNull(), scan(b)))
+
+    return _with(rows, span)
 
 
 def without_toc(text: Column) -> Column:
-    span = F.get(F.transform(F.array(toc_span(text)), lambda s: s), 0)
-    kept = F.transform(F.array(span), lambda s: F.filter(F.split(text, "\n", -1), lambda x, i: s.isNull() | (i < s["first"]) | (i > s["last"])))
-    return F.array_join(F.get(kept, 0), "\n")
+    cut = lambda s: F.when(s.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: (i < s["first"]) | (i > s["last"])), "\n"))
+    return _with(toc_span(text), cut)
 
 
 def _values(text: Column, alias: str) -> Column:
@@ -111,15 +122,19 @@ def _values(text: Column, alias: str) -> Column:
     label = rf"(?:[{FIELD_MARKS}]\s*\(\s*{alias}\s*\)|{alias})\s*([:：])?\s*(?=([^{FIELD_MARKS}]*)([{FIELD_MARKS}]?))"
     group = lambda n: F.regexp_extract_all(text, F.lit(label), n)
     found = F.arrays_zip(group(1).alias("colon"), group(2).alias("tail"), group(3).alias("mark"))
-    ordered = F.concat(F.filter(found, lambda x: x["colon"] != ""), F.filter(found, lambda x: x["colon"] == ""))
+    ordered = lambda rows: F.concat(F.filter(rows, lambda x: x["colon"] != ""), F.filter(rows, lambda x: x["colon"] == ""))
+    more = lambda y: (y != "") & ~y.rlike(NEXT_CLAUSE)
 
-    def value(x: Column) -> Column:
-        lines = F.transform(F.slice(F.split(F.when(x["mark"] == "", F.substring(x["tail"], 1, LONGEST_VALUE)).otherwise(x["tail"]), LINE_END, 4), 1, 3), strip)
+    def told(lines: Column) -> Column:
         one, two, three = (F.coalesce(F.get(lines, i), F.lit("")) for i in range(3))
-        more = lambda y: (y != "") & ~y.rlike(NEXT_CLAUSE)
-        return F.regexp_replace(F.when(one == "", "").when(~more(two), one).when(~more(three), F.concat_ws(" ", one, two)).otherwise(F.concat_ws(" ", one, two, three)), r"^[ :：\t]+|[ :：\t]+$", "")
+        whole = F.when(one == "", "").when(~more(two), one).when(~more(three), F.concat_ws(" ", one, two)).otherwise(F.concat_ws(" ", one, two, three))
+        return F.regexp_replace(whole, r"^[ :：\t]+|[ :：\t]+$", "")
+
+    def value(x: Column) -> Column:
+        cut = F.when(x["mark"] == "", F.substring(x["tail"], 1, LONGEST_VALUE)).otherwise(x["tail"])
+        return _with(F.transform(F.slice(F.split(cut, LINE_END, 4), 1, 3), strip), told)
 
-    return F.get(F.filter(F.transform(ordered, value), lambda v: v != ""), 0)
+    return F.when(F.contains(text, F.lit(alias)), F.get(F.filter(F.transform(_with(found, ordered), value), lambda v: v != ""), 0))
 
 
 def labelled_values(text: Column, aliases: dict[str, list[str]] = ALIASES) -> Column:

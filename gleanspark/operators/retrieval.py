@@ -118,10 +118,35 @@ def _scorer(names: list, terms: dict[str, int], weights: np.ndarray, avgdl: floa
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Exact nearest by squared L2 distance; vectors(chunk_id, v), queries(query_id, q): a stated set of queries, met with every vector."""
-    gap = F.aggregate(F.zip_with(F.col("v").cast("array<double>"), F.col("q").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return top_k(vectors.crossJoin(queries).select("query_id", "chunk_id", (F.round(-gap, 6) + F.lit(0.0)).alias("score")), k)
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """Exact nearest by squared L2 distance; vectors(chunk_id, v), queries(query_id, q): a stated set of queries, which go in blocks of at most `block` to the
+    vectors where these are read; only each batch's best are shuffled."""
+    asked = saved(queries.filter(F.col("q").isNotNull()).select("query_id", F.col("q").cast("array<double>").alias("q")), "dense-asked")
+    blocks = max(1, -(-asked.count() // block))
+    schema = StructType([asked.schema["query_id"], vectors.schema["chunk_id"], StructField("score", DoubleType())])
+    rows = vectors.filter(F.col("v").isNotNull()).select("chunk_id", F.col("v").cast("array<double>").alias("v"))
+    out = None
+    for n in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()  # vectors of `block` queries
+        best = rows.mapInPandas(_nearest([r["query_id"] for r in own], np.array([r["q"] for r in own], dtype=float), k), schema)
+        out = best if out is None else out.unionByName(best)
+    return top_k(out.withColumn("score", F.round("score", 6) + F.lit(0.0)), k)
+
+
+def _nearest(names: list, q: np.ndarray, k: int, rows: int = 2048):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch) if names else 0, rows):
+                part = batch.iloc[at : at + rows]
+                v = np.stack(part["v"].to_numpy()).astype(float)
+                scores = 2 * (v @ q.T) - (v * v).sum(axis=1)[:, None] - (q * q).sum(axis=1)[None, :]
+                # Each query's k best of these rows, and what rounding may make equal to them.
+                least = np.partition(scores, -k, axis=0)[-k] if len(part) > k else np.full(scores.shape[1], -np.inf)
+                i, j = np.nonzero(scores >= least - 1e-6)
+                ids = part["chunk_id"].to_numpy()
+                yield pd.DataFrame({"query_id": [names[x] for x in j], "chunk_id": ids[i], "score": scores[i, j]})
+
+    return run
 
 
 def sparse(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

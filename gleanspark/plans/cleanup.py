@@ -38,10 +38,8 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t5, '[ \\t]{{5,}
 CAST(tags AS INTEGER) AS tags, CAST(placeholders AS INTEGER) AS placeholders, CAST(empty_parens AS INTEGER) AS empty_parens, CAST(controls AS INTEGER) AS controls, CAST(foreign_runs AS INTEGER) AS foreign_runs FROM g"""
 )
 def t01_t02_t03_clean_text(spark, sf_dir):
-    text = F.concat(F.lit(BEFORE), F.col("text"), F.lit(AFTER))
-    got = C.cleaned(text)
-    counts = [got[c].cast("int").alias(c) for c in ("page_lines", "boilerplate_lines", "tags", "placeholders", "empty_parens", "controls", "foreign_runs")]
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(got["text"].cast("binary")).alias("digest"), *counts)
+    got = C.cleaned(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(BEFORE), F.col("text"), F.lit(AFTER)).alias("text")))
+    return got.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), *[F.col(c).cast("int").alias(c) for c in C.NOTES[:7]])
 
 
 #: A decomposed letter, private letters, a leader, a broken field and lines that repeat.

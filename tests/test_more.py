@@ -25,8 +25,8 @@ def test_foreign_runs_in_parentheses_stay(spark):
 
 
 def test_cleaned_counts(spark):
-    got = cleaning.cleaned(F.col("v"), angles=True, bullets=True)
-    row = spark.createDataFrame([("- 3 -\n(단위 :  천원)\n<그림>a < b • ( )ㅇㅇ\x07\n\n\n\n\nc",), ("",), (None,)], "v string").select(*[c.alias(k) for k, c in got.items()]).collect()
+    rows = spark.createDataFrame([("- 3 -\n(단위 :  천원)\n<그림>a < b • ( )ㅇㅇ\x07\n\n\n\n\nc",), ("",), (None,)], "text string")
+    row = cleaning.cleaned(rows, angles=True, bullets=True).collect()
     assert row[0].text == "a  b\n\nc" or row[0].text.split() == ["a", "b", "c"]
     assert (row[0].page_lines, row[0].boilerplate_lines, row[0].tags, row[0].placeholders, row[0].empty_parens, row[0].controls, row[0].angles, row[0].bullets) == (1, 1, 1, 1, 1, 1, 1, 1)
     assert row[1].text == "" and row[2].text is None
