@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import models
+from ..functions import text as T
 from ..operators import documents as D
 from ..operators import evalsets
+from ..operators import search as S
 from ..sources import listings, store, tables
 from ..streaming import events as E
 from .catalog import C, chunks, register, table
@@ -200,3 +202,35 @@ def s32_tagged_rows(spark, sf_dir):
     tables.until_exit(spark, path)
     rows = tables.read_rows(spark, "question string, own string", f"{path}/a", f"{path}/b")
     return rows.filter(F.col("source").startswith("part-")).select("question", F.col("own").alias("source"))
+
+
+@register("SELECT CAST(p_partkey AS VARCHAR) AS number, CASE WHEN p_partkey % 4 = 0 THEN 'P' || CAST(p_partkey - 1 AS VARCHAR) END AS superseded FROM part")
+def f08_superseded(spark, sf_dir):
+    """The earlier notice that a notice replaces; words for nothing are nothing."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    before = F.when(k % 4 == 0, F.concat(F.lit(" P"), (k - 1).cast("string"))).when(k % 4 == 1, "null").when(k % 4 == 2, " ")
+    return p.select(k.cast("string").alias("number"), before.alias("befBidBbancNo")).select("number", listings.superseded().alias("superseded"))
+
+
+@register("SELECT doc_id, 'N' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.5' END AS tidy FROM documents")
+def p12_tidy_doc_id(spark, sf_dir):
+    raw = F.concat(F.lit("N"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".0").otherwise(".5"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.tidy_doc_id(raw).alias("tidy"))
+
+
+@register("SELECT doc_id AS path, CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 'made now' ELSE 'made before' END AS made FROM documents")
+def c10_s08_incremental(spark, sf_dir):
+    """Files that are new or have changed are processed, the others' rows are taken from before; what is gone is gone."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("modified"))
+    before = d.filter("path % 4 <> 0").select("path", F.when(F.col("path") % 5 == 0, F.col("modified") + 1).otherwise(F.col("modified")).alias("modified"), F.lit("made before").alias("made"), F.lit("csv").alias("title"))
+    gone = before.select((-1 - F.col("path")).alias("path"), "modified", "made", "title")
+    return D.incremental(d, D.cached_rows(before.unionByName(gone), ["title"]), lambda f: f.withColumn("made", F.lit("made now"))).select("path", "made")
+
+
+@register("""WITH r AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN NULL ELSE item_id % 4 * 3 END AS rank, item_id % 2 = 0 AS named FROM benchmark)
+SELECT named, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0.0 END), 3) AS mrr, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 3) AS top1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 3) AS top5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 3) AS topn, count(*) AS questions FROM r GROUP BY named""")
+def a06_notice_metrics(spark, sf_dir):
+    """Ranks of the wanted notices, by whether the question names its notice."""
+    b, i = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    ranks = b.select(F.when(i % 4 != 0, i % 4 * 3).alias("rank"), (i % 2 == 0).alias("named"))
+    return S.notice_metrics(ranks, "named")
