@@ -159,8 +159,8 @@ def tidied(text: Column) -> Column:
 def clean_documents(docs: DataFrame, aggressive: bool = True) -> DataFrame:
     """docs(text, ...) with the whole chain over plain extractions; aggressive: lines that a document repeats go too. Texts are composed first, since
     no Python function can stand within the functions over lines."""
-    out = without_leaders(normalized(F.col("text")))
-    return docs.withColumn("text", composed(F.col("text"))).withColumn("text", tidied(drop_repeated_lines(out) if aggressive else out))
+    rows = docs.withColumn("text", composed(F.col("text"))).withColumn("text", without_leaders(normalized(F.col("text"))))
+    return rows.withColumn("text", tidied(drop_repeated_lines(F.col("text")) if aggressive else F.col("text")))
 
 
 def _page_refs(line: Column) -> Column:

@@ -89,15 +89,26 @@ def toc_lines(text: Column, min_refs: int = 1, max_chars: int = 80, many_refs: i
     return F.transform(F.split(text, "\n", -1), lambda x: x.rlike(TOC_LEADERS) | (page_refs(x) >= many_refs) | ((page_refs(x) >= min_refs) & (F.length(x) <= max_chars)))
 
 
+def once(x: Column, f) -> Column:
+    """f(x) where x is made once, however often f and the functions within it name it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def drop_repeated_lines(text: Column, min_repeat: int = 5, max_len: int = 60) -> Column:
-    """Lines of at most max_len characters that occur min_repeat times in the text go, unless they end a sentence. Counting is by map."""
-    lines = F.split(text, "\n", -1)
-    trimmed = F.transform(lines, F.trim)
-    short = F.filter(trimmed, lambda x: (F.length(x) > 0) & (F.length(x) <= max_len))
-    ordered = F.array_sort(short)
-    repeated = F.array_distinct(F.filter(F.zip_with(ordered, F.slice(ordered, min_repeat, F.greatest(F.size(ordered), F.lit(1))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+    """Lines of at most max_len characters that occur min_repeat times in the text go, unless they end a sentence. Equal lines meet by sorting."""
     ends = lambda x: F.endswith(x, F.lit(SENTENCE_ENDS[0])) | F.endswith(x, F.lit(SENTENCE_ENDS[1])) | F.endswith(x, F.lit(SENTENCE_ENDS[2]))
-    return F.array_join(F.filter(lines, lambda x: ~(F.array_contains(repeated, F.trim(x)) & ~ends(F.trim(x)))), "\n")
+
+    def kept(lines: Column) -> Column:
+        short = F.filter(F.transform(lines, F.trim), lambda x: (F.length(x) > 0) & (F.length(x) <= max_len))
+
+        def cut(ordered: Column) -> Column:
+            later = F.slice(ordered, min_repeat, F.greatest(F.size(ordered), F.lit(1)))
+            repeated = F.array_distinct(F.filter(F.zip_with(ordered, later, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+            return once(repeated, lambda r: F.array_join(F.filter(lines, lambda x: ~(F.array_contains(r, F.trim(x)) & ~ends(F.trim(x)))), "\n"))
+
+        return once(F.array_sort(short), cut)
+
+    return once(F.split(text, "\n", -1), kept)
 
 
 def tidy_whitespace(text: Column) -> Column:

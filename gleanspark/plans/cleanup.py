@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions import text as T
 from ..operators.filters import drop_contents
+from ..sources.tables import spread
 from .catalog import C as CHUNKS
 from .catalog import chunks, register, table
 
@@ -38,7 +39,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t5, '[ \\t]{{5,}
 CAST(tags AS INTEGER) AS tags, CAST(placeholders AS INTEGER) AS placeholders, CAST(empty_parens AS INTEGER) AS empty_parens, CAST(controls AS INTEGER) AS controls, CAST(foreign_runs AS INTEGER) AS foreign_runs FROM g"""
 )
 def t01_t02_t03_clean_text(spark, sf_dir):
-    got = C.cleaned(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(BEFORE), F.col("text"), F.lit(AFTER)).alias("text")))
+    got = C.cleaned(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.lit(BEFORE), F.col("text"), F.lit(AFTER)).alias("text")))
     return got.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), *[F.col(c).cast("int").alias(c) for c in C.NOTES[:7]])
 
 
@@ -58,7 +59,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(
 )
 def t04_t08_clean_document(spark, sf_dir):
     """The whole chain: composed, leaders, repeated lines, white space."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(PLAIN_AFTER)).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit(PLAIN_AFTER)).alias("text"))
     return C.clean_documents(docs).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

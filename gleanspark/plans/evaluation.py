@@ -228,7 +228,7 @@ def c03_semantic_chunks(spark, sf_dir):
 
 @register()
 def t09_t11_clean_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", markup.without_toc(F.col("text")).alias("text")).select("doc_id", markup.without_table_markup(F.col("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", markup.without_toc(F.col("text")).alias("text")).select("doc_id", markup.without_table_markup(F.col("text")).alias("text"))
 
 
 @register()
