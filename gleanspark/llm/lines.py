@@ -12,20 +12,28 @@ windows are not brought together: their first place is broadcast (`spread_join`)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import spread_join, whole
 
 
+def _lines(text: Column | str) -> Column:
+    return F.split(text, "\n", -1)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """row (the columns of docs), id, text, lines, k1 and k2 (hashes of id and text)."""
-    return docs.select(whole(docs), F.col("doc_id").alias("id"), "text", F.split("text", "\n", -1).alias("lines"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
+    """row (the columns of docs), k1 and k2 (hashes of id and text)."""
+    return docs.select(whole(docs), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
+
+
+def _text() -> Column:
+    return F.col("row").getField("text")
 
 
 def _windows(docs: DataFrame) -> DataFrame:
     """One row for each window: its hash and its place."""
-    keyed = _keyed(docs.select("doc_id", "text")).filter(F.size("lines") >= 3).select(
+    keyed = _keyed(docs.select("doc_id", "text")).select("k1", "k2", F.col("row").getField("doc_id").alias("id"), _lines(_text()).alias("lines")).filter(F.size("lines") >= 3).select(
         "k1", "k2", "id", F.col("lines").alias("x"), F.slice("lines", 2, F.size("lines")).alias("y"), F.slice("lines", 3, F.size("lines")).alias("z")
     )
     each = keyed.select("k1", "k2", "id", F.posexplode(F.arrays_zip("x", "y", "z")).alias("pos", "w")).filter(F.col("w.z").isNotNull())
@@ -46,14 +54,16 @@ def _flags(docs: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """row, id, text, lines, and kept: the lines that stay, null where all do."""
+    """row, id, text, lines, and kept: the lines that stay, null where all do. A text meets its flags as it is and becomes lines after that: it is
+    shuffled and sorted once, not a second time as lines and, in a row, a third time."""
     keyed = _keyed(docs)
-    few = (F.size("lines") < 3) | F.col("text").isNull()
-    joined = keyed.filter(~few).join(_flags(docs), (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
+    few = (F.size(_lines(_text())) < 3) | _text().isNull()
+    met = keyed.filter(~few).join(_flags(docs), (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left").select("row", "flags")
+    parts = ("row", F.col("row").getField("doc_id").alias("id"), _text().alias("text"), _lines(_text()).alias("lines"))
     covered = lambda i: F.coalesce(F.get("flags", i), F.lit(False)) | F.coalesce(F.get("flags", i - 1), F.lit(False)) | F.coalesce(F.get("flags", i - 2), F.lit(False))
     kept = F.when(F.col("flags").isNotNull(), F.filter("lines", lambda x, i: ~covered(i)))
     out = ("row", "id", "text", "lines")
-    return joined.select(*out, kept.alias("kept")).unionByName(keyed.filter(few).select(*out, F.lit(None).cast("array<string>").alias("kept")))
+    return met.select(*parts, "flags").select(*out, kept.alias("kept")).unionByName(keyed.filter(few).select(*parts, F.lit(None).cast("array<string>").alias("kept")))
 
 
 def line_windows_removed(docs: DataFrame) -> DataFrame:

@@ -568,6 +568,25 @@ def test_lines_stay_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan.replace("ArrowEvalPython", "Python") if "ArrowEval" in plan else plan)
 
 
+def test_lines_shuffle_texts_once(spark):
+    """No exchange has more strings in a row than the table: a text isn't sent a second time as its lines."""
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    frame, key = spark.read.parquet(f"{SF}/documents.parquet"), "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for made, of in ((lines.line_windows_removed(frame), frame.select("doc_id", "text")), (lines.without_repeats(frame), frame)):
+            sent = [x.schema().catalogString() for x in nodes(made._jdf.queryExecution().executedPlan().executedPlan()) if x.nodeName() == "Exchange"]
+            assert max(x.count("string") for x in sent) == sum(t == "string" for _, t in of.dtypes)
+    finally:
+        spark.conf.set(key, was)
+
+
 # op10
 
 
