@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, lines, media, mixing, ppm, quality, simhash, toxicity, warc
+from . import bpe, decontamination, html, lines, media, mixing, periodic, ppm, quality, simhash, toxicity, warc, whitening
 from ._common import table
 
 
@@ -60,8 +61,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.Codec.build(bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), codec, public_tokenizers.PATTERN)
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digests(docs.select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_html, op4_warc, op5_ppm, op6_simhash, op7_toxicity, op8_media, op9_lines, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_html, op4_warc, op5_ppm, op6_simhash, op7_toxicity, op8_media, op9_lines, op10_decontamination, op11_whitening, op12_bpe, op13_periodic)}
 
 
 #: op4: the digest in base32 is made from the hex digest's bits, five at a time.
