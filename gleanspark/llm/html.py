@@ -2,8 +2,9 @@
 
 Elements and blocks of text are the nodes; each is content or not. A node has a log-linear potential of its tag, the kinds that the tokens of its class,
 id and role tell, its text's length, links and punctuation; a parent and a child have a potential of their two states by the child's kind. A
-token tells a kind as a whole: states (has-comments) and taxonomies (category-ads) tell nothing, and where an element that is told off also has a good
-name, holds a main heading or is most of an article, the kind is only doubted, which has weights of its own.
+token tells a kind as a whole: states (has-comments) and taxonomies (category-ads) tell nothing, nor do the names of body, which speak of the page. A kind
+that only qualifies another noun (sidebar-right, header-sticky) is weaker than one that is the noun (site-header). Where an element that is told off also has a good
+name, holds a main heading, is most of an article or has most of the page's sentences, the kind is only doubted, which has weights of its own: see `_doubt`.
 Sum-product messages pass upward and then downward, which is exact on a tree, and give each block's marginal of being content. The
 weights are fitted by gradient ascent on the exact likelihood of labelled pages; `labelled_pages` makes such pages from a seed, with articles,
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments in varied layouts, with misleading names on articles and neutral ones
@@ -11,7 +12,7 @@ on the rest.
 
 A null html is empty and gives an empty text, as do pages without content. Broken markup is read as browsers do: unclosed
 comments and raw text run to the end, a tag that never ends is dropped, elements that are not known are inline. Reading takes time in proportion to the
-page, however long or deep. Repeated rows give repeated rows; extra columns, whatever their names, are ignored. No pages give no rows.
+page, however long or deep. Elements that a style or attribute hides, and noscript, are judged like all others. Ties (a marginal of exactly one half) are content. Repeated rows give repeated rows; extra columns, whatever their names, are ignored. No pages give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from ._common import map_batches
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head script style noscript template title textarea xmp iframe noembed noframes select option optgroup datalist button input annotation annotation-xml desc metadata".split())
+DROPPED = frozenset("head script style template title textarea xmp iframe noembed noframes select option optgroup datalist button input annotation annotation-xml desc metadata".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav noscript ol option optgroup p plaintext pre search section select summary table tbody td template textarea tfoot th thead tr ul".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th", "tbody"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
@@ -62,6 +63,8 @@ KIND = {w: k for k, ws in LEXICON.items() for w in ws.split()}
 KIND["contentinfo"], KIND["dialog"] = "foot", "notice"
 #: Tokens that begin so name a state or a taxonomy of the whole page, not what an element is.
 STATES = re.compile(r"(?:has|have|no|not|non|with|without|is|in|can|hide|hidden|show|enable|disable|category|cat|tag|term|postid|page-id|type|status|format|theme|layout|template|lang|t)[-_]")
+#: Elements that are not content by their tag, names apart.
+TOLD = frozenset("aside footer form nav".split())
 CONTAINERS = frozenset("article aside body center div footer form header main nav section table".split())
 GROUPS = {t: g for g, ts in {"heading": "h1 h2 h3 h4 h5 h6", "item": "li dd dt", "list": "ul ol dl menu", "cell": "td th", "grid": "table tr tbody thead tfoot", "quote": "blockquote pre figure figcaption"}.items() for t in ts.split()}
 
@@ -71,12 +74,15 @@ class Node:
     parent: int
     tag: str
     kinds: tuple[str, ...] = ()
+    weak: bool = False
     doubted: bool = False
     text: str = ""
     linked: int = 0
     size: int = 0
     links: int = 0
+    prose: int = 0
     headed: bool = False
+    holds: bool = False
     inside: bool = False
     off: bool = False
     features: list[str] = field(default_factory=list)
@@ -86,14 +92,18 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def kinds_of(told: str) -> tuple[str, ...]:
-    """Kinds of the tokens of class, id and role: of a token's words one that is told off outweighs a good one."""
+def kinds_of(told: str) -> tuple[tuple[str, ...], bool]:
+    """Kinds of the tokens of class, id and role, and whether those that tell an element off are all weak. Of a token's words one that is told off outweighs a
+    good one; it is weak if it isn't the token's noun, its last word."""
     found: set[str] = set()
+    strong = False
     for token in told.split():
         if not STATES.match(token):
-            kinds = {KIND[w] for w in WORDS.findall(token) if w in KIND}
+            words = WORDS.findall(token)
+            kinds = {KIND[w] for w in words if w in KIND}
             found |= kinds - {"good"} or kinds
-    return tuple(sorted(found))
+            strong |= bool(kinds) and KIND.get(words[-1], "good") != "good"
+    return tuple(sorted(found)), not strong
 
 
 def parse(html: str) -> list[Node]:
@@ -114,20 +124,17 @@ def parse(html: str) -> list[Node]:
             pieces.clear()
         linked = 0
 
-    def is_hidden(name: str) -> bool:
-        return name in DROPPED or name.startswith("!")
-
     opened: Counter = Counter()  # open elements by name, so that nothing is looked for that is not there
 
     def close(at: int) -> None:
         """Closes the open elements from place `at` on."""
         nonlocal hidden, links
-        if any(stack[i][0].lstrip("!") in BLOCK or stack[i][1] != stack[i - 1][1] for i in range(at, len(stack))):
+        if any(stack[i][0] in BLOCK or stack[i][1] != stack[i - 1][1] for i in range(at, len(stack))):
             flush()
         for name, _ in stack[at:]:
-            hidden -= is_hidden(name)
-            links -= name.lstrip("!") == "a"
-            opened[name.lstrip("!")] -= 1
+            hidden -= name in DROPPED
+            links -= name == "a"
+            opened[name] -= 1
         del stack[at:]
 
     pos, n = 0, len(html)
@@ -161,10 +168,10 @@ def parse(html: str) -> list[Node]:
                 if name == "br" and not hidden:
                     pieces.append(" ")
                 for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
-                    if stack[k][0].lstrip("!") == name:
+                    if stack[k][0] == name:
                         close(k)
                         break
-                    if name not in BLOCK and stack[k][0].lstrip("!") in BLOCK or name == "p" and stack[k][0] in SCOPES or name in ("li", "td", "th", "tr") and stack[k][0] == ("ul", "table")[name != "li"]:
+                    if name not in BLOCK and stack[k][0] in BLOCK or name == "p" and stack[k][0] in SCOPES or name in ("li", "td", "th", "tr") and stack[k][0] == ("ul", "table")[name != "li"]:
                         break
             pos = end + 1
             continue
@@ -209,47 +216,70 @@ def parse(html: str) -> list[Node]:
         if name in ENDS_P or name in SIBLINGS:
             ends = ("p",) if name in ENDS_P else SIBLINGS[name]
             for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
-                if stack[k][0].lstrip("!") in ends:
+                if stack[k][0] in ends:
                     close(k)
                     if name not in ("tr", "thead", "tbody", "tfoot"):
                         break
                 elif stack[k][0] in SCOPES:
                     break
         told = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
-        kinds = kinds_of(told)
-        off = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+        kinds, weak = kinds_of(told) if name not in ("html", "body") else ((), False)
         owner = stack[-1][1]
         if name in BLOCK or any(k != "good" for k in kinds):
             flush()
-            nodes.append(Node(owner, name, kinds))
+            nodes.append(Node(owner, name, kinds, weak))
             owner = len(nodes) - 1
         if rest.rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
-        label = f"!{name}" if off and name not in DROPPED else name
-        stack.append((label, owner))
+        stack.append((name, owner))
         opened[name] += 1
-        hidden += is_hidden(label)
+        hidden += name in DROPPED
         links += name == "a"
     flush()
     for k in range(len(nodes) - 1, 0, -1):
         x, up = nodes[k], nodes[nodes[k].parent]
         if x.tag == "#block":
             x.size, x.links = len(x.text), x.linked
+            x.prose = x.size - x.links if STOPS.search(x.text) else 0
         up.size += x.size
         up.links += x.links
+        up.prose += x.prose
         up.headed |= x.headed or x.tag == "h1" and x.size > 0
-    for x in nodes[1:]:
-        up = nodes[x.parent]
-        x.inside = up.inside or up.tag in ("article", "main")
-        x.off = up.off
-        if any(k != "good" for k in x.kinds):
-            x.doubted = "good" in x.kinds or x.headed or x.inside and x.size >= 0.7 * up.size and "comment" not in x.kinds
-            x.off |= not x.doubted
-        elif x.tag in ("nav", "aside", "footer", "form"):
-            x.off |= not x.headed
+        up.holds |= x.holds or x.tag in ("article", "main") or "good" in x.kinds
+    _doubt(nodes)
     return nodes
 
 
+def _doubt(nodes: list[Node]) -> None:
+    """Tells elements off, with all below them, or doubts their names. free: the sentences that no name tells off. An element that has most of the page's
+    sentences is doubted if it holds an article or little is free beside it (less than 0.3 of its own for weak names, 0.1 for others); one of reader comments
+    only if its name is weak and next to nothing is free. If all of the page would be told off, weak names tell nothing."""
+    whole, free = nodes[0].prose, nodes[0].prose
+    told = [False] * len(nodes)
+    for k, x in enumerate(nodes[1:], 1):
+        x.inside = nodes[x.parent].inside or nodes[x.parent].tag in ("article", "main")
+        named = any(c != "good" for c in x.kinds) or x.tag in TOLD
+        told[k] = told[x.parent] or named
+        if named and not told[x.parent]:
+            free -= x.prose
+    for lenient in (False, True):
+        for x in nodes[1:]:
+            up = nodes[x.parent]
+            named = any(c != "good" for c in x.kinds)
+            x.off, x.doubted = up.off, False
+            if named or x.tag in TOLD:
+                most = whole > 0 and x.prose >= 0.5 * whole
+                weak, remarks = x.weak and x.tag not in TOLD, "comment" in x.kinds
+                main = most and (weak or not remarks) and (x.holds and not remarks or free < (0.3 if weak and not remarks else 0.1) * x.prose)
+                spared = x.headed or main or lenient and weak and not remarks and x.prose > 0
+                if named:
+                    x.doubted = spared or "good" in x.kinds or x.inside and x.size >= 0.7 * up.size and "comment" not in x.kinds
+                    spared = x.doubted
+                x.off |= not spared
+        if any(x.tag == "#block" and x.prose and not x.off for x in nodes) or not whole:
+            break
+
+
 def _bucket(x: float, limits: tuple[float, ...]) -> int:
     return sum(x >= y for y in limits)
 
@@ -379,6 +409,8 @@ def extract(html: str, model: TreeModel, threshold: float = 0.5) -> str:
 
 #: Names that stand on articles all the same.
 MISLEADING = "has-comments social author-bio contact category-ads with-sidebar share reviews banner promo form widget news-alert legal related popular search-result post-meta".split()
+#: Words of the names that labelled pages put around whole layouts: every other one of each kind, so that tests can draw from the rest.
+DRAWN = [w for k, ws in LEXICON.items() if k not in ("good", "comment") for w in ws.split()[::2]]
 
 
 def labelled_pages(n: int = 240, seed: int = 5, noise_share: float = 0.0) -> list[tuple[str, set[str]]]:
@@ -418,6 +450,11 @@ def labelled_pages(n: int = 240, seed: int = 5, noise_share: float = 0.0) -> lis
         each = "".join(f'<div class="comment"><b>{word()}</b><p>{para()}</p></div>' for _ in range(r.choice((1, 2, 4, 12))))
         return r.choice((f'<section id="comments"><h3>{words(1, 2)}</h3>{each}</section>', f'<div class="comments">{each}<form><textarea>{word()}</textarea></form></div>', f"<ol class='comment-list'><li>{sentence()}</li><li>{para()}</li></ol>"))
 
+    def around(inner: str) -> str:
+        """Elements around an article, or all of a page, with names that only seem to tell them off."""
+        name = r.choice((f"{r.choice(DRAWN)}-{word()}", f"{word()}-{r.choice(DRAWN)}-{word()}", f"{word()} {r.choice(DRAWN)}-{word()}"))
+        return f'<div class="{name}">{inner}</div>'
+
     def wrap(inner: str) -> str:
         """The article's element, with misleading names at times: beside a good name, or around most of an article."""
         extra = f" {r.choice(MISLEADING)}" if r.random() < noise_share else ""
@@ -451,8 +488,10 @@ def labelled_pages(n: int = 240, seed: int = 5, noise_share: float = 0.0) -> lis
         if r.random() < 0.25:
             body.insert(r.randint(1, len(body)), r.choice((noise, side))())
         inner = "".join(body) + (comments() if r.random() < 0.2 else "")
-        parts = [head(), menu() if r.random() < 0.8 else "", noise() if r.random() < 0.6 else "", wrap(inner), comments() if r.random() < 0.25 else "", side() if r.random() < 0.4 else "", noise() if r.random() < 0.2 else "", foot() if r.random() < 0.9 else ""]
-        pages.append((f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var a='<p>';</script></head><body>{''.join(parts)}</body></html>", good))
+        layout = r.choice((0, 0, 1, 2)) if noise_share else 0
+        parts = [head(), menu() if r.random() < 0.8 else "", noise() if r.random() < 0.6 else "", around(wrap(inner)) if layout == 1 else wrap(inner), comments() if r.random() < 0.25 else "", side() if r.random() < 0.4 else "", noise() if r.random() < 0.2 else "", foot() if r.random() < 0.9 else ""]
+        whole = around("".join(parts)) if layout == 2 else "".join(parts)
+        pages.append((f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var a='<p>';</script></head><body>{whole}</body></html>", good))
     return pages
 
 

@@ -148,6 +148,38 @@ def test_names_on_the_article_mislead_nobody(spark, begin, end):
         assert html.extract(page.replace("<article>", begin).replace("</article>", end), model) == article(page)
 
 
+PLAIN = "<p>The first plain paragraph tells something of note.</p><p>The second one goes on with it, in more words than before.</p><p>The third one ends it.</p>"
+TOP, SIDE, END = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>', "<aside><h3>More</h3><p>Read some other thing of ours.</p></aside>", "<footer><p>All rights reserved by us here.</p></footer>"
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="right-sidebar">{}', '<body class="home sidebar-left">{}', '<body><div class="header-sticky"><div class="container">{}</div></div>', '<body><div class="footer-fixed"><div class="wrap">{}</div></div>',
+    '<body><div class="page-header-wrap">{}</div>', '<body><div class="blog"><div class="meta-content">{}</div></div>', '<body><div class="popular-science">{}</div>', '<body><div class="form-group">{}</div>',
+    '<body><div class="two-col sidebar-right"><article>{}</article></div>', '<body><div class="two-col sidebar-right"><div class="entry">{}</div></div>', '<body class="right-sidebar"><article>{}</article>',
+    '<body><form id="whole">{}</form>', '<body><div class="right-sidebar"><article>{}</article></div>', '<body><div class="sidebar">{}</div>',
+])
+def test_names_of_layouts_drop_no_article(page):
+    assert html.extract(page.format(PLAIN), html.trained()) == "\n\n".join(re.findall("<p>(.*?)</p>", PLAIN))
+
+
+@pytest.mark.parametrize("tail", "right sticky wrap science".split())
+def test_names_with_words_that_training_never_saw(tail):
+    """Names around layouts from the lexicon's words that labelled pages don't draw; menus, asides and footers still go."""
+    model, want = html.trained(), "\n\n".join(re.findall("<p>(.*?)</p>", PLAIN))
+    held_out = [w for k, ws in html.LEXICON.items() if k not in ("good", "comment") for w in ws.split() if w not in html.DRAWN]
+    assert len(held_out) >= 35
+    for w in held_out:
+        for page in (f'<body><div class="{w}-{tail}">{{}}</div>', f'<body><div class="page {tail}-{w}-{tail}"><div class="wrap">{{}}</div></div>', f'<body class="{tail}-{w}">{TOP}{{}}{END}', f'<body><div class="{w}-{tail}">{TOP}<div>{{}}</div>{SIDE}</div>{END}'):
+            assert html.extract(page.format(PLAIN), model) == want, page
+
+
+def test_weak_names_of_small_boxes_still_tell_them_off():
+    model = html.trained()
+    box = "<p>Some words of ours that you may like to read.</p>"
+    for name in ("sidebar-inner", "comment-list", "share-buttons", "cookie-bar", "ad-container", "related-posts", "footer-bottom", "newsletter-box"):
+        assert html.extract(f'<body><div class="content">{PLAIN * 2}</div><div class="{name}">{box}</div></body>', model) == "\n\n".join(re.findall("<p>(.*?)</p>", PLAIN * 2)), name
+
+
 def test_noisy_pages():
     model = html.trained()
     pages = html.labelled_pages(100, 79, 0.4)
