@@ -1,8 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 An item's shingles are its distinct runs of five words, A to Z lower-cased; fewer words are one shingle of their own. A document
-contains an item if it has at least `threshold` of its shingles. With `short`, an item of fewer than five words is held against the
-document's runs of as many words, so it is found inside longer documents; without, as in the SQL, only in documents that equal it. Items are partitioned by size (powers of two); a partition keeps
+contains an item if it has at least `threshold` of its shingles. With `short`, as in the query and its SQL, an item of fewer than five words is held against the
+document's runs of as many words, so it is found inside longer documents; without, only in documents that equal it. Items are partitioned by size (powers of two); a partition keeps
 for each item its smallest shingle hashes, as many as a containing document cannot all miss: for q shingles of which r must occur,
 q - r + 1. So a document that contains an item shares at least one of them (a band of one minimum each, with certainty instead of a chance),
 however long the document is. A document meets the partitions of items that it has shingles enough for, and no others. Candidates are verified by the
@@ -165,10 +165,13 @@ def uncontaminated(docs: DataFrame, bench: DataFrame, width: int = WIDTH, thresh
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d WHERE len(w) > 0)),
-bs AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM b WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) >= 5)),
+bs AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) >= 5)),
 q AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id),
+few AS (SELECT DISTINCT item_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM b WHERE len(w) BETWEEN 1 AND 4),
+within AS (SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d WHERE len(w) > 0) AS whole JOIN few ON contains(whole.s, few.s))
 SELECT m.doc_id, m.item_id, q.n_item, m.n_shared, CAST(m.n_shared AS DOUBLE) / q.n_item AS containment
 FROM m JOIN q ON m.item_id = q.item_id WHERE m.n_shared >= ceil(q.n_item * 0.8 - 1e-9)
+UNION ALL SELECT doc_id, item_id, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS DOUBLE) FROM within
 """

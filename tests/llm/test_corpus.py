@@ -631,6 +631,30 @@ def test_short_items_inside_long_documents(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.decontamination_stage(spark, docs(spark, rows), str(tmp_path)).collect()) == [6, 8]
 
 
+def test_query_and_sql_agree_on_items_of_all_sizes(spark, tmp_path):
+    """Items of one to nine words, whole, cut, upper-cased and with other white space, in documents of one word and of many."""
+    import duckdb
+
+    r = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 40, n)]
+    items = [(10 * n + k, " ".join(word(n))) for n in range(1, 10) for k in range(4)] + [(200, None), (201, " "), (202, "w1"), (203, "W1")]
+    rows = []
+    for k in range(200):
+        w = word(int(r.integers(0, 30)))
+        cut = (items[k % 36][1]).upper().split()
+        w[3:3] = cut[: len(cut) - k % 3 // 2]
+        rows.append((k, "\n".join(w) if k % 2 else " \t".join(w), "a"))
+    rows += [(300, "w1", "a"), (301, "w1w2", "a"), (302, None, "a"), (303, "", "a")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = sorted(tuple(x) for x in entry.queries()["op10_decontamination"](spark, str(tmp_path)).select("doc_id", "item_id", "n_item", "n_shared", "containment").collect())
+    assert got == sorted(db.execute(f"SELECT doc_id, item_id, n_item, n_shared, containment FROM ({decontamination.SQL})").fetchall())
+    assert {len((dict(items)[i] or "").split()) for _, i, *_ in got} == set(range(1, 10))
+
+
 # the pipeline
 
 
