@@ -44,9 +44,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 4) == 2
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
+    terms = toxicity.IDENTITY + toxicity.found_terms(docs, labels, ~held_out)
+    return toxicity.score(docs, toxicity.fit(docs, labels, ~held_out, terms=terms), held_out)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 1. Hashed features of a text: its words and their beginnings of four to six letters; presence alone, so length does not matter. All labelled
    training rows are counted by feature and label.
-2. All features whose shares differ between the labels beyond chance are the model's inputs, however many they are (DIM at most).
+2. All features whose shares differ between the labels beyond chance, and by a ratio of two at least, are the model's inputs, however many they are (DIM at most);
+   so are those of the terms of step 3.
 3. Logistic regression on at most `sample` training rows, taken by hash. For texts that name a group, each identity term is swapped for
    another group's and the squared change of the score is added to the loss, so that naming a group by itself moves no score.
 
+Terms for groups are a parameter. IDENTITY has some of four languages; `found_terms` adds those of the tables themselves: words that toxic rows name more often than
+clean ones though most rows that name them are clean, which is what makes neutral mentions of a group look toxic. The model tells how many pairs entered its fit.
+
 Texts meet labels once. Up to BROADCAST labels are sent to the texts where these are read, more meet them by a shuffle of both; the rows are the same.
 
 Null and blank texts get the score of the intercept. Rows of null id have no label. Repeated rows count as often as they occur and are fitted once; a very
@@ -16,6 +20,7 @@ Without training rows, or with one label alone, every score is the smoothed shar
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +40,18 @@ IDENTITY = tuple(tuple(x.encode() for x in row.split()) for row in (
     "old young elderly", "deaf blind disabled", "frauen männer mädchen jungen", "muslime christen juden", "schwarze weiße", "ausländer flüchtlinge einheimische",
     "femmes hommes filles garçons", "musulmans chrétiens juifs", "noirs blancs", "étrangers réfugiés", "mujeres hombres niñas niños", "musulmanes cristianos judíos", "negros blancos", "extranjeros refugiados",
 ))
-SWAP = {w: row[(k + 1) % len(row)] for row in IDENTITY for k, w in enumerate(row)}
+
+
+def swaps(terms: tuple[tuple[bytes, ...], ...] = IDENTITY) -> dict[bytes, bytes]:
+    """For each term the next one of its row; of a term in several rows the first counts."""
+    out: dict[bytes, bytes] = {}
+    for row in terms:
+        for k, w in enumerate(row):
+            out.setdefault(w, row[(k + 1) % len(row)])
+    return out
+
+
+SWAP = swaps()
 
 
 def bare(text: bytes) -> list[bytes]:
@@ -51,17 +67,18 @@ def slots(words: list[bytes]) -> set[int]:
     return out
 
 
-def swapped(words: list[bytes]) -> list[bytes] | None:
+def swapped(words: list[bytes], swap: dict[bytes, bytes] = SWAP) -> list[bytes] | None:
     """The words with each identity term replaced by another group's; None where there is none."""
-    return [SWAP.get(w, w) for w in words] if any(w in SWAP for w in words) else None
+    return [swap.get(w, w) for w in words] if any(w in swap for w in words) else None
 
 
 @dataclass
 class ToxicityModel:
-    """weight by feature; bias."""
+    """weight by feature; bias; how many texts entered the fit with their swapped form."""
 
     bias: float
     weight: dict[int, float] = field(default_factory=dict)
+    pairs: int = 0
 
     def score(self, text: bytes) -> float:
         get = self.weight.get
@@ -115,7 +132,7 @@ def train(rows: list[tuple[list[int], list[int] | None, int]], features: np.ndar
         b2 += gb * gb
         w -= rate * g / np.sqrt(g2)
         bias -= rate * gb / np.sqrt(b2)
-    return ToxicityModel(bias, {int(f): float(w[k]) for f, k in place.items() if w[k]})
+    return ToxicityModel(bias, {int(f): float(w[k]) for f, k in place.items() if w[k]}, len(pairs))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
@@ -127,13 +144,51 @@ def _labelled(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
     return texts.join(side, F.col("id") == F.col("label_id")).select("id", "rank", "toxic", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, training, sample: int = 30_000) -> ToxicityModel:
+def _below(n: int, sample: int) -> int:
+    """The rank up to which about 1.3 times `sample` of n rows lie."""
+    share = min(1.0, 1.3 * sample / max(n, 1))
+    return 2**63 - 1 if share == 1 else int(-(2**63) + share * (2**64 - 1))
+
+
+def found_terms(docs: DataFrame, labels: DataFrame, training, most: int = 64, sample: int = 30_000) -> tuple[tuple[bytes, ...], ...]:
+    """Rows of two terms, neighbours by how many rows name them, out of the `most` most frequent words that toxic rows name more often than clean ones, by a ratio of 1.1
+    to two (beyond which a word is a model's input by itself), while most rows that name it are clean. Words of fewer than three letters are none, and there are no more
+    terms than a quarter of the toxic rows (but two). Counted over about
+    1.3 times `sample` labelled training rows at most, taken by hash."""
+    bounded(docs.sparkSession)
+    joined = _labelled(docs, labels, training)
+    rows = joined.filter(F.col("rank") <= _below(joined.count(), sample)).dropDuplicates(["rank", "toxic"]).select("toxic", "text")
+    arrow = arrow_schema(docs.sparkSession, schema := "word binary, toxic long, clean long")
+
+    def run(batches):
+        """Counts of a task's words; a null word counts the rows."""
+        both = (Counter(), Counter())
+        for batch in batches:
+            for text, t in zip(text_bytes(batch.column("text")), batch.column("toxic").to_pylist()):
+                both[t].update(w for w in bare(text) if len(w) > 2)
+                both[t][None] += 1
+        names = list(both[0].keys() | both[1].keys())
+        for at in range(0, len(names), 1 << 16):
+            part = names[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([both[1][w] for w in part], pa.int64()), pa.array([both[0][w] for w in part], pa.int64())], schema=arrow)
+
+    counts = rows.mapInArrow(run, schema).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = written(counts.filter("word is null or toxic >= 3 and clean > toxic"), "terms")
+    total = counts.filter("word is null").first()
+    found = []
+    if total and total["toxic"] and total["clean"]:
+        ratio = (F.col("toxic") / total["toxic"]) / (F.col("clean") / total["clean"])
+        found = [bytes(r["word"]) for r in counts.filter(F.col("word").isNotNull() & (ratio > 1.1) & (ratio < 2)).orderBy((F.col("toxic") + F.col("clean")).desc(), "word").limit(min(most, max(2, total["toxic"] // 4))).collect()]
+    dropped(counts)
+    return tuple(tuple(found[k : k + 2]) for k in range(0, len(found) - 1, 2))
+
+
+def fit(docs: DataFrame, labels: DataFrame, training, sample: int = 30_000, terms: tuple[tuple[bytes, ...], ...] = IDENTITY) -> ToxicityModel:
     """training: a condition on docs' doc_id. Counts cover all labelled training rows; the regression at most `sample` of them."""
     bounded(docs.sparkSession)
     joined = _labelled(docs, labels, training)
     n = joined.count()
-    share = min(1.0, 1.3 * sample / max(n, 1))
-    below = 2**63 - 1 if share == 1 else int(-(2**63) + share * (2**64 - 1))
+    below, swap = _below(n, sample), swaps(terms)
     arrow = arrow_schema(docs.sparkSession, schema := "feature int, clean long, toxic long, rank long, label int, own array<int>, other array<int>")
 
     def run(batches):
@@ -149,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, sample: int = 30_000) -> T
                     both[t, np.fromiter(own, np.int64, len(own))] += 1
                     rows[t] += 1
                     if r <= below:
-                        other = swapped(words)
+                        other = swapped(words, swap)
                         drawn.append((None, None, None, r, t, sorted(own), None if other is None else sorted(slots(other))))
                 if drawn:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*drawn), arrow)], schema=arrow)
@@ -166,7 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, training, sample: int = 30_000) -> T
     if not n_clean or not n_toxic:
         dropped(made)
         return ToxicityModel(float(np.log(prior / (1 - prior))))
-    features = select(feature[~total], toxic[~total], clean[~total], n_toxic, n_clean)
+    # Terms are inputs too: only then can naming a group move a score, and the penalty keep it from doing so.
+    named = np.array(sorted(slots(sorted(swap))), np.int64)
+    features = np.union1d(select(feature[~total], toxic[~total], clean[~total], n_toxic, n_clean), named[np.isin(named, feature)])
 
     def only(batches):
         """Of the sample's features, those that the model takes."""
@@ -181,6 +238,17 @@ def fit(docs: DataFrame, labels: DataFrame, training, sample: int = 30_000) -> T
     return train([(r["own"], r["other"], r["label"]) for r in rows], features)
 
 
+def gap(texts: list[bytes], model: ToxicityModel, terms: tuple[tuple[bytes, ...], ...] = IDENTITY) -> tuple[int, float]:
+    """How many texts name a term, and the mean absolute change of their log odds when it is swapped."""
+    swap, changes = swaps(terms), []
+    for x in texts:
+        words = bare(x)
+        other = swapped(words, swap)
+        if other is not None:
+            changes.append(abs(sum(model.weight.get(f, 0.0) for f in slots(words)) - sum(model.weight.get(f, 0.0) for f in slots(other))))
+    return len(changes), float(np.mean(changes)) if changes else 0.0
+
+
 def score(docs: DataFrame, model: ToxicityModel, held_out, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
 

@@ -251,6 +251,17 @@ def test_hubs_of_links(spark, monkeypatch):
 # op7
 
 
+def plain_terms(known):
+    """Pairs of words that rows (text, label) of the toxic label name more often by 1.1 to 2 times, most frequent first."""
+    count = {0: Counter(), 1: Counter()}
+    for t, y in known:
+        count[y].update(w for w in toxicity.bare(t) if len(w) > 2)
+    n = Counter(y for _, y in known)
+    able = [w for w, c in count[1].items() if 3 <= c < count[0][w] and 1.1 < (c / n[1]) / (count[0][w] / n[0]) < 2]
+    able = sorted(able, key=lambda w: (-count[0][w] - count[1][w], w))[: min(64, max(2, n[1] // 4))]
+    return tuple(tuple(able[k : k + 2]) for k in range(0, len(able) - 1, 2))
+
+
 def plain_toxicity(rows, held):
     """{id: score} from rows (id, text, label or None): all counts by dictionary."""
     known = [(t, y) for i, t, y in rows if y in (0, 1) and not held[i]]
@@ -259,11 +270,13 @@ def plain_toxicity(rows, held):
         count[y].update(toxicity.slots(toxicity.bare(t)))
     n = Counter(y for _, y in known)
     slots = sorted(count[0] | count[1])
+    swap = toxicity.swaps(toxicity.IDENTITY + plain_terms(known))
     kept = toxicity.select(np.array(slots), np.array([count[1][x] for x in slots]), np.array([count[0][x] for x in slots]), n[1], n[0])
+    kept = np.array(sorted(set(kept.tolist()) | toxicity.slots(sorted(swap)) & set(slots)))
     made = []
     for t, y in known:
         words = toxicity.bare(t)
-        other = toxicity.swapped(words)
+        other = toxicity.swapped(words, swap)
         made.append((sorted(toxicity.slots(words) & set(kept.tolist())), None if other is None else sorted(toxicity.slots(other) & set(kept.tolist())), y))
     model = toxicity.train(made, kept)
     return {i: model.score(t) for i, t, _ in rows}
@@ -277,6 +290,20 @@ def test_toxicity_query_against_plain(spark):
     assert all(abs(got.score[i] - s) < 1e-6 and got.predicted[i] == int(got.score[i] >= 0.3) for i, s in want.items())
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_pairs_enter_the_fit_of_the_query_and_shrink_the_gap(spark, monkeypatch, sf):
+    """On the given tables, with the query's own terms: swapped texts enter, and held-out texts change less by a swap than without the penalty."""
+    docs, labels, held = table(spark, "documents", sf), table(spark, "labels", sf), queries.remainder("doc_id", 4) == 2
+    terms = toxicity.IDENTITY + toxicity.found_terms(docs, labels, ~held)
+    fair = toxicity.fit(docs, labels, ~held, terms=terms)
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, features: train(rows, features, fairness=0.0))
+    free = toxicity.fit(docs, labels, ~held, terms=terms)
+    texts = [t.encode() for i, t in docs.select("doc_id", "text").toPandas().itertuples(index=False) if zlib.crc32(str(i).encode()) % 4 == 2]
+    (n, with_penalty), (_, without) = toxicity.gap(texts, fair, terms), toxicity.gap(texts, free, terms)
+    assert fair.pairs == free.pairs > 20 and n > 20 and with_penalty < 0.5 * without
+
+
 def test_labels_by_broadcast_or_shuffle(spark, monkeypatch):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     one = toxicity.fit(docs, labels, F.lit(True))
