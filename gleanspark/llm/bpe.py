@@ -30,6 +30,8 @@ STEP = 0x9E3779B97F4A7C15
 EVERY = (1 << 64) - 1
 #: Texts beyond so many characters give their matches one by one instead of in a list.
 LONG = 1 << 22
+#: So many merged pieces a task remembers.
+REMEMBERED = 1 << 18
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -121,35 +123,63 @@ def _slots(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return (mix64(h + d * np.uint64(STEP)) % np.uint64(n)).astype(np.int64)
 
 
-def merged(piece: bytes, rank, longest: int) -> list[int]:
-    """Ids of a piece by merging neighbours. Node i begins at byte i and ends at end[i], where the next one begins (0: merged away). rank(bytes) is
-    the id of a token, or negative. An entry of the heap says that bytes i to stop are a token; it holds while two nodes make up just these."""
-    n = len(piece)
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = end[i]
-        if not 0 < j < stop or end[j] != stop:
-            continue
-        end[i], end[j] = stop, 0
-        if stop < n:
-            before[stop] = i
-            after = end[stop]
-            if after - i <= longest and (r := rank(piece[i:after])) >= 0:
-                heapq.heappush(heap, (r, i, after))
-        k = before[i]
-        if k >= 0 and stop - k <= longest and (r := rank(piece[k:stop])) >= 0:
-            heapq.heappush(heap, (r, k, stop))
-    out, i = [], 0
-    while i < n:
-        out.append(rank(piece[i : end[i]]))
-        i = end[i]
-    return out
+class Merger:
+    """Merges pieces by the ranks of a codec, and remembers what it made of short ones: at most REMEMBERED, then it starts anew."""
+
+    def __init__(self, codec: Codec):
+        self.rank = dict(zip(codec.keys, codec.ids.tolist())).get
+        self.single = [self.rank(bytes([b])) for b in range(256)]
+        self.pair = [self.rank(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.longest = codec.longest
+        self.known: dict[bytes, list[int]] = {}
+
+    def ids(self, piece: bytes) -> list[int]:
+        out = self.known.get(piece)
+        if out is None:
+            out = self.merged(piece)
+            if len(piece) <= 64:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = out
+        return out
+
+    def merged(self, piece: bytes) -> list[int]:
+        """Node i begins at byte i, stands for token own[i] and ends at end[i], where the next one begins. now[i] is the rank of what it and the next one make up
+        (-1: nothing, or the node is merged away). An entry rank * n + i of the heap holds as long as now[i] is that rank."""
+        n, rank, longest, pair, single = len(piece), self.rank, self.longest, self.pair, self.single
+        own, end, before = [single[b] for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [pair[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        heap = [r * n + i for i, r in enumerate(now) if r >= 0]
+        now.append(-1)
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            r, i = divmod(pop(heap), n)
+            if now[i] != r:
+                continue
+            j = end[i]
+            stop = end[j]
+            own[i], end[i], now[i], now[j] = r, stop, -1, -1
+            if stop < n:
+                before[stop] = i
+                after = end[stop]
+                if after - i <= longest:
+                    now[i] = q = rank(piece[i:after], -1)
+                    if q >= 0:
+                        push(heap, q * n + i)
+            k = before[i]
+            if k >= 0:
+                now[k] = q = rank(piece[k:stop], -1) if stop - k <= longest else -1
+                if q >= 0:
+                    push(heap, q * n + k)
+        out, i = [], 0
+        while i < n:
+            out.append(own[i])
+            i = end[i]
+        return out
 
 
-def encoded(texts: list[str], codec: Codec, pattern: regex.Pattern, rank) -> list[np.ndarray]:
+def encoded(texts: list[str], codec: Codec, pattern: regex.Pattern, merger: Merger) -> list[np.ndarray]:
     """Ids of each text, as unsigned 32-bit integers. A match is looked up once for all these texts."""
     number: dict[str, int] = defaultdict(count().__next__)
     matches = []
@@ -161,7 +191,7 @@ def encoded(texts: list[str], codec: Codec, pattern: regex.Pattern, rank) -> lis
     sizes = np.ones(len(pieces), np.int64)
     parts = whole.tolist()
     for i in np.flatnonzero(whole < 0).tolist():
-        parts[i] = merged(pieces[i], rank, codec.longest)
+        parts[i] = merger.ids(pieces[i])
         sizes[i] = len(parts[i])
     pool = np.fromiter((x for p in parts for x in (p if isinstance(p, list) else (p,))), np.uint32, int(sizes.sum()))
     starts = np.cumsum(sizes) - sizes
@@ -175,12 +205,12 @@ def encoded(texts: list[str], codec: Codec, pattern: regex.Pattern, rank) -> lis
 
 def encode(docs: DataFrame, codec: Codec, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids: the ids as little-endian unsigned 32-bit integers, which loaders of training data map into memory as they are."""
-    split = regex.compile(pattern)
+    split, merger = regex.compile(pattern), []
 
     def run(part: pa.RecordBatch) -> dict:
-        # Merging asks for the same short pieces again and again: the tokens by their bytes, from the codec, once a slice.
-        tokens = dict(zip(codec.keys, codec.ids.tolist()))
-        made = encoded([x or "" for x in part.column("text").to_pylist()], codec, split, lambda b: tokens.get(b, -1))
+        if not merger:  # once a task
+            merger.append(Merger(codec))
+        made = encoded([x or "" for x in part.column("text").to_pylist()], codec, split, merger[0])
         return {"key": part.column("key"), "n_tokens": [len(x) for x in made], "ids": [x.astype("<u4").tobytes() for x in made]}
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
