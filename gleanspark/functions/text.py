@@ -187,8 +187,10 @@ def question_type(question: Column, answer: Column) -> Column:
 
 
 def file_key(name: Column) -> Column:
-    """A file's name without its extension hwp, hwpx or pdf, whatever the case, and without white space around it."""
-    return F.trim(F.regexp_replace(F.trim(name), r"(?i)\.(hwpx?|pdf)$", ""))
+    """A file's name, composed (NFC), without its extension hwp, hwpx or pdf, whatever the case, and without white space around it."""
+    from .cleaning import composed
+
+    return F.trim(F.regexp_replace(F.trim(composed(name)), r"(?i)\.(hwpx?|pdf)$", ""))
 
 
 #: Levels of headings, the first that fits. Fixed values.

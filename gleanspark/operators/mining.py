@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +41,78 @@ def fire_rate(queries: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def resolved(names: DataFrame, known: DataFrame, least: int = 4) -> DataFrame:
+#: So many ranges at most that names are sorted into, and so many keys for each that settle where ranges end.
+RANGES, DRAWN = 1024, 16
+
+
+def prefixed(stems: DataFrame, known: DataFrame) -> DataFrame:
+    """stem, least, most: of distinct stems(stem) the smallest and largest doc_id of known(key, doc_id) whose key begins with it; none without such a key. Keys and stems are sorted
+    together into ranges of about equal size, whatever they begin with, and each is read once: keys that begin with a stem follow it. A stem goes to every range that
+    its keys may lie in; keys that several documents have are one row."""
+    keys = known.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    n = min(RANGES, int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = sorted(r["key"] for r in keys.select("key").orderBy(F.xxhash64("key"), "key").limit(n * DRAWN).collect())  # RANGES * DRAWN at most
+    ends = np.array(drawn[DRAWN::DRAWN], object)
+    kind = known.schema["doc_id"].dataType.simpleString()
+
+    @F.pandas_udf("int")
+    def range_of(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, values.to_numpy(object), side="right").astype(np.int32))
+
+    last = F.concat("stem", F.lit(chr(0x10FFFF)))
+    asked = stems.filter("stem <> ''").select("stem", range_of("stem").alias("low"), range_of(last).alias("high")).select("stem", F.explode(F.sequence("low", "high")).alias("range"))
+    null = F.lit(None).cast(kind)
+    both = keys.select(range_of("key").alias("range"), F.col("key").alias("value"), F.lit(True).alias("key"), "least", "most").unionByName(asked.select("range", F.col("stem").alias("value"), F.lit(False).alias("key"), null.alias("least"), null.alias("most")))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A stack of stems, each beginning with the one below; what is learned of one goes to the one below when it ends."""
+        stack, at = [], None
+
+        def ended(out: list, upto) -> None:
+            while stack and not upto(stack[-1][0]):
+                stem, low, high = stack.pop()
+                if low is not None:
+                    out.append((stem, low, high))
+                    if stack:
+                        _widen(stack[-1], low, high)
+
+        for b in batches:
+            out = []
+            for range_, value, is_key, low, high in b.itertuples(index=False):
+                if range_ != at:
+                    ended(out, lambda stem: False)
+                    at = range_
+                ended(out, value.startswith)
+                if is_key:
+                    if stack:
+                        _widen(stack[-1], low, high)
+                else:
+                    stack.append([value, None, None])
+            yield pd.DataFrame(out, columns=["stem", "least", "most"])
+        out = []
+        ended(out, lambda stem: False)
+        yield pd.DataFrame(out, columns=["stem", "least", "most"])
+
+    # At equal values the stem comes first. Batches hold no nulls of ids but in rows of stems, which none reads.
+    dealt = both.repartition(n, "range").sortWithinPartitions("range", "value", "key").select("range", "value", "key", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("least", "most")])
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    dealt = dealt.withColumns({c: F.when(F.col("key"), F.col(c).cast("long")).otherwise(0) for c in ("least", "most")}) if whole else dealt
+    met = dealt.mapInPandas(walk, f"stem string, least {'long' if whole else 'string'}, most {'long' if whole else 'string'}")
+    return met.groupBy("stem").agg(F.min("least").cast(kind).alias("least"), F.max("most").cast(kind).alias("most"))
+
+
+def _widen(top: list, low, high) -> None:
+    top[1] = low if top[1] is None else min(top[1], low)
+    top[2] = high if top[2] is None else max(top[2], high)
+
+
+def resolved(names: DataFrame, known: DataFrame) -> DataFrame:
     """name, doc_id, reason of names(name) against known(key, doc_id): exact, prefix (the only document whose key begins with it), ambiguous or none.
-    Prefixes meet in equal heads of `least` characters, so nothing is compared with everything; shorter ones meet the heads of their own length, one row for each."""
+    Ids are whole numbers or strings."""
     stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
     asked = names.select("name", stem.alias("stem")).distinct()
     exact = asked.select("name", F.explode(F.array_distinct(F.array("name", "stem"))).alias("key")).join(known, "key").groupBy("name").agg(F.min_by("doc_id", F.when(F.col("key") == F.col("name"), 0).otherwise(1)).alias("exact"))
-    heads = known.select("key", F.col("doc_id").alias("found"), F.substring("key", 1, least).alias("head"))
-    meet = asked.filter(F.length("stem") >= least).withColumn("head", F.substring("stem", 1, least)).join(heads, "head").filter(F.startswith("key", "stem"))
-    prefix = meet.groupBy("name").agg(F.min("found").alias("least"), F.max("found").alias("most"))
-    if least > 1:
-        sizes = known.select("key", F.col("doc_id").alias("found"), F.explode(F.sequence(F.lit(1), F.lit(least - 1))).alias("size")).filter(F.length("key") >= F.col("size"))
-        short = sizes.groupBy(F.expr("substring(key, 1, size)").alias("head")).agg(F.min("found").alias("least"), F.max("found").alias("most"))
-        prefix = prefix.unionByName(asked.join(short, F.col("stem") == F.col("head")).select("name", "least", "most"))
-    out = asked.join(exact, "name", "left").join(prefix, "name", "left")
+    out = asked.join(exact, "name", "left").join(prefixed(asked.select("stem").distinct(), known), "stem", "left")
     one = F.col("least") == F.col("most")
     return out.select(
         "name", F.coalesce("exact", F.when(one, F.col("least"))).alias("doc_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, evalsets, markup, reports
+from ..operators import answers, evalsets, grounding, markup, reports
 from ..operators import documents as D
 from .catalog import C, chunks, register, table
 from .evaluation import PATTERNS
@@ -107,6 +107,45 @@ def e11_contexts_from_evidence(spark, sf_dir):
     return evalsets.contexts_from_evidence(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("evidence")))
 
 
+#: Runs of six characters or more of pairs e(item_id, doc_id, text) and d(doc_id, text), along diagonals.
+RUNS = """eg AS (SELECT item_id, doc_id, p, substr(text, p + 1, 6) AS g FROM (SELECT item_id, doc_id, text, unnest(range(0, length(text) - 5)) AS p FROM e)),
+dg AS (SELECT doc_id, p, substr(text, p + 1, 6) AS g FROM (SELECT doc_id, text, unnest(range(0, length(text) - 5)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM e))),
+mt AS (SELECT item_id, eg.doc_id, eg.p AS ep, dg.p AS tp FROM eg JOIN dg ON eg.doc_id = dg.doc_id AND eg.g = dg.g),
+ch AS (SELECT *, ep - row_number() OVER (PARTITION BY item_id, doc_id, tp - ep ORDER BY ep) AS chain FROM mt),
+rn AS (SELECT item_id, doc_id, min(ep) AS ep, min(tp) AS tp, count(*) + 5 AS length FROM ch GROUP BY item_id, doc_id, tp - ep, chain)"""
+
+
+@register(rf"""WITH e AS (SELECT item_id, item_id AS doc_id, text FROM benchmark), d AS (SELECT doc_id, text FROM documents), {RUNS},
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length DESC, ep, tp) AS r FROM rn) WHERE r = 1)
+SELECT item_id, b.doc_id, regexp_replace(substr(e.text, b.ep + 1, b.length), '^\s+|\s+$', '', 'g') AS run FROM b JOIN e USING (item_id) WHERE trim(substr(e.text, b.ep + 1, b.length)) <> ''""")
+def e06_longest_runs(spark, sf_dir):
+    """Each item's longest run in the document of its number."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return grounding.longest(b.select("item_id", F.col("item_id").alias("doc_id")), b.select("item_id", F.col("text").alias("evidence")), d.select("doc_id", "text"), noise=None)
+
+
+@register("SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE length(benchmark.text) >= 6")
+def j12_holders(spark, sf_dir):
+    """The documents that hold an item, met by its rarest seed."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return grounding.holders(b.filter("length(text) >= 6").select("item_id", F.col("text").alias("needle")), d.select("doc_id", "text"))
+
+
+@register(r"""WITH o AS (SELECT item_id, min(doc_id) AS doc_id, any_value(benchmark.text) AS own FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id),
+f AS (SELECT item_id, doc_id, regexp_replace(own, '\s+', '', 'g') AS own FROM o), h AS (SELECT *, CAST(length(own) // 2 AS BIGINT) AS half FROM f),
+e AS (SELECT item_id, doc_id, substr(own, half + 1) || '##' || substr(own, 1, half) AS text, substr(own, 1, 30) AS answer FROM h), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS text FROM documents), """ + RUNS + r""",
+t AS (SELECT rn.*, substr(text, ep + 1, length) AS run, list_transform(range(0, greatest(length(answer) - 8, 1), 4), lambda i: substr(answer, i + 1, 8)) AS pieces FROM rn JOIN e USING (item_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length < 20, CASE WHEN length >= 20 THEN -len(list_filter(pieces, lambda p: contains(run, p))) ELSE 0 END, -length, ep, tp) AS r FROM t)
+SELECT item_id, run AS span FROM b WHERE r = 1""")
+def e06_best_spans(spark, sf_dir):
+    """Evidence is an item that some document holds, its halves changed, and the answer its beginning: the half with the answer, not the longest, is the span."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    own, half = F.regexp_replace("text", r"\s+", ""), F.floor(F.length("own") / 2).cast("int")
+    held = grounding.holders(b.select("item_id", F.col("text").alias("needle")), d).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    pairs = b.withColumn("own", own).join(held, "item_id").select("item_id", "doc_id", F.concat(F.substr("own", half + 1), F.lit("##"), F.substr("own", F.lit(1), half)).alias("evidence"), F.substring("own", 1, 30).alias("answer"))
+    return evalsets.spans(pairs, d).select("item_id", F.regexp_replace("span", r"\s+", "").alias("span"))
+
+
 @register()
 def e04_e06_j12_routed(spark, sf_dir):
     """Questions with evidence of their own document, of another, of none, repeated and empty; longest common runs have no SQL."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import os
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id, make_doc_id, scrub_nan
+from ..functions.text import chunk_id, file_key, make_doc_id, scrub_nan
 
 #: Columns of the metadata files and their names here. Fixed values.
 FIELDS = {
@@ -121,16 +122,32 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 def assigned(files: DataFrame, free: DataFrame, least: int = 15) -> DataFrame:
     """key, name of files(key) and free(name): in the order of their keys, each file takes the name with the longest common beginning of at least `least` characters
-    that none before it took, the first in order of several. Only names with equal heads of `least` characters can meet, so each head is settled by itself."""
+    that none before it took, the first in order of several. Only names with equal heads of `least` characters can meet, so each head is settled by itself, in
+    order, as the rule asks; in time of its names' number times its logarithm, since the longest common beginning is that of a neighbour in order."""
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         left, names = sorted(rows["key"].dropna()), sorted(rows["name"].dropna())
-        out = []
+        n, out = len(names), []
+        # The next free place from a place on, and the last free one up to it; both leap over what is taken.
+        after, before = list(range(n + 1)), list(range(n + 1))
+
+        def free_place(leap: list[int], at: int) -> int:
+            root = at
+            while leap[root] != root:
+                root = leap[root]
+            while leap[at] != root:
+                leap[at], at = root, leap[at]
+            return root
+
         for key in left:
-            best = max(names, key=lambda n: (len(os.path.commonprefix([key, n])), [-ord(c) for c in n]), default=None)
-            if best is not None:
-                out.append((key, best))
-                names.remove(best)
+            at = bisect.bisect_left(names, key)
+            above, below = free_place(after, at), free_place(before, at)  # `before` counts from 1, so 0 is none
+            shared = max((len(os.path.commonprefix([key, names[k]])) for k in (above, below - 1) if 0 <= k < n), default=0)
+            if shared < least:
+                continue
+            k = free_place(after, bisect.bisect_left(names, key[:shared]))
+            out.append((key, names[k]))
+            after[k], before[k + 1] = k + 1, k
         return pd.DataFrame(out, columns=["key", "name"])
 
     head = lambda c: F.substring(c, 1, least).alias("head")
@@ -142,10 +159,9 @@ def assigned(files: DataFrame, free: DataFrame, least: int = 15) -> DataFrame:
 def merge_metadata(files: DataFrame, metadata: DataFrame, least: int = 15, matched: float | None = None) -> DataFrame:
     """files(file_name, ...) with their metadata by normalised name, or else by the longest common beginning (`assigned`); match says how, null where there is
     none. Columns that both have come from the metadata as name_metadata. matched: raises ValueError where a smaller share of the files has metadata."""
-    name = lambda c: F.regexp_replace(F.trim(c), r"(?i)\.(hwp|pdf)$", "")
-    left = files.withColumn("__key", name(F.col("file_name")))
+    left = files.withColumn("__key", file_key(F.col("file_name")))
     own = {c: f"{c}_metadata" for c in metadata.columns if c in files.columns and c != "file_name"}
-    right = metadata.withColumn("__name", name(F.col("file_name"))).withColumnRenamed("file_name", "metadata_file").withColumnsRenamed(own)
+    right = metadata.withColumn("__name", file_key(F.col("file_name"))).withColumnRenamed("file_name", "metadata_file").withColumnsRenamed(own)
     exact = left.join(right, F.col("__key") == F.col("__name")).withColumn("match", F.lit("exact"))
     rest = left.join(exact.select("__key"), "__key", "left_anti")
     free = right.join(exact.select("__name"), "__name", "left_anti")

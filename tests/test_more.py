@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from gleanspark.functions import cleaning, models
 from gleanspark.operators import answers, chunking, documents, evalsets, filters, markup, mining, reports, retrieval, search
 from gleanspark.sources import files, hwp, listings, store, tables
@@ -276,11 +277,85 @@ def test_calls_that_fail(spark):
     assert one(spark, answers.judged(F.lit("q"), F.lit("c"), F.col("v"), lambda p: ["yes, no"] * len(p)), v="a") is True
 
 
-def test_spans():
+def test_spans(spark):
     text = "앞말 사업비는 일억 오천만원 정도로 책정되어 있습니다. 사업 기간은 착수일로부터 육 개월 동안 진행됩니다. 끝"
     evidence = "사업비는 일억오천만원 정도로 책정되어 있습니다. 그리고 사업기간은 착수일로부터 육개월 동안 진행됩니다."
-    assert evalsets.best_span(evidence, text, "일억 오천만원 정도로 책정").startswith("사업비는") and evalsets.best_span(evidence, text, "육 개월 동안 진행됩니다").startswith("사업 기간은")
-    assert evalsets.best_span("", text) == "" and evalsets.longest_common("abc def - 12 -", "xx abc def - 12 -", 6) == "abc def" and evalsets.longest_common("abc", "abd") == ""
+    rows = [(1, 1, evidence, "일억 오천만원 정도로 책정"), (2, 1, evidence, "육 개월 동안 진행됩니다"), (3, 1, "", "x"), (4, 2, evidence, None), (5, 1, "책정되어 zz", None), (6, 1, None, "a")]
+    got = {r.item_id: r.span for r in evalsets.spans(spark.createDataFrame(rows, "item_id long, doc_id long, evidence string, answer string"), spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
+    assert got[1].startswith("사업비는 일억 오천만원") and got[2].startswith("사업 기간은") and (got[3], got[4], got[6]) == ("", "", "") and got[5] == ""
+    assert evalsets.spans(spark.createDataFrame([(1, 1, "정도로 책정되어 있", None)], "item_id long, doc_id long, evidence string, answer string"), spark.createDataFrame([(1, text)], "doc_id long, text string")).first().span == "정도로 책정되어 있"
+
+
+def plain_run(evidence, text, least=6):
+    """The longest common run by trying all, noise never matching."""
+    from gleanspark.operators.grounding import NOISE
+
+    e, t = NOISE.sub(lambda m: "\0" * len(m[0]), evidence), NOISE.sub(lambda m: "\1" * len(m[0]), text)
+    best = (0, 0)
+    for i in range(len(e)):
+        for n in range(len(e) - i, max(least, -best[0] + 1) - 1, -1):
+            if e[i : i + n] in t:
+                best = min(best, (-n, i))
+                break
+    return evidence[best[1] : best[1] - best[0]].strip() if -best[0] >= least else ""
+
+
+def plain_grounding(evidence, doc_id, texts, least=6, telling=8):
+    own = plain_run(evidence or "", texts.get(doc_id) or "", least)
+    if own:
+        return own, "공고특정불가" if len(own) >= telling and sum(own in (t or "") for t in texts.values()) > 1 else None
+    best = ""
+    for d in sorted(texts):
+        run = plain_run(evidence or "", texts[d] or "", least)
+        best = run if len(run) > len(best) else best
+    return best, "라벨불일치" if best else "코퍼스에없음"
+
+
+@pytest.mark.parametrize("letters", ["ab c", "abcdefghij klmnop", "가나 다a"])
+def test_grounding_against_all_pairs(spark, letters):
+    """Own runs, runs of others, ties, noise, white space at the ends, nulls and evidence of nothing; texts of few letters make every seed frequent."""
+    import random
+
+    from gleanspark.operators import grounding
+
+    r = random.Random(len(letters))
+    made = lambda n: "".join(r.choice(letters) for _ in range(n))
+    texts = {k: made(r.randint(0, 150)) for k in range(25)} | {30: None, 31: "", 32: "one page - 12 - of text p. 3 here", 33: "    " * 10}
+    texts[3], texts[25] = made(60), made(40)
+    texts[26] = texts[3] + made(5)
+    rows = []
+    for k in range(60):
+        source = texts[r.randrange(27) if k % 3 else k % 25]
+        a = r.randrange(max(1, len(source)))
+        part = source[a : a + r.randint(0, 40)]
+        rows.append((k, r.choice([k % 25, 31, 3]), "QWERT" * (k % 4 == 0) + part + r.choice(["", " - 12 -", "zz 3쪽 "]) + made(r.randint(0, 8))))
+    rows += [(90, 1, None), (91, 2, ""), (92, 3, "short"), (93, 32, "one page - 12 - of text p. 3 here"), (94, 33, "       "), (95, 77, texts[3]), (96, 3, texts[3][2:40])]
+    docs, pairs = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, doc_id long, evidence string")
+    got = {x.item_id: (x.keyword, x.defect) for x in grounding.grounded(pairs, docs).collect()}
+    assert got == {i: plain_grounding(e, d, texts) for i, d, e in rows} and {x[1] for x in got.values()} >= {None, "라벨불일치", "코퍼스에없음", "공고특정불가"}
+
+
+def test_the_query_of_grounding_against_all_pairs(spark):
+    """e04_e06_j12_routed over the whole smallest tables."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text}
+    items = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
+    rows = {r.item_id: r for r in entry.queries()["e04_e06_j12_routed"](spark, "/root/testdata/sf0.001").collect()}
+    asked = 0
+    for i, r in rows.items():
+        if r.answerable and r.defect not in ("중복질문", "빈키워드"):
+            evidence = "ㄱㄴㄷㄹㅁㅂㅅ" if i % 5 == 1 else items[i]
+            assert (r["keywords"][0], r.defect) == plain_grounding(evidence, i, texts)
+            asked += 1
+    assert asked > 10
+
+
+def test_grounding_has_no_join_of_all_with_all(spark):
+    """No pair of tables meets but on equal columns, and no table of questions is copied to every task by a hint."""
+    from gleanspark.operators import grounding
+
+    docs, pairs = spark.createDataFrame([(1, "some text of ten words")], "doc_id long, text string"), spark.createDataFrame([(1, 1, "text of ten")], "item_id long, doc_id long, evidence string")
+    plan = grounding.grounded(pairs, docs)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_routing(spark):
@@ -342,6 +417,56 @@ def test_greedy_names(spark):
         tables.merge_metadata(files_, spark.createDataFrame([("f1.hwp", "t")], "file_name string, title string"), matched=0.9)
 
 
+def test_assignment_against_the_rule(spark):
+    """All pairs, file after file, as the rule says; most names share their heads, several are equal, whole names are free once."""
+    import os
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        name = lambda: "head" * 3 + "".join(r.choice("ab") for _ in range(r.randint(0, 9)))
+        keys, free = sorted({name() for _ in range(60)}), [name() for _ in range(50)] + [None, "x"]
+        left, want = sorted(n for n in free if n and len(n) >= 13), {}
+        for k in keys:
+            best = max(left, key=lambda n: len(os.path.commonprefix([k, n])), default="")  # the first of several
+            if len(os.path.commonprefix([k, best])) >= 13:
+                want[k] = best
+                left.remove(best)
+        got = tables.assigned(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(n,) for n in free], "name string"), 13)
+        assert {x.key: x.name for x in got.collect()} == want and len(want) > 20
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_prefixes_against_all_pairs(spark, monkeypatch, kind):
+    """Names that all share a head, in many ranges; stems that reach over several, nested ones, keys of several documents, nulls and letters beyond the basic plane."""
+    import random
+
+    r = random.Random(7)
+    name = lambda n: "Common#" + "".join(r.choice("ab가😀") for _ in range(n))
+    known = [(name(r.randint(0, 7)), i if kind == "long" else f"d{i}") for i in range(400)] + [(None, known_id := 7 if kind == "long" else "d7"), ("", known_id)]
+    names = sorted({name(r.randint(0, 6)) for _ in range(150)} | {"C", "Common#", "Common#a.b.pdf", ".hwp", "", "none", "Common#" + "a" * 9})
+    monkeypatch.setattr(mining, "DRAWN", 2)
+    got = {x.name: (x.doc_id, x.reason) for x in mining.resolved(spark.createDataFrame([(n,) for n in names + [None]], "name string"), spark.createDataFrame(known, f"key string, doc_id {kind}")).collect()}
+    for n in names:
+        stem = n.rpartition(".")[0] if "." in n[1:] else n
+        exact = min((d for k, d in known if k == n), default=None) or min((d for k, d in known if k == stem), default=None)
+        hits = {d for k, d in known if k is not None and k.startswith(stem)} if stem else set()
+        if exact is not None:
+            assert got[n][1] == "exact" and got[n][0] in {d for k, d in known if k in (n, stem)}
+        else:
+            assert got[n] == ((hits.pop(), "prefix") if len(hits) == 1 else (None, "ambiguous" if hits else "none")), n
+
+
+def test_decomposed_file_names_match(spark):
+    """A name in decomposed letters, with another extension, is the same file."""
+    import unicodedata
+
+    name = "제안요청서 각 ñ"
+    meta = spark.createDataFrame([(name + ".hwp", "t")], "file_name string, title string")
+    found = tables.merge_metadata(spark.createDataFrame([(unicodedata.normalize("NFD", name) + ".HWPX ",)], "file_name string"), meta, matched=0.9).first()
+    assert (found.title, found.match) == ("t", "exact")
+
+
 def test_incremental_processing(spark):
     now = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "path string, modified int")
     before = spark.createDataFrame([("a", 1, "old"), ("b", 1, "old"), ("gone", 1, "old")], "path string, modified int, text string")
