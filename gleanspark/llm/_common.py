@@ -70,16 +70,17 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-#: So many of the most frequent keys of a join are broadcast; no other key then has more than a HOT-th of all rows.
+#: A key of a join that more than a HOT-th of all rows have is hot: there are fewer than HOT of them, whatever the sizes.
 HOT = 2048
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """rows joined to table, which has one row for each key and in column n how many rows have it. The HOT most frequent keys meet their rows where
-    these are, by broadcast, whatever the sizes; the others by a shuffle, so no task gets all rows of a hot key."""
-    hot = table.orderBy(F.col(n).desc(), *keys).limit(HOT)
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined to table (inner or left), which has one row for each key and in column n how many rows have it. Hot keys meet their rows where these are, by
+    broadcast; the others by a shuffle, so no task gets all rows of a hot key. Nothing is sorted to find them: a key is hot by its share of the sum of n."""
+    all_rows = F.broadcast(table.agg(F.sum(n).alias("__all_rows")))
+    hot = table.join(all_rows, F.col(n) * HOT > F.col("__all_rows")).drop("__all_rows")
     rest = F.broadcast(hot.select(*keys))
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(rest, keys, "left_anti").join(table.join(rest, keys, "left_anti"), keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(rest, keys, "left_anti").join(table.join(rest, keys, "left_anti"), keys, how))
 
 
 def whole(df: DataFrame) -> Column:

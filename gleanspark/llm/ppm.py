@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -447,6 +448,24 @@ def _solved(trie: DataFrame, order: int) -> DataFrame:
     return out
 
 
+def _head(summed: DataFrame) -> DataFrame:
+    """kind, key of the most frequent keys, HEAD of a kind at most: those from a count on that a histogram over classes of counts (a sixteenth of an octave each, so
+    at most 1,024) gives. Nothing is sorted or brought into one task."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = summed.filter("n > 0").groupBy("kind", step.alias("step")).count().collect()
+    found = []
+    for kind, most in HEAD.items():
+        least, held = None, 0
+        for r in sorted((r for r in sizes if r["kind"] == kind), key=lambda r: -r["step"]):
+            held += r["count"]
+            if held > most:
+                break
+            least = r["step"]
+        if least is not None:
+            found.append((F.col("kind") == kind) & (step >= least))
+    return summed.filter(F.col("n") > 0).filter(reduce(lambda a, b: a | b, found, F.lit(False))).select("kind", "key")
+
+
 def score(docs: DataFrame, held_out, order: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """held_out: a condition on docs; the other rows train. Returns the columns of OUT: scores are log10 probabilities, base_score that of
     the tokens by counts plus one. order: 2 to 6. The model is learned and the blocks are written when this is called."""
@@ -461,8 +480,7 @@ def score(docs: DataFrame, held_out, order: int = 5, block_bytes: int = 16 << 20
     tokens, distinct, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum(F.when(F.col("key") == END_KEY, F.col("n"))), F.lit(0))).first()
     logs = _solved(summed.filter(F.col("kind") == GRAM_KIND).select("key", "n"), order)
     values = logs.unionByName(words.filter(F.col("key") != END_KEY).select("kind", "key", F.log10(F.col("n") + 1).alias("value")))
-    top = [summed.filter((F.col("kind") == k) & (F.col("key") != END_KEY)).orderBy(F.col("n").desc(), "key").limit(n).select("kind", "key") for k, n in HEAD.items()]
-    head = Head(values.join(top[0].unionByName(top[1]), ["kind", "key"], "left_semi").toArrow())
+    head = Head(values.join(_head(summed.filter(F.col("key") != END_KEY)), ["kind", "key"], "left_semi").toArrow())
     needed = blocks.mapInArrow(_needed(order, head), "block long, kind byte, key long")
     joined = needed.join(values, ["kind", "key"])
     return blocks.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(_score(order, tokens, distinct, ends, head), OUT)

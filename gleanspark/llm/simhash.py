@@ -243,8 +243,8 @@ def _dealt(keyed: DataFrame, weight=None) -> DataFrame:
     parts = F.ceil(F.count("*") / BLOCK)
     if weight is not None:
         parts = F.greatest(parts, F.ceil(F.sum(weight) / BLOCK_BYTES))
-    hot = keyed.groupBy("key").agg(parts.cast("int").alias("parts")).filter("parts > 1").withColumnRenamed("key", "hot")
-    parted = keyed.join(hot, F.col("key") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hot = keyed.groupBy("key").agg(parts.cast("int").alias("parts"), F.count("*").alias("rows")).filter("parts > 1")
+    parted = spread_join(keyed, hot, ["key"], "rows", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = parted.select(*keyed.columns, part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     return dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *[c for c in keyed.columns if c != "key"])
