@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -56,95 +56,139 @@ def postings(index: Bm25Index) -> DataFrame:
     return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, block: int = 256, token: Tokenizer = tokens) -> DataFrame:
+def bm25(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, token: Tokenizer = tokens) -> DataFrame:
     """Okapi BM25; queries(query_id, text). Terms in over half of the chunks get a quarter of the mean idf. Only positive scores.
-    scope(query_id, chunk_id): what a query may find, applied before ranking; such queries are scored over postings. Without it queries go
-    in blocks of at most `block`, each scored against all chunks where their words are read, and only each batch's best are shuffled."""
+    scope(query_id, chunk_id): what a query may find, applied before ranking; such queries are scored over postings. Without it all chunks
+    are scored against all queries, in tiles (`tiled`), which give each query's best of a tile alone."""
     index = chunks if isinstance(chunks, Bm25Index) else Bm25Index(chunks, token)
     asked = index.asked(queries)
     if scope is None:
-        return _bm25_blocks(index, asked, k, block)
+        return _bm25_blocks(index, asked, k, queries.count())
     met = asked.join(postings(index), "term").join(scope, ["query_id", "chunk_id"], "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl))
     scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return top_k(scored, k)
 
 
-def _bm25_blocks(index: Bm25Index, asked: DataFrame, k: int, block: int) -> DataFrame:
-    asked = saved(asked, "bm25-asked")
-    blocks = max(1, -(-asked.select("query_id").distinct().count() // block))
-    id_type = asked.schema["query_id"].dataType
+#: Rows of the corpus and queries that one task scores against each other at most, but for chance: both are dealt by hash.
+PER_TILE, PER_BLOCK = 1 << 14, 1 << 12
+
+
+def tiled(corpus: DataFrame, n: int, queries: DataFrame, n_queries: int, score: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """What `score` makes of every tile of corpus(chunk_id, ...) with every block of queries(query_id, ...): tiles and blocks are the groups of a cogroup, so neither the
+    driver nor the plan holds any, and a task has one tile and one block. Corpus rows are shuffled once for each block of PER_BLOCK queries. n and n_queries may be
+    rough. score gives partial hits (query_id, chunk_id, score)."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    tiles = max(1, -(-n // min(PER_TILE, max(256, -(-n // cores)))))
+    blocks = max(1, -(-n_queries // PER_BLOCK))
+    part = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = corpus.select("*", part("chunk_id", tiles).alias("tile"), every(blocks).alias("block")).groupBy("tile", "block")
+    right = queries.select("*", every(tiles).alias("tile"), part("query_id", blocks).alias("block")).groupBy("tile", "block")
+    return left.cogroup(right).applyInArrow(score, schema)
+
+
+def _hits(schema: StructType, ids: pa.Array, chunks: pa.Array, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """Partial hits from (places of queries, places of chunks, scores)."""
+    q, c, s = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+    return pa.Table.from_arrays([ids.take(pa.array(q)), chunks.take(pa.array(c)), pa.array(s.astype(float))], names=schema.names)
+
+
+class _Best:
+    """Passes on, block of rows after block of rows, what may be among each query's k best: the k-th best so far, less what rounding may make equal."""
+
+    def __init__(self, n: int, k: int, above: float = -np.inf):
+        self.k, self.above, self.kept = k, above, np.full((n, k), -np.inf)
+
+    def __call__(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """scores: rows by queries; the places of those to pass on."""
+        top = scores.T if len(scores) <= self.k else np.partition(scores, -self.k, axis=0)[-self.k :].T
+        self.kept = np.sort(np.concatenate([self.kept, top], axis=1), axis=1)[:, -self.k :]
+        return np.nonzero((scores >= self.kept[:, 0] - 1e-6) & (scores > self.above))
+
+
+def _bm25_blocks(index: Bm25Index, asked: DataFrame, k: int, n_queries: int) -> DataFrame:
     words = index.words.select("chunk_id", F.size("words").alias("dl"), F.array_join("words", BETWEEN).alias("words"))
-    out = None
-    for n in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()  # words of `block` questions
-        names = sorted({r["query_id"] for r in rows})
-        place = {q: i for i, q in enumerate(names)}
-        terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
-        weights = np.zeros((len(terms), max(len(names), 1)))
-        for r in rows:
-            weights[terms[r["term"]], place[r["query_id"]]] = r["qtf"] * r["idf"] * (K1 + 1)
-        best = words.mapInPandas(_scorer(names, terms, weights, index.avgdl, k), StructType([StructField("query_id", id_type), words.schema["chunk_id"], StructField("score", DoubleType())]))
-        out = best if out is None else out.unionByName(best)
-    return top_k(out.withColumn("score", F.round("score", 6)).filter("score > 0"), k)
-
-
-def _scorer(names: list, terms: dict[str, int], weights: np.ndarray, avgdl: float, k: int, rows: int = 512):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), rows):
-                part = batch.iloc[at : at + rows]
-                i, j, value = [], [], []
-                for row, (dl, text) in enumerate(zip(part["dl"], part["words"])):
-                    norm = K1 * (1 - B + B * dl / avgdl)
-                    for t, tf in Counter(text.split(BETWEEN)).items():
-                        if (found := terms.get(t)) is not None:
-                            i.append(row)
-                            j.append(found)
-                            value.append(tf / (tf + norm))
-                if not i:
-                    continue
-                present, column = np.unique(j, return_inverse=True)  # the matrix has the terms of these rows alone
-                matrix = np.zeros((len(part), len(present)))
-                matrix[i, column] = value
-                scores = matrix @ weights[present]
-                # Each query's k best of these rows, and what rounding may make equal to them.
-                least = np.partition(scores, -k, axis=0)[-k] if len(part) > k else np.zeros(scores.shape[1])
-                i, q = np.nonzero((scores >= least - 1e-6) & (scores > 0))
-                ids = part["chunk_id"].to_numpy()
-                if len(i):
-                    yield pd.DataFrame({"query_id": [names[x] for x in q], "chunk_id": ids[i], "score": scores[i, q]})
+    schema = StructType([asked.schema["query_id"], words.schema["chunk_id"], StructField("score", DoubleType())])
+    weighed = asked.select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
+    best = tiled(words, index.n, weighed, n_queries, _scorer(index.avgdl, k, schema), schema)
+    return top_k(best.withColumn("score", F.round("score", 6)).filter("score > 0"), k)
+
+
+def _scorer(avgdl: float, k: int, schema: StructType, rows: int = 512, queries: int = 256) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The words of a tile are counted once; queries go in parts of `queries` against rows in parts of `rows`, each with a matrix of the terms that both have."""
+
+    def run(tile: pa.Table, block: pa.Table) -> pa.Table:
+        if not tile.num_rows or not block.num_rows:
+            return _hits(schema, pa.array([], block.schema.field("query_id").type), pa.array([], tile.schema.field("chunk_id").type), [])
+        chunks, terms = tile.column("chunk_id").combine_chunks(), block.column("term").combine_chunks().dictionary_encode()
+        place = {t: n for n, t in enumerate(terms.dictionary.to_pylist())}
+        ids = block.column("query_id").combine_chunks().dictionary_encode()
+        q, t, w = (np.asarray(x) for x in (ids.indices, terms.indices, block.column("weight")))
+        by_query = np.argsort(q, kind="stable")
+        q, t, w = q[by_query], t[by_query], w[by_query]
+        parts = []
+        texts, sizes = tile.column("words").to_pylist(), tile.column("dl").to_pylist()
+        for at in range(0, len(texts), rows):
+            i, j, value = [], [], []
+            for row, (dl, text) in enumerate(zip(sizes[at : at + rows], texts[at : at + rows])):
+                norm = K1 * (1 - B + B * dl / avgdl)
+                for term, tf in Counter(text.split(BETWEEN)).items():
+                    if (found := place.get(term)) is not None:
+                        i.append(row)
+                        j.append(found)
+                        value.append(tf / (tf + norm))
+            parts.append((at, min(rows, len(texts) - at), np.array(i, np.int64), np.array(j, np.int64), np.array(value)))
+        out = []
+        for first in range(0, len(ids.dictionary), queries):
+            n = min(queries, len(ids.dictionary) - first)
+            own = slice(np.searchsorted(q, first), np.searchsorted(q, first + n))
+            used, column = np.unique(t[own], return_inverse=True)
+            weights = np.zeros((len(used), n))
+            weights[column, q[own] - first] = w[own]
+            best, local = _Best(n, k, 0.0), np.full(len(place), -1)
+            local[used] = np.arange(len(used))
+            for at, height, i, j, value in parts:
+                met = local[j] if len(j) else j
+                met_rows = met >= 0
+                if met_rows.any():
+                    present, at_column = np.unique(met[met_rows], return_inverse=True)
+                    matrix = np.zeros((height, len(present)))
+                    matrix[i[met_rows], at_column] = value[met_rows]
+                    scores = matrix @ weights[present]
+                    r, c = best(scores)
+                    out.append((c + first, r + at, scores[r, c]))
+        return _hits(schema, ids.dictionary, chunks, out)
 
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
-    """Exact nearest by squared L2 distance; vectors(chunk_id, v), queries(query_id, q): a stated set of queries, which go in blocks of at most `block` to the
-    vectors where these are read; only each batch's best are shuffled."""
-    asked = saved(queries.filter(F.col("q").isNotNull()).select("query_id", F.col("q").cast("array<double>").alias("q")), "dense-asked")
-    blocks = max(1, -(-asked.count() // block))
-    schema = StructType([asked.schema["query_id"], vectors.schema["chunk_id"], StructField("score", DoubleType())])
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Exact nearest by squared L2 distance; vectors(chunk_id, v), queries(query_id, q): a stated set of queries against all vectors, in tiles (`tiled`)."""
+    asked = queries.filter(F.col("q").isNotNull()).select("query_id", F.col("q").cast("array<double>").alias("q"))
     rows = vectors.filter(F.col("v").isNotNull()).select("chunk_id", F.col("v").cast("array<double>").alias("v"))
-    out = None
-    for n in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()  # vectors of `block` queries
-        best = rows.mapInPandas(_nearest([r["query_id"] for r in own], np.array([r["q"] for r in own], dtype=float), k), schema)
-        out = best if out is None else out.unionByName(best)
-    return top_k(out.withColumn("score", F.round("score", 6) + F.lit(0.0)), k)
-
-
-def _nearest(names: list, q: np.ndarray, k: int, rows: int = 2048):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch) if names else 0, rows):
-                part = batch.iloc[at : at + rows]
-                v = np.stack(part["v"].to_numpy()).astype(float)
-                scores = 2 * (v @ q.T) - (v * v).sum(axis=1)[:, None] - (q * q).sum(axis=1)[None, :]
-                # Each query's k best of these rows, and what rounding may make equal to them.
-                least = np.partition(scores, -k, axis=0)[-k] if len(part) > k else np.full(scores.shape[1], -np.inf)
-                i, j = np.nonzero(scores >= least - 1e-6)
-                ids = part["chunk_id"].to_numpy()
-                yield pd.DataFrame({"query_id": [names[x] for x in j], "chunk_id": ids[i], "score": scores[i, j]})
+    schema = StructType([asked.schema["query_id"], rows.schema["chunk_id"], StructField("score", DoubleType())])
+    best = tiled(rows, rows.count(), asked, asked.count(), _nearest(k, schema), schema)
+    return top_k(best.withColumn("score", F.round("score", 6) + F.lit(0.0)), k)
+
+
+def _nearest(k: int, schema: StructType, rows: int = 2048, queries: int = 512) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    matrix = lambda column, n: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+    def run(tile: pa.Table, block: pa.Table) -> pa.Table:
+        ids, chunks = block.column("query_id").combine_chunks(), tile.column("chunk_id").combine_chunks()
+        if not tile.num_rows or not block.num_rows:
+            return _hits(schema, ids, chunks, [])
+        v, all_q, out = matrix(tile.column("v"), tile.num_rows), matrix(block.column("q"), block.num_rows), []
+        sizes = (v * v).sum(axis=1)
+        for first in range(0, len(all_q), queries):
+            q = all_q[first : first + queries]
+            best, own = _Best(len(q), k), (q * q).sum(axis=1)
+            for at in range(0, len(v), rows):
+                scores = 2 * (v[at : at + rows] @ q.T) - sizes[at : at + rows, None] - own[None, :]
+                r, c = best(scores)
+                out.append((c + first, r + at, scores[r, c]))
+        return _hits(schema, ids, chunks, out)
 
     return run
 
