@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import question_type, squeeze
+from ..sources.tables import numbered
 from .grounding import best_spans, grounded
 
 # Patterns and questions by kind. Fixed values.
@@ -53,10 +54,10 @@ def hard_pairs(docs: DataFrame, per_kind: int = 40, per_doc: int = 1) -> DataFra
     each = docs.select("doc_id", F.explode(kinds).alias("k")).select("doc_id", "k.kind", F.posexplode("k.made").alias("n", "x")).filter(F.length("x.answer") >= 3)
     order = Window.partitionBy("kind").orderBy("doc_id", "n")
     made = each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_kind).select("kind", "doc_id", F.col("x.question").alias("question"), F.array("x.answer").alias("keywords"), F.lit(True).alias("answerable"))
-    step = F.greatest(F.floor(F.col("total") / (3 * len(UNANSWERABLE))), F.lit(1))
     # Ids and titles alone are numbered over all documents; texts stay where they are.
-    numbered = docs.select("doc_id", "title").withColumn("i", F.row_number().over(Window.orderBy("doc_id")) - 1).crossJoin(F.broadcast(docs.agg(F.count("*").alias("total"))))  # one row
-    spread = numbered.filter((F.col("i") % step == 0) & (F.col("i") / step < per_kind // 3)).withColumn("k", (F.col("i") / step).cast("int") % len(UNANSWERABLE))
+    listed = numbered(docs.select("doc_id", "title"), "i", "doc_id")
+    step = max(listed.count() // (3 * len(UNANSWERABLE)), 1)
+    spread = listed.filter((F.col("i") % step == 0) & (F.col("i") / step < per_kind // 3)).withColumn("k", (F.col("i") / step).cast("int") % len(UNANSWERABLE))
     question = F.element_at(F.array(*map(_asked, UNANSWERABLE)), F.col("k") + 1)
     none = spread.select(F.lit("없음").alias("kind"), "doc_id", question.alias("question"), F.array().cast("array<string>").alias("keywords"), F.lit(False).alias("answerable"))
     return made.unionByName(none)
@@ -99,9 +100,8 @@ def contexts_from_evidence(pairs: DataFrame, excerpts: int = 3, seed: int = 0) -
     h = lambda *c: F.xxhash64(F.lit(seed), *c)
     told = pairs.filter(F.trim(F.coalesce("evidence", F.lit(""))) != "").select("item_id", F.trim("evidence").alias("evidence"))
     distinct = told.groupBy("evidence").agg(F.min("item_id").alias("item_id"))
-    ring = distinct.withColumn("place", F.row_number().over(Window.orderBy(h("item_id"))) - 1)
-    n = ring.agg(F.count("*").alias("n"))
-    placed = told.join(ring.select("evidence", "place"), "evidence").crossJoin(F.broadcast(n))  # one row
+    ring = numbered(distinct.withColumn("__hash", h("item_id")), "place", "__hash", "item_id").drop("__hash")
+    placed = told.join(ring.select("evidence", "place"), "evidence").withColumn("n", F.lit(ring.count()))
     wanted = placed.select("item_id", "evidence", F.explode(F.sequence(F.lit(0), F.least(F.lit(excerpts), F.col("n").cast("int")) - 1)).alias("k"), ((F.col("place") + F.col("k")) % F.col("n")).alias("at"))
     each = wanted.join(ring.select(F.col("place").alias("at"), F.col("evidence").alias("text")), "at")
     order = F.row_number().over(Window.partitionBy("item_id").orderBy(h("item_id", "text")))

@@ -30,11 +30,11 @@ BETWEEN = "\x01"  # no token holds it
 class Bm25Index:
     """What a corpus of chunks(chunk_id, text) is searched by: words (chunk_id, words), raw (term, raw: its idf, negative in over half of the chunks), how many chunks,
     their mean length and the mean of all idf. Texts are cut into words once; both tables lie in the shared folder until the driver ends. Build it once
-    for many searches. token: column of texts to column of arrays of words."""
+    for many searches. token: column of texts to column of arrays of words; cache: an `indexes.WordCache`, which cuts only texts that it doesn't have."""
 
-    def __init__(self, chunks: DataFrame, token: Tokenizer = tokens):
-        self.token = token
-        self.words = saved(chunks.select("chunk_id", token(F.col("text")).alias("words")), "bm25-words")
+    def __init__(self, chunks: DataFrame, token: Tokenizer = tokens, cache=None):
+        self.token = cache.token if cache else token
+        self.words = saved(cache.words(chunks) if cache else chunks.select("chunk_id", token(F.col("text")).alias("words")), "bm25-words")
         self.n, mean = self.words.agg(F.count("*"), F.avg(F.size("words"))).first()
         self.avgdl = mean or 1.0
         df = self.words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -108,7 +108,7 @@ class _Best:
 
 
 def _bm25_blocks(index: Bm25Index, asked: DataFrame, k: int, n_queries: int) -> DataFrame:
-    words = index.words.select("chunk_id", F.size("words").alias("dl"), F.array_join("words", BETWEEN).alias("words"))
+    words = index.words.filter("size(words) > 0").select("chunk_id", F.size("words").alias("dl"), F.array_join("words", BETWEEN).alias("words"))
     schema = StructType([asked.schema["query_id"], words.schema["chunk_id"], StructField("score", DoubleType())])
     weighed = asked.select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
     best = tiled(words, index.n, weighed, n_queries, _scorer(index.avgdl, k, schema), schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.text import money, single_spaced
+from ..sources.tables import numbered
 from . import retrieval as R
 
 Searcher = Callable[[DataFrame, int], DataFrame]
@@ -176,8 +177,8 @@ def contexts(hits: DataFrame, budget: int = 6000, generation: bool = False, betw
 def exported(pairs: DataFrame, found: DataFrame, scoped: bool = True) -> DataFrame:
     """One row for each question of an evaluation set (query_id, question, kind, answerable, doc_id, keywords), in their order, with its context; found_doc
     tells, where questions were not scoped to their document, whether it was found. Questions without hits have an empty context."""
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("query_id"))  # an evaluation set is read by people
-    rows = pairs.withColumn("qid", F.format_string("%s-%03d", F.coalesce("kind", F.lit("q")), number)).join(found, "query_id", "left")
+    listed = numbered(pairs, "__n", "query_id")
+    rows = listed.withColumn("qid", F.format_string("%s-%03d", F.coalesce("kind", F.lit("q")), F.col("__n") + 1)).join(found, "query_id", "left")
     seen = F.coalesce(F.exists("sources", lambda s: s["doc_id"] == F.col("doc_id")), F.lit(False))
     return rows.select(
         "qid", "question", "kind", F.coalesce("answerable", F.lit(True)).alias("answerable"), F.when(F.lit(scoped) & F.col("doc_id").isNotNull(), F.array("doc_id")).alias("doc_ids"), F.col("doc_id").alias("gold_doc"),

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..functions import text as T
 from ..operators import documents as D
-from ..operators import evalsets
+from ..operators import evalsets, indexes
+from ..operators import retrieval as R
 from ..operators import search as S
 from ..sources import listings, store, tables
 from ..streaming import events as E
-from .catalog import C, chunks, register, table
+from .catalog import BM25, TOK, C, chunks, questions, register, table
 
 NAMES = {v: k for k, v in tables.FIELDS.items()}
 
@@ -234,3 +235,27 @@ def a06_notice_metrics(spark, sf_dir):
     b, i = table(spark, sf_dir, "benchmark"), F.col("item_id")
     ranks = b.select(F.when(i % 4 != 0, i % 4 * 3).alias("rank"), (i % 2 == 0).alias("named"))
     return S.notice_metrics(ranks, "named")
+
+
+@register(rf"""WITH {C}, t AS (SELECT chunk_id, term, CAST(count(*) AS DOUBLE) * length(term) AS w FROM (SELECT chunk_id, unnest({TOK}) AS term FROM c) GROUP BY chunk_id, term),
+p AS (SELECT chunk_id, term, w FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY w DESC, term) AS r FROM t) WHERE r <= 256),
+q AS (SELECT query_id, term, CAST(count(*) AS DOUBLE) AS w FROM (SELECT item_id AS query_id, unnest({TOK}) AS term FROM benchmark) GROUP BY query_id, term),
+m AS (SELECT query_id, chunk_id, round(sum(q.w * p.w), 6) AS score FROM q JOIN p ON q.term = p.term GROUP BY query_id, chunk_id)
+SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m WHERE score > 0) WHERE rank <= 5""")
+def r04_stored_index(spark, sf_dir):
+    """Vectors of the heaviest 256 terms of each chunk, by how often and how long they are, in an inverted index that is made once and found again by its signature."""
+    c, path = chunks(spark, sf_dir), tables.until_exit(spark, tables.scratch(spark, "sparse"))
+    words = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("words"))
+    signature = store.signature_of(c)
+    indexes.SparseIndex.of(path, signature, lambda: indexes.weighted(words(c, "chunk_id"), "chunk_id", F.length("term")), spark)
+    index = indexes.SparseIndex.open(spark, path, signature)
+    return index.search(indexes.weighted(words(questions(spark, sf_dir), "query_id"), "query_id", F.lit(1.0)), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM h WHERE rank <= 5")
+def t23_r01_cached_words(spark, sf_dir):
+    """BM25 over a corpus of which every third chunk was cut into words before."""
+    c = chunks(spark, sf_dir)
+    cache = indexes.WordCache(spark, tables.until_exit(spark, tables.scratch(spark, "words")))
+    cache.words(c.filter(F.col("doc_id") % 3 == 0))
+    return R.bm25(R.Bm25Index(c, cache=cache), questions(spark, sf_dir), 5).withColumn("rank", F.col("rank").cast("long"))

@@ -58,6 +58,24 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))
 
 
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df with its rows' numbers from 0 in an order, as a long in column `name`. Rows are sorted in ranges and numbered within each; what lies before a range is added. What one
+    task holds is a range; only the ranges' sizes, a row each, come together."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    at = saved(dealt.select("*", F.spark_partition_id().alias("__range"), within.alias("__within")), "numbered")
+    sizes = at.groupBy("__range").agg(F.count("*").alias("__size")).collect()  # a row for each range
+    before, offsets = 0, []
+    for r in sorted(sizes):
+        offsets.append((r["__range"], before))
+        before += r["__size"]
+    if not offsets:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    starts = df.sparkSession.createDataFrame(offsets, "__range int, __before long")
+    return at.join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, where its files have fewer splits; large inputs stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -15,11 +15,13 @@ def _folder(spark: SparkSession, what: str) -> str:
     return scratch(spark, f"stream-{what}")
 
 
-def arrivals(spark: SparkSession, path: str) -> DataFrame:
+def arrivals(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The files of a table as a stream; a single file is found by its folder and name."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if name.endswith(".parquet") else path)
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return reader.option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if name.endswith(".parquet") else path)
 
 
 def drained(df: DataFrame, what: str, mode: str = "append") -> DataFrame:
@@ -73,20 +75,41 @@ def polled(spark: SparkSession, path: str, *keys: str, late: str = "2 days") ->
     return drained(timed(spark, path, late).dropDuplicatesWithinWatermark(list(keys)), "polls")
 
 
-def upserted(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
-    """The latest row of each key, by micro-batch: a batch's latest rows and those of the version before whose keys it does not have make the next
-    version. Each version is a table of its own, and the checkpoint's batch number names it, so a batch that is run again writes the same one."""
-    out = _folder(spark, "upserts")
-    state = {"last": None}
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions in a folder of `upserted`, ascending."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in (fs.listStatus(root) if fs.exists(root) else [])]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(fs_path(f"{folder}/{n}/_SUCCESS")))
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The last complete version."""
+    return spark.read.parquet(f"{folder}/v{versions(spark, folder)[-1]}")
+
+
+def upserted(spark: SparkSession, path: str, key: str, order: str, folder: str | None = None, files_per_batch: int | None = None, keep: int = 2) -> DataFrame:
+    """The latest row of each key, by micro-batch: a batch's latest rows and those of the version before make the next version. Of equal orders a row of the later batch
+    counts. folder: holds the versions and the checkpoint, so that a later call goes on where this one ended, on whichever driver; without it the result lasts as
+    long as this one. A version is named by its batch's number and made of the last one before it that is complete on disk, so a batch that is run again, after a
+    crash anywhere, makes the same table. The last `keep` versions stay."""
+    out = folder.rstrip("/") if folder else until_exit(spark, _folder(spark, "upserts"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if versions(spark, out) and not fs.exists(hadoop.Path(f"{out}/state/offsets")):
+        raise RuntimeError(f"{out} has versions but no checkpoint that they belong to")
 
     def merge(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
-        if state["last"] is not None:
-            before = batch.sparkSession.read.parquet(f"{out}/v{state['last']}")
-            both = before.unionByName(newest)
-            newest = both.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        best = lambda df, *by: df.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, *by)).alias("row")).select("row.*")
+        newest, before = best(batch), [v for v in versions(spark, out) if v < number]
+        if before:
+            both = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/v{before[-1]}").withColumn("__late", F.lit(0)).unionByName(newest.withColumn("__late", F.lit(1)))
+            newest = best(both, "__late")
         newest.write.mode("overwrite").parquet(f"{out}/v{number}")
-        state["last"] = number
+        for v in before[: 1 - keep] if keep > 1 else before:
+            fs.delete(hadoop.Path(f"{out}/v{v}"), True)
 
-    arrivals(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{until_exit(spark, out)}/v{state['last']}")
+    stream = arrivals(spark, path, files_per_batch)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark, out)

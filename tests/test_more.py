@@ -246,7 +246,7 @@ def test_stores(spark, tmp_path):
         s.read("one", chunks)
     with pytest.raises(store.StoreError):
         s.read("two")
-    (tmp_path / "one" / f"writing-{s.stamp('one')['version'] + 1}").write_text("")
+    (tmp_path / "one" / f"claim-{s.stamp('one')['version'] + 1}.json").write_text('{"owner": "x", "until": 1e12}')
     with pytest.raises(store.StoreError):
         s.add("one", chunks)
     s.drop("one")
@@ -254,6 +254,123 @@ def test_stores(spark, tmp_path):
     assert s.names() == []
 
 
+def rewritten(path, text):
+    """A small file with other content, and without the checksum that Hadoop keeps beside it."""
+    path.write_text(text)
+    path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+
+
+class Killed(BaseException):
+    """A writer's end that no clean-up of its own follows."""
+
+
+CHUNK = "chunk_id string, doc_id string, order int, text string"
+
+
+@pytest.mark.parametrize("step", ["start", "claimed", "written", "stamped"])
+def test_a_killed_writer_leaves_a_store(spark, tmp_path, monkeypatch, step):
+    """Killed between any two steps: readers keep their table, a table is there at every moment, the next writer goes on, once the lease has run out if there is a claim."""
+    one, two, three = (spark.createDataFrame([(f"{d}0", d, 0, f"text {d}")], CHUNK) for d in "ABC")
+    embed = lambda df: df.withColumn("v", F.length("text"))
+    s = store.Stores(spark, f"file://{tmp_path}", "m", embed)
+    s.build("n", one)
+    held = s.read("n")
+
+    def kill(at):
+        if at == step:
+            raise Killed
+        assert s.read("n").count() in (1, 2)  # at every step there is a version
+
+    monkeypatch.setattr(s, "_step", kill)
+    with pytest.raises(Killed):
+        s.add("n", two)
+    after = store.Stores(spark, f"file://{tmp_path}", "m", embed)
+    done = step == "stamped"
+    assert held.count() == 1 and after.read("n").count() == 1 + done
+    if step in ("claimed", "written"):
+        with pytest.raises(store.StoreError):
+            after.add("n", three)
+        (claim,) = (tmp_path / "n").glob("claim-*.json")
+        rewritten(claim, '{"owner": "dead", "until": 0}')
+    assert after.add("n", three).count() == 2 + done and held.count() == 1 and after.stamp("n")["signature"] == store.signature_of(after.read("n"))
+    after.prune("n", 1)
+    assert after.read("n").count() == 2 + done and len(list((tmp_path / "n").glob("part-*"))) == 2 + done and not list((tmp_path / "n").glob("expired-*"))
+
+
+def test_stamps_that_are_not_whole(spark, tmp_path):
+    """A stamp that its writer left empty or cut doesn't count, and its number isn't used again; a writer that lost its claim doesn't publish."""
+    chunk = spark.createDataFrame([("A0", "A", 0, "t")], CHUNK)
+    s = store.Stores(spark, f"file://{tmp_path}", "m", lambda df: df)
+    s.build("n", chunk)
+    (tmp_path / "n" / "stamp-2.json").write_text("")
+    (tmp_path / "n" / "stamp-3.json").write_text('{"version": 3, "pa')
+    assert s.stamp("n")["version"] == 1 and s.read("n").count() == 1
+    assert s.add("n", chunk).count() == 2 and s.stamp("n")["version"] == 4
+
+    def rob(step):
+        if step == "written":
+            rewritten(tmp_path / "n" / "claim-5.json", '{"owner": "other", "until": 1e12}')
+
+    s._step = rob
+    with pytest.raises(store.StoreError):
+        s.add("n", chunk)
+    assert s.stamp("n")["version"] == 4 and (tmp_path / "n" / "claim-5.json").exists()
+
+
+def test_adding_writes_what_is_new(spark, tmp_path):
+    s = store.Stores(spark, f"file://{tmp_path}", "m", lambda df: df.withColumn("v", F.length("text")))
+    s.build("n", spark.createDataFrame([(f"c{k}", "A", k, "t") for k in range(50)], CHUNK))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "n").rglob("*.parquet")}
+    s.add("n", spark.createDataFrame([("new", "B", 0, "u")], CHUNK))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "n").rglob("*.parquet")}
+    assert before.items() <= after.items() and sum(spark.read.parquet(str(p)).count() for p in after.keys() - before.keys()) == 1
+    assert store.joined_signature("2--5", "3-7") == f"5-{-5 ^ 7}"
+
+
+def test_numbers_over_ranges(spark):
+    """The same numbers as one sorted list, with ties, nulls and no rows."""
+    import random
+
+    r = random.Random(1)
+    rows = [(r.choice([None, *range(300)]), k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    got = sorted((x.n, x.a, x.b) for x in tables.numbered(df, "n", "a", F.col("b").desc()).collect())
+    assert [(a, b) for _, a, b in got] == sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, -x[1])) and [n for n, *_ in got] == list(range(1000))
+    assert tables.numbered(df.limit(0), "n", "a").columns == ["a", "b", "n"] and tables.numbered(df.limit(0), "n", "a").count() == 0
+    assert "Window" not in tables.numbered(df, "n", "a")._jdf.queryExecution().toString()
+
+
+def test_upserts_go_on_after_a_stop(spark, tmp_path):
+    """Two batches, a stop, more files on a new call; a batch whose version was written but not committed; a checkpoint that is lost."""
+    import shutil
+
+    def feed(n, folder):
+        spark.createDataFrame([(k % 4, 10 * n + k, f"{n}.{k}") for k in range(6)] + [(9, 1, f"tie{n}")], "k int, t int, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{folder}")
+
+    once, parts = str(tmp_path / "once"), str(tmp_path / "parts")
+    for n in range(5):
+        feed(n, "all")
+    whole = sorted(map(tuple, events.upserted(spark, f"{tmp_path}/all", "k", "t", once).collect()))
+    for n in range(2):
+        feed(n, "some")
+    events.upserted(spark, f"{tmp_path}/some", "k", "t", parts, files_per_batch=1)
+    assert events.versions(spark, parts) == [0, 1]
+    feed(2, "some")
+    first = sorted(map(tuple, events.upserted(spark, f"{tmp_path}/some", "k", "t", parts, files_per_batch=1).collect()))
+    # As if the driver had died between the version and its commit: the batch is run again and makes the same table.
+    for f in (tmp_path / "parts" / "state" / "commits").glob("*2*"):
+        f.unlink()
+    assert sorted(map(tuple, events.upserted(spark, f"{tmp_path}/some", "k", "t", parts, files_per_batch=1).collect())) == first
+    feed(3, "some")
+    feed(4, "some")
+    last = sorted(map(tuple, events.upserted(spark, f"{tmp_path}/some", "k", "t", parts, files_per_batch=1).collect()))
+    assert [r[:2] for r in last] == [r[:2] for r in whole] and [r for r in last if r[0] != 9] == [r for r in whole if r[0] != 9] and last[-1] == (9, 1, "tie4")
+    assert len(events.versions(spark, parts)) == 2
+    shutil.rmtree(tmp_path / "parts" / "state")
+    with pytest.raises(RuntimeError):
+        events.upserted(spark, f"{tmp_path}/some", "k", "t", parts)
+
+
 # Answers and evaluation sets
 
 
@@ -541,3 +658,96 @@ def test_bm25_takes_any_tokenizer(spark):
     whole = {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25(index, q, block=1).collect()}
     assert whole == {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25(index, q).collect()}
     assert retrieval.bm25(chunks.limit(0), q).count() == 0
+
+
+# Tiles, indexes and caches
+
+
+def hits_of(df):
+    return sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+
+
+def test_tiles_against_all_pairs(spark, monkeypatch):
+    """Many tiles and blocks, parts of rows and of queries, equal scores at the cut, repeated vectors and words."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (700, 3)).astype(float)
+    q = r.integers(-2, 3, (90, 3)).astype(float)
+    monkeypatch.setattr(retrieval, "PER_TILE", 100)
+    monkeypatch.setattr(retrieval, "PER_BLOCK", 25)
+    vectors = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "chunk_id long, v array<double>")
+    asked = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(q)] + [("none", None)], "query_id string, q array<double>")
+    want = []
+    for i, x in enumerate(q):
+        best = sorted(((-float(((x - y) ** 2).sum()) + 0.0, n) for n, y in enumerate(v)), key=lambda t: (-t[0], t[1]))[:4]
+        want += [(f"q{i}", k, n, s) for k, (s, n) in enumerate(best, 1)]
+    assert hits_of(retrieval.dense(vectors, asked, 4)) == sorted(want)
+    words = ["".join(r.choice(list("abcd"), 3)) for _ in range(3000)]
+    chunks_ = spark.createDataFrame([(f"c{i}", " ".join(r.choice(words, 12))) for i in range(600)] + [("empty", ""), ("null", None)], "chunk_id string, text string")
+    questions_ = spark.createDataFrame([(i, " ".join(r.choice(words, 3))) for i in range(80)] + [(99, "zz9"), (100, None)], "query_id long, text string")
+    index = retrieval.Bm25Index(chunks_)
+    everything = questions_.select("query_id").crossJoin(chunks_.select("chunk_id"))  # as a scope: scored over postings
+    assert hits_of(retrieval.bm25(index, questions_, 6)) == hits_of(retrieval.bm25(index, questions_, 6, scope=everything)) != []
+
+
+def test_search_plans_hold_no_queries(spark):
+    """The plan of a search doesn't grow with its queries, and nothing is collected to make it."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(50)], "chunk_id long, v array<double>")
+    plans = [str(retrieval.dense(vectors, spark.range(n).select(F.col("id").alias("query_id"), F.array(*[F.rand(k) for k in range(4)]).alias("q")))._jdf.queryExecution().optimizedPlan()) for n in (10, 100_000)]
+    assert abs(len(plans[0]) - len(plans[1])) < 50
+
+
+def test_sparse_index_against_all_products(spark, tmp_path):
+    """Small blocks, lists in several parts, hot terms, negative and repeated weights; the index is found by its signature alone, and only when it is whole."""
+    import random
+
+    from gleanspark.operators import indexes
+
+    r = random.Random(2)
+    vectors = [(f"c{i}", f"t{int(40 * r.random() ** 3)}", round(r.expovariate(1), 2)) for i in range(300) for _ in range(6)]
+    vectors = [(c, t, w) for (c, t), w in {(c, t): w for c, t, w in vectors}.items()] + [("neg", "t0", -5.0), ("neg", "t1", 0.0)]
+    asked = [(q, f"t{int(40 * r.random() ** 2)}", round(r.random() + 0.1, 2)) for q in range(25) for _ in range(4)] + [(77, "unknown", 1.0), (78, "t0", -1.0)]
+    kept, total = {}, {}
+    for c in {c for c, _, _ in vectors}:
+        for t, w in sorted(((t, w) for d, t, w in vectors if d == c and w > 0), key=lambda x: (-x[1], x[0]))[:4]:
+            kept[c, t] = w
+    for q, t, w in asked:
+        for (c, u), x in kept.items():
+            if u == t and w > 0:
+                total[q, c] = total.get((q, c), 0.0) + w * x
+    want = []
+    for q in {q for q, _ in total}:
+        best = sorted(((round(s, 6), c) for (p, c), s in total.items() if p == q), key=lambda x: (-x[0], x[1]))[:7]
+        want += [(q, k, c) for k, (_, c) in enumerate(best, 1)]
+    path, df = str(tmp_path / "index"), spark.createDataFrame(vectors, "chunk_id string, term string, w double")
+    assert indexes.SparseIndex.open(spark, path, "one") is None
+    index = indexes.SparseIndex.of(path, "one", lambda: df, spark, top_terms=4, size=3)
+    assert [x[:3] for x in hits_of(index.search(spark.createDataFrame(asked, "query_id long, term string, w double"), 7))] == sorted(want)
+    assert index.blocks.filter("size(entries) > 3").count() == 0
+    again = indexes.SparseIndex.of(path, "one", lambda: 1 / 0, spark)
+    assert again.blocks.count() == index.blocks.count() and indexes.SparseIndex.open(spark, path, "two") is None
+
+
+def test_words_are_cut_once(spark, tmp_path):
+    """A hundredth of new chunks cuts a hundredth of the texts; copies count once; another tokenizer has words of its own."""
+    from gleanspark.operators import indexes
+
+    rows = [(f"c{i}", f"some words of number{i % 150}") for i in range(200)]
+    cache, n = indexes.WordCache(spark, str(tmp_path / "words")), spark.sparkContext.accumulator(0)
+    first = cache.words(spark.createDataFrame(rows, "chunk_id string, text string"), n)
+    assert first.count() == 200 and n.value == 150
+    more = spark.createDataFrame(rows + [("new", "a new text"), ("null", None)], "chunk_id string, text string")
+    got = {r.chunk_id: r.words for r in cache.words(more, n).collect()}
+    assert n.value == 151 and len(got) == 202 and got["c3"] == ["some", "words", "of", "number3"] and got["null"] is None
+    cache.words(more, n)
+    assert n.value == 151
+    letters = indexes.WordCache(spark, str(tmp_path / "words"), "letters", lambda c: F.split(c, ""))
+    letters.words(more, n)
+    assert n.value == 302
+    plain, cached = retrieval.Bm25Index(more), retrieval.Bm25Index(more, cache=cache)
+    asked = spark.createDataFrame([(1, "number3 new text")], "query_id long, text string")
+    assert hits_of(retrieval.bm25(plain, asked, 5)) == hits_of(retrieval.bm25(cached, asked, 5)) != []
