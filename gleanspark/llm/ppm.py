@@ -449,21 +449,21 @@ def _solved(trie: DataFrame, order: int) -> DataFrame:
 
 
 def _head(summed: DataFrame) -> DataFrame:
-    """kind, key of the most frequent keys, HEAD of a kind at most: those from a count on that a histogram over classes of counts (a sixteenth of an octave each, so
-    at most 1,024) gives. Nothing is sorted or brought into one task."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    sizes = summed.filter("n > 0").groupBy("kind", step.alias("step")).count().collect()
-    found = []
+    """kind, key of the most frequent keys, about HEAD of a kind: a histogram over classes of counts (a sixteenth of an octave each, so at most 1,025) tells from which class on
+    all are taken, and of the next class a share by hash. Nothing is sorted or brought into one task; which keys they are doesn't change a score."""
+    step = F.when(F.col("n") > 0, F.floor(F.log2(F.when(F.col("n") > 0, F.col("n")).otherwise(1)) * 16)).otherwise(-1).cast("int")
+    sizes = summed.groupBy("kind", step.alias("step")).count().collect()
+    found = F.lit(False)
     for kind, most in HEAD.items():
-        least, held = None, 0
+        held = 0
         for r in sorted((r for r in sizes if r["kind"] == kind), key=lambda r: -r["step"]):
+            share = min(1.0, (most - held) / r["count"])
+            drawn = F.lit(True) if share == 1 else F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))
+            found = found | ((F.col("kind") == kind) & (step == r["step"]) & drawn)
             held += r["count"]
-            if held > most:
+            if held >= most:
                 break
-            least = r["step"]
-        if least is not None:
-            found.append((F.col("kind") == kind) & (step >= least))
-    return summed.filter(F.col("n") > 0).filter(reduce(lambda a, b: a | b, found, F.lit(False))).select("kind", "key")
+    return summed.filter(found).select("kind", "key")
 
 
 def score(docs: DataFrame, held_out, order: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
