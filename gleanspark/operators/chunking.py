@@ -15,36 +15,42 @@ from .markup import FAILED_TABLE, LABEL_COLON, ROW_TAG, RULE_ROW, TABLE_ROW
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def split_text(text: str, size: int = 800, overlap: int = 120, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most `size` characters, cut at the coarsest separator that helps; each but the first begins with the end of the one before."""
-    pieces = _pieces(text.strip(), size, separators)
-    out: list[str] = []
-    for p in pieces:
-        out.append((out[-1][-overlap:] + p)[: size + overlap] if out and overlap else p)
+def spans(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+    """(start, stop) of pieces of at most `size` characters, in order: a span that is too long is cut at a separator, and what is still too long at the next. `splitting.filled_pieces`
+    is the same rule on columns; this one is for splitters that measure as they go."""
+    waiting, out = [(0, len(text), 0)] if len(text) > size or text.strip() else [], []
+    while waiting:
+        start, stop, level = waiting.pop()
+        if stop - start <= size:
+            out.append((start, stop))
+            continue
+        if not separators[level:] or not separators[level]:
+            out += [(k, min(k + size, stop)) for k in range(start, stop, size)]
+            continue
+        mark, found, begin = separators[level], [], start
+        first = last = start  # of the parts that are held
+        while begin <= stop:
+            end = text.find(mark, begin, stop)
+            end = stop if end < 0 else end
+            if first == last:
+                first = begin
+            elif end - first > size:
+                found.append((first, last, level + 1))
+                first = begin
+            last = end
+            begin = end + len(mark)
+        found += [(first, last, level + 1)] if last > first else []
+        waiting += reversed(found)
     return out
 
 
-def _pieces(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    sep = separators[0] if separators else ""
-    if not sep:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    out, held = [], ""
-    for part in text.split(sep):
-        joined = held + sep + part if held else part
-        if len(joined) <= size:
-            held = joined
-            continue
-        if held.strip():
-            out.append(held)
-        held = ""
-        if len(part) > size:
-            out += _pieces(part, size, separators[1:])
-        else:
-            held = part
-    if held.strip():
-        out.append(held)
+def split_text(text: str, size: int = 800, overlap: int = 120, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most `size` characters, each but the first after up to `overlap` characters of the pieces before it."""
+    out, tail = [], ""
+    for start, stop in spans(text, size, separators):
+        piece = text[start:stop]
+        out.append(tail + piece)
+        tail = (tail + piece)[-overlap:] if overlap else ""
     return out
 
 
@@ -118,7 +124,7 @@ def _parts(text: str, size: int) -> list[tuple[str, bool]]:
         lines = list(group)
         whole = "\n".join(lines)
         if not table:
-            out += [(p, False) for p in _pieces(whole, size, SEPARATORS)]
+            out += [(whole[a:b], False) for a, b in spans(whole, size)]
         elif len(plain(whole)) <= 3 * size:
             out.append((whole, True))
         else:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .retrieval import holding
+from .splitting import sliding_pieces
 
 
 def mined_keywords(chunks: DataFrame, synonyms: dict[str, list[str]], token: Column, top: int = 5, least: int = 20, low: float = 0.002, high: float = 0.25, seed_max: float = 0.25, slice_max: float = 0.35) -> DataFrame:
@@ -183,13 +184,17 @@ def headings(docs: DataFrame, patterns=T.HEADINGS, max_level: int = 2) -> DataFr
     return at.withColumn("level", T.heading_level(F.col("line"), kept)).filter("level is not null").select("doc_id", "pos", "level", F.trim("line").alias("title"))
 
 
-def sections(docs: DataFrame, patterns=T.HEADINGS, max_level: int = 2, least: int = 30, first: str = "본문") -> DataFrame:
-    """doc_id, order, section, text: documents cut at their headings; what comes before the first is `first`, bodies under `least` characters go."""
+def sections(docs: DataFrame, patterns=T.HEADINGS, max_level: int = 2, least: int = 30, first: str = "본문", size: int | None = None, overlap: int = 150) -> DataFrame:
+    """doc_id, order, section, text: documents cut at their headings; what comes before the first is `first`, bodies under `least` characters go. With a size, bodies
+    beyond it are cut again (`splitting.sliding_pieces`); the order counts all pieces of a document."""
     starts = headings(docs, patterns, max_level).select("doc_id", "pos", "title").unionByName(docs.select("doc_id", F.lit(0).cast("long").alias("pos"), F.lit(first).alias("title")))
     by = Window.partitionBy("doc_id").orderBy("pos", F.col("title") != first)
     cut = starts.withColumn("stop", F.lead("pos").over(by)).filter("stop is null or stop > pos")
     body = cut.join(docs.select("doc_id", "text"), "doc_id").withColumn("text", F.trim(F.expr("substr(text, int(pos + 1), int(coalesce(stop, length(text)) - pos))"))).filter(F.length("text") >= least)
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    if size is not None:
+        pieces = F.when(F.length("text") > size, sliding_pieces(F.col("text"), size, overlap)).otherwise(F.array("text"))
+        body = body.select("doc_id", "pos", "title", F.posexplode(pieces).alias("piece", "text"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", *(["piece"] if size is not None else []))) - 1
     return body.select("doc_id", order.cast("long").alias("order"), F.col("title").alias("section"), "text")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as T
-from ..operators import chunking, documents, markup, mining
+from ..operators import chunking, documents, markup, mining, splitting
 from ..operators import retrieval as R
 from ..operators.search import body
 from ..sources import listings
@@ -211,9 +211,64 @@ def r02_dense_diverse(spark, sf_dir):
     return markup.diverse(R.dense(v, q, 30).join(v, "chunk_id").join(q, "query_id").select("query_id", "chunk_id", "v", "q"))
 
 
-@register()
+def filled_sql(source: str, size: int, overlap: int, separators) -> str:
+    """CTEs that end in fo(doc_id, ps): the pieces of source(doc_id, text) by `splitting.filled_pieces`, each level a fold over strings."""
+    none = "CAST([] AS VARCHAR[])"
+    out = [f"f0 AS (SELECT doc_id, CASE WHEN length(text) > {size} OR regexp_replace(text, '\\s', '', 'g') <> '' THEN [text] ELSE {none} END AS ps FROM {source})"]
+    for n, sep in enumerate(separators, 1):
+        mark = f"'{sep}'" if "\n" not in sep else "||".join("chr(10)" for _ in sep)
+        joined = f"CASE WHEN a.held = '' THEN p.held ELSE a.held || {mark} || p.held END"
+        flush = f"CASE WHEN a.held = '' THEN {none} ELSE [a.held] END"
+        step = f"CASE WHEN length({joined}) <= {size} THEN {{'out': a.out, 'held': {joined}}} WHEN length(p.held) > {size} THEN {{'out': a.out || {flush} || [p.held], 'held': ''}} ELSE {{'out': a.out || {flush}, 'held': p.held}} END"
+        fold = f"list_reduce([{{'out': {none}, 'held': ''}}] || list_transform(string_split(t, {mark}), lambda x: {{'out': {none}, 'held': x}}), lambda a, p: {step})"
+        cut = f"list_transform([{fold}], lambda r: r.out || CASE WHEN r.held <> '' THEN [r.held] ELSE {none} END)[1]" if sep else f"list_transform(range(0, length(t), {size}), lambda i: substr(t, i + 1, {size}))"
+        out.append(f"f{n} AS (SELECT doc_id, flatten(list_transform(ps, lambda t: CASE WHEN length(t) > {size} THEN {cut} ELSE [t] END)) AS ps FROM f{n - 1})")
+    carried = f"list_reduce([{{'out': {none}, 'held': ''}}] || list_transform(ps, lambda x: {{'out': {none}, 'held': x}}), lambda a, p: {{'out': a.out || [a.held || p.held], 'held': right(a.held || p.held, {overlap})}})"
+    return ", ".join([*out, f"fo AS (SELECT doc_id, ({carried}).out AS ps FROM f{len(separators)})"])
+
+
+def slid_sql(source: str, key: str, size: int, overlap: int, separators) -> str:
+    """CTEs that end in so(key, ps): the pieces of source(key, text) by `splitting.sliding_pieces`."""
+    none = "CAST([] AS VARCHAR[])"
+    out = [f"s0 AS (SELECT {key}, [{{'t': text, 'long': length(text) > {size}}}] AS ps FROM {source})"]
+    for n, sep in enumerate(separators, 1):
+        mark = f"'{sep}'" if "\n" not in sep else "||".join("chr(10)" for _ in sep)
+        parts = f"list_filter(list_transform(string_split(m.t, {mark}), lambda x, k: CASE WHEN k = 1 THEN x ELSE {mark} || x END), lambda x: x <> '')"
+        held = "CASE WHEN len(a.cur) > 0 THEN [array_to_string(a.cur, '')] ELSE CAST([] AS VARCHAR[]) END"
+        rest = f"list_filter(a.cur, lambda c, k: list_sum(list_transform(a.cur[k:], lambda z: length(z))) <= least({overlap}, {size} - length(p.x)))"
+        step = f"CASE WHEN length(p.x) >= {size} THEN {{'out': a.out || {held} || [p.x], 'cur': {none}, 'x': ''}} WHEN length(array_to_string(a.cur, '')) + length(p.x) > {size} THEN {{'out': a.out || {held}, 'cur': {rest} || [p.x], 'x': ''}} ELSE {{'out': a.out, 'cur': a.cur || [p.x], 'x': ''}} END"
+        fold = f"list_reduce([{{'out': {none}, 'cur': {none}, 'x': ''}}] || list_transform({parts}, lambda x: {{'out': {none}, 'cur': {none}, 'x': x}}), lambda a, p: {step})"
+        cut = f"list_transform([{fold}], lambda a: a.out || {held})[1]"
+        windows = f"list_transform(range(0, greatest(1, CAST(ceil((length(m.t) - {overlap}) / {float(size - overlap)}) AS BIGINT))), lambda i: {{'t': substr(m.t, CAST(i * {size - overlap} + 1 AS BIGINT), {size}), 'long': false}})"
+        made = f"CASE WHEN m.long AND contains(m.t, {mark}) THEN list_transform({cut}, lambda v: {{'t': v, 'long': length(v) >= {size}}}) ELSE [m] END" if sep else f"CASE WHEN m.long THEN {windows} ELSE [m] END"
+        out.append(f"s{n} AS (SELECT {key}, flatten(list_transform(ps, lambda m: {made})) AS ps FROM s{n - 1})")
+    return ", ".join([*out, f"so AS (SELECT {key}, list_filter(list_transform(ps, lambda m: regexp_replace(m.t, '^\\s+|\\s+$', '', 'g')), lambda t: t <> '') AS ps FROM s{len(separators)})"])
+
+
+PIECES = """SELECT printf('%s::%04d', CAST(doc_id AS VARCHAR), o) AS chunk_id, doc_id, CAST(o AS INTEGER) AS "order", text FROM (SELECT doc_id, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS o FROM {0})"""
+
+
+@register(f"WITH {filled_sql('documents', 800, 120, splitting.COARSE)} {PIECES.format('fo')}")
 def c01_c04_recursive_chunks(spark, sf_dir):
-    return chunking.chunked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Parts joined up to a size, with what comes before (C04)."""
+    return splitting.pieces_of(table(spark, sf_dir, "documents"), splitting.filled_pieces(F.col("text")))
+
+
+@register(f"WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {slid_sql('d', 'doc_id', 1200, 200, splitting.SENTENCES)} {PIECES.format('so')}")
+def c01_sliding_chunks(spark, sf_dir):
+    """Whole parts up to a size, the last ones again at the beginning of the next piece (C01)."""
+    return splitting.pieces_of(table(spark, sf_dir, "documents"), splitting.sliding_pieces(F.col("text")))
+
+
+@register(f"""WITH {HEADS}, st AS (SELECT doc_id, pos, title FROM hd UNION ALL SELECT doc_id, 0, 'body' FROM documents),
+ct AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos, title <> 'body') AS stop FROM st),
+bd AS (SELECT {{'doc_id': ct.doc_id, 'pos': pos, 'title': title}} AS k, trim(substr(text, pos + 1, coalesce(stop, length(text)) - pos)) AS text FROM ct JOIN documents d ON ct.doc_id = d.doc_id WHERE stop IS NULL OR stop > pos),
+b AS (SELECT * FROM bd WHERE length(text) >= 30), lg AS (SELECT * FROM b WHERE length(text) > 300), {slid_sql('lg', 'k', 300, 60, splitting.SENTENCES)},
+al AS (SELECT k, ps FROM so UNION ALL SELECT k, [text] FROM b WHERE length(text) <= 300), ex AS (SELECT k, unnest(ps) AS text, generate_subscripts(ps, 1) AS piece FROM al)
+SELECT k.doc_id AS doc_id, row_number() OVER (PARTITION BY k.doc_id ORDER BY k.pos, piece) - 1 AS "order", k.title AS section, text FROM ex""")
+def c02_cut_sections(spark, sf_dir):
+    """Sections, those of over 300 characters cut again."""
+    return mining.sections(table(spark, sf_dir, "documents"), PATTERNS, first="body", size=300, overlap=60)
 
 
 @register()

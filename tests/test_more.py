@@ -751,3 +751,68 @@ def test_words_are_cut_once(spark, tmp_path):
     plain, cached = retrieval.Bm25Index(more), retrieval.Bm25Index(more, cache=cache)
     asked = spark.createDataFrame([(1, "number3 new text")], "query_id long, text string")
     assert hits_of(retrieval.bm25(plain, asked, 5)) == hits_of(retrieval.bm25(cached, asked, 5)) != []
+
+
+# Splitters
+
+
+def plain_filled(text, size, overlap, separators):
+    """By definition, on strings: parts are joined while they fit; what is too long goes to the next separator."""
+
+    def cut(piece, left):
+        if len(piece) <= size:
+            return [piece]
+        if not left or not left[0]:
+            return [piece[i : i + size] for i in range(0, len(piece), size)]
+        out, held = [], ""
+        for part in piece.split(left[0]):
+            if len(held + left[0] + part if held else part) <= size:
+                held = held + left[0] + part if held else part
+                continue
+            out += [held] * (held != "")
+            held = "" if len(part) > size else part
+            out += cut(part, left[1:]) if len(part) > size else []
+        return out + [held] * (held != "")
+
+    out, before = [], ""
+    for piece in cut(text, separators) if text.strip() else []:
+        out.append(before + piece)
+        before = (before + piece)[-overlap:] if overlap else ""
+    return out
+
+
+def plain_slid(text, size, overlap, separators):
+    """By definition, on lists of parts: the first parts go until the rest leaves room for the next."""
+    sep = next(s for s in separators if s in text)
+    parts = [(sep if k else "") + p for k, p in enumerate(text.split(sep))] if sep else list(text)
+    out, held = [], []
+    for part in filter(None, parts):
+        if len(part) >= size and sep:
+            out += ["".join(held)] + plain_slid(part, size, overlap, separators[separators.index(sep) + 1 :])
+            held = []
+            continue
+        if len("".join(held)) + len(part) > size:
+            out.append("".join(held))
+            while len("".join(held)) > overlap or held and len("".join(held)) + len(part) > size:
+                held.pop(0)
+        held.append(part)
+    return [p.strip() for p in out + ["".join(held)] if p.strip()]
+
+
+def test_splitters_against_their_rules(spark):
+    import random
+
+    from gleanspark.operators import splitting
+
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "b", "cc", " ", "  ", ". ", "\n", "\n\n", "ddddd", "ö", "가😀"]) for _ in range(r.randint(0, 200))) for _ in range(250)] + ["", " ", "\n\n", "x" * 300, " " * 50 + "a", "a" * 20 + " ", "12345678901234567890"]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, text string")
+    for size, overlap in ((20, 5), (50, 10), (7, 3), (30, 0), (12, 11), (1, 0)):
+        got = {x.i: (x.f, x.s) for x in df.select("i", splitting.filled_pieces(F.col("text"), size, overlap).alias("f"), splitting.sliding_pieces(F.col("text"), size, overlap).alias("s")).collect()}
+        assert got.pop(-1) == ([], [])
+        for i, t in enumerate(texts):
+            assert got[i][0] == plain_filled(t, size, overlap, splitting.COARSE) == chunking.split_text(t, size, overlap), (size, t)
+            assert got[i][1] == (plain_slid(t, size, overlap, splitting.SENTENCES) if len(t) > size else [t.strip()] * bool(t.strip())), (size, t)
+    with pytest.raises(ValueError):
+        splitting.sliding_pieces(F.col("text"), 10, 10)
+    assert "Python" not in df.select(splitting.filled_pieces(F.col("text")), splitting.sliding_pieces(F.col("text")))._jdf.queryExecution().toString()
