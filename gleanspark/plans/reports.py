@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, evalsets, grounding, markup, reports
+from ..operators import answers, evalsets, grounding, markup, quality, reports
+from ..operators import retrieval as R
 from ..operators import documents as D
-from .catalog import C, chunks, register, table
+from .catalog import BM25, C, chunks, questions, register, table
 from .evaluation import PATTERNS
 from .search import attributed, attributes_sql
 
@@ -304,3 +305,66 @@ def p01_p11_flat_documents(spark, sf_dir):
 def p08_preview(spark, sf_dir):
     """A question of which no word occurs shows the beginning: the window is the operator's."""
     return table(spark, sf_dir, "documents").filter(F.instr("text", "zzz") == 0).select("doc_id", T.preview(F.col("text"), F.lit("zzzz zzz")).alias("seen"))
+
+
+#: Every second line with three words or more as a row of a table with pipes, whose third cell is empty in every fourth line and missing in every tenth.
+TABLED = r"""w AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+tb AS (SELECT doc_id, source, text AS plain, array_to_string(list_transform(ls, lambda l, i: CASE WHEN i % 6 IN (2, 3, 4) AND len(string_split(l, ' ')) >= 3 THEN '| ' || replace(string_split(l, ' ')[1], '|', '') || ' | ' || replace(string_split(l, ' ')[2], '|', '') || ' |' || CASE WHEN i % 10 = 0 THEN '' WHEN i % 4 = 0 THEN '  |' ELSE ' ' || replace(string_split(l, ' ')[3], '|', '') || ' |' END ELSE replace(l, '|', '') END), chr(10)) AS text FROM w)"""
+
+
+def tabled(spark, sf_dir):
+    lines = F.split("text", "\n", -1)
+
+    def row(line, i):
+        cell = lambda k: F.replace(F.element_at(F.split(line, " ", -1), k), F.lit("|"), F.lit(""))
+        n = i + 1
+        third = F.when(n % 10 == 0, "").when(n % 4 == 0, "  |").otherwise(F.concat(F.lit(" "), cell(3), F.lit(" |")))
+        made = F.concat(F.lit("| "), cell(1), F.lit(" | "), cell(2), F.lit(" |"), third)
+        return F.when((n % 6).isin(2, 3, 4) & (F.size(F.split(line, " ", -1)) >= 3), made).otherwise(F.replace(line, F.lit("|"), F.lit("")))
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"), F.array_join(F.transform(lines, row), "\n").alias("text"))
+
+
+@register(rf"""WITH {TABLED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM tb),
+r AS (SELECT doc_id, line, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l WHERE regexp_matches(line, '^\s*\|.*\|\s*$')),
+c AS (SELECT doc_id, run, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda x: trim(x)) AS cells FROM r WHERE NOT regexp_matches(line, '^\s*\|?[\s:|-]*-{{3,}}[\s:|-]*\|?\s*$')),
+t AS (SELECT doc_id, run, count(*) AS rows, max(len(cells)) AS widest, sum(len(cells)) AS cells, sum(len(list_filter(cells, lambda x: x <> ''))) AS filled, min(len(cells)) = max(len(cells)) AS whole FROM c GROUP BY doc_id, run),
+g AS (SELECT doc_id, count(*) AS tables, CAST(sum(cells) AS BIGINT) AS cells, count(*) FILTER (WHERE whole) AS nw, sum(filled) AS nf, sum(rows * widest) AS slots, count(*) FILTER (WHERE filled = 0) AS empty FROM t GROUP BY doc_id),
+k AS (SELECT doc_id, plain, text, list_filter(list_distinct(list_transform(string_split(plain, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: length(x) >= 1) AS ls FROM tb)
+SELECT k.doc_id, coalesce(tables, 0) AS tables, coalesce(cells, 0) AS cells, coalesce(empty, 0) AS empty, round(nw / CAST(tables AS DOUBLE), 3) AS whole, round(CAST(nf AS DOUBLE) / CAST(slots AS DOUBLE), 3) AS fill, round(1 - CAST(nf AS DOUBLE) / CAST(cells AS DOUBLE), 3) AS blank,
+CASE WHEN length(plain) > 0 AND NOT contains(text, plain) THEN 1 ELSE 0 END AS lost, CASE WHEN length(plain) > 0 AND NOT contains(text, plain) THEN length(plain) ELSE 0 END AS lost_chars,
+CASE WHEN len(list_filter(ls, lambda x: length(x) >= 10)) > 0 THEN round(len(list_filter(ls, lambda x: length(x) >= 10 AND contains(text, x))) / CAST(len(list_filter(ls, lambda x: length(x) >= 10)) AS DOUBLE), 3) END AS lines,
+CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: contains(text, x))) / CAST(len(ls) AS DOUBLE), 3) END AS short_lines, length(text) AS chars, length(plain) AS plain_chars FROM k LEFT JOIN g USING (doc_id)""")
+def a24_table_quality(spark, sf_dir):
+    """Texts with lines made into tables, against the plain ones; the plain text stands for a table that was rendered, so it is lost wherever a line changed."""
+    t = tabled(spark, sf_dir)
+    return quality.table_quality(t, t.select("doc_id", F.col("plain").alias("table")))
+
+
+@register(f"WITH {C}, {attributes_sql()}, b AS (SELECT notice_no, revision, string_agg(text, '' ORDER BY \"order\") AS text FROM n0 WHERE revision IS NOT NULL GROUP BY notice_no, revision, doc_id), "
+"f AS (SELECT notice_no, count(*) AS revisions, min(revision) AS first, max(revision) AS last, arg_min(text, revision) AS old, arg_max(text, revision) AS new FROM b GROUP BY notice_no HAVING count(*) > 1), "
+"ch AS (SELECT notice_no, unnest(string_split(old, '')) AS c, 1 AS a, 0 AS b FROM f UNION ALL SELECT notice_no, unnest(string_split(new, '')), 0, 1 FROM f), cn AS (SELECT notice_no, c, sum(a) AS a, sum(b) AS b FROM ch GROUP BY notice_no, c), "
+"sm AS (SELECT notice_no, round(2 * CAST(sum(least(a, b)) AS DOUBLE) / CAST(sum(a + b) AS DOUBLE), 6) AS similarity FROM cn GROUP BY notice_no) SELECT f.notice_no, revisions, first, last, old = new AS same, similarity FROM f JOIN sm USING (notice_no)")
+def a23_families(spark, sf_dir):
+    """Families of revisions with the similarity of the first body and the last."""
+    bodies = attributed(spark, sf_dir).filter("revision is not null").groupBy("doc_id", "notice_no", "revision").agg(D.joined_in_order("text", "order", "").alias("text"))
+    return quality.families(bodies)
+
+
+@register(f"""WITH {BM25}, {attributes_sql()}, n1 AS (SELECT chunk_id, notice_no, revision FROM n0 WHERE revision IS NOT NULL), hk AS (SELECT * FROM h WHERE rank <= 10), aq AS (SELECT DISTINCT query_id, notice_no FROM hk JOIN n1 USING (chunk_id)),
+fd AS (SELECT query_id, notice_no, revision, count(*) AS hits FROM hk JOIN n1 USING (chunk_id) GROUP BY ALL), ev AS (SELECT aq.query_id, r.notice_no, r.revision, coalesce(hits, 0) AS hits FROM aq JOIN (SELECT DISTINCT notice_no, revision FROM n1) r USING (notice_no) LEFT JOIN fd USING (query_id, notice_no, revision))
+SELECT query_id, notice_no, revision, hits, hits = 0 AND sum(hits) OVER (PARTITION BY query_id, notice_no) > 0 AS starved FROM ev""")
+def a23_starvation(spark, sf_dir):
+    """Revisions that a question finds nothing of, in the families that it finds."""
+    a, q = attributed(spark, sf_dir), questions(spark, sf_dir)
+    hits = R.bm25(chunks(spark, sf_dir), q, 10)
+    known = a.filter("revision is not null")
+    asked = hits.join(known.select("chunk_id", "notice_no"), "chunk_id").select("query_id", "notice_no")
+    return quality.starvation(hits, known, asked)
+
+
+@register(f"""WITH {BM25} SELECT 'tokenise' AS stage, count(*) AS rows, CAST(sum(octet_length(encode(array_to_string(w, ' ')))) AS BIGINT) AS bytes FROM t
+UNION ALL SELECT 'index', count(*), CAST(sum(octet_length(encode(term))) AS BIGINT) FROM r UNION ALL SELECT 'search', count(*), CAST(sum(octet_length(encode(chunk_id))) AS BIGINT) FROM h WHERE rank <= 5""")
+def a33_search_costs(spark, sf_dir):
+    """Rows and bytes of a search's stages as they were seen in its own run; tasks and seconds, which no SQL knows, are told beside them by the operator."""
+    return quality.search_costs(chunks(spark, sf_dir), questions(spark, sf_dir), 5).select("stage", "rows", "bytes")

@@ -816,3 +816,42 @@ def test_splitters_against_their_rules(spark):
     with pytest.raises(ValueError):
         splitting.sliding_pieces(F.col("text"), 10, 10)
     assert "Python" not in df.select(splitting.filled_pieces(F.col("text")), splitting.sliding_pieces(F.col("text")))._jdf.queryExecution().toString()
+
+
+# What extraction kept, and what work costs
+
+
+def test_table_quality_by_hand(spark):
+    from gleanspark.operators import quality
+
+    text = "intro\n| a | b |\n|---|---|\n| 1 |  |\ntext between\n|x|\n| p | q | r |\n|  |  |\n\n|  |"
+    docs = spark.createDataFrame([(1, "intro\na 10 letter line\nb\nlost for ever", text), (2, None, None), (3, "", "no table | here"), (4, "x", "| a \\| b | c |")], "doc_id int, plain string, text string")
+    rendered = spark.createDataFrame([(1, "| a | b |"), (1, "| gone |"), (1, ""), (1, None), (2, "| y |")], "doc_id int, table string")
+    got = {r.doc_id: r for r in quality.table_quality(docs, rendered).collect()}
+    one = got[1]
+    assert (one.tables, one.cells, one.empty, one.whole, one.fill, one.blank) == (3, 11, 1, round(2 / 3, 3), round(7 / 14, 3), round(1 - 7 / 11, 3))
+    assert (one.lost, one.lost_chars, one.lines, one.short_lines, one.chars) == (1, 8, 0.0, 0.5, len(text))
+    assert (got[2].tables, got[2].lost, got[2].fill, got[2].lines, got[2].chars) == (0, 1, None, None, 0) and got[3].tables == 0 and (got[4].cells, got[4].short_lines) == (2, 0.0)
+
+
+def test_similarity_against_difflib(spark):
+    import difflib
+    import random
+
+    from gleanspark.operators import quality
+
+    r = random.Random(4)
+    rows = [(k, "".join(r.choice("abc 가😀\n") for _ in range(r.randint(0, 40))), "".join(r.choice("abd 가\n") for _ in range(r.randint(0, 40)))) for k in range(60)] + [(98, "", ""), (99, "a", "")]
+    got = {x.k: x.similarity for x in quality.similar(spark.createDataFrame(rows, "k int, a string, b string"), "k", "a", "b").collect()}
+    assert got == {k: round(difflib.SequenceMatcher(None, a, b, autojunk=False).quick_ratio(), 6) for k, a, b in rows}
+
+
+def test_costs_come_from_a_run(spark):
+    from gleanspark.operators import quality
+
+    costs = quality.Costs()
+    out = costs.stage("some", spark.range(1000).select("id").repartition(4), F.lit(8).cast("long"))
+    (row,) = costs.table(spark).collect()
+    assert out.count() == 1000 and (row.stage, row.rows, row.bytes) == ("some", 1000, 8000) and row.tasks >= 4 and row.seconds > 0
+    got = {r.stage: (r.rows, r.bytes) for r in quality.search_costs(spark.createDataFrame([("c1", "alpha beta x"), ("c2", "beta gamma"), ("c3", "delta delta")], "chunk_id string, text string"), spark.createDataFrame([(1, "alpha gamma")], "query_id int, text string"), 2).collect()}
+    assert got == {"tokenise": (3, len("alpha beta") + len("beta gamma") + len("delta delta")), "index": (4, len("alphabetagammadelta")), "search": (2, 4)}
