@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import split_doc_id
+
 
 def windows(docs: DataFrame, size: int = 2500, most: int | None = None) -> DataFrame:
     """Chunks of fixed windows: chunk_id, doc_id, order, text; `most`: the first of each document."""
@@ -46,6 +48,16 @@ def drop_stale_revisions(chunks: DataFrame) -> DataFrame:
     return chunks.join(stale_revisions(chunks), ["notice_no", "revision"], "left_anti")
 
 
+def serving(chunks: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
+    """What searches, lists and evaluations read of chunks(chunk_id, doc_id, order, text, ...): without revisions whose body is that of their notice's last one, and without the
+    documents that replaced(doc_id) lists. Notice and revision are read from doc_id."""
+    notice, revision = split_doc_id(F.col("doc_id"))
+    named = chunks.withColumns({"__notice": notice, "__revision": revision})
+    stale = stale_revisions(named.select(F.col("__notice").alias("notice_no"), F.col("__revision").alias("revision"), "order", "text"))
+    kept = named.join(stale.select(F.col("notice_no").alias("__notice"), F.col("revision").alias("__revision")), ["__notice", "__revision"], "left_anti").select(*chunks.columns)
+    return kept if replaced is None else kept.join(replaced.select("doc_id"), "doc_id", "left_anti").select(*chunks.columns)
+
+
 def doc_hashes(chunks: DataFrame) -> DataFrame:
     """doc_id, digest: of the texts whatever their order."""
     return chunks.groupBy("doc_id").agg(F.substring(F.md5(F.array_join(F.sort_array(F.collect_list("text")), "\0").cast("binary")), 1, 12).alias("digest"))

@@ -149,6 +149,29 @@ def stamp(pairs: DataFrame, signature: str, kept: int, dropped: int) -> str:
     return json.dumps({"chunks": signature, "kept": kept, "dropped": dropped, "columns": pairs.columns}, sort_keys=True)
 
 
+def ensured(spark, folder: str, name: str, corpus: str, chunks: DataFrame, build) -> bool:
+    """Makes an evaluation set anew if its chunks have changed, and tells whether it did. The set's stamp beside it, name.meta.json, has the signatures of the chunks that it was made
+    of by the names of their corpora: a set without a stamp is not managed and stays, and so does one that was made of several corpora of which this is one, unchanged.
+    build(chunks) gives the pairs, which are written as lines to the folder name.jsonl, and then the stamp: a crash between leaves the old stamp, so the set is made again."""
+    from ..sources.store import signature_of
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{folder}/{name}.meta.json")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return False
+    was = json.loads(spark.read.text(path.toString(), wholetext=True).first().value).get("chunks") or {}
+    now = signature_of(chunks)
+    if was.get(corpus) == now:
+        return False
+    pairs = build(chunks)
+    pairs.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}.jsonl")
+    out = fs.create(path, True)
+    out.write(bytearray(json.dumps({"chunks": {corpus: now}, "columns": pairs.columns}, sort_keys=True).encode()))
+    out.close()
+    return True
+
+
 def is_current(stamped: str | None, signature: str) -> bool:
     """Whether a set need not be made anew: one without a stamp is not managed and stays."""
     return stamped is None or json.loads(stamped).get("chunks") == signature

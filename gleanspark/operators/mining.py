@@ -42,6 +42,27 @@ def fire_rate(queries: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def dictionary_use(pairs: DataFrame, synonyms: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """What a dictionary does to questions, of pairs(query_id, text, kind, gold): (kind, asked, fired, share) and a row with the kind null for all, and (word, useful, wasted, share): in
+    how many questions that a key fires in the word that it adds is in the gold text, and in how many not. A question adds a word once. Null kinds are the kind ''."""
+    added = F.array_distinct(F.flatten(F.array(*[F.when(F.contains("text", F.lit(k)), F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>")) for k, words in synonyms.items()])))
+    fired = F.coalesce(F.exists(F.array(*map(F.lit, synonyms)), lambda k: F.contains(F.col("text"), k)), F.lit(False))
+    rows = pairs.select(F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("gold", F.lit("")).alias("gold"), fired.alias("fires"), F.coalesce(added, F.array().cast("array<string>")).alias("words"))
+    share = lambda a, b: F.round(F.col(a) / b, 4).alias("share")
+    by_kind = rows.rollup("kind").agg(F.count("*").alias("asked"), F.count_if("fires").alias("fired")).select("kind", "asked", "fired", share("fired", F.col("asked")))
+    each = rows.select("gold", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.contains("gold", F.col("word"))).alias("useful"), F.count("*").alias("n"))
+    return by_kind, each.select("word", "useful", (F.col("n") - F.col("useful")).alias("wasted"), share("useful", F.col("n")))
+
+
+def pruned(dictionary: DataFrame, frequency: DataFrame, dead_share: float = 0.3) -> DataFrame:
+    """key, words, gone of dictionary(key, word, place) by frequency(term, df, n): words stay in their order if some chunk has them and at most dead_share of all do, each once;
+    keys of which no word is left go."""
+    met = dictionary.join(frequency.select(F.col("term").alias("word"), "df", "n"), "word", "left")
+    once = met.withColumn("alive", F.coalesce((F.col("df") > 0) & (F.col("df") / F.col("n") <= dead_share), F.lit(False))).groupBy("key", "word", "alive").agg(F.min("place").alias("place"))
+    listed = lambda on: F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("place", "word")))), lambda x: x["word"])
+    return once.groupBy("key").agg(listed(F.col("alive")).alias("words"), listed(~F.col("alive")).alias("gone")).filter(F.size("words") > 0)
+
+
 #: So many ranges at most that names are sorted into, and so many keys for each that settle where ranges end.
 RANGES, DRAWN = 1024, 16
 

@@ -11,7 +11,7 @@ from ..operators import retrieval as R
 from ..operators.search import body
 from ..sources import listings
 from ..sources.tables import spread
-from .catalog import BM25, C, chunks, questions, register, table
+from .catalog import BM25, TOK, C, chunks, questions, register, table
 
 SYNONYMS = {"ort": ["the", "model"], "data": ["data", "table"], "zeit": ["time", "year"]}
 PATTERNS = ((1, "^[A-Z].{1,40}[.]$"), (2, r"^\d{1,2}[.)] .{1,40}$"))
@@ -308,3 +308,37 @@ def c09_processed_documents(spark, sf_dir):
     """Extracted texts cleaned, stripped of markup, with their fields: whether the label's value was found."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.regexp_replace("text", "[□■○◦※]", ""), F.when(F.col("doc_id") % 2 == 0, F.lit("\n□ 사업기간 : period\n")).otherwise("")).alias("text"))
     return documents.processed(docs).select("doc_id", F.col("fields")["사업기간"].alias("period"))
+
+
+#: A dictionary that fires on these texts.
+FIRING = {"the": ["and", "model"], "tion": ["ing", "table"], "ver": ["und", "and"]}
+USE = """p AS (SELECT b.item_id, b.text, d.lang AS kind, coalesce(d.text, '') AS gold, contains(b.text, 'the') AS k1, contains(b.text, 'tion') AS k2, contains(b.text, 'ver') AS k3 FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id)"""
+
+
+def gold_pairs(spark, sf_dir):
+    """Items as questions, and the documents of their numbers as gold texts."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("kind"), F.col("text").alias("gold"))
+    return questions(spark, sf_dir).join(d, "query_id", "left")
+
+
+@register(f"WITH {USE} SELECT kind, count(*) AS asked, count(*) FILTER (WHERE k1 OR k2 OR k3) AS fired, round(count(*) FILTER (WHERE k1 OR k2 OR k3) / CAST(count(*) AS DOUBLE), 4) AS share FROM p GROUP BY GROUPING SETS ((kind), ())")
+def a20_fired_by_kind(spark, sf_dir):
+    return mining.dictionary_use(gold_pairs(spark, sf_dir), FIRING)[0]
+
+
+@register(f"""WITH {USE}, w AS (SELECT item_id, gold, unnest(list_distinct(list_concat(CASE WHEN k1 THEN ['and', 'model'] ELSE [] END, CASE WHEN k2 THEN ['ing', 'table'] ELSE [] END, CASE WHEN k3 THEN ['und', 'and'] ELSE [] END))) AS word FROM p)
+SELECT word, count(*) FILTER (WHERE contains(gold, word)) AS useful, count(*) FILTER (WHERE NOT contains(gold, word)) AS wasted, round(count(*) FILTER (WHERE contains(gold, word)) / CAST(count(*) AS DOUBLE), 4) AS share FROM w GROUP BY word""")
+def a20_useful_words(spark, sf_dir):
+    return mining.dictionary_use(gold_pairs(spark, sf_dir), FIRING)[1]
+
+
+@register(rf"""WITH {C}, t AS (SELECT chunk_id, unnest(list_distinct({TOK})) AS term FROM c), f AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM c),
+e AS (SELECT lang, unnest({TOK}) AS word, generate_subscripts({TOK}, 1) AS place FROM (SELECT p.p_brand AS lang, d.text FROM documents d JOIN part p ON p.p_partkey = d.doc_id)),
+o AS (SELECT lang, word, min(place) AS place, coalesce(df, 0) / CAST(n AS DOUBLE) AS share FROM e LEFT JOIN f ON word = term, n GROUP BY lang, word, df, n)
+SELECT lang AS key, array_to_string(list(word ORDER BY place, word) FILTER (WHERE share > 0 AND share <= 0.02), ' ') AS words, count(*) FILTER (WHERE NOT (share > 0 AND share <= 0.02)) AS gone FROM o GROUP BY lang HAVING count(*) FILTER (WHERE share > 0 AND share <= 0.02) > 0""")
+def a21_pruned_dictionary(spark, sf_dir):
+    """The words of documents as a dictionary by brand: those that over a fiftieth of all chunks have go."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("key"))
+    words = table(spark, sf_dir, "documents").join(p, "doc_id").select("key", F.posexplode(T.tokens(F.col("text"))).alias("place", "word"))
+    found = mining.pruned(words, documents.document_frequency(chunks(spark, sf_dir), T.tokens(F.col("text"))), 0.02)
+    return found.select("key", F.array_join("words", " ").alias("words"), F.size("gone").cast("long").alias("gone"))

@@ -368,3 +368,19 @@ UNION ALL SELECT 'index', count(*), CAST(sum(octet_length(encode(term))) AS BIGI
 def a33_search_costs(spark, sf_dir):
     """Rows and bytes of a search's stages as they were seen in its own run; tasks and seconds, which no SQL knows, are told beside them by the operator."""
     return quality.search_costs(chunks(spark, sf_dir), questions(spark, sf_dir), 5).select("stage", "rows", "bytes")
+
+
+@register(r"""WITH p AS (SELECT doc_id, text, list_sort(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) >= 2)) AS ws FROM documents), q AS (SELECT doc_id, text, ws[len(ws)] AS word FROM p)
+SELECT doc_id, CASE WHEN word IS NULL THEN substr(text, 1, 220) ELSE substr(text, CAST(greatest(strpos(text, word) - 73, 1) AS BIGINT), 220) END AS seen FROM q""")
+def p08_windows(spark, sf_dir):
+    """The window around the last of each text's words in their order; texts without one show their beginning."""
+    d = table(spark, sf_dir, "documents").withColumn("word", F.try_element_at(F.array_sort(F.filter(F.split("text", r"\s+", -1), lambda w: F.length(w) >= 2)), F.lit(-1)))
+    return d.select("doc_id", T.preview(F.col("text"), F.coalesce("word", F.lit(""))).alias("seen"))
+
+
+@register(r"""SELECT doc_id AS qid, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false END AS faithful FROM documents""")
+def e16_all_verdicts(spark, sf_dir):
+    """A judge that says yes, no, or neither, in its last line, after the whole text."""
+    verdict = F.when(F.col("doc_id") % 3 == 0, "YES").when(F.col("doc_id") % 3 == 1, "No.").otherwise("...")
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("qid"), answers.judged(F.lit("?"), F.lit("context"), F.concat(F.translate(F.coalesce("text", F.lit("")), "\n", " "), F.lit("\n"), verdict)).alias("faithful"))

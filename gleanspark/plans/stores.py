@@ -259,3 +259,31 @@ def t23_r01_cached_words(spark, sf_dir):
     cache = indexes.WordCache(spark, tables.until_exit(spark, tables.scratch(spark, "words")))
     cache.words(c.filter(F.col("doc_id") % 3 == 0))
     return R.bm25(R.Bm25Index(c, cache=cache), questions(spark, sf_dir), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("SELECT item_id, text AS question, CASE WHEN item_id % 2 = 0 THEN 'even.jsonl' ELSE 'odd.jsonl' END AS source FROM benchmark")
+def s32_file_tags(spark, sf_dir):
+    """Rows of two files, each with the name of its own."""
+    path = tables.until_exit(spark, tables.scratch(spark, "files"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for n, name in enumerate(("even", "odd")):
+        b = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 2 == n).select("item_id", F.col("text").alias("question"))
+        tables.write_lines(b.coalesce(1), f"{path}/{name}")
+        (part,) = [s.getPath() for s in fs.listStatus(hadoop.Path(f"{path}/{name}")) if s.getPath().getName().startswith("part-")]
+        fs.rename(part, hadoop.Path(f"{path}/{name}.jsonl"))
+    return tables.read_rows(spark, "item_id long, question string", f"{path}/even.jsonl", f"{path}/odd.jsonl")
+
+
+@register(f"""WITH {C}, s AS (SELECT x.doc_id FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 AND y.text = x.text WHERE x.doc_id % 2 = 0)
+SELECT chunk_id, 'N' || CAST(doc_id // 2 AS VARCHAR) || '-' || CAST(doc_id % 2 AS VARCHAR) AS doc_id, "order" FROM c WHERE doc_id NOT IN (SELECT doc_id FROM s) AND doc_id % 10 <> 7""")
+def s01_serving_chunks(spark, sf_dir):
+    """Chunk lines read back, two documents of a notice as its revisions: bodies that their last revision repeats go, and every tenth document is on the list of those replaced."""
+    d = F.col("doc_id")
+    own = F.concat(F.lit("N"), F.floor(d / 2).cast("string"), F.lit("-"), (d % 2).cast("string"))
+    c = chunks(spark, sf_dir)
+    rows = c.select("text", F.create_map(F.lit("doc_id"), own, F.lit("order"), F.col("order").cast("string"), F.lit("chunk_id"), F.col("chunk_id")).alias("meta"))
+    path = tables.until_exit(spark, tables.scratch(spark, "serving"))
+    tables.write_lines(rows, path)
+    replaced = table(spark, sf_dir, "documents").filter(d % 10 == 7).select(own.alias("doc_id"))
+    return D.serving(tables.read_chunks(spark, path), replaced).select("chunk_id", "doc_id", F.col("order").cast("long").alias("order"))

@@ -22,9 +22,12 @@ DATES = ("published_at", "bid_open_at", "bid_close_at")
 CHUNK = "text string, meta map<string,string>, page_content string, page_content_for_generation string, metadata map<string,string>"
 
 
-def read_metadata(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """The CSV's known columns (missing ones are skipped) by their names here, dates as yyyy-MM-dd or null, and doc_id."""
-    raw = spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
+def read_metadata(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """The CSV's known columns (missing ones are skipped) by their names here, dates as yyyy-MM-dd or null, and doc_id. Without an encoding it is UTF-8, or else, if that leaves
+    letters that can't be read, the older Korean one (cp949)."""
+    if encoding is None and spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count():
+        path = recoded(spark, path, "cp949")
+    raw = spark.read.csv(path, header=True, encoding=encoding or "utf-8", multiLine=True, escape='"')
     raw = raw.toDF(*[c.replace("﻿", "").strip() for c in raw.columns])
     df = raw.select(*[F.col(f"`{k}`").alias(v) for k, v in FIELDS.items() if k in raw.columns])
     df = df.withColumns({c: F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd") for c in DATES if c in df.columns})
@@ -34,6 +37,19 @@ def read_metadata(spark: SparkSession, path: str, encoding: str = "utf-8") -> Da
     return df.withColumn("doc_id", make_doc_id(F.col("notice_no"), seq, F.col("file_name")))
 
 
+def recoded(spark: SparkSession, path: str, encoding: str) -> str:
+    """The text files of a path again in UTF-8, in a folder that goes when the driver ends: for encodings that Spark's readers don't take. A file is one row, as it is for
+    a reader of records over several lines."""
+
+    @F.pandas_udf("string")
+    def read(files: pd.Series) -> pd.Series:
+        return files.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    out = until_exit(spark, scratch(spark, "recoded"))
+    spark.read.format("binaryFile").load(path).select(read("content").alias("value")).write.text(out)
+    return out
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below the one that driver and executors share, spark.checkpoint.dir. Unset, one of this machine if the master is local, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -117,6 +133,20 @@ def read_evalset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("question string, keywords array<string>, doc_id string, type string, answerable boolean, note string, checked_by string").json(path, multiLine=path.endswith(".json"))
 
 
+def evalset_path(spark: SparkSession, folder: str, name: str) -> str:
+    """The file of an evaluation set by its name: name.json, else name.jsonl. FileNotFoundError, with the names that there are, if there is neither; a set's stamp
+    (.meta.json) is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = {s.getPath().getName() for s in (fs.listStatus(root) if fs.exists(root) else [])}
+    for found in (f"{name}.json", f"{name}.jsonl"):
+        if found in names:
+            return f"{folder.rstrip('/')}/{found}"
+    there = sorted({n.rpartition(".")[0] for n in names if n.endswith((".json", ".jsonl")) and not n.endswith(".meta.json")})
+    raise FileNotFoundError(f"no evaluation set {name} in {folder}; there are {there}")
+
+
 def read_rows(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """Rows of several files, arrays (.json) or lines, each tagged with the name of the file that it came from."""
     parts = [spark.read.schema(schema).json(p, multiLine=p.endswith(".json")).withColumn("source", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)) for p in paths]

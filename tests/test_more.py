@@ -855,3 +855,51 @@ def test_costs_come_from_a_run(spark):
     assert out.count() == 1000 and (row.stage, row.rows, row.bytes) == ("some", 1000, 8000) and row.tasks >= 4 and row.seconds > 0
     got = {r.stage: (r.rows, r.bytes) for r in quality.search_costs(spark.createDataFrame([("c1", "alpha beta x"), ("c2", "beta gamma"), ("c3", "delta delta")], "chunk_id string, text string"), spark.createDataFrame([(1, "alpha gamma")], "query_id int, text string"), 2).collect()}
     assert got == {"tokenise": (3, len("alpha beta") + len("beta gamma") + len("delta delta")), "index": (4, len("alphabetagammadelta")), "search": (2, 4)}
+
+
+# Sets, metadata files and dictionaries
+
+
+def test_evaluation_sets_by_name(spark, tmp_path):
+    """.json before .jsonl; a missing one names those that are there."""
+    with pytest.raises(FileNotFoundError):
+        tables.evalset_path(spark, str(tmp_path / "none"), "a")
+    for name in ("a.json", "a.jsonl", "b.jsonl", "b.meta.json"):
+        (tmp_path / name).write_text("[]")
+    assert tables.evalset_path(spark, str(tmp_path), "a").endswith("/a.json") and tables.evalset_path(spark, f"{tmp_path}/", "b").endswith("/b.jsonl")
+    with pytest.raises(FileNotFoundError, match=r"\['a', 'b'\]"):
+        tables.evalset_path(spark, str(tmp_path), "c")
+
+
+def test_metadata_in_the_older_encoding(spark, tmp_path):
+    head = ",".join(k for k in tables.FIELDS)
+    row = {k: "" for k in tables.FIELDS} | {"공고 번호": "N1", "사업명": "학사 정보 시스템", "파일명": "제안요청서.hwp"}
+    for name, encoding in (("new.csv", "utf-8-sig"), ("old.csv", "cp949")):
+        (tmp_path / name).write_bytes(f"{head}\n{','.join(row.values())}\n".encode(encoding))
+        got = tables.read_metadata(spark, str(tmp_path / name)).first()
+        assert (got.title, got.file_name, got.doc_id) == ("학사 정보 시스템", "제안요청서.hwp", "N1"), name
+
+
+def test_sets_are_made_again_when_chunks_change(spark, tmp_path):
+    chunks_ = spark.createDataFrame([("c1", "text one"), ("c2", "text two")], "chunk_id string, text string")
+    made = []
+    build = lambda c: made.append(1) or c.select(F.col("text").alias("question"))
+    folder = str(tmp_path)
+    assert evalsets.ensured(spark, folder, "set", "v1", chunks_, build) is False and not made  # not managed
+    rewritten(tmp_path / "set.meta.json", '{"chunks": {"v0": "1-1", "v1": "other"}}')
+    assert evalsets.ensured(spark, folder, "set", "v1", chunks_, build) is True and len(made) == 1
+    assert sorted(r.question for r in tables.read_evalset(spark, f"{folder}/set.jsonl").collect()) == ["text one", "text two"]
+    assert evalsets.ensured(spark, folder, "set", "v1", chunks_, build) is False and evalsets.ensured(spark, folder, "set", "v1", chunks_.limit(1), build) is True and len(made) == 2
+
+
+def test_dictionary_use_by_hand(spark):
+    pairs = spark.createDataFrame([(1, "what budget", "a", "the cost is 5"), (2, "budget and term", "b", None), (3, "other", None, "cost"), (4, None, "a", "x")], "query_id int, text string, kind string, gold string")
+    by_kind, words = mining.dictionary_use(pairs, {"budget": ["cost", "price"], "term": ["cost", "days"]})
+    assert {r.kind: (r.asked, r.fired) for r in by_kind.collect()} == {None: (4, 2), "a": (2, 1), "b": (1, 1), "": (1, 0)}
+    assert {r.word: (r.useful, r.wasted) for r in words.collect()} == {"cost": (1, 1), "price": (0, 2), "days": (0, 1)}
+
+
+def test_pruning_by_hand(spark):
+    words = spark.createDataFrame([("k", "b", 0), ("k", "dead", 1), ("k", "a", 2), ("k", "b", 3), ("k", "unknown", 4), ("gone", "dead", 0)], "key string, word string, place int")
+    df = spark.createDataFrame([("a", 3, 10), ("b", 1, 10), ("dead", 9, 10)], "term string, df int, n int")
+    assert [(r.key, r.words, r.gone) for r in mining.pruned(words, df).collect()] == [("k", ["b", "a"], ["dead", "unknown"])]
