@@ -455,14 +455,14 @@ def _head(summed: DataFrame) -> DataFrame:
     sizes = summed.groupBy("kind", step.alias("step")).count().collect()
     found = F.lit(False)
     for kind, most in HEAD.items():
-        held = 0
+        held, above, cut, share = 0, 1 << 30, 0, 0.0
         for r in sorted((r for r in sizes if r["kind"] == kind), key=lambda r: -r["step"]):
-            share = min(1.0, (most - held) / r["count"])
-            drawn = F.lit(True) if share == 1 else F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))
-            found = found | ((F.col("kind") == kind) & (step == r["step"]) & drawn)
-            held += r["count"]
-            if held >= most:
+            cut, share = r["step"], min(1.0, (most - held) / r["count"])
+            if share < 1:
                 break
+            held, above = held + r["count"], r["step"]
+        drawn = (step == cut) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        found = found | ((F.col("kind") == kind) & ((step >= above) | drawn))
     return summed.filter(found).select("kind", "key")
 
 
@@ -482,5 +482,7 @@ def score(docs: DataFrame, held_out, order: int = 5, block_bytes: int = 16 << 20
     values = logs.unionByName(words.filter(F.col("key") != END_KEY).select("kind", "key", F.log10(F.col("n") + 1).alias("value")))
     head = Head(values.join(_head(summed.filter(F.col("key") != END_KEY)), ["kind", "key"], "left_semi").toArrow())
     needed = blocks.mapInArrow(_needed(order, head), "block long, kind byte, key long")
-    joined = needed.join(values, ["kind", "key"])
-    return blocks.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(_score(order, tokens, distinct, ends, head), OUT)
+    # As many parts as blocks at least, so that a task has a few blocks whatever the input; what blocks need is dealt alike.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.select("block").distinct().count())
+    joined = needed.join(values, ["kind", "key"]).repartition(parts, "block")
+    return blocks.repartition(parts, "block").groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(_score(order, tokens, distinct, ends, head), OUT)
