@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier regularised by counterfactuals.
 
 1. Hashed features of a text: its words and their beginnings of four to six letters; presence alone, so length does not matter. All labelled
-   training rows are counted by feature and label.
+   training rows are counted by feature and label, out of LABELS labels at most.
 2. All features whose shares differ between the labels beyond chance, and by a ratio of two at least, are the model's inputs, however many they are (DIM at most);
    so are those of the terms of step 3.
 3. Logistic regression on at most `sample` training rows, taken by hash. For texts that name a group, each identity term is swapped for
@@ -10,7 +10,7 @@
 Terms for groups are a parameter. IDENTITY has some of four languages; `found_terms` adds those of the tables themselves: words that toxic rows name more often than
 clean ones though most rows that name them are clean, which is what makes neutral mentions of a group look toxic. The model tells how many pairs entered its fit.
 
-Texts meet labels once. Up to BROADCAST labels are sent to the texts where these are read, more meet them by a shuffle of both; the rows are the same.
+Texts meet labels where they are read: LABELS of them at most, taken by hash beyond that, go to every task.
 
 Null and blank texts get the score of the intercept. Rows of null id have no label. Repeated rows count as often as they occur and are fitted once; a very
 long text is read whole. Extra columns, whatever their names, are ignored. An empty table gives an empty result.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from ._common import arrow_schema, bounded, chunks, dropped, map_batches, text_bytes, written
 
 DIM = 1 << 20
-BROADCAST = 1 << 21
+#: So many labels are learned from at most: they go to every task, where texts are read, so no text is shuffled.
+LABELS = 1 << 21
 PUNCTUATION = b".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 #: Terms for groups of people, by language; any of a row can stand for any other of it.
 IDENTITY = tuple(tuple(x.encode() for x in row.split()) for row in (
@@ -138,9 +139,9 @@ def train(rows: list[tuple[list[int], list[int] | None, int]], features: np.ndar
 def _labelled(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
     """id, text, rank (hash of both), toxic of the training rows that have a label."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").distinct()
+    share = min(1.0, 0.98 * LABELS / max(known.count(), 1))
+    side = F.broadcast(known.filter(F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))))
     texts = docs.filter(training).select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", "text").alias("rank"))
-    # Beyond the bound by shuffling both; a hash of the labels then spares the sort of whole texts.
-    side = F.broadcast(known) if known.count() <= BROADCAST else known.hint("shuffle_hash")
     return texts.join(side, F.col("id") == F.col("label_id")).select("id", "rank", "toxic", "text")
 
 

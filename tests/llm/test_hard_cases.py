@@ -304,12 +304,15 @@ def test_pairs_enter_the_fit_of_the_query_and_shrink_the_gap(spark, monkeypatch,
     assert fair.pairs == free.pairs > 20 and n > 20 and with_penalty < 0.5 * without
 
 
-def test_labels_by_broadcast_or_shuffle(spark, monkeypatch):
-    docs, labels = table(spark, "documents"), table(spark, "labels")
-    one = toxicity.fit(docs, labels, F.lit(True))
-    monkeypatch.setattr(toxicity, "BROADCAST", 0)
-    other = toxicity.fit(docs, labels, F.lit(True))
-    assert one.weight.keys() == other.weight.keys() and all(abs(w - other.weight[k]) < 1e-9 for k, w in one.weight.items())
+def test_labels_beyond_the_bound_are_drawn_by_hash(spark, monkeypatch):
+    """Up to LABELS all count; beyond, about so many, the same in each run; texts are never shuffled for them."""
+    docs, labels = table(spark, "documents", "/root/testdata/sf0.01"), table(spark, "labels", "/root/testdata/sf0.01")
+    whole = toxicity._labelled(docs, labels, F.lit(True))
+    n = whole.count()
+    assert n == labels.filter("toxic in (0, 1)").distinct().count() and "SortMergeJoin" not in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(toxicity, "LABELS", n // 2)
+    one, other = ({r.id for r in toxicity._labelled(docs, labels, F.lit(True)).collect()} for _ in range(2))
+    assert one == other and 0.35 * n < len(one) < 0.6 * n
 
 
 # op8
