@@ -482,7 +482,7 @@ def score(docs: DataFrame, held_out, order: int = 5, block_bytes: int = 16 << 20
     values = logs.unionByName(words.filter(F.col("key") != END_KEY).select("kind", "key", F.log10(F.col("n") + 1).alias("value")))
     head = Head(values.join(_head(summed.filter(F.col("key") != END_KEY)), ["kind", "key"], "left_semi").toArrow())
     needed = blocks.mapInArrow(_needed(order, head), "block long, kind byte, key long")
-    # As many parts as blocks at least, so that a task has a few blocks whatever the input; what blocks need is dealt alike.
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.select("block").distinct().count())
+    # As many parts as blocks at least, so that a task has a few blocks whatever the input (each task makes its own table of the frequent keys); what blocks need is dealt alike.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.select("block").distinct().count())
     joined = needed.join(values, ["kind", "key"]).repartition(parts, "block")
     return blocks.repartition(parts, "block").groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(_score(order, tokens, distinct, ends, head), OUT)
