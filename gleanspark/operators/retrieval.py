@@ -56,14 +56,14 @@ def postings(index: Bm25Index) -> DataFrame:
     return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, token: Tokenizer = tokens) -> DataFrame:
+def bm25(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, block: int | None = None, token: Tokenizer = tokens) -> DataFrame:
     """Okapi BM25; queries(query_id, text). Terms in over half of the chunks get a quarter of the mean idf. Only positive scores.
     scope(query_id, chunk_id): what a query may find, applied before ranking; such queries are scored over postings. Without it all chunks
-    are scored against all queries, in tiles (`tiled`), which give each query's best of a tile alone."""
+    are scored against all queries, in tiles (`tiled`) by blocks of `block` queries, which give each query's best of a tile alone."""
     index = chunks if isinstance(chunks, Bm25Index) else Bm25Index(chunks, token)
     asked = index.asked(queries)
     if scope is None:
-        return _bm25_blocks(index, asked, k, queries.count())
+        return _bm25_blocks(index, asked, k, queries.count(), block)
     met = asked.join(postings(index), "term").join(scope, ["query_id", "chunk_id"], "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl))
     scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
@@ -74,13 +74,13 @@ def bm25(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int = 5, scope: D
 PER_TILE, PER_BLOCK = 1 << 14, 1 << 12
 
 
-def tiled(corpus: DataFrame, n: int, queries: DataFrame, n_queries: int, score: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
+def tiled(corpus: DataFrame, n: int, queries: DataFrame, n_queries: int, score: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType, block: int | None = None) -> DataFrame:
     """What `score` makes of every tile of corpus(chunk_id, ...) with every block of queries(query_id, ...): tiles and blocks are the groups of a cogroup, so neither the
-    driver nor the plan holds any, and a task has one tile and one block. Corpus rows are shuffled once for each block of PER_BLOCK queries. n and n_queries may be
+    driver nor the plan holds any, and a task has one tile and one block. Corpus rows are shuffled once for each block of PER_BLOCK queries, or `block`. n and n_queries may be
     rough. score gives partial hits (query_id, chunk_id, score)."""
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     tiles = max(1, -(-n // min(PER_TILE, max(256, -(-n // cores)))))
-    blocks = max(1, -(-n_queries // PER_BLOCK))
+    blocks = max(1, -(-n_queries // (block or PER_BLOCK)))
     part = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     left = corpus.select("*", part("chunk_id", tiles).alias("tile"), every(blocks).alias("block")).groupBy("tile", "block")
@@ -107,11 +107,11 @@ class _Best:
         return np.nonzero((scores >= self.kept[:, 0] - 1e-6) & (scores > self.above))
 
 
-def _bm25_blocks(index: Bm25Index, asked: DataFrame, k: int, n_queries: int) -> DataFrame:
+def _bm25_blocks(index: Bm25Index, asked: DataFrame, k: int, n_queries: int, block: int | None) -> DataFrame:
     words = index.words.filter("size(words) > 0").select("chunk_id", F.size("words").alias("dl"), F.array_join("words", BETWEEN).alias("words"))
     schema = StructType([asked.schema["query_id"], words.schema["chunk_id"], StructField("score", DoubleType())])
     weighed = asked.select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
-    best = tiled(words, index.n, weighed, n_queries, _scorer(index.avgdl, k, schema), schema)
+    best = tiled(words, index.n, weighed, n_queries, _scorer(index.avgdl, k, schema), schema, block)
     return top_k(best.withColumn("score", F.round("score", 6)).filter("score > 0"), k)
 
 
@@ -163,12 +163,12 @@ def _scorer(avgdl: float, k: int, schema: StructType, rows: int = 512, queries:
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """Exact nearest by squared L2 distance; vectors(chunk_id, v), queries(query_id, q): a stated set of queries against all vectors, in tiles (`tiled`)."""
     asked = queries.filter(F.col("q").isNotNull()).select("query_id", F.col("q").cast("array<double>").alias("q"))
     rows = vectors.filter(F.col("v").isNotNull()).select("chunk_id", F.col("v").cast("array<double>").alias("v"))
     schema = StructType([asked.schema["query_id"], rows.schema["chunk_id"], StructField("score", DoubleType())])
-    best = tiled(rows, rows.count(), asked, asked.count(), _nearest(k, schema), schema)
+    best = tiled(rows, rows.count(), asked, asked.count(), _nearest(k, schema), schema, block)
     return top_k(best.withColumn("score", F.round("score", 6) + F.lit(0.0)), k)
 
 
