@@ -251,13 +251,13 @@ PIECES = """SELECT printf('%s::%04d', CAST(doc_id AS VARCHAR), o) AS chunk_id, d
 @register(f"WITH {filled_sql('documents', 800, 120, splitting.COARSE)} {PIECES.format('fo')}")
 def c01_c04_recursive_chunks(spark, sf_dir):
     """Parts joined up to a size, with what comes before (C04)."""
-    return splitting.pieces_of(table(spark, sf_dir, "documents"), splitting.filled_pieces(F.col("text")))
+    return splitting.pieces_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), splitting.filled_pieces(F.col("text")))
 
 
 @register(f"WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {slid_sql('d', 'doc_id', 1200, 200, splitting.SENTENCES)} {PIECES.format('so')}")
 def c01_sliding_chunks(spark, sf_dir):
     """Whole parts up to a size, the last ones again at the beginning of the next piece (C01)."""
-    return splitting.pieces_of(table(spark, sf_dir, "documents"), splitting.sliding_pieces(F.col("text")))
+    return splitting.pieces_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), splitting.sliding_pieces(F.col("text")))
 
 
 @register(f"""WITH {HEADS}, st AS (SELECT doc_id, pos, title FROM hd UNION ALL SELECT doc_id, 0, 'body' FROM documents),
