@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import drop_repeated_lines, leader_count
+from .text import drop_repeated_lines, leader_count, once
 
 # Fixed values of the clean-up of rendered documents.
 PAGE_LINE = r"^\s*-\s*\d+\s*-\s*$"
@@ -81,6 +81,8 @@ RULE_ONLY = r"^[\s\-–—=_~*]{3,}$"
 TOC_MARK = r"목\s*차|\[(별지|붙임|첨부)|[·.…⋯]{4,}"
 TOC_DOTS = "[·.…⋯]{4,}"
 PAGE_REF = r"[가-힣A-Za-z\)\]][^\n]{0,60}?[\s\t]+(\d{1,3})(?=\s|$)"
+#: PAGE_REF with no other letter between its letter and the number: as many matches, since a number that any letter before it reaches is reached by the last.
+NEAR_REF = PAGE_REF.replace(r"[^\n]", r"[^\n가-힣A-Za-z\)\]]")
 SECTION_RUN = r"[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]\s*[.=]"
 #: What rendered tables may leave behind, by name. Fixed values.
 TABLE_RESIDUE = {"pipes": r"\|", "breaks": "<br>", "rules": r"(?m)^\s*\|?\s*:?-{2,}", "failed": r"\[표 (?:복원 실패|부분 복원)", "row_tags": r"\[행 \d+\]"}
@@ -164,35 +166,64 @@ def clean_documents(docs: DataFrame, aggressive: bool = True) -> DataFrame:
 
 
 def _page_refs(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(PAGE_REF))
+    """How often PAGE_REF matches: a match may as well begin at the last letter before the number, from where each letter is tried once."""
+    return F.regexp_count(line, F.lit(NEAR_REF))
 
 
 def _section_runs(line: Column) -> Column:
     return F.regexp_count(line, F.lit(SECTION_RUN))
 
 
+def _told_lines(text: Column, min_refs: int = 1, max_chars: int = 80, many_refs: int = 3) -> Column:
+    """For each line (line, flag, refs, strong): whether it is one of a table of contents, the page references of such a line, and whether it has dot leaders or section
+    marks in a row. Each is made once."""
+
+    def told(x: Column, own: Column) -> Column:
+        strong = own["dots"] | (own["sections"] >= 3)
+        flag = strong | (own["refs"] >= many_refs) | ((own["refs"] >= min_refs) & (own["length"] <= max_chars))
+        return once(F.struct(flag.alias("flag"), strong.alias("strong")), lambda f: F.struct(x.alias("line"), f["flag"].alias("flag"), F.when(f["flag"], _page_refs(x)).otherwise(0).alias("refs"), f["strong"].alias("strong")))
+
+    def line(x: Column) -> Column:
+        own = lambda s: F.struct(s.rlike(TOC_DOTS).alias("dots"), _section_runs(s).alias("sections"), _page_refs(s).alias("refs"), F.length(s).alias("length"))
+        return once(strip(x), lambda s: once(own(s), lambda o: told(x, o)))
+
+    return F.transform(F.split(text, "\n", -1), line)
+
+
 def contents_lines(text: Column, min_refs: int = 1, max_chars: int = 80, many_refs: int = 3) -> Column:
     """For each line whether it is one of a table of contents: dot leaders, many page references, few in a short line, or section marks in a row."""
+    return F.transform(_told_lines(text, min_refs, max_chars, many_refs), lambda x: x["flag"])
 
-    def flag(x: Column) -> Column:
-        line = strip(x)
-        return line.rlike(TOC_DOTS) | (_page_refs(line) >= many_refs) | ((_page_refs(line) >= min_refs) & (F.length(line) <= max_chars)) | (_section_runs(line) >= 3)
 
-    return F.transform(F.split(text, "\n", -1), flag)
+def _by_page(lines: Column, min_refs: int = 4) -> Column:
+    refs = F.aggregate(lines, F.lit(0), lambda a, x: a + x["refs"])
+    return F.exists(lines, lambda x: x["strong"]) | (refs >= min_refs)
 
 
 def has_contents(text: Column, min_refs: int = 4) -> Column:
     """Whether a text holds a table of contents: a mark of one, and dot leaders, section marks in a row or enough page references on such lines."""
-    lines = F.split(text, "\n", -1)
-    refs = F.aggregate(F.zip_with(lines, contents_lines(text), lambda x, f: F.when(f, _page_refs(x)).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    return text.rlike(TOC_MARK) & (F.exists(lines, lambda x: x.rlike(TOC_DOTS)) | F.exists(lines, lambda x: _section_runs(x) >= 3) | (refs >= min_refs))
+    return text.rlike(TOC_MARK) & once(_told_lines(text), lambda lines: _by_page(lines, min_refs))
+
+
+def contents_told(text: Column, min_leaders: int = 5) -> Column:
+    """(by_page, leaders, kept): whether a text holds a table of contents, how many leaders it has, and `without_contents`. Lines are told only where a mark is, each once."""
+
+    def made(known: Column) -> Column:
+        """known: lines, null without a mark."""
+        both = F.struct(F.coalesce(_by_page(known["lines"]), F.lit(False)).alias("by_page"), leader_count(text).alias("leaders"))
+        return once(both, lambda b: F.struct(b["by_page"].alias("by_page"), b["leaders"].alias("leaders"), kept(known["lines"], b).alias("kept")))
+
+    def kept(lines: Column, b: Column) -> Column:
+        plain = F.filter(F.split(text, "\n", -1), lambda x: leader_count(x) == 0)
+        own = F.transform(F.filter(lines, lambda x: ~x["flag"] & (leader_count(x["line"]) == 0)), lambda x: x["line"])
+        return F.when(b["by_page"], strip(F.array_join(own, "\n"))).when(b["leaders"] >= min_leaders, strip(F.array_join(plain, "\n"))).otherwise(text)
+
+    return once(F.struct(F.when(text.rlike(TOC_MARK), _told_lines(text)).alias("lines")), made)
 
 
 def without_contents(text: Column, min_leaders: int = 5) -> Column:
     """The text of a chunk without lines of a table of contents; chunks without one stay as they are."""
-    by_page, by_leader = has_contents(text), leader_count(text) >= min_leaders
-    kept = F.filter(F.arrays_zip(F.split(text, "\n", -1).alias("line"), contents_lines(text).alias("flag")), lambda x: ~(x["flag"] & by_page) & (leader_count(x["line"]) == 0))
-    return F.when(by_page | by_leader, strip(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))).otherwise(text)
+    return contents_told(text, min_leaders)["kept"]
 
 
 def table_residue(text: Column) -> dict[str, Column]:

@@ -53,6 +53,8 @@ def names_notice(question: Column, title: Column, agency: Column, least: int = 2
 
 def drop_contents(chunks: DataFrame, min_leaders: int = 5, min_chars: int = 80) -> DataFrame:
     """Chunks without their lines of tables of contents; those of which under `min_chars` characters are left go. Adds by_page and leaders."""
-    marked = chunks.withColumns({"by_page": C.has_contents(F.col("text")), "leaders": leader_count(F.col("text")), "kept": C.without_contents(F.col("text"), min_leaders)})
-    touched = F.col("by_page") | (F.col("leaders") >= min_leaders)
-    return marked.filter(~touched | (F.length("kept") >= min_chars)).withColumn("text", F.col("kept")).drop("kept")
+    told = F.transform(F.array(C.contents_told(F.col("text"), min_leaders)), lambda r: F.struct(r["by_page"].alias("by_page"), r["leaders"].alias("leaders"), r["kept"].alias("text")))
+    stays = lambda r: ~(r["by_page"] | (r["leaders"] >= min_leaders)) | (F.length(r["text"]) >= min_chars)
+    # A filter after a projection would have the texts told again, below it.
+    rows = chunks.select(*[F.col(f"`{c}`") for c in chunks.columns if c != "text"], F.inline(F.filter(told, stays)))
+    return rows.select(*[F.col(f"`{c}`") for c in chunks.columns], "by_page", "leaders")
