@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.text import money, single_spaced
-from ..sources.tables import numbered
+from ..sources.tables import numbered, saved
 from . import retrieval as R
 
 Searcher = Callable[[DataFrame, int], DataFrame]
@@ -104,7 +104,9 @@ def _scoped(scope: DataFrame | None, queries: DataFrame) -> DataFrame | None:
 
 
 def dense(vectors: DataFrame, embed: Callable[[Column], Column], scope: DataFrame | None = None, fetch: int = 10) -> Searcher:
-    """vectors(chunk_id, v). With a scope, `fetch` times as many are found over all chunks and those in scope kept, so fewer than k may stay."""
+    """vectors(chunk_id, v). With a scope, `fetch` times as many are found over all chunks and those in scope kept, so fewer than k may stay.
+    Vectors that a model makes are made once, for all searches."""
+    vectors = saved(vectors.select("chunk_id", "v"), "vectors")
 
     def search(queries: DataFrame, k: int) -> DataFrame:
         asked = queries.select("query_id", embed(F.col("text")).alias("q"))
