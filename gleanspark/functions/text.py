@@ -1,10 +1,15 @@
-"""Scalar text functions as column expressions; Spark runs them in generated code."""
+"""Scalar text functions as column expressions; Spark runs them in generated code, but for the counts of words."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import small_batches
+
 #: Ends of sentences that keep a repeated line. Fixed values.
 SENTENCE_ENDS = ("다.", "함", "음")
 IMAGE_MARKS = r"<(?:표|그림)>"
@@ -94,6 +99,23 @@ def once(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
+def word_counts(words: Column) -> Column:
+    """Array of (term, n): each distinct word of an array and how often it is there. Words of a batch are numbered, so that rows are counted at once."""
+    small_batches()
+
+    @F.arrow_udf("array<struct<term: string, n: int>>")
+    def run(rows: pa.Array) -> pa.Array:
+        found = rows.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+        n = max(1, len(found.dictionary))
+        pair, count = np.unique(row * n + found.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        ends = np.searchsorted(pair, np.arange(len(rows) + 1) * n)
+        entries = pa.StructArray.from_arrays([found.dictionary.take(pa.array(pair % n)).cast(pa.string()), pa.array(count.astype(np.int32))], names=["term", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)
+
+    return run(words)
+
+
 def drop_repeated_lines(text: Column, min_repeat: int = 5, max_len: int = 60) -> Column:
     """Lines of at most max_len characters that occur min_repeat times in the text go, unless they end a sentence. Equal lines meet by sorting."""
     ends = lambda x: F.endswith(x, F.lit(SENTENCE_ENDS[0])) | F.endswith(x, F.lit(SENTENCE_ENDS[1])) | F.endswith(x, F.lit(SENTENCE_ENDS[2]))

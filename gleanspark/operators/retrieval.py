@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -15,6 +15,7 @@ from ..functions.text import tokens
 from ..sources.tables import saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+BETWEEN = "\x01"  # no token holds it
 
 
 def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -24,7 +25,6 @@ def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
 
 
 Tokenizer = Callable[[Column], Column]
-BETWEEN = "\x01"  # no token holds it
 
 
 class Bm25Index:
@@ -50,40 +50,35 @@ class Bm25Index:
         return each.join(self.raw, "term").select("query_id", "term", "qtf", self.idf().alias("idf"))
 
 
-def postings(index: Bm25Index) -> DataFrame:
-    """chunk_id, term, tf, dl."""
-    each = index.words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def bm25(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, block: int | None = None, token: Tokenizer = tokens) -> DataFrame:
     """Okapi BM25; queries(query_id, text). Terms in over half of the chunks get a quarter of the mean idf. Only positive scores.
-    scope(query_id, chunk_id): what a query may find, applied before ranking; such queries are scored over postings. Without it all chunks
-    are scored against all queries, in tiles (`tiled`) by blocks of `block` queries, which give each query's best of a tile alone."""
+    All chunks are scored against all queries, in tiles (`tiled`) by blocks of `block` queries, which give each query's best of a tile alone.
+    scope(query_id, chunk_id): what a query may find, applied in the tiles before ranking."""
     index = chunks if isinstance(chunks, Bm25Index) else Bm25Index(chunks, token)
-    asked = index.asked(queries)
-    if scope is None:
-        return _bm25_blocks(index, asked, k, queries.count(), block)
-    met = asked.join(postings(index), "term").join(scope, ["query_id", "chunk_id"], "left_semi")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl))
-    scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return top_k(scored, k)
+    return _bm25_blocks(index, index.asked(queries), k, queries.count(), block, scope)
 
 
 #: Rows of the corpus and queries that one task scores against each other at most, but for chance: both are dealt by hash.
-PER_TILE, PER_BLOCK = 1 << 14, 1 << 12
+PER_TILE, PER_BLOCK = 1 << 12, 1 << 12
 
 
-def tiled(corpus: DataFrame, n: int, queries: DataFrame, n_queries: int, score: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType, block: int | None = None) -> DataFrame:
+def tiled(corpus: DataFrame, n: int, queries: DataFrame, n_queries: int, score: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType, block: int | None = None, scope: DataFrame | None = None) -> DataFrame:
     """What `score` makes of every tile of corpus(chunk_id, ...) with every block of queries(query_id, ...): tiles and blocks are the groups of a cogroup, so neither the
     driver nor the plan holds any, and a task has one tile and one block. Corpus rows are shuffled once for each block of PER_BLOCK queries, or `block`. n and n_queries may be
-    rough. score gives partial hits (query_id, chunk_id, score)."""
+    rough. score gives partial hits (query_id, chunk_id, score). scope(query_id, chunk_id): goes to the tiles too, as rows of the corpus with a chunk's queries of a block in
+    `allowed`, which is null in the others, so the corpus is not joined with it."""
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     tiles = max(1, -(-n // min(PER_TILE, max(256, -(-n // cores)))))
     blocks = max(1, -(-n_queries // (block or PER_BLOCK)))
     part = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = corpus.select("*", part("chunk_id", tiles).alias("tile"), every(blocks).alias("block")).groupBy("tile", "block")
+    left = corpus.select("*", part("chunk_id", tiles).alias("tile"), every(blocks).alias("block"))
+    if scope is not None:
+        kind = lambda df, c: F.col(c).cast(df.schema[c].dataType).alias(c)
+        own = scope.select(kind(corpus, "chunk_id"), kind(queries, "query_id")).withColumn("block", part("query_id", blocks))
+        allowed = own.groupBy("chunk_id", "block").agg(F.collect_set("query_id").alias("allowed"))
+        left = left.unionByName(allowed.withColumn("tile", part("chunk_id", tiles)), allowMissingColumns=True)
+    left = left.groupBy("tile", "block")
     right = queries.select("*", every(tiles).alias("tile"), part("query_id", blocks).alias("block")).groupBy("tile", "block")
     return left.cogroup(right).applyInArrow(score, schema)
 
@@ -107,55 +102,71 @@ class _Best:
         return np.nonzero((scores >= self.kept[:, 0] - 1e-6) & (scores > self.above))
 
 
-def _bm25_blocks(index: Bm25Index, asked: DataFrame, k: int, n_queries: int, block: int | None) -> DataFrame:
-    words = index.words.filter("size(words) > 0").select("chunk_id", F.size("words").alias("dl"), F.array_join("words", BETWEEN).alias("words"))
+def _bm25_blocks(index: Bm25Index, asked: DataFrame, k: int, n_queries: int, block: int | None, scope: DataFrame | None) -> DataFrame:
+    words = index.words.filter("size(words) > 0").select("chunk_id", F.size("words").alias("dl"), "words")
     schema = StructType([asked.schema["query_id"], words.schema["chunk_id"], StructField("score", DoubleType())])
     weighed = asked.select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
-    best = tiled(words, index.n, weighed, n_queries, _scorer(index.avgdl, k, schema), schema, block)
+    avgdl = index.avgdl
+
+    def value(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf / (tf + K1 * (1 - B + B * dl / avgdl))
+
+    best = tiled(words, index.n, weighed, n_queries, _scorer(k, schema, value), schema, block, scope)
     return top_k(best.withColumn("score", F.round("score", 6)).filter("score > 0"), k)
 
 
-def _scorer(avgdl: float, k: int, schema: StructType, rows: int = 512, queries: int = 256) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The words of a tile are counted once; queries go in parts of `queries` against rows in parts of `rows`, each with a matrix of the terms that both have."""
+def _scorer(k: int, schema: StructType, value: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, rows: int = 512, queries: int = 256) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The words of a tile are looked up once among those that the block asks for; queries go in parts of `queries` against rows in parts of `rows`, each with a matrix of
+    the terms that both have. What a term adds is its weight in the query times value(how often it is in the chunk, dl), or without that the sum of its `weights`."""
 
     def run(tile: pa.Table, block: pa.Table) -> pa.Table:
+        scoped = "allowed" in tile.column_names
+        told = tile.filter(pc.is_valid(tile.column("allowed"))).select(["chunk_id", "allowed"]) if scoped else None
+        tile = tile.filter(pc.is_in(tile.column("chunk_id"), told.column("chunk_id").combine_chunks())).filter(pc.field("allowed").is_null()) if scoped else tile
         if not tile.num_rows or not block.num_rows:
             return _hits(schema, pa.array([], block.schema.field("query_id").type), pa.array([], tile.schema.field("chunk_id").type), [])
         chunks, terms = tile.column("chunk_id").combine_chunks(), block.column("term").combine_chunks().dictionary_encode()
-        place = {t: n for n, t in enumerate(terms.dictionary.to_pylist())}
         ids = block.column("query_id").combine_chunks().dictionary_encode()
         q, t, w = (np.asarray(x) for x in (ids.indices, terms.indices, block.column("weight")))
         by_query = np.argsort(q, kind="stable")
         q, t, w = q[by_query], t[by_query], w[by_query]
-        parts = []
-        texts, sizes = tile.column("words").to_pylist(), tile.column("dl").to_pylist()
-        for at in range(0, len(texts), rows):
-            i, j, value = [], [], []
-            for row, (dl, text) in enumerate(zip(sizes[at : at + rows], texts[at : at + rows])):
-                norm = K1 * (1 - B + B * dl / avgdl)
-                for term, tf in Counter(text.split(BETWEEN)).items():
-                    if (found := place.get(term)) is not None:
-                        i.append(row)
-                        j.append(found)
-                        value.append(tf / (tf + norm))
-            parts.append((at, min(rows, len(texts) - at), np.array(i, np.int64), np.array(j, np.int64), np.array(value)))
+        n_terms = len(terms.dictionary)
+        row, term, met = _met(tile.column("words").combine_chunks(), terms.dictionary)
+        pair, at_pair, tf = np.unique(row * n_terms + term, return_inverse=True, return_counts=True)
+        row, term = pair // n_terms, pair % n_terms
+        if value:
+            size = tile.column("dl").to_numpy()
+            amount = value(tf, size[row])
+        else:
+            amount = np.bincount(at_pair, weights=tile.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)[met], minlength=len(pair))
+        if scoped:
+            own_row, own_query = _allowed(told, chunks, ids.dictionary)
         out = []
         for first in range(0, len(ids.dictionary), queries):
             n = min(queries, len(ids.dictionary) - first)
             own = slice(np.searchsorted(q, first), np.searchsorted(q, first + n))
             used, column = np.unique(t[own], return_inverse=True)
             weights = np.zeros((len(used), n))
-            weights[column, q[own] - first] = w[own]
-            best, local = _Best(n, k, 0.0), np.full(len(place), -1)
+            np.add.at(weights, (column, q[own] - first), w[own])
+            best, local = _Best(n, k, 0.0), np.full(n_terms, -1)
             local[used] = np.arange(len(used))
-            for at, height, i, j, value in parts:
-                met = local[j] if len(j) else j
-                met_rows = met >= 0
-                if met_rows.any():
-                    present, at_column = np.unique(met[met_rows], return_inverse=True)
+            for at in range(0, len(chunks), rows):
+                height = min(rows, len(chunks) - at)
+                part = slice(np.searchsorted(row, at), np.searchsorted(row, at + height))
+                column = local[term[part]]
+                asked = column >= 0
+                if asked.any():
+                    present, at_column = np.unique(column[asked], return_inverse=True)
                     matrix = np.zeros((height, len(present)))
-                    matrix[i[met_rows], at_column] = value[met_rows]
+                    matrix[row[part][asked] - at, at_column] = amount[part][asked]
                     scores = matrix @ weights[present]
+                    if scoped:
+                        part = slice(np.searchsorted(own_row, at), np.searchsorted(own_row, at + height))
+                        mine = (own_query[part] >= first) & (own_query[part] < first + n)
+                        places = own_row[part][mine] - at, own_query[part][mine] - first
+                        kept = np.full(scores.shape, -np.inf)
+                        kept[places] = scores[places]
+                        scores = kept
                     r, c = best(scores)
                     out.append((c + first, r + at, scores[r, c]))
         return _hits(schema, ids.dictionary, chunks, out)
@@ -163,6 +174,23 @@ def _scorer(avgdl: float, k: int, schema: StructType, rows: int = 512, queries:
     return run
 
 
+def _met(lists: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place among known, place among all) of the entries of lists that are known."""
+    found = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
+    met = np.flatnonzero(found >= 0)
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    return row[met], found[met].astype(np.int64), met
+
+
+def _allowed(told: pa.Table, chunks: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the pairs in scope, by row."""
+    at, query, _ = _met(told.column("allowed").combine_chunks(), ids)
+    row = pc.index_in(told.column("chunk_id").combine_chunks(), value_set=chunks).fill_null(-1).to_numpy()[at]
+    order = np.argsort(row, kind="stable")
+    order = order[row[order] >= 0]
+    return row[order], query[order]
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """Exact nearest by squared L2 distance; vectors(chunk_id, v), queries(query_id, q): a stated set of queries against all vectors, in tiles (`tiled`)."""
     asked = queries.filter(F.col("q").isNotNull()).select("query_id", F.col("q").cast("array<double>").alias("q"))
@@ -193,10 +221,17 @@ def _nearest(k: int, schema: StructType, rows: int = 2048, queries: int = 512) -
     return run
 
 
-def sparse(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Dot product of learned sparse vectors (id, term, w); positive scores only."""
-    met = queries.withColumnRenamed("w", "qw").join(chunks, "term")
-    return top_k(met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score")).filter("score > 0"), k)
+def sparse(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
+    """Dot product of learned sparse vectors, queries as rows (query_id, term, w), chunks as rows (chunk_id, term, w) or whole, as (chunk_id, entries) with an array
+    of (term, w); positive scores only. In tiles (`tiled`), so a frequent term makes no rows for each chunk and query that have it."""
+    whole = chunks
+    if "entries" not in chunks.columns:
+        whole = saved(chunks.filter("term is not null").groupBy("chunk_id").agg(F.collect_list(F.struct("term", "w")).alias("entries")), "vectors")
+    asked = queries.filter("term is not null").select("query_id", "term", F.col("w").cast("double").alias("weight"))
+    corpus = whole.select("chunk_id", F.col("entries.term").alias("words"), F.col("entries.w").cast("array<double>").alias("weights"))
+    schema = StructType([asked.schema["query_id"], corpus.schema["chunk_id"], StructField("score", DoubleType())])
+    best = tiled(corpus, whole.count(), asked, asked.select("query_id").distinct().count(), _scorer(k, schema), schema, block)
+    return top_k(best.withColumn("score", F.round("score", 6)).filter("score > 0"), k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = 5, rrf_k: int = 60) -> DataFrame:

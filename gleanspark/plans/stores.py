@@ -247,7 +247,7 @@ def r04_stored_index(spark, sf_dir):
     c, path = chunks(spark, sf_dir), tables.until_exit(spark, tables.scratch(spark, "sparse"))
     words = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("words"))
     signature = store.signature_of(c)
-    indexes.SparseIndex.of(path, signature, lambda: indexes.weighted(words(c, "chunk_id"), "chunk_id", F.length("term")), spark)
+    indexes.SparseIndex.of(path, signature, lambda: indexes.vectors(words(c, "chunk_id"), "chunk_id", F.length), spark)
     index = indexes.SparseIndex.open(spark, path, signature)
     return index.search(indexes.weighted(words(questions(spark, sf_dir), "query_id"), "query_id", F.lit(1.0)), 5).withColumn("rank", F.col("rank").cast("long"))
 
