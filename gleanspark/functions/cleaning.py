@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .text import drop_repeated_lines, leader_count, once
 
 # Fixed values of the clean-up of rendered documents.
@@ -132,6 +133,7 @@ def boilerplate_lines(with_headers: bool = False) -> tuple[str, ...]:
 
 def composed(text: Column) -> Column:
     """Unicode composition (NFC)."""
+    small_batches()
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

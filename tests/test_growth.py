@@ -1,12 +1,14 @@
 """What a step reads, sends or holds must not grow faster than its input."""
 
+import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gleanspark.functions import cleaning
-from gleanspark.operators import filters
+from gleanspark.functions import cleaning, models, text
+from gleanspark.operators import chunking, filters, indexes, retrieval, search
 
 
 def test_contents_are_told_once(spark):
@@ -18,3 +20,61 @@ def test_contents_are_told_once(spark):
     rows = spark.createDataFrame([("a", "목 차\n1. x\t1\n" + "본문 " * 40)], "chunk_id string, text string")
     plan = filters.drop_contents(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\d{1,3}") <= 2
+
+
+def test_sparse_vectors_meet_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PER_TILE", 64)
+    rng = random.Random(5)
+    rows = [(f"c{n:03}", " ".join(rng.choice(["the", "of", "aa", "bb", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(0, 30)))) for n in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string").select("chunk_id", text.tokens(F.col("text")).alias("words"))
+    q = spark.createDataFrame([(k, w, float(k + 1)) for k in range(5) for w in ("the", "of", f"w{k}", None)], "query_id int, term string, w double")
+    whole, apart = indexes.vectors(chunks, "chunk_id", F.length), indexes.weighted(chunks, "chunk_id", F.length("term"))
+    hits = lambda df: sorted(map(tuple, df.collect()))
+    found = retrieval.sparse(whole, q, 4)
+    want = apart.join(q.withColumnRenamed("w", "qw"), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    assert hits(found) == hits(retrieval.sparse(apart, q, 4)) == hits(retrieval.top_k(want, 4)) != []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate explode(entries" not in plan
+
+
+def test_word_counts(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["가", "a"])], "id int, words array<string>").repartition(1)
+    got = {r.id: sorted(map(tuple, r.n or [])) for r in rows.select("id", text.word_counts(F.col("words")).alias("n")).collect()}
+    assert got == {1: [("a", 1), ("b", 2)], 2: [], 3: [], 4: [("a", 1), ("가", 1)]}
+
+
+def test_scope_goes_to_the_tiles(spark):
+    chunks = spark.createDataFrame([(f"c{n}", "one two " + "three " * n) for n in range(9)] + [(f"x{n}", "other words") for n in range(20)], "chunk_id string, text string")
+    q = spark.createDataFrame([(1, "three"), (2, "three two"), (3, "nothing")], "query_id long, text string")
+    scope = spark.createDataFrame([(1, "c2"), (1, "c3"), (1, "c3"), (2, "c8"), (2, "missing"), (3, "c1")], "query_id int, chunk_id string")
+    found = retrieval.bm25(chunks, q, 5, scope)
+    everything = retrieval.bm25(chunks, q, 100).drop("rank").join(scope.distinct(), ["query_id", "chunk_id"], "left_semi")
+    assert sorted((r.query_id, r.chunk_id, r.score) for r in found.collect()) == sorted((r.query_id, r.chunk_id, r.score) for r in everything.collect()) != []
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroups")[0]
+
+
+def test_whole_texts_go_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")).coalesce(1)
+    chunking.chunked(docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_vectors_of_a_model_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda t: made.add(1) or [float(len(t)), 1.0], "array<double>").asNondeterministic()
+    rows = spark.createDataFrame([(f"c{n}", "x" * n) for n in range(40)], "chunk_id string, text string").select("chunk_id", count("text").alias("v"))
+    plain = F.udf(lambda t: [float(len(t)), 1.0], "array<double>")
+    found = search.dense(rows, plain)
+    q = spark.createDataFrame([(1, "x" * 7)], "query_id long, text string")
+    assert [r.chunk_id for r in found(q, 1).collect()] == [r.chunk_id for r in found(q, 1).collect()] == ["c7"]
+    assert made.value == 40
+
+
+def test_trigrams_are_those_of_a_plain_count():
+    texts = ["", None, "ab", "Abcabc", "가나다라 ㄱ", "😀a😀b" * 3, "İstanbul", "x" * 300_000]
+    for t, v in zip(texts, models.hashed_trigrams(texts, dtype=np.float64)):
+        plain, low = np.zeros(models.DIM), (t or "").lower()
+        for i in range(len(low) - 2):
+            plain[int.from_bytes(hashlib.md5(low[i : i + 3].encode()).digest()[:4], "little") % models.DIM] += 1
+        assert np.array_equal(v, plain / np.linalg.norm(plain) if plain.any() else plain)
