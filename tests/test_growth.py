@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gleanspark.functions import cleaning, models, text
-from gleanspark.operators import chunking, filters, indexes, retrieval, search
+from gleanspark.operators import chunking, filters, grounding, indexes, retrieval, search
 
 
 def test_contents_are_told_once(spark):
@@ -78,3 +78,33 @@ def test_trigrams_are_those_of_a_plain_count():
         for i in range(len(low) - 2):
             plain[int.from_bytes(hashlib.md5(low[i : i + 3].encode()).digest()[:4], "little") % models.DIM] += 1
         assert np.array_equal(v, plain / np.linalg.norm(plain) if plain.any() else plain)
+
+
+def test_noise_is_that_of_the_pattern():
+    rng, kinds = random.Random(1), grounding.kinds_of_noise()
+    for _ in range(5000):
+        t = "".join(rng.choice("ab p.P3٣𝟎4-_=| \n()쪽각é") for _ in range(rng.randrange(0, 60)))
+        assert grounding.noise_in(t, np.frombuffer(t.encode("utf-32-le"), np.uint32), grounding.NOISE, kinds) == [m.span() for m in grounding.NOISE.finditer(t)]
+
+
+def test_candidates_of_runs_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda k: made.add(1) or k, "long").asNondeterministic()
+    candidates = spark.range(40).select(count("id").alias("item_id"), F.lit(1).cast("long").alias("doc_id"))
+    evidence = spark.range(40).select(F.col("id").alias("item_id"), F.lit("some words of it").alias("evidence"))
+    docs = spark.createDataFrame([(1, "here are some words of 3")], "doc_id long, text string")
+    assert {r.run for r in grounding.longest(candidates, evidence, docs).collect()} == {"some words of"}
+    assert made.value == 40
+
+
+def test_documents_with_short_runs_are_not_searched_for_long_ones(spark, monkeypatch):
+    rng = random.Random(2)
+    evidence = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    # Each seed's first document has a run of seven characters alone.
+    texts = [(k, f"#{evidence[k : k + 7]}#") for k in range(54)] + [(60, evidence[:40]), (70, f"x {evidence} x"), (71, evidence), (80, evidence[20:-1]), (90, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes, plain = [], grounding.longest
+    monkeypatch.setattr(grounding, "longest", lambda candidates, *a: sizes.append(candidates.count()) or plain(candidates, *a))
+    found = grounding.best_elsewhere(spark.createDataFrame([(1, evidence)], "item_id long, evidence string"), docs)
+    assert [tuple(r) for r in found.collect()] == [(1, 70, evidence)]
+    assert sizes[-1] <= 4
