@@ -16,17 +16,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..functions.cleaning import strip
 from ..sources.tables import saved
 
 WIDTH = 6
 #: Bits of the field that tells which seeds are asked for: two million bytes, whatever the evidence.
 FIELD = 24
-#: So many seeds of some texts go back to Spark at once.
-MOST = 1 << 18
+#: So many seeds of some texts are held at once.
+MOST = 1 << 17
 #: So many characters on either side of a seed go with it where a longer piece is asked for.
 AROUND = 16
 #: Page numbers and rules, which match nothing. Fixed value.
@@ -105,6 +107,7 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def seeds(rows: DataFrame, keys: list[str], text: str, width: int = WIDTH, noise: re.Pattern | None = None, flat: bool = False, asked: np.ndarray | None = None, once: bool = False, around: bool = False) -> DataFrame:
     """The keys with a, b, place, first, last for each seed of a text column; only those that the bit field has, if one is given. once: each seed of a text
     one time, at its first place. around: also the texts left and right of it, of at most AROUND characters."""
+    small_batches()
     fields = [rows.schema[k] for k in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", a long, b long, place long, first long, last long" + ", left string, right string" * around
 
@@ -191,8 +194,51 @@ def frequencies(asked: DataFrame, docs: DataFrame, width: int, noise: re.Pattern
     field = field_of(asked)
     if field is None:
         return docs.sparkSession.createDataFrame([], f"a long, b long, n long, some_doc {docs.schema['doc_id'].dataType.simpleString()}")
-    theirs = seeds(docs, ["doc_id"], "text", width, noise, False, field, once=True)
-    counted = theirs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("some_doc"))
+    small_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, kinds = np.unpackbits(field).view(bool), kinds_of_noise()
+        # Counts of a task are added up as long as they are few, else sent as they are.
+        parts, rows = [], 0
+        for batch in batches:
+            # Documents by their rank in the batch, so that the least rank is the smallest id.
+            order = pc.sort_indices(batch.column(0))
+            held, of, size = [], [], 0
+            for rank, row in enumerate(order.to_pylist()):
+                value = batch.column(1)[row].as_py()
+                if value:
+                    a, b, *_ = seeds_of(value, width, noise, False, bits, kinds)
+                    held.append((a, b))
+                    of.append(np.full(len(a), rank))
+                    size += len(a)
+                if size >= MOST or size and rank == batch.num_rows - 1:
+                    parts.append(counts(batch, order, *(np.concatenate(x) for x in zip(*held)), np.concatenate(of)))
+                    rows += parts[-1].num_rows
+                    held, of, size = [], [], 0
+                if rows >= 2 * MOST:
+                    parts = [added(parts)]
+                    rows = parts[0].num_rows
+                    if rows > MOST:
+                        yield from parts[0].to_batches()
+                        parts, rows = [], 0
+        if parts:
+            yield from added(parts).to_batches()
+
+    def counts(batch: pa.RecordBatch, order: pa.Array, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> pa.Table:
+        by = np.lexsort((b, a))  # stable: ranks rise within a seed
+        a, b, rank = a[by], b[by], rank[by]
+        seed = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        text = seed | np.concatenate([[True], rank[1:] != rank[:-1]])
+        at = np.flatnonzero(seed)
+        some = batch.column(0).take(order.take(pa.array(rank[at])))
+        return pa.table([a[at], b[at], np.add.reduceat(text.astype(np.int64), at), some], names=["a", "b", "n", "some_doc"])
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        met = pa.concat_tables(parts).group_by(["a", "b"], use_threads=False).aggregate([("n", "sum"), ("some_doc", "min")])
+        return met.select(["a", "b", "n_sum", "some_doc_min"]).rename_columns(["a", "b", "n", "some_doc"])
+
+    theirs = docs.select("doc_id", "text").mapInArrow(run, f"a long, b long, n long, some_doc {docs.schema['doc_id'].dataType.simpleString()}")
+    counted = theirs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("some_doc").alias("some_doc"))
     return counted.join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi")
 
 
@@ -216,8 +262,9 @@ def holders(needles: DataFrame, docs: DataFrame) -> DataFrame:
     field = field_of(chosen)
     if field is None:
         return docs.sparkSession.createDataFrame([], f"item_id {needles.schema['item_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    pairs = seeds(docs, ["doc_id"], "text", asked=field, once=True).join(chosen, ["a", "b"]).select("item_id", "doc_id")
-    return pairs.join(needles.select("item_id", "needle"), "item_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "needle")).select("item_id", "doc_id")
+    # Made first, so that documents are moved only where these pairs are too many to be sent to them.
+    pairs = saved(seeds(docs, ["doc_id"], "text", asked=field, once=True).join(chosen, ["a", "b"]).select("item_id", "doc_id"), "pairs")
+    return pairs.join(needles.select("item_id", "needle"), "item_id").join(docs.select("doc_id", "text").join(pairs, "doc_id", "left_semi"), "doc_id").filter(F.contains("text", "needle")).select("item_id", "doc_id")
 
 
 def best_elsewhere(evidence: DataFrame, docs: DataFrame, least: int = WIDTH, noise: re.Pattern | None = NOISE) -> DataFrame:

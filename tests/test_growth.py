@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleanspark.functions import cleaning, models, text
@@ -108,3 +109,35 @@ def test_documents_with_short_runs_are_not_searched_for_long_ones(spark, monkeyp
     found = grounding.best_elsewhere(spark.createDataFrame([(1, evidence)], "item_id long, evidence string"), docs)
     assert [tuple(r) for r in found.collect()] == [(1, 70, evidence)]
     assert sizes[-1] <= 4
+
+
+def test_frequencies_of_seeds(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "MOST", 50)
+    rng = random.Random(4)
+    texts = {f"d{k}": "".join(rng.choice("ab c") for _ in range(rng.randrange(0, 80))) for k in range(60)} | {"n": None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string").coalesce(2)
+    asked = grounding.seeds(docs.filter("doc_id < 'd3'"), ["doc_id"], "text", 4)
+    got = {(r.a, r.b): (r.n, r.some_doc) for r in grounding.frequencies(asked, docs, 4).collect()}
+    of = {d: {(a, b) for a, b in zip(*(x.tolist() for x in grounding.seeds_of(t or "", 4, None, False)[:2]))} for d, t in texts.items()}
+    want = {s for d in texts if d < "d3" for s in of[d]}
+    assert got == {s: (sum(s in v for v in of.values()), min(d for d, v in of.items() if s in v)) for s in want} != {}
+    assert sum(len(x) for x in got) > 20
+
+
+def test_counts_of_seeds_are_added_up_before_they_are_sent(spark, monkeypatch):
+    docs, made = spark.createDataFrame([(k, "the same words") for k in range(3000)], "doc_id long, text string").coalesce(1), []
+    asked, plain = grounding.seeds(docs.limit(1), ["doc_id"], "text"), type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.append(plain(self, f, schema)) or made[-1])
+    found = {(r.n, r.some_doc) for r in grounding.frequencies(asked, docs, grounding.WIDTH).collect()}
+    assert found == {(3000, 0)} and made[-1].count() == len("the same words") - 5
+
+
+def test_seeds_are_sent_in_bounded_batches(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    monkeypatch.setattr(grounding, "MOST", 100)
+    docs, made = spark.createDataFrame([(1, "abc def " * 200), (2, "abcdefgh")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.append(f) or self)
+    grounding.seeds(docs, ["doc_id"], "text")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    sent = list(made[0](iter([pa.record_batch([pa.array([1, 2]), pa.array(["abc def " * 200, "abcdefgh"])], names=["doc_id", "text"])])))
+    assert sum(x.num_rows for x in sent) == 1595 + 3 and max(x.num_rows for x in sent) <= 200
